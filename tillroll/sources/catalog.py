@@ -34,8 +34,9 @@ def _lit_ts(v) -> Column:
 
 
 class Retail:
-    def __init__(self, spark: SparkSession, loader, raw_orders=None):
+    def __init__(self, spark: SparkSession, loader, raw_orders=None, raw=None):
         self.spark = spark
+        self._raw = raw                  # name -> raw driver table, test tables only
         self._loader = loader            # name -> DataFrame
         self._raw_orders = raw_orders    # () -> raw orders DataFrame, test tables only
         self._cache: dict[str, DataFrame] = {}
@@ -66,7 +67,7 @@ class Retail:
                 return getattr(M, name)(raw("events"))
             raise KeyError(name)
 
-        return cls(spark, load, raw_orders=lambda: raw("orders"))
+        return cls(spark, load, raw_orders=lambda: raw("orders"), raw=raw)
 
     @classmethod
     def from_model(cls, spark: SparkSession, model_dir: str) -> "Retail":
@@ -88,9 +89,15 @@ class Retail:
 
         def load(name: str) -> DataFrame:
             return frames[name] if name in frames else base.table(name)
-        return Retail(self.spark, load, raw_orders=None if "bills" in frames else self._raw_orders)
+        return Retail(self.spark, load, raw_orders=None if "bills" in frames else self._raw_orders, raw=self._raw)
 
     # -- access -------------------------------------------------------------
+    def raw(self, name: str) -> DataFrame:
+        """A raw driver table (request streams are derived from these)."""
+        if self._raw is None:
+            raise KeyError(f"no raw table {name!r} in this catalog")
+        return self._raw(name)
+
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
             self._cache[name] = self._loader(name)
