@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tillroll.operators import reports as C
 from tillroll.registry import (A0, AS_OF, DAY, DAY_PRED, END, FIG, MONTH, MONTH_PRED, Q0, RANGE_PRED, S, S0,
                                START, WEEK_START, YEAR, _b, register)
@@ -343,3 +348,277 @@ select b.id, b.bill_number, b.customer_id, c.name as customer_name, b.total_amou
        case when b.status = 'completed' then 'success' else 'warning' end as status_badge
 from bills b left join customers c on b.customer_id = c.id left join users u on b.cashier_id = u.id
 order by b.created_at desc, b.id limit 20""")(lambda t: B.with_presentation(B.bills_list(t)[0]))
+
+# ------------------------------------------------------------------ D: ledger
+from tillroll.operators import carts as K  # noqa: E402
+from tillroll.operators import integrity as I  # noqa: E402
+from tillroll.operators import ledger as D  # noqa: E402
+
+_PRICED = """(select bi.bill_id, bi.product_id, bi.quantity, bi.discount, p.price as unit_price, p.tax_rate,
+   cast(p.price * bi.quantity - bi.discount as decimal(18,2)) as net_price,
+   cast(cast(p.price * bi.quantity - bi.discount as decimal(18,2)) * p.tax_rate * cast(0.01 as decimal(3,2))
+        as decimal(24,6)) as tax_exact
+ from bill_items bi join products p on bi.product_id = p.id)"""
+register("d01_price_lines", f"""
+select bill_id, product_id, quantity, discount, unit_price, tax_rate, net_price, tax_exact,
+       cast(round(tax_exact, 2) as decimal(18,2)) as tax_amount,
+       cast(round(net_price + tax_exact, 2) as decimal(18,2)) as total_price from {_PRICED} x""")(
+    lambda t: D.price_lines(W.order_lines(t.bill_items), t.products))
+
+_TOTALS = f"""
+select per.bill_id, cast(per.n as decimal(18,2)) as total_amount, cast(round(per.tx, 2) as decimal(18,2)) as tax_amount,
+       cast(b.discount_amount as decimal(18,2)) as discount_amount,
+       cast(round(per.n + per.tx - b.discount_amount, 2) as decimal(18,2)) as net_amount,
+       cast(per.lt as decimal(18,2)) as line_tax_sum, cast(per.lt - round(per.tx, 2) as decimal(18,2)) as tax_difference
+from (select bill_id, sum(net_price) as n, sum(tax_exact) as tx, sum(round(tax_exact, 2)) as lt
+      from {_PRICED} x group by bill_id) per join bills b on b.id = per.bill_id"""
+
+
+def _totals(t):
+    return D.bill_totals(D.price_lines(W.order_lines(t.bill_items), t.products), t.bills)
+
+
+register("d02_bill_totals", _TOTALS)(_totals)
+register("d02_tax_reconciliation", f"""
+select bill_id, tax_amount, line_tax_sum, tax_difference from ({_TOTALS}) y where tax_difference <> 0""")(
+    lambda t: D.tax_reconciliation(_totals(t)))
+
+register("d03_bill_numbers", """
+select id, created_at, seq, concat('BILL-', strftime(created_at, '%Y%m%d'), '-',
+       lpad(cast(seq as varchar), cast(greatest(4, length(cast(seq as varchar))) as int), '0')) as bill_number
+from (select id, created_at, row_number() over (order by created_at, id) as seq from bills) x""")(
+    lambda t: D.bill_numbers(t.bills))
+
+register("d05_apply_sales", """
+select p.id, p.stock_quantity as previous_stock, cast(coalesce(s.sold, 0) as bigint) as sold,
+       cast(p.stock_quantity - coalesce(s.sold, 0) as int) as stock_quantity, s.sold is not null as changed
+from products p left join (select bi.product_id, sum(bi.quantity) as sold from bill_items bi
+  join bills b on b.id = bi.bill_id where b.status = 'completed' group by 1) s on s.product_id = p.id""")(
+    lambda t: D.apply_sales(t.products, t.bill_items.join(
+        t.bills.filter("status = 'completed'").select(F.col("id").alias("bill_id")), "bill_id", "left_semi")))
+
+_TIER = "case when {p} >= 10000 then 'platinum' when {p} >= 5000 then 'gold' when {p} >= 1000 then 'silver' " \
+        "else 'bronze' end"
+register("d06_accrue_loyalty", f"""
+select c.id, cast(coalesce(x.pts, 0) as bigint) as points_added,
+       cast(c.loyalty_points + coalesce(x.pts, 0) as int) as loyalty_points,
+       cast(c.total_purchases + coalesce(x.spent, 0) as decimal(14,2)) as total_purchases,
+       case when x.pts is not null then {_TIER.format(p='(c.loyalty_points + x.pts)')} else c.loyalty_tier end
+         as loyalty_tier,
+       x.pts is not null as changed
+from customers c left join (select customer_id, sum(cast(floor(net_amount / 10) as bigint)) as pts,
+  sum(net_amount) as spent from bills where status = 'completed' and customer_id is not null group by 1) x
+  on x.customer_id = c.id""")(
+    lambda t: D.accrue_loyalty(t.customers, t.bills.filter("status = 'completed'")))
+
+register("d07_stale_tiers", f"""
+select id, loyalty_points, loyalty_tier, {_TIER.format(p='loyalty_points')} as expected_tier from customers
+where loyalty_tier <> {_TIER.format(p='loyalty_points')}""")(lambda t: D.stale_tiers(t.customers))
+
+_HIT = "(select * from bills where status in ('refunded', 'voided') and status <> 'voided')"
+register("d08_void_bills", f"""
+select id, status as previous_status, 'voided' as status from {_HIT} h""")(
+    lambda t: D.void_bills(t, W.void_requests(t.bills))[0])
+register("d08_void_stock", f"""
+select p.id, p.stock_quantity as previous_stock, cast(r.restored as bigint) as restored,
+       cast(p.stock_quantity + r.restored as int) as stock_quantity
+from products p join (select product_id, sum(quantity) as restored from bill_items
+  where bill_id in (select id from {_HIT} h) group by 1) r on r.product_id = p.id""")(
+    lambda t: D.void_bills(t, W.void_requests(t.bills))[1])
+register("d08_void_customers", f"""
+select c.id, per.pr as points_removed, cast(greatest(0, c.loyalty_points - per.pr) as int) as loyalty_points,
+       cast(greatest(0, c.total_purchases - per.sr) as decimal(14,2)) as total_purchases
+from customers c join (select customer_id, sum(cast(floor(net_amount / 10) as bigint)) as pr, sum(net_amount) as sr
+  from {_HIT} h where customer_id is not null group by 1) per on per.customer_id = c.id""")(
+    lambda t: D.void_bills(t, W.void_requests(t.bills))[2])
+
+_VALID = """
+with req0 as (select l_orderkey as request_id, l_orderkey as bill_id, l_partkey as product_id,
+   case when l_linenumber = 7 then cast(l_quantity as int) + 1 else cast(ceil(l_quantity / 2) as int) end as quantity,
+   l_shipdate as created_at from lineitem where l_returnflag = 'R'),
+req as (select request_id, bill_id, product_id, sum(quantity) as quantity, min(created_at) as created_at,
+   min(quantity) as min_q from req0 group by 1, 2, 3),
+sold as (select bill_id, product_id, sum(quantity) as sq, sum(total_price) as st from bill_items group by 1, 2),
+lines as (select r.request_id, r.bill_id, r.product_id, cast(r.quantity as int) as quantity, r.created_at,
+   case when b.id is null then 'bill_not_found' when b.status <> 'completed' then 'bill_not_returnable'
+        when s.sq is null then 'product_not_on_bill' when r.min_q <= 0 then 'quantity_not_positive'
+        when r.quantity > s.sq then 'quantity_exceeds_sold' end as line_reject,
+   cast(cast((cast(s.st * 100 as bigint) * r.quantity * 20000 + s.sq) // (2 * s.sq) as decimal(24,0))
+        * cast(0.000001 as decimal(7,6)) as decimal(24,6)) as amt
+   from req r left join bills b on b.id = r.bill_id left join sold s on s.bill_id = r.bill_id and s.product_id = r.product_id),
+per as (select request_id, bill_id, min(line_reject) as req_reject, min(created_at) as first_at from lines group by 1, 2),
+ranked as (select request_id, coalesce(req_reject, case when row_number() over (partition by bill_id, req_reject is null
+   order by first_at, request_id) > 1 then 'bill_already_returned' end) as reject_reason from per),
+validated as (select l.request_id, l.bill_id, l.product_id, l.quantity, l.created_at, k.reject_reason,
+   case when k.reject_reason is null then case when l.line_reject is null then l.amt end end as amount_exact
+   from lines l join ranked k on k.request_id = l.request_id)"""
+
+
+def _validated(t):
+    return D.validate_returns(t, W.return_requests(t.raw("lineitem")))
+
+
+register("d09_validate_returns", _VALID + "\nselect * from validated")(_validated)
+register("d10_return_amounts", _VALID + """
+select request_id, bill_id, cast(round(sum(amount_exact), 2) as decimal(18,2)) as return_amount,
+       cast(sum(quantity) as bigint) as items_returned, min(created_at) as created_at
+from validated where reject_reason is null group by 1, 2""")(lambda t: D.return_amounts(_validated(t)))
+register("d11_apply_returns_stock", _VALID + """
+select p.id, p.stock_quantity as previous_stock, cast(r.restored as bigint) as restored,
+       cast(p.stock_quantity + r.restored as int) as stock_quantity
+from products p join (select product_id, sum(quantity) as restored from validated where reject_reason is null
+  group by 1) r on r.product_id = p.id""")(lambda t: D.apply_returns(t, _validated(t))[1])
+register("a04_return_items", _VALID + """
+select request_id as id, bill_id, product_id, quantity from validated where reject_reason is null""")(
+    lambda t: D.return_items(D.apply_returns(t, _validated(t))[0]))
+
+register("d12a_stock_ledger", """
+select a.id, a.product_id, a.created_at, a.adjustment, a.type,
+       cast(p.stock_quantity + coalesce(sum(a.adjustment) over (partition by a.product_id order by a.created_at, a.id
+            rows between unbounded preceding and 1 preceding), 0) as bigint) as previous_quantity,
+       cast(p.stock_quantity + sum(a.adjustment) over (partition by a.product_id order by a.created_at, a.id
+            rows between unbounded preceding and current row) as bigint) as new_quantity
+from stock_adjustments a join products p on p.id = a.product_id""")(lambda t: D.stock_ledger(t))
+
+_PAYREQ = """(select id as request_id, id as bill_id, net_amount as amount, payment_method as method,
+   created_at + interval '1' hour as created_at, status from bills where status in ('pending', 'voided'))"""
+register("d14_record_payments", f"""
+select request_id as id, bill_id, cast(amount as decimal(12,2)) as amount, method, 'completed' as status, created_at
+from {_PAYREQ} r where method in ('cash', 'card', 'upi', 'wallet')""")(
+    lambda t: D.record_payments(t, W.payment_requests(t.bills))[0])
+register("d14_record_payments_fixed", f"""
+select request_id as id, bill_id, cast(amount as decimal(12,2)) as amount, method, 'completed' as status, created_at
+from {_PAYREQ} r where method in ('cash', 'card', 'upi', 'wallet') and status in ('pending', 'completed')""")(
+    lambda t: D.record_payments(t, W.payment_requests(t.bills), fixed=True)[0])
+register("d14_bill_updates", f"""
+select bill_id as id, 'completed' as status, method as payment_method
+from {_PAYREQ} r where method in ('cash', 'card', 'upi', 'wallet')""")(
+    lambda t: D.record_payments(t, W.payment_requests(t.bills))[1])
+
+register("d15_match_payments", """
+select r.request_id, r.bill_id, r.amount, b.net_amount, cast(round(r.amount * 100) as bigint) as amount_minor,
+       case when b.status <> 'pending' then 'bill_not_pending' when abs(r.amount - b.net_amount) > 0.01
+            then 'amount_mismatch' end as reject_reason
+from (select id as request_id, id as bill_id,
+      cast(net_amount + cast(id % 3 as decimal(3,0)) * cast(0.01 as decimal(3,2)) as decimal(12,2)) as amount
+      from bills) r left join bills b on b.id = r.bill_id""")(
+    lambda t: D.match_payments(t, W.payment_verifications(t.bills)))
+
+register("d17_confirm_gateway_payments", """
+select id as bill_id, net_amount as amount, 'razorpay' as method, 'completed' as status,
+       concat('pay_', cast(id as varchar)) as gateway_transaction_id, created_at + interval '1' hour as created_at
+from bills where status = 'pending' and payment_method = 'razorpay'""")(
+    lambda t: D.confirm_gateway_payments(t, W.gateway_confirmations(t.bills))[0])
+
+_REFREQ = """(select bill_id as request_id, bill_id as payment_id, cast(sum(return_amount) as decimal(12,2)) as amount,
+   min(created_at) as created_at from returns group by bill_id)"""
+register("d18_refund_payments", f"""
+select r.request_id as id, p.bill_id, cast(-abs(coalesce(r.amount, p.amount)) as decimal(12,2)) as amount, p.method,
+       'refunded' as status, p.gateway_transaction_id, r.created_at
+from {_REFREQ} r join payments p on p.id = r.payment_id
+where p.status = 'completed' and coalesce(r.amount, p.amount) > 0 and coalesce(r.amount, p.amount) <= p.amount""")(
+    lambda t: D.refund_payments(t, W.refund_requests(t.returns))[0])
+register("d18_refund_updates", f"""
+select distinct r.payment_id as id, 'refunded' as status
+from {_REFREQ} r join payments p on p.id = r.payment_id
+where p.status = 'completed' and coalesce(r.amount, p.amount) > 0 and coalesce(r.amount, p.amount) <= p.amount""")(
+    lambda t: D.refund_payments(t, W.refund_requests(t.returns))[1])
+register("d18a_net_collections", """
+select bill_id, method, cast(sum(amount) as decimal(18,2)) as net_collected, count(*) as payment_rows
+from payments where status in ('completed', 'refunded') group by 1, 2""")(lambda t: D.net_collections(t.payments))
+
+# ------------------------------------------------------------------ A2, D19–D27
+register("a02_insert_absent", """
+select n.* from (select event_id as id, concat('Customer#', cast(event_id as varchar)) as name,
+   concat('c', cast(event_id as varchar), '@mail.example') as email,
+   concat('+91-', lpad(cast(event_id as varchar), 10, '0')) as phone, 0 as loyalty_points, 'bronze' as loyalty_tier,
+   cast(0 as decimal(14,2)) as total_purchases, true as is_active from events where event_type = 'signup') n
+where not exists (select 1 from customers c where c.id = n.id)""")(
+    lambda t: I.insert_absent(t.customers, W.new_customers(t.raw("events")), ["id"]))
+
+register("d19_apply_patch", """
+select c.id, c.name, coalesce(p.email, c.email) as email, c.phone, c.loyalty_points, c.loyalty_tier,
+       c.total_purchases, c.is_active, coalesce(p.email is not null and p.email is distinct from c.email, false) as changed
+from customers c left join (select user_id as id, arg_max(concat('u', cast(event_id as varchar), '@mail.example'),
+  event_id) as email from events where event_type = 'signup' group by user_id) p on p.id = c.id""")(
+    lambda t: I.apply_patch(t.customers, W.customer_patches(t.raw("events")), "id", ["name", "email"])[0])
+
+register("d20_soft_delete", """
+select p.id, p.name, p.sku, p.barcode, p.price, p.tax_rate, p.stock_quantity, p.minimum_stock, p.unit, p.category,
+       p.department_id, p.supplier_id, case when x.id is not null then false else p.is_active end as is_active,
+       x.id is not null as changed
+from products p left join (select distinct event_id as id from events where event_type = 'error') x on x.id = p.id""")(
+    lambda t: I.soft_delete(t.products, W.product_deactivations(t.raw("events"))))
+
+register("d21_deactivation_blocked", """
+select d.id as department_id from departments d
+where exists (select 1 from products p where p.department_id = d.id and p.is_active)""")(
+    lambda t: I.department_deactivation(t.departments, t.products,
+                                        t.departments.select(F.col("id").alias("department_id")))[1])
+register("d21_deactivation_allowed", """
+select d.id as department_id from departments d
+where not exists (select 1 from products p where p.department_id = d.id and p.is_active)""")(
+    lambda t: I.department_deactivation(t.departments, t.products,
+                                        t.departments.select(F.col("id").alias("department_id")))[0])
+
+_NEWP = """(select event_id as request_id, concat('New ', cast(event_id as varchar)) as name,
+   concat('SKU', cast(floor(event_id / 4) as bigint)) as sku,
+   case when event_id % 2 = 0 then concat('890', lpad(cast(event_id as varchar), 10, '0')) end as barcode,
+   cast(floor(value) as decimal(12,2)) as price from events where event_type = 'purchase')"""
+register("d22_unique_on_create", f"""
+select n.request_id, n.name, n.sku, n.barcode, n.price,
+  case when exists (select 1 from products p where p.sku = n.sku) then 'sku_exists'
+       when row_number() over (partition by n.sku order by n.request_id) > 1 then 'sku_repeated_in_batch'
+       when n.barcode is not null and exists (select 1 from products p where p.barcode = n.barcode) then 'barcode_exists'
+       when n.barcode is not null and row_number() over (partition by n.barcode order by n.request_id) > 1
+         then 'barcode_repeated_in_batch' end as conflict
+from {_NEWP} n""")(lambda t: I.unique_on_create(t.products, W.new_products(t.raw("events")), ["sku", "barcode"]))
+register("d22b_product_rules", f"""
+select request_id, name, sku, barcode, price,
+  case when name is null or trim(name) = '' then 'name_required' when sku is null or trim(sku) = '' then 'sku_required'
+       when price is null or price = 0 then 'price_required' end as reject_reason from {_NEWP} n""")(
+    lambda t: I.product_rules(W.new_products(t.raw("events"))))
+
+register("d23_check_constraints", """
+select 'users' as table_name, 'role_valid' as rule, count(*) filter (where not (role in ('admin', 'manager', 'cashier'))) as violations from users
+union all select 'products', 'price_non_negative', count(*) filter (where not (price >= 0)) from products
+union all select 'products', 'tax_rate_0_100', count(*) filter (where not (tax_rate >= 0 and tax_rate <= 100)) from products
+union all select 'products', 'stock_non_negative', count(*) filter (where not (stock_quantity >= 0)) from products
+union all select 'customers', 'points_non_negative', count(*) filter (where not (loyalty_points >= 0)) from customers
+union all select 'customers', 'tier_valid', count(*) filter (where not (loyalty_tier in ('bronze', 'silver', 'gold', 'platinum'))) from customers
+union all select 'bills', 'total_non_negative', count(*) filter (where not (total_amount >= 0)) from bills
+union all select 'bills', 'net_non_negative', count(*) filter (where not (net_amount >= 0)) from bills
+union all select 'bills', 'method_valid', count(*) filter (where not (payment_method in ('cash', 'card', 'upi', 'wallet', 'credit', 'razorpay'))) from bills
+union all select 'bills', 'status_valid', count(*) filter (where not (status in ('pending', 'completed', 'voided', 'refunded', 'partially_returned'))) from bills
+union all select 'bill_items', 'quantity_positive', count(*) filter (where not (quantity > 0)) from bill_items
+union all select 'payments', 'status_valid', count(*) filter (where not (status in ('pending', 'completed', 'failed', 'refunded'))) from payments
+union all select 'stock_adjustments', 'type_valid', count(*) filter (where not (type in ('purchase', 'return', 'damage', 'manual', 'audit'))) from stock_adjustments
+""")(lambda t: functools.reduce(DataFrame.unionByName, [I.check_constraints(t, n) for n in I.CHECKS]))
+
+register("d23a_check_unique", """
+select 'departments' as table_name, 'name' as column_name, cast(name as varchar) as value, count(*) as rows from departments where name is not null group by 3 having count(*) > 1
+union all select 'users', 'email', email, count(*) from users where email is not null group by 3 having count(*) > 1
+union all select 'products', 'sku', sku, count(*) from products where sku is not null group by 3 having count(*) > 1
+union all select 'products', 'barcode', barcode, count(*) from products where barcode is not null group by 3 having count(*) > 1
+union all select 'customers', 'email', email, count(*) from customers where email is not null group by 3 having count(*) > 1
+union all select 'customers', 'phone', phone, count(*) from customers where phone is not null group by 3 having count(*) > 1
+union all select 'bills', 'bill_number', bill_number, count(*) from bills where bill_number is not null group by 3 having count(*) > 1
+""")(lambda t: functools.reduce(DataFrame.unionByName, [I.check_unique(t, n) for n in I.UNIQUE]))
+
+register("d24_check_foreign_keys", " union all ".join(
+    f"select '{c}' as table_name, '{col}' as column_name, '{p}' as parent_table, count(*) as orphans from {c} x "
+    f"where x.{col} is not null and not exists (select 1 from {p} y where y.id = x.{col})"
+    for c, col, p in I.FOREIGN_KEYS))(I.check_foreign_keys)
+
+register("d26_fold_carts", """
+with lines as (select a.cart_id, a.product_id, count(*) as quantity from cart_events a
+  where a.action = 'add' and not exists (select 1 from cart_events r where r.action = 'remove'
+    and r.cart_id = a.cart_id and r.product_id = a.product_id and (r.ts > a.ts or (r.ts = a.ts and r.id > a.id)))
+  group by 1, 2)
+select l.cart_id, count(*) as lines, cast(sum(l.quantity) as bigint) as units,
+       cast(sum(p.price * l.quantity) as decimal(18,2)) as cart_total
+from lines l join products p on p.id = l.product_id group by l.cart_id""")(
+    lambda t: K.fold_carts(t.cart_events, t.products))
+register("d27_last_login", """
+select user_id as id, max(ts) as last_login from events group by user_id""")(
+    lambda t: K.last_login(t.raw("events")))

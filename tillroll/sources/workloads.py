@@ -47,3 +47,87 @@ def bill_keys(bills: DataFrame) -> DataFrame:
     k = F.col("id")
     code = F.when(k % 2 == 0, F.col("bill_number")).otherwise(k.cast("string"))
     return bills.select(k.alias("key_id"), code.alias("code"))
+
+
+def order_lines(items: DataFrame) -> DataFrame:
+    """Order lines to (re)price: every bill line as (bill_id, product_id, quantity, discount)."""
+    return items.select("bill_id", "product_id", "quantity", "discount")
+
+
+def void_requests(bills: DataFrame) -> DataFrame:
+    """Void requests: every refunded bill, plus the voided ones (which must be skipped)."""
+    return bills.filter(F.col("status").isin("refunded", "voided")).select(F.col("id").alias("bill_id"))
+
+
+def return_requests(lineitem: DataFrame) -> DataFrame:
+    """Return requests: each line flagged 'R' asks to return half its units (rounded up);
+    the seventh line of an order asks for one more unit than was sold."""
+    q = F.col("l_quantity").cast("int")
+    qty = F.when(F.col("l_linenumber") == 7, q + 1).otherwise(F.ceil(F.col("l_quantity") / 2).cast("int"))
+    return lineitem.filter(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").alias("request_id"), F.col("l_orderkey").alias("bill_id"),
+        F.col("l_partkey").alias("product_id"), qty.alias("quantity"), F.col("l_shipdate").alias("created_at"))
+
+
+def payment_requests(bills: DataFrame) -> DataFrame:
+    """Payment records for pending and voided bills, with the bill's own method, an hour later."""
+    b = bills.filter(F.col("status").isin("pending", "voided"))
+    return b.select(F.col("id").alias("request_id"), F.col("id").alias("bill_id"), F.col("net_amount").alias("amount"),
+                    F.col("payment_method").alias("method"),
+                    F.timestamp_add("HOUR", F.lit(1), F.col("created_at")).alias("created_at"))
+
+
+def payment_verifications(bills: DataFrame) -> DataFrame:
+    """Verifications of every bill: the amount is off by 0, 1 or 2 cents (id mod 3)."""
+    off = (F.col("id") % 3).cast("decimal(3,0)") * F.lit("0.01").cast("decimal(3,2)")
+    return bills.select(F.col("id").alias("request_id"), F.col("id").alias("bill_id"),
+                        (F.col("net_amount") + off).cast("decimal(12,2)").alias("amount"))
+
+
+def gateway_confirmations(bills: DataFrame) -> DataFrame:
+    """Gateway confirmations for pending bills paid through the gateway."""
+    b = bills.filter((F.col("status") == "pending") & (F.col("payment_method") == "razorpay"))
+    return b.select(F.col("id").alias("bill_id"),
+                    F.concat(F.lit("pay_"), F.col("id").cast("string")).alias("gateway_transaction_id"),
+                    F.timestamp_add("HOUR", F.lit(1), F.col("created_at")).alias("created_at"))
+
+
+def refund_requests(returns: DataFrame) -> DataFrame:
+    """A refund of each partially returned bill's payment for the returned amount."""
+    return returns.groupBy("bill_id").agg(F.sum("return_amount").cast("decimal(12,2)").alias("amount"),
+                                          F.min("created_at").alias("created_at")).select(
+        F.col("bill_id").alias("request_id"), F.col("bill_id").alias("payment_id"), "amount", "created_at")
+
+
+def customer_patches(events: DataFrame) -> DataFrame:
+    """Signup events change a customer's e-mail (customer = user id), in event order."""
+    e = events.filter(F.col("event_type") == "signup")
+    return e.select(F.col("user_id").alias("id"), F.lit(None).cast("string").alias("name"),
+                    F.concat(F.lit("u"), F.col("event_id").cast("string"), F.lit("@mail.example")).alias("email"),
+                    F.col("event_id").alias("patch_seq"))
+
+
+def product_deactivations(events: DataFrame) -> DataFrame:
+    """Error events retire the product with the event's id."""
+    return events.filter(F.col("event_type") == "error").select(F.col("event_id").alias("id"))
+
+
+def new_products(events: DataFrame) -> DataFrame:
+    """Purchase events propose a new product: sku from id/4 (collides), barcode for even ids."""
+    k = F.col("event_id")
+    e = events.filter(F.col("event_type") == "purchase")
+    return e.select(k.alias("request_id"), F.concat(F.lit("New "), k.cast("string")).alias("name"),
+                    F.concat(F.lit("SKU"), F.floor(k / 4).cast("string")).alias("sku"),
+                    F.when(k % 2 == 0, F.concat(F.lit("890"), F.lpad(k.cast("string"), 10, "0"))).alias("barcode"),
+                    F.floor(F.col("value")).cast("decimal(12,2)").alias("price"))
+
+
+def new_customers(events: DataFrame) -> DataFrame:
+    """Signup events propose a customer row keyed by the event id."""
+    k = F.col("event_id")
+    e = events.filter(F.col("event_type") == "signup")
+    return e.select(k.alias("id"), F.concat(F.lit("Customer#"), k.cast("string")).alias("name"),
+                    F.concat(F.lit("c"), k.cast("string"), F.lit("@mail.example")).alias("email"),
+                    F.concat(F.lit("+91-"), F.lpad(k.cast("string"), 10, "0")).alias("phone"),
+                    F.lit(0).alias("loyalty_points"), F.lit("bronze").alias("loyalty_tier"),
+                    F.lit(0).cast("decimal(14,2)").alias("total_purchases"), F.lit(True).alias("is_active"))
