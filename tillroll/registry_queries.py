@@ -622,3 +622,35 @@ from lines l join products p on p.id = l.product_id group by l.cart_id""")(
 register("d27_last_login", """
 select user_id as id, max(ts) as last_login from events group by user_id""")(
     lambda t: K.last_login(t.raw("events")))
+
+# ------------------------------------------------------------------ S: streaming twins
+from tillroll.streaming import intake as SI  # noqa: E402
+from tillroll.streaming import live as SL  # noqa: E402
+
+register("s01_hourly_revenue_stream", """
+select date_trunc('hour', created_at) as hour_start, count(*) as transactions,
+       cast(sum(net_amount) as decimal(18,2)) as revenue from bills where status = 'completed' group by 1""")(
+    lambda t: SL.hourly_revenue(t.spark, t.sf_dir))
+register("s02_payment_mix_stream", """
+select date_trunc('day', created_at) as day_start, payment_method, count(*) as count,
+       cast(sum(net_amount) as decimal(18,2)) as amount from bills where status = 'completed' group by 1, 2""")(
+    lambda t: SL.payment_mix(t.spark, t.sf_dir))
+register("s03_stock_balance_stream", """
+with d as (select bi.product_id, -bi.quantity as delta from bill_items bi join bills b on b.id = bi.bill_id
+           where b.status = 'completed'
+           union all select product_id, adjustment from stock_adjustments),
+agg as (select product_id, sum(delta) as delta from d group by 1)
+select agg.product_id, cast(agg.delta as bigint) as delta, cast(p.stock_quantity + agg.delta as bigint) as balance,
+       (p.stock_quantity > p.minimum_stock and p.stock_quantity + agg.delta <= p.minimum_stock) as low_stock_alert
+from agg join products p on p.id = agg.product_id""")(lambda t: SL.stock_balance(t.spark, t.sf_dir, t))
+register("s04_loyalty_stream", f"""
+select c.id, cast(x.pts as bigint) as points_added, cast(c.loyalty_points + x.pts as int) as loyalty_points,
+       cast(c.total_purchases + x.spent as decimal(14,2)) as total_purchases,
+       {_TIER.format(p='(c.loyalty_points + x.pts)')} as loyalty_tier
+from customers c join (select customer_id, sum(cast(floor(net_amount / 10) as bigint)) as pts,
+  sum(net_amount) as spent from bills where status = 'completed' and customer_id is not null group by 1) x
+  on x.customer_id = c.id""")(lambda t: SL.loyalty(t.spark, t.sf_dir, t))
+register("s05_order_intake_stream", f"""
+select y.* from ({_TOTALS}) y join bills b on b.id = y.bill_id
+where b.id % 97 <> 0 and b.payment_method in ('cash', 'card', 'upi', 'wallet', 'credit')""")(
+    lambda t: SI.run_intake(t.spark, t))

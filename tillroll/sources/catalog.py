@@ -67,7 +67,9 @@ class Retail:
                 return getattr(M, name)(raw("events"))
             raise KeyError(name)
 
-        return cls(spark, load, raw_orders=lambda: raw("orders"), raw=raw)
+        out = cls(spark, load, raw_orders=lambda: raw("orders"), raw=raw)
+        out.sf_dir = sf_dir
+        return out
 
     @classmethod
     def from_model(cls, spark: SparkSession, model_dir: str) -> "Retail":
