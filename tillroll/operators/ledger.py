@@ -344,3 +344,52 @@ def ledger_gaps(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("_prior", F.lag("new_quantity").over(w)).filter(
         F.col("_prior").isNotNull() & (F.col("_prior") != F.col("previous_quantity"))).select(
         "id", "product_id", "created_at", (F.col("previous_quantity") - F.col("_prior")).alias("unaudited_movement"))
+
+
+# ------------------------------------------------------------- D4, D12, D13 ordered accepts
+def admit_orders(t, orders: DataFrame) -> DataFrame:
+    """Admit ``orders`` (bill ids with created_at) against current stock in arrival
+    order, all-or-nothing per bill; their lines come from ``bill_items``."""
+    from tillroll.plans.admission import admit_bills
+    o = orders.select(F.col("id").alias("bill_id"), "created_at")
+    lines = t.bill_items.join(o, "bill_id").select("bill_id", "product_id", "quantity", "created_at")
+    stock = t.products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("stock"))
+    return admit_bills(lines, stock)
+
+
+def adjust_stock(t, adjustments: DataFrame | None = None) -> DataFrame:
+    """Apply stock adjustments per product in (created_at, id) order, refusing
+    any that would take stock below zero; audit rows carry previous/new."""
+    from tillroll.plans.admission import clamped_accept
+    a = t.stock_adjustments if adjustments is None else adjustments
+    opening = t.products.select("id", F.col("stock_quantity").alias("balance"))
+    r = clamped_accept(a, opening, "product_id", ["created_at", "id"], "adjustment", F.to_date("created_at"))
+    return r.select("id", "product_id", "adjustment", F.coalesce("type", F.lit("manual")).alias("type"),
+                    "adjusted_by", "created_at", "accepted",
+                    F.col("balance_before").alias("previous_quantity"),
+                    F.col("balance_after").alias("new_quantity"),
+                    F.when(~F.col("accepted"), F.lit("insufficient_stock")).alias("reject_reason"))
+
+
+def redeem_points(t, requests: DataFrame) -> DataFrame:
+    """Redemption requests (request_id, customer_id, points, created_at) in order
+    per customer: points must be positive and covered by the balance; the
+    discount is points × 0.50 and the tier follows the new balance."""
+    from tillroll.plans.admission import clamped_accept
+    r = requests.withColumn("_delta", F.when(F.col("points") > 0, -F.col("points")))
+    ok = r.filter(F.col("_delta").isNotNull())
+    bad = r.filter(F.col("_delta").isNull())
+    opening = t.customers.select("id", F.col("loyalty_points").alias("balance"))
+    dec = clamped_accept(ok, opening, "customer_id", ["created_at", "request_id"], "_delta",
+                         F.to_date("created_at"))
+    out = dec.select("request_id", "customer_id", "points", "created_at", "accepted", "balance_before",
+                     F.when(F.col("accepted"), redemption_value("points")).alias("discount"),
+                     F.when(F.col("accepted"), tier(F.col("balance_after"))).alias("loyalty_tier"),
+                     F.col("balance_after").alias("loyalty_points"),
+                     F.when(~F.col("accepted"), F.lit("insufficient_points")).alias("reject_reason"))
+    refused = bad.select("request_id", "customer_id", "points", "created_at", F.lit(False).alias("accepted"),
+                         F.lit(None).cast("bigint").alias("balance_before"), F.lit(None).cast(MONEY).alias("discount"),
+                         F.lit(None).cast("string").alias("loyalty_tier"),
+                         F.lit(None).cast("bigint").alias("loyalty_points"),
+                         F.lit("points_not_positive").alias("reject_reason"))
+    return out.unionByName(refused)

@@ -131,3 +131,10 @@ def new_customers(events: DataFrame) -> DataFrame:
                     F.concat(F.lit("+91-"), F.lpad(k.cast("string"), 10, "0")).alias("phone"),
                     F.lit(0).alias("loyalty_points"), F.lit("bronze").alias("loyalty_tier"),
                     F.lit(0).cast("decimal(14,2)").alias("total_purchases"), F.lit(True).alias("is_active"))
+
+
+def redemption_requests(events: DataFrame) -> DataFrame:
+    """Purchase events ask to redeem points: customer = user id, points = 100 × floor(value) (0 is refused)."""
+    e = events.filter(F.col("event_type") == "purchase")
+    return e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("customer_id"),
+                    (F.floor("value") * 100).cast("int").alias("points"), F.col("ts").alias("created_at"))
