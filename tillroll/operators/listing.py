@@ -334,3 +334,44 @@ def recent_bills(t, k: int = 10) -> DataFrame:
     pg = top_k(b, [F.col("created_at").desc_nulls_last()], k)
     pg = attach(pg, "customer_id", t.customers, "id", {"name": "customer_name"})
     return pg.select("id", "bill_number", "net_amount", "payment_method", "status", "customer_name", "created_at")
+
+
+# ------------------------------------------------------------------ B3b bulk search
+def bulk_product_search(t, terms: DataFrame, k: int = 20, term_col: str = "term") -> DataFrame:
+    """``product_search`` for a whole table of search terms, first ``k`` per term.
+
+    Exact, without a nested-loop join: a product matches a term when the
+    lower-cased term occurs in its lower-cased name or sku (or equals its
+    barcode).  A term of length L >= 3 then contains its first 3 characters,
+    shorter terms are their own prefix, so products are indexed by all their
+    substrings of length 1, 2 and 3, candidates come from an equi-join on
+    that prefix, and the containment test removes false candidates.  The
+    term table is broadcast only after its size is checked.  Terms are taken
+    literally (no wildcards)."""
+    from tillroll.plans.joins import bounded_broadcast
+    p = t.products.filter(F.col("is_active")).select("id", "name", "sku", "barcode", "price")
+    texts = p.select("id", F.lower("name").alias("_t")).unionByName(p.select("id", F.lower("sku").alias("_t")))
+    def substrings(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1))),
+                           lambda i: F.col("_t").substr(i, F.lit(n)))
+
+    grams = texts.select("id", F.explode(F.array_distinct(F.flatten(F.array(
+        *[substrings(n) for n in (1, 2, 3)])))).alias("gram"))
+    grams = grams.filter(F.length("gram") >= 1).distinct()
+    q = terms.select(F.col(term_col).alias("term")).filter(F.col("term").isNotNull() & (F.length("term") > 0)) \
+        .distinct().withColumn("_lt", F.lower("term"))
+    q = q.withColumn("gram", F.col("_lt").substr(F.lit(1), F.least(F.length("_lt"), F.lit(3))))
+    q = bounded_broadcast(q)
+    cand = grams.join(q, "gram").select("term", "_lt", "id")
+    pl = p.select("id", "name", "sku", "barcode", "price", F.lower("name").alias("_ln"), F.lower("sku").alias("_ls"))
+    hit = cand.join(pl, "id").filter(F.col("_ln").contains(F.col("_lt")) | F.col("_ls").contains(F.col("_lt")))
+    by_code = p.join(q.select("term"), p.barcode == F.col("term"))
+    found = hit.select("term", "id", "name", "sku", "price").unionByName(
+        by_code.select("term", "id", "name", "sku", "price")).distinct()
+    return top_k_per_group(found, "term", [F.col("name").asc_nulls_last()], k)
+
+
+def name_words(t) -> DataFrame:
+    """Search terms typed at the till, derived from the catalogue: every word of every product name."""
+    return t.products.select(F.explode(F.split(F.lower(F.regexp_replace("name", "[0-9]+", "")), " ")).alias("term")) \
+        .filter(F.length("term") > 0).distinct()

@@ -659,3 +659,22 @@ where b.id % 97 <> 0 and b.payment_method in ('cash', 'card', 'upi', 'wallet', '
 register("d04_admit_orders")(lambda t: D.admit_orders(t, t.bills))
 register("d12_adjust_stock")(lambda t: D.adjust_stock(t))
 register("d13_redeem_points")(lambda t: D.redeem_points(t, W.redemption_requests(t.raw("events"))))
+
+register("b03b_bulk_product_search", """
+with terms as (select distinct w as term from (select unnest(string_split(lower(regexp_replace(name, '[0-9]+', '', 'g')), ' ')) as w
+               from products) x where length(w) > 0),
+hits as (select distinct t.term, p.id, p.name, p.sku, p.price from terms t join products p on p.is_active
+         and (p.name ilike '%' || t.term || '%' or p.sku ilike '%' || t.term || '%' or p.barcode = t.term))
+select * from (select term, id, name, sku, price, row_number() over (partition by term order by name, id) as rank
+               from hits) y where rank <= 20""")(lambda t: B.bulk_product_search(t, B.name_words(t)))
+
+register("a03_order_request_rejects", """
+select case when b.id % 97 = 0 then null else b.id end as request_id,
+       case when b.id % 97 = 0 then 'malformed_json'
+            when not exists (select 1 from bill_items bi where bi.bill_id = b.id) then 'items_required'
+            when b.payment_method not in ('cash', 'card', 'upi', 'wallet', 'credit') then 'invalid_payment_method'
+       end as reject_reason
+from bills b
+where b.id % 97 = 0 or not exists (select 1 from bill_items bi where bi.bill_id = b.id)
+   or b.payment_method not in ('cash', 'card', 'upi', 'wallet', 'credit')""")(
+    lambda t: SI.parse_and_check(t.spark, t))

@@ -93,3 +93,15 @@ def run_intake(spark: SparkSession, t, requests_dir: str | None = None, max_file
     committed = spark.read.parquet(f"{root}/commits").select("batch_id")
     bills = spark.read.parquet(f"{root}/snapshots/bills")
     return bills.join(committed, "batch_id", "left_semi").drop("batch_id")
+
+
+def parse_and_check(spark: SparkSession, t) -> DataFrame:
+    """A3 + D22c in batch: the derived JSON requests read back PERMISSIVE, with
+    every refused request and its reason (malformed, no items, bad method,
+    unknown product)."""
+    root = scratch(spark, "a03-requests")
+    order_requests_json(t).repartition(8).write.mode("overwrite").text(root)
+    raw = (spark.read.schema(ORDER_SCHEMA).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt_record").json(root))
+    orders, bad = parse_orders(raw)
+    return process_orders(orders, t.products)["rejects"].unionByName(bad)
