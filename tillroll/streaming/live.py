@@ -64,17 +64,38 @@ def stock_delta_stream(spark: SparkSession, sf_dir: str, completed_bills: DataFr
 
 
 def stock_balance(spark: SparkSession, sf_dir: str, t) -> DataFrame:
-    """S3: running stock per product from sales and adjustments, with the
-    low-stock alert raised when the balance crosses to <= minimum_stock."""
+    """S3: running stock per product from sales and adjustments.
+
+    Each micro-batch compares the new balances of the products it changed
+    with their balances after the previous batches (the last snapshot) and
+    writes a low-stock alert for every product that crossed to
+    ``<= minimum_stock``; alerts land in ``<out>/alerts/batch_id=<n>`` so a
+    replayed batch rewrites its own alerts.  Returns the final balances with
+    ``low_stock_alert`` = an alert was raised in some batch."""
     deltas = stock_delta_stream(spark, sf_dir, t.bills.filter(F.col("status") == "completed"))
     agg = deltas.groupBy("product_id").agg(F.sum("delta").alias("delta"))
-    cur = run_update_stream(agg, ["product_id"], scratch(spark, "s03-stock"))
+    out = scratch(spark, "s03-stock")
     p = t.products.select(F.col("id").alias("_pid"), "stock_quantity", "minimum_stock")
-    j = cur.join(p, cur.product_id == p._pid, "inner")
+
+    def alerts(batch: DataFrame, batch_id: int) -> None:
+        try:
+            prev = (spark.read.parquet(f"{out}/data").filter(F.col("batch_id") < batch_id)
+                    .groupBy("product_id").agg(F.max_by("delta", "batch_id").alias("_prev")))
+        except Exception:  # noqa: BLE001  (first batch: nothing before it)
+            prev = spark.createDataFrame([], "product_id bigint, _prev bigint")
+        j = batch.join(prev, "product_id", "left").join(p, F.col("product_id") == p._pid, "inner")
+        before = F.col("stock_quantity") + F.coalesce("_prev", F.lit(0))
+        after = F.col("stock_quantity") + F.col("delta")
+        j.filter((before > F.col("minimum_stock")) & (after <= F.col("minimum_stock"))).select(
+            "product_id", after.cast("bigint").alias("balance"), "minimum_stock", F.lit(batch_id).alias("raised_in")
+        ).write.mode("overwrite").parquet(f"{out}/alerts/batch_id={batch_id}")
+
+    cur = run_update_stream(agg, ["product_id"], out, on_batch=alerts)
+    raised = spark.read.parquet(f"{out}/alerts").select(F.col("product_id").alias("_ap")).distinct()
+    j = cur.join(p, cur.product_id == p._pid, "inner").join(raised, F.col("product_id") == raised._ap, "left")
     bal = (F.col("stock_quantity") + F.col("delta")).cast("bigint")
     return j.select("product_id", F.col("delta").cast("bigint").alias("delta"), bal.alias("balance"),
-                    ((F.col("stock_quantity") > F.col("minimum_stock")) & (bal <= F.col("minimum_stock")))
-                    .alias("low_stock_alert"))
+                    F.col("_ap").isNotNull().alias("low_stock_alert"))
 
 
 def loyalty_stream(bills: DataFrame) -> DataFrame:
