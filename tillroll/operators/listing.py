@@ -30,13 +30,23 @@ def attach(rows: DataFrame, key: str, dim: DataFrame, dim_key: str, cols: dict[s
     """``rows ⟕ dim`` on ``rows[key] = dim[dim_key]`` adding ``cols`` (dim col -> output name).
 
     When ``rows`` is a bounded page, the dimension is first reduced to the
-    page's keys with a semi-join against the broadcast key list.
+    page's keys with a semi-join against the broadcast key list; otherwise
+    rows with a null key skip the join (no null-key skew).
     """
     d = dim.select(F.col(dim_key).alias("_dk"), *[F.col(c).alias(a) for c, a in cols.items()])
     if rows_bounded:
         keys = rows.select(F.col(key).alias("_dk")).filter(F.col("_dk").isNotNull()).distinct()
         d = d.join(F.broadcast(keys), "_dk", "left_semi")
-    return rows.join(d, rows[key] == d["_dk"], "left").drop("_dk")
+        return rows.join(d, rows[key] == d["_dk"], "left").drop("_dk")
+    # Rows without a key (walk-in bills, products without a department) can
+    # never match; they bypass the join so they are not all hashed into the
+    # one shuffle partition of the null key.
+    types = {f.name: f.dataType for f in d.schema.fields}
+    keyed = rows.filter(F.col(key).isNotNull())
+    joined = keyed.join(d, keyed[key] == d["_dk"], "left").drop("_dk")
+    unkeyed = rows.filter(F.col(key).isNull()).select(
+        "*", *[F.lit(None).cast(types[a]).alias(a) for a in cols.values()])
+    return joined.unionByName(unkeyed)
 
 
 def _ilike_any(pattern: str, cols: list[str]) -> Column:
