@@ -25,28 +25,32 @@ from tillroll.plans.paging import page, paginate, top_k, top_k_per_group
 from tillroll.sources.schema import TOTAL
 
 
+NULL_SPREAD = 1024
+
+
 def attach(rows: DataFrame, key: str, dim: DataFrame, dim_key: str, cols: dict[str, str],
            rows_bounded: bool = True) -> DataFrame:
     """``rows ⟕ dim`` on ``rows[key] = dim[dim_key]`` adding ``cols`` (dim col -> output name).
 
     When ``rows`` is a bounded page, the dimension is first reduced to the
     page's keys with a semi-join against the broadcast key list; otherwise
-    rows with a null key skip the join (no null-key skew).
+    rows with a null key are salted so they do not pile into one partition.
     """
     d = dim.select(F.col(dim_key).alias("_dk"), *[F.col(c).alias(a) for c, a in cols.items()])
     if rows_bounded:
         keys = rows.select(F.col(key).alias("_dk")).filter(F.col("_dk").isNotNull()).distinct()
         d = d.join(F.broadcast(keys), "_dk", "left_semi")
         return rows.join(d, rows[key] == d["_dk"], "left").drop("_dk")
-    # Rows without a key (walk-in bills, products without a department) can
-    # never match; they bypass the join so they are not all hashed into the
-    # one shuffle partition of the null key.
-    types = {f.name: f.dataType for f in d.schema.fields}
-    keyed = rows.filter(F.col(key).isNotNull())
-    joined = keyed.join(d, keyed[key] == d["_dk"], "left").drop("_dk")
-    unkeyed = rows.filter(F.col(key).isNull()).select(
-        "*", *[F.lit(None).cast(types[a]).alias(a) for a in cols.values()])
-    return joined.unionByName(unkeyed)
+    # Rows without a key (walk-in bills, unmatched lookups) can never match,
+    # but a shuffle would hash them all into the null key's one partition.
+    # Joining on (key, salt) — salt 0 for keyed rows, a hash bucket 1..N for
+    # null-keyed ones, 0 on the dimension side — spreads them out in the
+    # same single pass (a struct key, so the salt is not folded away).
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(NULL_SPREAD))
+                  + 1).otherwise(F.lit(0).cast("bigint"))
+    r = rows.withColumn("_jk", F.struct(F.col(key).alias("k"), salt.alias("s")))
+    dj = d.withColumn("_jk", F.struct(F.col("_dk").alias("k"), F.lit(0).cast("bigint").alias("s"))).drop("_dk")
+    return r.join(dj, "_jk", "left").drop("_jk")
 
 
 def _ilike_any(pattern: str, cols: list[str]) -> Column:
