@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.plans.joins import first_per_key
 from tillroll.sources.schema import (ADJUSTMENT_TYPES, BILL_METHODS, BILL_STATUSES, ORDER_METHODS,
                                      PAYMENT_STATUSES, ROLES, TIERS)
 
@@ -21,9 +22,9 @@ def insert_absent(target: DataFrame, batch: DataFrame, keys: list[str],
                   order: list[str] | None = None) -> DataFrame:
     """``INSERT … ON CONFLICT (keys) DO NOTHING``: the batch rows whose key is new.
 
-    In-batch duplicates keep the first row under ``order`` (default: keys)."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in (order or keys)])
-    first = batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    In-batch duplicates keep the first row under ``order`` (then the other
+    columns), chosen by a map-side-combinable aggregate."""
+    first = first_per_key(batch, keys, [c for c in (order or []) if c not in keys]).select(*batch.columns)
     return first.join(target.select(*keys), keys, "left_anti")
 
 
@@ -42,11 +43,9 @@ def apply_patch(target: DataFrame, patch: DataFrame, key: str, cols: list[str],
     wins per column.  Unknown keys go to the reject table.  ``touch`` sets
     ``updated_at`` on rows that changed (D25)."""
     if "patch_seq" in patch.columns:
-        w = Window.partitionBy(key).orderBy(F.col("patch_seq").desc())
-        latest = [F.first(F.col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding,
-                                                                          Window.unboundedFollowing)).alias(c)
-                  for c in cols]
-        patch = patch.select(key, *latest).dropDuplicates([key])
+        # latest non-null value per column: max_by skips rows whose ordering is null
+        patch = patch.groupBy(key).agg(*[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col("patch_seq"))).alias(c) for c in cols])
     p = patch.select(F.col(key).alias("_pk"), *[F.col(c).alias(f"_new_{c}") for c in cols])
     j = target.join(p, target[key] == p._pk, "left")
     out = j.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
@@ -101,8 +100,10 @@ def unique_on_create(target: DataFrame, batch: DataFrame, keys: list[str], id_co
             .withColumn(f"_in_table_{c}", F.lit(True))
         out = out.withColumn(f"_k_{c}", k(batch, c))
         out = out.join(existing, out[f"_k_{c}"] == existing._v, "left").drop("_v")
-        w = Window.partitionBy(f"_k_{c}").orderBy(id_col)
-        out = out.withColumn(f"_dup_{c}", F.when(F.col(f"_k_{c}").isNotNull(), F.row_number().over(w) > 1))
+        first = (out.filter(F.col(f"_k_{c}").isNotNull()).groupBy(F.col(f"_k_{c}").alias("_fk"))
+                 .agg(F.min(id_col).alias("_first")))
+        out = out.join(first, out[f"_k_{c}"] == first._fk, "left").drop("_fk")
+        out = out.withColumn(f"_dup_{c}", F.col(id_col) > F.col("_first")).drop("_first")
         reasons.append(F.when(F.col(f"_in_table_{c}"), F.lit(f"{c}_exists"))
                        .when(F.col(f"_dup_{c}"), F.lit(f"{c}_repeated_in_batch")))
     out = out.withColumn("conflict", F.coalesce(*reasons))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.loyalty import CURRENCY_PER_POINT, POINT_VALUE, tier
+from tillroll.plans.joins import first_per_key
 from tillroll.plans.sequence import global_row_number, running_sum
 from tillroll.sources.schema import MONEY, RECORD_METHODS, TOTAL
 
@@ -148,6 +149,25 @@ def void_bills(t, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return updates, p, c
 
 
+def void_bills_fixed(t, requests: DataFrame) -> DataFrame:
+    """Q7 intent: voiding gives back only what was not already returned
+    (sold − returned per bill and product, from the returns rows)."""
+    req = requests.select(F.col("bill_id").alias("_rid")).distinct()
+    hit = t.bills.filter(F.col("status") != "voided").join(req, F.col("id") == F.col("_rid"), "left_semi")
+    ids = hit.select(F.col("id").alias("_bid"))
+    sold = (t.bill_items.join(ids, F.col("bill_id") == F.col("_bid"), "left_semi")
+            .groupBy("bill_id", "product_id").agg(F.sum("quantity").alias("_sold")))
+    back = (t.returns.join(ids, F.col("bill_id") == F.col("_bid"), "left_semi")
+            .groupBy(F.col("bill_id").alias("_rb"), F.col("product_id").alias("_rp"))
+            .agg(F.sum("quantity").alias("_ret")))
+    j = sold.join(back, (sold.bill_id == back._rb) & (sold.product_id == back._rp), "left")
+    per = j.groupBy(F.col("product_id").alias("_pid")).agg(
+        F.sum(F.greatest(F.lit(0), F.col("_sold") - F.coalesce("_ret", F.lit(0)))).alias("restored"))
+    return t.products.join(per, t.products.id == per._pid, "inner").select(
+        "id", F.col("stock_quantity").alias("previous_stock"), F.col("restored").cast("bigint").alias("restored"),
+        (F.col("stock_quantity") + F.col("restored")).cast("int").alias("stock_quantity"))
+
+
 # ------------------------------------------------------------- D9–D11 returns
 def validate_returns(t, requests: DataFrame) -> DataFrame:
     """D9 + D10: check and price return requests.
@@ -184,9 +204,10 @@ def validate_returns(t, requests: DataFrame) -> DataFrame:
         F.min("line_reject").alias("req_reject"), F.min("created_at").alias("_at"))
     # Among the valid requests of one bill the earliest wins: it moves the bill
     # out of ``completed``, so the later ones find it no longer returnable.
-    w = Window.partitionBy("bill_id", F.col("req_reject").isNull()).orderBy("_at", "request_id")
-    per_req = per_req.withColumn("reject_reason", F.coalesce(
-        "req_reject", F.when(F.row_number().over(w) > 1, F.lit("bill_already_returned"))))
+    winners = (per_req.filter(F.col("req_reject").isNull()).groupBy(F.col("bill_id").alias("_wb"))
+               .agg(F.min(F.struct("_at", "request_id")).getField("request_id").alias("_winner")))
+    per_req = per_req.join(winners, per_req.bill_id == winners._wb, "left").withColumn("reject_reason", F.coalesce(
+        "req_reject", F.when(F.col("request_id") != F.col("_winner"), F.lit("bill_already_returned"))))
     out = lines.join(per_req.select("request_id", "reject_reason"), "request_id")
     return out.select("request_id", "bill_id", "product_id", "quantity", "created_at", "reject_reason",
                       F.when(F.col("reject_reason").isNull(), F.col("amount_exact")).alias("amount_exact"))
@@ -252,8 +273,8 @@ def record_payments(t, requests: DataFrame, fixed: bool = False) -> tuple[DataFr
     ok = j.filter(F.col("reject_reason").isNull())
     pays = ok.select(F.col("request_id").alias("id"), "bill_id", F.col("amount").cast(MONEY).alias("amount"),
                      "method", F.lit("completed").alias("status"), "created_at")
-    last = Window.partitionBy("bill_id").orderBy(F.col("created_at").desc(), F.col("request_id").desc())
-    upd = (ok.withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") == 1)
+    upd = (first_per_key(ok.select("bill_id", "created_at", "request_id", "method"), ["bill_id"],
+                         ["created_at", "request_id"], latest=True)
            .select(F.col("bill_id").alias("id"), F.lit("completed").alias("status"),
                    F.col("method").alias("payment_method")))
     return pays, upd

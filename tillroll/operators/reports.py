@@ -352,3 +352,17 @@ def report(t, name: str, **params) -> DataFrame:
         "tax": tax_summary, "top-products": top_products, "top-customers": top_customers,
     }.get(name, dashboard)
     return fn(t, **params)
+
+
+def net_sales(t, start, end) -> DataFrame:
+    """Q6 extra: sales net of returns.  A partially returned bill leaves every
+    status-filtered report although only part of it came back; here it
+    counts, and what was returned is subtracted."""
+    b = t.bills_window(R.midnight(start), R.midnight(end), end_inclusive=True).filter(
+        F.col("status").isin("completed", "partially_returned"))
+    ret = t.returns.groupBy(F.col("bill_id").alias("_rb")).agg(F.sum("return_amount").alias("_ret"))
+    j = b.join(ret, b.id == ret._rb, "left")
+    return j.agg(_count().alias("total_bills"), total0("net_amount").alias("gross_revenue"),
+                 total0("_ret").alias("returned_amount"),
+                 F.coalesce(F.sum(F.col("net_amount") - F.coalesce("_ret", F.lit(0))).cast(TOTAL),
+                            F.lit(0).cast(TOTAL)).alias("net_sales"))

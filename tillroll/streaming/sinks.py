@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tillroll.plans.joins import first_per_key
 from tillroll.session import checkpoint_dir
 
 
@@ -42,13 +44,13 @@ def run_update_stream(stream: DataFrame, keys: list[str], out: str, trigger_once
     handle = q.start()
     handle.awaitTermination()
     spark = stream.sparkSession
-    schema = stream.schema.add("batch_id", "long")
+    cols = list(stream.columns)
+    schema = T.StructType(list(stream.schema.fields) + [T.StructField("batch_id", T.LongType())])
     try:
         res = spark.read.schema(schema).parquet(f"{out}/data")
     except Exception:  # noqa: BLE001  (no batch had rows)
         return spark.createDataFrame([], stream.schema)
-    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    return res.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "batch_id")
+    return first_per_key(res, keys, ["batch_id"], latest=True).select(*cols)
 
 
 def commit_snapshot(frames: dict[str, DataFrame], root: str, batch_id: int) -> None:
