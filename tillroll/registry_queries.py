@@ -738,3 +738,6 @@ register("c11_weekly_totals_current", f"""
 select count(*) as total_transactions, {S0('net_amount')} as total_revenue, {S0('tax_amount')} as total_tax,
        {A0('net_amount')} as avg_transaction_value from bills where {_WKNOW}""")(
     lambda t: C.weekly_totals(t, as_of=AS_OF))
+
+# S5 full path: admission against stock makes it iterative (rows-only check; see tests/test_checkout.py)
+register("s05_checkout_stream")(lambda t: SI.checkout_bills(t.spark, t))

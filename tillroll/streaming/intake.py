@@ -105,3 +105,114 @@ def parse_and_check(spark: SparkSession, t) -> DataFrame:
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(root))
     orders, bad = parse_orders(raw)
     return process_orders(orders, t.products)["rejects"].unionByName(bad)
+
+
+# ----------------------------------------------------------------- full checkout
+def _replace_stock(products: DataFrame, sold: DataFrame) -> DataFrame:
+    """Products with ``stock_quantity`` from ``apply_sales`` output (same columns as ``products``)."""
+    s = sold.select(F.col("id").alias("_sid"), F.col("stock_quantity").alias("_new"))
+    j = products.join(s, products.id == s._sid, "left")
+    return j.select(*[F.coalesce("_new", "stock_quantity").alias(c) if c == "stock_quantity" else F.col(c)
+                      for c in products.columns])
+
+
+def _replace_loyalty(customers: DataFrame, accrued: DataFrame) -> DataFrame:
+    a = accrued.select(F.col("id").alias("_aid"), F.col("loyalty_points").alias("_p"),
+                       F.col("total_purchases").alias("_t"), F.col("loyalty_tier").alias("_tier"))
+    j = customers.join(a, customers.id == a._aid, "left")
+    repl = {"loyalty_points": "_p", "total_purchases": "_t", "loyalty_tier": "_tier"}
+    return j.select(*[F.coalesce(repl[c], c).alias(c) if c in repl else F.col(c) for c in customers.columns])
+
+
+def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame, start_seq: int
+                   ) -> tuple[dict[str, DataFrame], int]:
+    """One batch of parsed orders through the whole billing path.
+
+    Order rules (D22c), unknown customer (FK) and negative totals (CHECK)
+    depend on the bill alone and are refused first, so they never hold
+    stock; then bills are admitted against stock in arrival order, all or
+    nothing (D4); admitted bills are priced (D1), totalled (D2), numbered
+    from the running sequence (D3), and stock (D5) and loyalty (D6/D7) are
+    updated.  Returns the tables to commit and the next sequence number."""
+    from tillroll.operators.ledger import accrue_loyalty, apply_sales, bill_numbers
+    from tillroll.plans.admission import admit_bills
+
+    checked = order_rules(orders)
+    rejects = checked.filter(F.col("reject_reason").isNotNull()).select("request_id", "reject_reason")
+    ok = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    known_c = customers.select(F.col("id").alias("_cid"))
+    no_customer = (ok.filter(F.col("customer_id").isNotNull())
+                   .join(known_c, F.col("customer_id") == F.col("_cid"), "left_anti")
+                   .select("request_id", F.lit("customer_not_found").alias("reject_reason")))
+    ok = ok.join(no_customer.select("request_id"), "request_id", "left_anti")
+    lines = ok.select(F.col("request_id").alias("bill_id"), "created_at", F.explode("items").alias("it")).select(
+        "bill_id", "created_at", F.col("it.productId").alias("product_id"), F.col("it.quantity").alias("quantity"),
+        F.col("it.discount").alias("discount"))
+    priced = price_lines(lines.drop("created_at"), products)
+    totals = bill_totals(priced, ok.select(F.col("request_id").alias("id"), "discount_amount"))
+    negative = totals.filter((F.col("net_amount") < 0) | (F.col("total_amount") < 0)).select(
+        F.col("bill_id").alias("request_id"), F.lit("negative_total").alias("reject_reason"))
+    cand = lines.join(negative.select(F.col("request_id").alias("bill_id")), "bill_id", "left_anti")
+    stock = products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("stock"))
+    decided = admit_bills(cand.select("bill_id", "product_id", "quantity", "created_at"), stock)
+    refused = decided.filter(~F.col("accepted")).select(F.col("bill_id").alias("request_id"), "reject_reason")
+    rejects = rejects.unionByName(no_customer).unionByName(negative).unionByName(refused)
+    admitted = decided.filter(F.col("accepted")).select("bill_id")
+    head = ok.select(F.col("request_id").alias("bill_id"), "customer_id", "payment_method", "created_at")
+    acc = admitted.join(head, "bill_id").join(totals, "bill_id")
+    numbered = bill_numbers(acc.select(F.col("bill_id").alias("id"), "created_at"), start_seq)
+    n_accepted = numbered.count()
+    bills = acc.join(numbered.select(F.col("id").alias("bill_id"), "bill_number"), "bill_id").select(
+        F.col("bill_id").alias("id"), "bill_number", "customer_id", F.lit(None).cast("int").alias("cashier_id"),
+        F.col("total_amount").cast("decimal(12,2)").alias("total_amount"),
+        F.col("discount_amount").cast("decimal(12,2)").alias("discount_amount"),
+        F.col("tax_amount").cast("decimal(12,2)").alias("tax_amount"),
+        F.col("net_amount").cast("decimal(12,2)").alias("net_amount"), "payment_method",
+        F.lit("completed").alias("status"), "created_at")
+    items = priced.join(admitted, "bill_id", "left_semi")
+    new_products = _replace_stock(products, apply_sales(products, items))
+    new_customers = _replace_loyalty(customers, accrue_loyalty(customers, bills).filter(F.col("changed")))
+    out = {"bills": bills, "bill_items": items, "rejects": rejects, "products": new_products,
+           "customers": new_customers}
+    return out, start_seq + n_accepted
+
+
+def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_files: int = 4) -> str:
+    """S5 full path: the intake stream where every micro-batch continues from the
+    previous committed snapshot (stock, loyalty, bill sequence) and commits its
+    own.  A replayed batch reads the same previous snapshot and rewrites the
+    same output.  Returns the snapshot root."""
+    from tillroll.streaming.sinks import commit_meta, last_committed, read_snapshot
+
+    root = scratch(spark, "s05-checkout")
+    if requests_dir is None:
+        requests_dir = f"{root}/requests"
+        order_requests_json(t).repartition(8).write.mode("overwrite").text(requests_dir)
+    raw = (spark.readStream.schema(ORDER_SCHEMA).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", max_files)
+           .json(requests_dir))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        prev = last_committed(spark, root, before=batch_id)
+        if prev is None:
+            products, customers, seq = t.products, t.customers, 1
+        else:
+            products = read_snapshot(spark, root, "products", prev)
+            customers = read_snapshot(spark, root, "customers", prev)
+            seq = commit_meta(spark, root, prev)["next_seq"]
+        orders, bad = parse_orders(batch.dropDuplicates(["request_id", "_corrupt_record"]))
+        out, next_seq = checkout_batch(orders, products, customers, seq)
+        out["rejects"] = out["rejects"].unionByName(bad)
+        commit_snapshot(out, root, batch_id, meta={"next_seq": next_seq})
+
+    q = (raw.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return root
+
+
+def checkout_bills(spark: SparkSession, t) -> DataFrame:
+    """The bills committed by a full checkout run over the derived requests."""
+    root = run_checkout(spark, t)
+    committed = spark.read.parquet(f"{root}/commits").select("batch_id")
+    return spark.read.parquet(f"{root}/snapshots/bills").join(committed, "batch_id", "left_semi").drop("batch_id")

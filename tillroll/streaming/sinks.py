@@ -53,25 +53,33 @@ def run_update_stream(stream: DataFrame, keys: list[str], out: str, trigger_once
     return first_per_key(res, keys, ["batch_id"], latest=True).select(*cols)
 
 
-def commit_snapshot(frames: dict[str, DataFrame], root: str, batch_id: int) -> None:
-    """A5: write every table of one batch, then its commit marker."""
+def commit_snapshot(frames: dict[str, DataFrame], root: str, batch_id: int, meta: dict | None = None) -> None:
+    """A5: write every table of one batch, then its commit marker (with ``meta`` scalars)."""
     for name, df in frames.items():
         df.write.mode("overwrite").parquet(f"{root}/snapshots/{name}/batch_id={batch_id}")
     spark = next(iter(frames.values())).sparkSession
-    spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"),
-                          F.lit(sorted(frames)).alias("tables")) \
-        .write.mode("overwrite").parquet(f"{root}/commits/batch_id={batch_id}")
+    cols = [F.lit(batch_id).cast("long").alias("batch_id"), F.lit(sorted(frames)).alias("tables")]
+    cols += [F.lit(v).alias(k) for k, v in (meta or {}).items()]
+    spark.range(1).select(*cols).write.mode("overwrite").parquet(f"{root}/commits/batch_id={batch_id}")
 
 
-def last_committed(spark: SparkSession, root: str) -> int | None:
-    """The newest batch id with a commit marker (one small aggregate, not a listing loop)."""
+def last_committed(spark: SparkSession, root: str, before: int | None = None) -> int | None:
+    """The newest batch id with a commit marker (below ``before`` when given)."""
     try:
-        r = spark.read.parquet(f"{root}/commits").agg(F.max("batch_id").alias("b")).first()
+        c = spark.read.parquet(f"{root}/commits")
     except Exception:  # noqa: BLE001  (nothing committed yet)
         return None
+    if before is not None:
+        c = c.filter(F.col("batch_id") < before)
+    r = c.agg(F.max("batch_id").alias("b")).first()
     return None if r is None else r["b"]
 
 
+def commit_meta(spark: SparkSession, root: str, batch_id: int) -> dict:
+    """The scalars stored with a batch's commit marker."""
+    return spark.read.parquet(f"{root}/commits/batch_id={batch_id}").first().asDict()
+
+
 def read_snapshot(spark: SparkSession, root: str, table: str, batch_id: int | None = None) -> DataFrame:
     b = last_committed(spark, root) if batch_id is None else batch_id
     if b is None:
