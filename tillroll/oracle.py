@@ -78,6 +78,8 @@ PRELUDE = "with " + ",\n".join(f"{name} as ({body.strip()})" for name, body in _
 def sql(body: str) -> str:
     """One statement: the model CTEs followed by ``body`` (a SELECT, or WITH ... SELECT)."""
     b = body.strip()
+    if b[:15].lower() == "with recursive ":
+        return "with recursive " + PRELUDE[5:] + ",\n" + b[15:]
     if b[:5].lower() == "with ":
         return PRELUDE + ",\n" + b[5:]
     return PRELUDE + "\n" + b

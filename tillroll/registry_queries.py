@@ -655,10 +655,8 @@ select y.* from ({_TOTALS}) y join bills b on b.id = y.bill_id
 where b.id % 97 <> 0 and b.payment_method in ('cash', 'card', 'upi', 'wallet', 'credit')""")(
     lambda t: SI.run_intake(t.spark, t))
 
-# ------------------------------------------------------------------ D4, D12, D13 (iterative; rows-only check)
+# ------------------------------------------------------------------ D4 (iterative; rows-only check)
 register("d04_admit_orders")(lambda t: D.admit_orders(t, t.bills))
-register("d12_adjust_stock")(lambda t: D.adjust_stock(t))
-register("d13_redeem_points")(lambda t: D.redeem_points(t, W.redemption_requests(t.raw("events"))))
 
 register("b03b_bulk_product_search", """
 with terms as (select distinct w as term from (select unnest(string_split(lower(regexp_replace(name, '[0-9]+', '', 'g')), ' ')) as w
@@ -741,3 +739,54 @@ select count(*) as total_transactions, {S0('net_amount')} as total_revenue, {S0(
 
 # S5 full path: admission against stock makes it iterative (rows-only check; see tests/test_checkout.py)
 register("s05_checkout_stream")(lambda t: SI.checkout_bills(t.spark, t))
+
+# D12 / D13 oracles: the sequential per-key clamp as a recursive CTE (depth = steps per key)
+register("d12_adjust_stock", """
+with recursive s as (
+  select a.id, a.product_id, a.adjustment, a.type, a.adjusted_by, a.created_at, cast(p.stock_quantity as bigint) as open,
+         row_number() over (partition by a.product_id order by a.created_at, a.id) as n
+  from stock_adjustments a left join products p on p.id = a.product_id),
+r as (
+  select id, product_id, n, coalesce(open, 0) as before,
+         case when coalesce(open, 0) + adjustment >= 0 then coalesce(open, 0) + adjustment else coalesce(open, 0) end as after,
+         coalesce(open, 0) + adjustment >= 0 as accepted
+  from s where n = 1
+  union all
+  select s.id, s.product_id, s.n, r.after,
+         case when r.after + s.adjustment >= 0 then r.after + s.adjustment else r.after end,
+         r.after + s.adjustment >= 0
+  from r join s on s.product_id = r.product_id and s.n = r.n + 1)
+select s.id, s.product_id, s.adjustment, coalesce(s.type, 'manual') as type, s.adjusted_by, s.created_at, r.accepted,
+       cast(r.before as bigint) as previous_quantity,
+       cast(case when r.accepted then r.after end as bigint) as new_quantity,
+       case when not r.accepted then 'insufficient_stock' end as reject_reason
+from s join r on r.id = s.id""")(lambda t: D.adjust_stock(t))
+
+register("d13_redeem_points", f"""
+with recursive req as (
+  select event_id as request_id, user_id as customer_id, cast(floor(value) * 100 as int) as points, ts as created_at
+  from events where event_type = 'purchase'),
+s as (
+  select q.*, cast(c.loyalty_points as bigint) as open,
+         row_number() over (partition by q.customer_id order by q.created_at, q.request_id) as n
+  from req q left join customers c on c.id = q.customer_id where q.points > 0),
+r as (
+  select request_id, customer_id, n, coalesce(open, 0) as before,
+         case when coalesce(open, 0) - points >= 0 then coalesce(open, 0) - points else coalesce(open, 0) end as after,
+         coalesce(open, 0) - points >= 0 as accepted
+  from s where n = 1
+  union all
+  select s.request_id, s.customer_id, s.n, r.after,
+         case when r.after - s.points >= 0 then r.after - s.points else r.after end, r.after - s.points >= 0
+  from r join s on s.customer_id = r.customer_id and s.n = r.n + 1)
+select s.request_id, s.customer_id, s.points, s.created_at, r.accepted, cast(r.before as bigint) as balance_before,
+       case when r.accepted then cast(s.points * 0.50 as decimal(12,2)) end as discount,
+       case when r.accepted then {_TIER.format(p='r.after')} end as loyalty_tier,
+       cast(case when r.accepted then r.after end as bigint) as loyalty_points,
+       case when not r.accepted then 'insufficient_points' end as reject_reason
+from s join r on r.request_id = s.request_id
+union all
+select request_id, customer_id, points, created_at, false, cast(null as bigint), cast(null as decimal(12,2)),
+       cast(null as varchar), cast(null as bigint), 'points_not_positive'
+from req where not (points > 0) or points is null""")(
+    lambda t: D.redeem_points(t, W.redemption_requests(t.raw("events"))))
