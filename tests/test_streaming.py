@@ -57,3 +57,20 @@ def test_hourly_stream_drops_only_late_rows(spark):
     want = _hourly_batch(orders).withColumnRenamed("transactions", "all_rows")
     j = got.join(want, "hour_start", "left")
     assert j.filter(F.col("all_rows").isNull() | (F.col("transactions") > F.col("all_rows"))).count() == 0
+
+
+def test_windows_follow_wall_clock_in_any_session_zone(spark):
+    from tillroll.streaming.live import _event_time, _wall_clock
+    df = spark.createDataFrame([("2000-01-01 10:15:00",), ("2000-01-01 23:50:00",)], "s string") \
+        .select(F.col("s").cast("timestamp_ntz").alias("created_at"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ["UTC", "Asia/Kolkata", "America/New_York"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            ev = _event_time(df, "1 hour")
+            for size, want in [("1 hour", ["2000-01-01 10:00:00", "2000-01-01 23:00:00"]),
+                               ("1 day", ["2000-01-01 00:00:00", "2000-01-01 00:00:00"])]:
+                got = ev.select(_wall_clock(F.window("event_time", size).start, tz).alias("w")).collect()
+                assert sorted(str(r.w) for r in got) == want, (tz, size)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

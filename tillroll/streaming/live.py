@@ -2,9 +2,9 @@
 
 Sources are the driver's tables read as file streams (the folder plus a
 ``pathGlobFilter`` naming the table), mapped with the same column rules as
-the batch model.  Event time is ``created_at`` cast to ``timestamp`` (the
-watermark refuses ``timestamp_ntz``; the session zone is UTC so the wall
-clock is unchanged) and windows are reported back as ``timestamp_ntz``.
+the batch model.  Event time is ``created_at`` turned into the instant whose UTC
+wall clock it is (the watermark refuses ``timestamp_ntz``), whatever the
+session zone, and windows are reported back as ``timestamp_ntz`` wall clock.
 Rows later than the watermark are dropped by design; on one drained input
 each aggregate equals its batch twin.
 """
@@ -31,8 +31,20 @@ def bills_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.bills(raw_stream(spark, sf_dir, "orders"))
 
 
+def _session_tz(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
+
+
 def _event_time(b: DataFrame, watermark: str) -> DataFrame:
-    return b.withColumn("event_time", F.col("created_at").cast("timestamp")).withWatermark("event_time", watermark)
+    """Event time = the instant whose UTC wall clock is ``created_at``, in any session
+    zone, so epoch-aligned windows are the wall-clock hours and days."""
+    ev = F.from_utc_timestamp(F.col("created_at").cast("timestamp"), _session_tz(b))
+    return b.withColumn("event_time", ev).withWatermark("event_time", watermark)
+
+
+def _wall_clock(start: F.Column, tz: str) -> F.Column:
+    """A window bound back to the ``timestamp_ntz`` wall clock it stands for."""
+    return F.to_utc_timestamp(start, tz).cast("timestamp_ntz")
 
 
 def hourly_revenue_stream(bills: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -40,7 +52,7 @@ def hourly_revenue_stream(bills: DataFrame, watermark: str = "1 hour") -> DataFr
     b = _event_time(bills.filter(F.col("status") == "completed"), watermark)
     return b.groupBy(F.window("event_time", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("transactions"), F.sum("net_amount").cast(TOTAL).alias("revenue")
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("hour_start"), "transactions", "revenue")
+    ).select(_wall_clock(F.col("w.start"), _session_tz(bills)).alias("hour_start"), "transactions", "revenue")
 
 
 def payment_mix_stream(bills: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -48,7 +60,8 @@ def payment_mix_stream(bills: DataFrame, watermark: str = "1 hour") -> DataFrame
     b = _event_time(bills.filter(F.col("status") == "completed"), watermark)
     return b.groupBy(F.window("event_time", "1 day").alias("w"), "payment_method").agg(
         F.count(F.lit(1)).alias("count"), F.sum("net_amount").cast(TOTAL).alias("amount")
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("day_start"), "payment_method", "count", "amount")
+    ).select(_wall_clock(F.col("w.start"), _session_tz(bills)).alias("day_start"), "payment_method", "count",
+             "amount")
 
 
 def stock_delta_stream(spark: SparkSession, sf_dir: str, completed_bills: DataFrame) -> DataFrame:
