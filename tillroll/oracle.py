@@ -8,6 +8,8 @@ self-contained statement over the pre-registered raw tables.
 
 from __future__ import annotations
 
+import re
+
 # The mapping specification (same rules as sources/mapping.py).
 _CTES = {
     "departments": """
@@ -78,8 +80,10 @@ PRELUDE = "with " + ",\n".join(f"{name} as ({body.strip()})" for name, body in _
 def sql(body: str) -> str:
     """One statement: the model CTEs followed by ``body`` (a SELECT, or WITH ... SELECT)."""
     b = body.strip()
-    if b[:15].lower() == "with recursive ":
-        return "with recursive " + PRELUDE[5:] + ",\n" + b[15:]
-    if b[:5].lower() == "with ":
-        return PRELUDE + ",\n" + b[5:]
+    m = re.match(r"with\s+recursive\s+", b, re.IGNORECASE)
+    if m:
+        return "with recursive " + PRELUDE[5:] + ",\n" + b[m.end():]
+    m = re.match(r"with\s+", b, re.IGNORECASE)
+    if m:
+        return PRELUDE + ",\n" + b[m.end():]
     return PRELUDE + "\n" + b
