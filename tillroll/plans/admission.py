@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.plans.sequence import running_sum
+from tillroll.plans.sequence import running_sum, running_sums
 from tillroll.session import checkpoint_dir
 
 
@@ -67,10 +67,12 @@ def admit_bills(lines: DataFrame, stock: DataFrame, chunk: Column | None = None,
             raise RuntimeError(f"admission did not converge in {max_rounds} rounds")
         rounds += 1
         live = ln.join(state.filter(F.col("state") != "R").select("bill_id", "state"), "bill_id")
+        # Only products that still carry undecided demand can change a decision.
+        open_products = live.filter(F.col("state") == "U").select("product_id").distinct()
+        live = live.join(open_products, "product_id", "left_semi")
         live = live.withColumn("_acc_qty", F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)))
         order = ["arrived", "bill_id"]
-        live = running_sum(live, "product_id", order, "qty", chunk, out="upper")
-        live = running_sum(live, "product_id", order, "_acc_qty", chunk, out="_acc_run")
+        live = running_sums(live, "product_id", order, ["qty", "_acc_qty"], chunk, ["upper", "_acc_run"])
         live = live.filter(F.col("state") == "U").withColumn("lower", F.col("_acc_run") + F.col("qty"))
         verdict = live.groupBy("bill_id").agg(
             F.max((F.col("upper") > F.col("stock")).cast("int")).alias("_may_fail"),
@@ -108,8 +110,7 @@ def clamped_accept(steps: DataFrame, opening: DataFrame, key: str, order: list[s
         live = s.filter(F.col("_st") != "R")
         live = live.withColumn("_a", F.when(F.col("_st") == "A", F.col("_d")).otherwise(F.lit(0)))
         live = live.withColumn("_u", F.when(F.col("_st") == "U", F.col("_d")).otherwise(F.lit(0)))
-        live = running_sum(live, key, order, "_a", F.col("_ck"), out="_acc")
-        live = running_sum(live, key, order, "_u", F.col("_ck"), out="_und")
+        live = running_sums(live, key, order, ["_a", "_u"], F.col("_ck"), ["_acc", "_und"])
         # For an undecided step: accepted-before = _acc (own is not accepted),
         # undecided-before = _und - own delta (all negative).
         hi = F.col("_open") + F.col("_acc")

@@ -42,14 +42,26 @@ def global_row_number(df: DataFrame, order: list[str], out: str = "seq",
             .drop("_mid", "_part", "_local", "_off"))
 
 
-def running_sum(df: DataFrame, key: str, order: list[str], value: str, chunk: Column,
-                out: str = "running") -> DataFrame:
-    """``out`` = sum of ``value`` over rows of the same ``key`` up to and including this row."""
+def running_sums(df: DataFrame, key: str, order: list[str], values: list[str], chunk: Column,
+                 outs: list[str]) -> DataFrame:
+    """Several running totals in one pass: ``outs[i]`` = sum of ``values[i]`` over rows
+    of the same ``key`` up to and including this row (one window, one chunk
+    aggregate, one offset join for all of them)."""
     d = df.withColumn("_chunk", chunk)
     within = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_in", F.sum(value).over(within))
-    chunk_tot = d.groupBy(key, "_chunk").agg(F.sum(value).alias("_tot"))
+    for v, o in zip(values, outs):
+        d = d.withColumn(f"_in_{o}", F.sum(v).over(within))
+    chunk_tot = d.groupBy(key, "_chunk").agg(*[F.sum(v).alias(f"_tot_{o}") for v, o in zip(values, outs)])
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = chunk_tot.select(key, "_chunk", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
-    return d.join(offs, [key, "_chunk"], "inner").withColumn(out, F.col("_off") + F.col("_in")) \
-            .drop("_chunk", "_in", "_off")
+    offs = chunk_tot.select(key, "_chunk", *[F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_off_{o}")
+                                             for o in outs])
+    d = d.join(offs, [key, "_chunk"], "inner")
+    for o in outs:
+        d = d.withColumn(o, F.col(f"_off_{o}") + F.col(f"_in_{o}"))
+    return d.drop("_chunk", *[f"_in_{o}" for o in outs], *[f"_off_{o}" for o in outs])
+
+
+def running_sum(df: DataFrame, key: str, order: list[str], value: str, chunk: Column,
+                out: str = "running") -> DataFrame:
+    """``out`` = sum of ``value`` over rows of the same ``key`` up to and including this row."""
+    return running_sums(df, key, order, [value], chunk, [out])
