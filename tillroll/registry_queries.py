@@ -790,3 +790,23 @@ select request_id, customer_id, points, created_at, false, cast(null as bigint),
        cast(null as varchar), cast(null as bigint), 'points_not_positive'
 from req where not (points > 0) or points is null""")(
     lambda t: D.redeem_points(t, W.redemption_requests(t.raw("events"))))
+
+_NEWC = """(select event_id as id, concat('Customer#', cast(event_id as varchar)) as name,
+   concat('c', cast(event_id as varchar), '@mail.example') as email,
+   concat('+91-', lpad(cast(event_id as varchar), 10, '0')) as phone from events where event_type = 'signup')"""
+register("d22_unique_customers", f"""
+select n.id, n.name, n.email, n.phone,
+  case when exists (select 1 from customers c where c.phone = n.phone) then 'phone_exists'
+       when row_number() over (partition by n.phone order by n.id) > 1 then 'phone_repeated_in_batch'
+       when exists (select 1 from customers c where lower(trim(c.email)) = lower(trim(n.email))) then 'email_exists'
+       when row_number() over (partition by lower(trim(n.email)) order by n.id) > 1 then 'email_repeated_in_batch'
+  end as conflict
+from {_NEWC} n""")(
+    lambda t: I.unique_on_create(t.customers, W.new_customers(t.raw("events")).select("id", "name", "email", "phone"),
+                                 ["phone", "email"], id_col="id",
+                                 normalise={"email": lambda c: F.lower(F.trim(c))}))
+register("d22b_customer_rules", f"""
+select id, name, email, phone,
+  case when name is null or trim(name) = '' then 'name_required'
+       when phone is null or trim(phone) = '' then 'phone_required' end as reject_reason from {_NEWC} n""")(
+    lambda t: I.customer_rules(W.new_customers(t.raw("events")).select("id", "name", "email", "phone")))
