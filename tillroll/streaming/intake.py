@@ -24,7 +24,7 @@ ORDER_SCHEMA = ("request_id bigint, customerId bigint, paymentMethod string, dis
 MALFORMED_EVERY = 97   # every 97th derived request is cut short to exercise the reject path
 
 
-def order_requests_json(t) -> DataFrame:
+def order_requests_json(t, keep_id: bool = False) -> DataFrame:
     """A request per bill, as JSON text: header fields plus the bill's lines."""
     items = t.bill_items.groupBy(F.col("bill_id").alias("_bid")).agg(F.sort_array(F.collect_list(F.struct(
         F.col("product_id").alias("productId"), F.col("quantity").alias("quantity"),
@@ -34,8 +34,8 @@ def order_requests_json(t) -> DataFrame:
     body = F.to_json(F.struct(F.col("id").alias("request_id"), F.col("customer_id").alias("customerId"),
                               F.col("payment_method").alias("paymentMethod"),
                               F.col("discount_amount").alias("discountAmount"), "items", "created_at"))
-    return j.select(F.when(F.col("id") % MALFORMED_EVERY == 0, F.substring(body, 1, 40)).otherwise(body)
-                    .alias("value"))
+    value = F.when(F.col("id") % MALFORMED_EVERY == 0, F.substring(body, 1, 40)).otherwise(body).alias("value")
+    return j.select(value, F.col("id").alias("_id")) if keep_id else j.select(value)
 
 
 def parse_orders(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,6 +107,34 @@ def parse_and_check(spark: SparkSession, t) -> DataFrame:
     return process_orders(orders, t.products)["rejects"].unionByName(bad)
 
 
+def write_requests_in_time_order(t, out: str, slices: int = 8) -> str:
+    """Write the derived JSON requests as ``slices`` files, one write per equal
+    time slice in order, so a file stream meets them in arrival order (the
+    file source takes files by modification time) and a run is repeatable."""
+    import time as _time
+
+    b = t.bills.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).first()
+    lo, hi = b["lo"], b["hi"]
+    step = (hi - lo) / slices
+    req = order_requests_json_with_time(t)
+    for i in range(slices):
+        a = lo + step * i
+        part = req.filter(F.col("created_at") >= F.lit(a.isoformat(sep=" ")).cast("timestamp_ntz"))
+        if i < slices - 1:
+            part = part.filter(F.col("created_at") < F.lit((lo + step * (i + 1)).isoformat(sep=" "))
+                               .cast("timestamp_ntz"))
+        part.select("value").coalesce(1).write.mode("append").text(out)
+        _time.sleep(1.05)        # distinct modification times between slices
+    return out
+
+
+def order_requests_json_with_time(t) -> DataFrame:
+    """``order_requests_json`` plus the bill time, used to slice the files."""
+    b = t.bills.select(F.col("id").alias("_id"), "created_at")
+    j = order_requests_json(t, keep_id=True)
+    return j.join(b, j._id == b._id).drop("_id")
+
+
 # ----------------------------------------------------------------- full checkout
 def _replace_stock(products: DataFrame, sold: DataFrame) -> DataFrame:
     """Products with ``stock_quantity`` from ``apply_sales`` output (same columns as ``products``)."""
@@ -186,8 +214,7 @@ def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_fi
 
     root = scratch(spark, "s05-checkout")
     if requests_dir is None:
-        requests_dir = f"{root}/requests"
-        order_requests_json(t).repartition(8).write.mode("overwrite").text(requests_dir)
+        requests_dir = write_requests_in_time_order(t, f"{root}/requests")
     raw = (spark.readStream.schema(ORDER_SCHEMA).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", max_files)
            .json(requests_dir))
