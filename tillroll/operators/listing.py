@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import ranges as R
 from tillroll.functions.loyalty import points_to_next_tier
-from tillroll.functions.money import total, total0
+from tillroll.functions.money import total
 from tillroll.functions.present import customer_label, status_badge
 from tillroll.plans.joins import and_all, lookup_codes
 from tillroll.plans.paging import page, paginate, top_k, top_k_per_group

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import ranges as R
-from tillroll.functions.money import mean0, qty0, total, total0
+from tillroll.functions.money import mean0, total, total0
 from tillroll.plans.paging import top_k
 from tillroll.sources.schema import TOTAL
 
