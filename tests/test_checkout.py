@@ -39,3 +39,21 @@ def test_checkout_carries_stock_loyalty_and_sequence(spark):
     assert chk.filter(F.col("loyalty_points") != F.col("opening") + F.coalesce("pts", F.lit(0))).count() == 0
     reasons = {r["reject_reason"] for r in rejects.select("reject_reason").distinct().collect()}
     assert {"malformed_json", "insufficient_stock"} <= reasons
+
+
+def test_checkout_drops_requests_seen_in_earlier_batches(spark):
+    import time as _time
+
+    from tillroll.streaming.sinks import scratch
+    t = Retail.from_testdata(spark, SF_SMALL)
+    req_dir = scratch(spark, "test-dup-requests")
+    reqs = intake.order_requests_json(t)
+    reqs.coalesce(1).write.mode("append").text(req_dir)
+    _time.sleep(1.1)
+    reqs.coalesce(1).write.mode("append").text(req_dir)          # the same requests again, in a later file
+    root = intake.run_checkout(spark, t, requests_dir=req_dir, max_files=1)
+    commits = spark.read.parquet(f"{root}/commits").select("batch_id")
+    bills = spark.read.parquet(f"{root}/snapshots/bills").join(commits, "batch_id", "left_semi")
+    assert commits.count() == 2
+    assert bills.filter("batch_id = 1").count() == 0                 # nothing billed twice
+    assert bills.select("id").distinct().count() == bills.count()

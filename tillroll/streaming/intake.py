@@ -208,8 +208,9 @@ def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame,
 def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_files: int = 4) -> str:
     """S5 full path: the intake stream where every micro-batch continues from the
     previous committed snapshot (stock, loyalty, bill sequence) and commits its
-    own.  A replayed batch reads the same previous snapshot and rewrites the
-    same output.  Returns the snapshot root."""
+    own.  Request ids already billed or refused by an earlier committed batch
+    are dropped as duplicates.  A replayed batch reads the same previous
+    snapshots and rewrites the same output.  Returns the snapshot root."""
     from tillroll.streaming.sinks import commit_meta, last_committed, read_snapshot
 
     root = scratch(spark, "s05-checkout")
@@ -228,6 +229,14 @@ def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_fi
             customers = read_snapshot(spark, root, "customers", prev)
             seq = commit_meta(spark, root, prev)["next_seq"]
         orders, bad = parse_orders(batch.dropDuplicates(["request_id", "_corrupt_record"]))
+        if prev is not None:
+            # a request id already billed or refused by an earlier batch is a duplicate
+            done = spark.read.parquet(f"{root}/commits").filter(F.col("batch_id") <= prev).select("batch_id")
+            seen = (spark.read.parquet(f"{root}/snapshots/bills").join(done, "batch_id", "left_semi")
+                    .select(F.col("id").alias("request_id"))
+                    .unionByName(spark.read.parquet(f"{root}/snapshots/rejects").join(done, "batch_id", "left_semi")
+                                 .filter(F.col("request_id").isNotNull()).select("request_id")))
+            orders = orders.join(seen, "request_id", "left_anti")
         out, next_seq = checkout_batch(orders, products, customers, seq)
         out["rejects"] = out["rejects"].unionByName(bad)
         commit_snapshot(out, root, batch_id, meta={"next_seq": next_seq})
