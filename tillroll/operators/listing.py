@@ -22,6 +22,7 @@ from tillroll.functions.money import total
 from tillroll.functions.present import customer_label, status_badge
 from tillroll.plans.joins import and_all, lookup_codes
 from tillroll.plans.paging import page, paginate, top_k, top_k_per_group
+from tillroll.session import checkpoint_dir
 from tillroll.sources.schema import TOTAL
 
 
@@ -32,9 +33,10 @@ def attach(rows: DataFrame, key: str, dim: DataFrame, dim_key: str, cols: dict[s
            rows_bounded: bool = True) -> DataFrame:
     """``rows ⟕ dim`` on ``rows[key] = dim[dim_key]`` adding ``cols`` (dim col -> output name).
 
-    When ``rows`` is a bounded page, the dimension is first reduced to the
-    page's keys with a semi-join against the broadcast key list; otherwise
-    rows with a null key are salted so they do not pile into one partition.
+    When ``rows`` is a bounded page (materialized with ``page_once``), the
+    dimension is streamed past the broadcast page keys and only the matches
+    meet the page; otherwise rows with a null key are salted so they do not
+    pile into one partition.
     """
     d = dim.select(F.col(dim_key).alias("_dk"), *[F.col(c).alias(a) for c, a in cols.items()])
     if rows_bounded:
@@ -53,6 +55,15 @@ def attach(rows: DataFrame, key: str, dim: DataFrame, dim_key: str, cols: dict[s
     return r.join(dj, "_jk", "left").drop("_jk")
 
 
+def page_once(pg: DataFrame) -> DataFrame:
+    """Materialize a page (<= limit rows) in the shared checkpoint folder.
+
+    A page is used by every dimension it is joined with; without this each
+    use would re-run the top-k over the whole fact table."""
+    checkpoint_dir(pg.sparkSession)
+    return pg.checkpoint(eager=True)
+
+
 def _ilike_any(pattern: str, cols: list[str]) -> Column:
     out = F.lit(False)
     for c in cols:
@@ -82,6 +93,7 @@ def bills_list(t, start=None, end=None, status=None, customer_id=None, role=None
     """B1 + B19: a page of bills, newest first, with customer and cashier names; and the total."""
     b = bills_filter(t, start, end, status, customer_id, role, user_id)
     pg, tot = paginate(b, [F.col("created_at").desc_nulls_last()], page_no, limit, key="id")
+    pg = page_once(pg)
     pg = attach(pg, "customer_id", t.customers, "id", {"name": "customer_name"})
     pg = attach(pg, "cashier_id", t.users, "id", {"name": "cashier_name"})
     return pg.select(*BILL_LIST_COLS), tot
@@ -114,6 +126,7 @@ def products_list(t, department_id=None, category=None, in_stock: bool = False,
     """B2 + B19: active products by name with department and supplier names."""
     p = products_filter(t, department_id, category, in_stock, search)
     pg, tot = paginate(p, [F.col("name").asc_nulls_last()], page_no, limit)
+    pg = page_once(pg)
     pg = attach(pg, "department_id", t.departments, "id", {"name": "department_name"})
     pg = attach(pg, "supplier_id", t.suppliers, "id", {"name": "supplier_name"})
     return pg.select(*PRODUCT_LIST_COLS), tot
@@ -124,7 +137,7 @@ def product_search(t, q: str, k: int = 20) -> DataFrame:
     pattern = f"%{q}%"
     p = t.products.filter(F.col("is_active") & (
         _ilike_any(pattern, ["name", "sku"]) | F.coalesce(F.col("barcode") == q, F.lit(False))))
-    pg = top_k(p, [F.col("name").asc_nulls_last()], k)
+    pg = page_once(top_k(p, [F.col("name").asc_nulls_last()], k))
     pg = attach(pg, "department_id", t.departments, "id", {"name": "department_name"})
     return pg.select("id", "name", "sku", "barcode", "price", "tax_rate", "stock_quantity", "unit", "category",
                      "department_id", "department_name")
@@ -197,7 +210,7 @@ def payments_list(t, start=None, end=None, method=None, status=None, page_no: in
         (F.col("method") == method) if method else None,
         (F.col("status") == status) if status else None,
     ]))
-    pg = page(p, [F.col("created_at").desc_nulls_last()], page_no, limit)
+    pg = page_once(page(p, [F.col("created_at").desc_nulls_last()], page_no, limit))
     pg = attach(pg, "bill_id", t.bills, "id", {"bill_number": "bill_number"})
     return pg.select("id", "bill_id", "bill_number", "amount", "method", "status", "gateway_transaction_id",
                      "created_at")
@@ -345,7 +358,7 @@ def user_profiles(t) -> DataFrame:
 def recent_bills(t, k: int = 10) -> DataFrame:
     """The newest completed bills with the customer's name."""
     b = t.bills.filter(F.col("status") == "completed")
-    pg = top_k(b, [F.col("created_at").desc_nulls_last()], k)
+    pg = page_once(top_k(b, [F.col("created_at").desc_nulls_last()], k))
     pg = attach(pg, "customer_id", t.customers, "id", {"name": "customer_name"})
     return pg.select("id", "bill_number", "net_amount", "payment_method", "status", "customer_name", "created_at")
 
