@@ -81,11 +81,15 @@ def run_intake(spark: SparkSession, t, requests_dir: str | None = None, max_file
     products = t.products
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.dropDuplicates(["request_id", "_corrupt_record"])
-        orders, bad = parse_orders(batch)
-        out = process_orders(orders, products)
-        out["rejects"] = out["rejects"].unionByName(bad)
-        commit_snapshot(out, root, batch_id)
+        # several tables are written from one micro-batch: read and parse it once
+        batch = batch.dropDuplicates(["request_id", "_corrupt_record"]).persist()
+        try:
+            orders, bad = parse_orders(batch)
+            out = process_orders(orders, products)
+            out["rejects"] = out["rejects"].unionByName(bad)
+            commit_snapshot(out, root, batch_id)
+        finally:
+            batch.unpersist()
 
     q = (raw.dropDuplicatesWithinWatermark(["request_id", "_corrupt_record"]).writeStream.foreachBatch(handle)
          .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
@@ -228,7 +232,8 @@ def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_fi
             products = read_snapshot(spark, root, "products", prev)
             customers = read_snapshot(spark, root, "customers", prev)
             seq = commit_meta(spark, root, prev)["next_seq"]
-        orders, bad = parse_orders(batch.dropDuplicates(["request_id", "_corrupt_record"]))
+        batch = batch.dropDuplicates(["request_id", "_corrupt_record"]).persist()
+        orders, bad = parse_orders(batch)
         if prev is not None:
             # a request id already billed or refused by an earlier batch is a duplicate
             done = spark.read.parquet(f"{root}/commits").filter(F.col("batch_id") <= prev).select("batch_id")
@@ -237,9 +242,12 @@ def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_fi
                     .unionByName(spark.read.parquet(f"{root}/snapshots/rejects").join(done, "batch_id", "left_semi")
                                  .filter(F.col("request_id").isNotNull()).select("request_id")))
             orders = orders.join(seen, "request_id", "left_anti")
-        out, next_seq = checkout_batch(orders, products, customers, seq)
-        out["rejects"] = out["rejects"].unionByName(bad)
-        commit_snapshot(out, root, batch_id, meta={"next_seq": next_seq})
+        try:
+            out, next_seq = checkout_batch(orders, products, customers, seq)
+            out["rejects"] = out["rejects"].unionByName(bad)
+            commit_snapshot(out, root, batch_id, meta={"next_seq": next_seq})
+        finally:
+            batch.unpersist()
 
     q = (raw.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
