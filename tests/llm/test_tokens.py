@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ODD = ["", " ", "\n\n a", "a\tb", "a \u00a0 b", "x  y   z ", "it's I'LL don't", "<|endoftext|> a", "é\u0301 e\u0301 \u0301", "\x1c a",
-       "12,345.67 ...!!", "日本語 テスト", "Σ ΣΑΣ σας", "a\r\nb", "\u200b a", "word," * 30, "naïve ﬁ ½", "\ufeffx", " lead", "trail "]
+       "12,345.67 ...!!", "日本語 テスト", "Σ ΣΑΣ σας", "a\r\nb", "\u200b a", "word," * 30, "naïve ﬁ ½", "3.5, x., a.. b,. é, (z), 1,000.", " ", " a", "\na", " \na b", "a\nb c", "\n", "a ", "a\n", "  a", "\n\na", "it's, I'll.", "\ufeffx", " lead", "trail "]
 
 
 @functools.cache

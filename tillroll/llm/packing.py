@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import chunks, stored
-from tillroll.llm.tokens import Encoder
+from tillroll.llm.tokens import encoder
 
 SIZE, GROUP_PIECES, FAN_IN = 4096, 8192, 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
@@ -153,11 +153,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> Da
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, uid = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encode, uid = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
         for cols, texts in chunks(batches):
             rows: tuple[list, ...] = tuple([] for _ in range(6))
             for doc_id, text in zip(cols["doc_id"], texts):
-                ids = encoder.encode(text) + end
+                ids = encode(text) + end
                 for at in range(0, len(ids), 4 * size):
                     part = ids[at:at + 4 * size]
                     row = doc_id, at // (4 * size), at // 4, len(part) // 4, zlib.crc32(part), uid

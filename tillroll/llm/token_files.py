@@ -9,7 +9,7 @@ goes through Spark's committer and survives lost executors on any file system.
 File format (little-endian).  ``PFR1``, then uint32 n_docs, n_blocks, n_ids.
 Per document int64 doc_id, uint8 is-null, uint32 n_ids.  The index: per block uint32
 start of the block's bytes and of its exceptions, from the block area's
-begin.  A block holds up to 256 ids: uint32 minimum, uint8 bit width, uint16
+begin.  A block holds up to 1024 ids: uint32 minimum, uint8 bit width, uint16
 count, uint16 exceptions; then (id - minimum) packed at that width, low bits
 first, zero where an exception stands; then the exceptions as uint16 place and
 uint32 offset from the minimum.  The width covers the ``PERCENTILE`` of the
@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import chunks, stored
-from tillroll.llm.tokens import Encoder
+from tillroll.llm.tokens import encoder
 
-BLOCK, PERCENTILE, FILE_IDS = 256, 90, 1 << 18
+BLOCK, PERCENTILE, FILE_IDS = 1024, 90, 1 << 18
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIII"), struct.Struct("<IBHH")
 _EXCEPTION = np.dtype([("place", "<u2"), ("value", "<u4")])
 FILES = "part int, file int, before long, n_ids long, n_docs long, content binary"
@@ -103,7 +103,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
         held: list[tuple[int | None, bytes]] = []
         size = before = n_files = 0
 
@@ -115,7 +115,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS
 
         for cols, texts in chunks(batches):
             for doc_id, text in zip(cols["doc_id"], texts):
-                held.append((doc_id, encoder.encode(text) + end))
+                held.append((doc_id, encode(text) + end))
                 size += len(held[-1][1]) // 4
                 if size >= file_ids:
                     yield out()

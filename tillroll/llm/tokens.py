@@ -1,55 +1,90 @@
 """Token ids of whole texts by the tokenizers library, with the ids of repeated chunks kept.
 
 Both vocabularies end a pre-token wherever a non-blank character is followed by
-a space or line break, so the chunks between such places can be encoded one by
-one and their ids put together.  A worker keeps the ids of chunks it has seen
-(at most ``KEEP`` of them).  Texts holding any other white space, or a string
-that the tokenizer treats as one special token, are encoded whole.
+a space or line break, and wherever an ASCII letter or digit is followed by a full stop or
+comma, so the chunks between such places can be encoded one by one and their
+ids put together.  A worker process keeps the ids of chunks it has seen (two
+generations of at most ``KEEP``).  Texts holding any other white space, or a
+string that the tokenizer treats as one special token, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from functools import cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-KEEP = 300_000
+KEEP = 500_000
 _LONG = 64  # a chunk of more characters is not kept
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-# White space besides space and line break, as Python or Unicode see it.
-_OTHER_BLANK = re.compile("[^\\S \n]|[\x1c-\x1f\x85᠎​﻿]")
+_STOPPED = re.compile(r"(.*[A-Za-z0-9])([.,])", re.DOTALL)
+# White space besides space and line break, as Python or Unicode see it, and characters that may count as such.
+_OTHER_BLANK = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"] + ["\u180e", "\u200b", "\u2060", "\ufeff"]
 
 
 class Encoder:
+    """A chunk's key is the chunk itself, without its space where one space and then a non-blank begin it."""
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = [*_OTHER_BLANK, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.stops = {c: self._ids([c])[0] for c in ".,"}
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids as little-endian unsigned 32-bit integers."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, keys: set[str]) -> None:
+        """Ids of the keys into ``seen``; a full stop or comma after a letter or digit is put on afterwards."""
+        stopped = {k: m.groups() for k in keys if k[-1] in ".," and (m := _STOPPED.fullmatch(k))}
+        seen, older = self.seen, self.older
+        new = []
+        for k in {stopped[k][0] if k in stopped else k for k in keys}:
+            if k not in seen:
+                if k in older:
+                    seen[k] = older[k]
+                else:
+                    new.append(k)
+        seen.update(zip(new, self._ids([k if k[0] in " \n" else " " + k for k in new])))
+        for k, (body, stop) in stopped.items():
+            seen[k] = seen[body] + self.stops[stop]
 
     def encode(self, text: str) -> bytes:
         """All ids of ``text`` as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _OTHER_BLANK.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.whole):
             return self._ids([text])[0]
-        chunks = _CHUNK.findall(text)
-        seen = self.seen
-        if missing := {c for c in chunks if c not in seen}:
-            if len(seen) > KEEP:
-                seen.clear()
-                missing = set(chunks)
-            missing = list(missing)
-            seen.update(zip(missing, self._ids(missing)))
-        out = b"".join([seen[c] for c in chunks])
-        for c in missing:
-            if len(c) > _LONG:
-                del seen[c]
-        return out
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n":
+            first, *rest = _CHUNK.findall(text)
+            keys = [c[1:] if len(c) > 1 and c[0] == " " and c[1] not in " \n" else c for c in rest]
+        else:  # the same, where every blank stands alone
+            first, *keys = text.replace("\n", " \n").split(" ")
+        if text[0] in " \n":
+            first, keys = "", ([first, *keys] if first != "" else keys)
+            if text[0] == " " and keys[0][0] == " " and keys[0].strip(" \n") and keys[0][1] not in " \n":
+                keys[0] = keys[0][1:]
+        ids = list(map(self.seen.get, keys))
+        if None in ids:
+            missing = {k for k, i in zip(keys, ids) if i is None}
+            self._add(missing)
+            ids = list(map(self.seen.__getitem__, keys))
+            for k in missing:
+                if len(k) > _LONG:
+                    self.seen.pop(k, None)
+            if len(self.seen) > KEEP:
+                self.older, self.seen = self.seen, {}
+        return b"".join([*self._ids([first] if first else []), *ids])
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """This process's encoder for a vocabulary file: worker processes serve many tasks."""
+    return Encoder(path)
