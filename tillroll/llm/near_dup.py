@@ -185,7 +185,8 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recal
             yield pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(found, pa.list_(pa.int64()))],
                                              ["doc_id", "shingles"])
 
-    shingles = stored(own.join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>"), "shingles")
+    # The ids grow with the documents, so both sides are dealt by id at every size.
+    shingles = stored(own.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>"), "shingles")
     links = stored(_verified(proposed.where("hub"), shingles, threshold), "verified")
     found = components(links)
     far = (proposed.where("not hub")
