@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.plans.joins import first_per_key
+from tillroll.session import checkpoint_dir
 from tillroll.sources.schema import (ADJUSTMENT_TYPES, BILL_METHODS, BILL_STATUSES, ORDER_METHODS,
                                      PAYMENT_STATUSES, ROLES, TIERS)
 
@@ -41,7 +42,8 @@ def apply_patch(target: DataFrame, patch: DataFrame, key: str, cols: list[str],
     Null in the patch keeps the old value (Q21: a patch cannot set NULL).
     Several patches of one key: the later one (by ``patch_seq`` when present)
     wins per column.  Unknown keys go to the reject table.  ``touch`` sets
-    ``updated_at`` on rows that changed (D25)."""
+    ``updated_at`` on every row that a patch names, even with equal values;
+    other rows keep theirs (D25)."""
     if "patch_seq" in patch.columns:
         # latest non-null value per column: max_by skips rows whose ordering is null
         patch = patch.groupBy(key).agg(*[
@@ -50,10 +52,13 @@ def apply_patch(target: DataFrame, patch: DataFrame, key: str, cols: list[str],
     j = target.join(p, target[key] == p._pk, "left")
     out = j.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
                      for c in target.columns],
+                   F.col("_pk").isNotNull().alias("_named"),
                    reduce(lambda a, b: a | b, [F.coalesce(~F.col(f"_new_{c}").eqNullSafe(F.col(c)), F.lit(False))
                                                & F.col(f"_new_{c}").isNotNull() for c in cols]).alias("changed"))
     if touch is not None:
-        out = out.withColumn("updated_at", F.when(F.col("changed"), touch))
+        kept = F.col("updated_at") if "updated_at" in target.columns else F.lit(None)
+        out = out.withColumn("updated_at", F.when(F.col("_named"), touch).otherwise(kept))
+    out = out.drop("_named")
     rejects = patch.join(target.select(F.col(key).alias(key)), key, "left_anti")
     return out, rejects
 
@@ -82,33 +87,51 @@ def department_deactivation(departments: DataFrame, products: DataFrame, request
 # ------------------------------------------------------------- D22 uniqueness
 def unique_on_create(target: DataFrame, batch: DataFrame, keys: list[str], id_col: str = "request_id",
                      normalise: dict[str, Column] | None = None) -> DataFrame:
-    """Per batch row, the first unique key that conflicts (with the table
-    or with an earlier row of the batch), or null when the row is accepted.
+    """Per batch row, the first unique key that conflicts, or null when the row is accepted.
 
-    Each key is checked on its own (``left_semi``); null alternate keys never
+    Rows are taken in ``id_col`` order, as inserts one after another: a row
+    conflicts with the table or with an earlier row that was accepted; a refused row
+    blocks nobody.  Rounds decide a row once no earlier undecided row holds
+    one of its keys; each decides at least the first.  Null alternate keys never
     conflict.  ``normalise`` maps a key to an expression over that column
     (e.g. lower-cased e-mail)."""
     norm = normalise or {}
 
-    def k(df: DataFrame, c: str) -> Column:
+    def k(c: str) -> Column:
         return norm[c](F.col(c)) if c in norm else F.col(c)
 
-    out = batch
-    reasons = []
+    state = batch.select("*", *[k(c).alias(f"_k_{c}") for c in keys])
+    for c in keys:
+        held = target.select(k(c).alias("_v")).filter(F.col("_v").isNotNull()).distinct().withColumn(f"_in_{c}", F.lit(True))
+        state = state.join(held, state[f"_k_{c}"] == held._v, "left").drop("_v")
+    clash = [F.when(F.col(f"_in_{c}"), F.lit(True)) for c in keys]
+    state = state.withColumn("_st", F.when(F.coalesce(*clash), "R").otherwise("U"))
+    checkpoint_dir(batch.sparkSession)
+    state = state.checkpoint(eager=True)
+    before = None
+    while (open_rows := state.filter(F.col("_st") == "U").count()) > 0:
+        if open_rows == before:
+            raise RuntimeError(f"a round decided none of {open_rows} rows")
+        before = open_rows
+        state = _with_first(state, keys, id_col)
+        late = reduce(lambda x, y: x | y, [F.coalesce(F.col(id_col) > F.col(f"_won_{c}"), F.lit(False)) for c in keys])
+        lead = reduce(lambda x, y: x & y, [F.coalesce(F.col(id_col) == F.col(f"_lead_{c}"), F.lit(True)) for c in keys])
+        state = state.withColumn("_st", F.when((F.col("_st") == "U") & late, "R").when((F.col("_st") == "U") & lead, "A")
+                                 .otherwise(F.col("_st")))
+        state = state.drop(*[f"_{x}_{c}" for c in keys for x in ("won", "lead")]).checkpoint(eager=True)
+    state = _with_first(state, keys, id_col)
+    reasons = [r for c in keys for r in (F.when(F.col(f"_in_{c}"), F.lit(f"{c}_exists")),
+                                         F.when(F.col(id_col) > F.col(f"_won_{c}"), F.lit(f"{c}_repeated_in_batch")))]
+    return state.select(*batch.columns, F.when(F.col("_st") == "R", F.coalesce(*reasons)).alias("conflict"))
+
+
+def _with_first(state: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """Per key, the first accepted row (``_won_``) and the first row not refused (``_lead_``) that hold the same value."""
     for c in keys:
-        existing = target.select(k(target, c).alias("_v")).filter(F.col("_v").isNotNull()).distinct() \
-            .withColumn(f"_in_table_{c}", F.lit(True))
-        out = out.withColumn(f"_k_{c}", k(batch, c))
-        out = out.join(existing, out[f"_k_{c}"] == existing._v, "left").drop("_v")
-        first = (out.filter(F.col(f"_k_{c}").isNotNull()).groupBy(F.col(f"_k_{c}").alias("_fk"))
-                 .agg(F.min(id_col).alias("_first")))
-        out = out.join(first, out[f"_k_{c}"] == first._fk, "left").drop("_fk")
-        out = out.withColumn(f"_dup_{c}", F.col(id_col) > F.col("_first")).drop("_first")
-        reasons.append(F.when(F.col(f"_in_table_{c}"), F.lit(f"{c}_exists"))
-                       .when(F.col(f"_dup_{c}"), F.lit(f"{c}_repeated_in_batch")))
-    out = out.withColumn("conflict", F.coalesce(*reasons))
-    drop = [x for c in keys for x in (f"_k_{c}", f"_in_table_{c}", f"_dup_{c}")]
-    return out.drop(*drop)
+        first = state.filter(F.col(f"_k_{c}").isNotNull() & (F.col("_st") != "R")).groupBy(F.col(f"_k_{c}").alias("_fk")).agg(
+            F.min(F.when(F.col("_st") == "A", F.col(id_col))).alias(f"_won_{c}"), F.min(id_col).alias(f"_lead_{c}"))
+        state = state.join(first, state[f"_k_{c}"] == first._fk, "left").drop("_fk")
+    return state
 
 
 # ------------------------------------------------------------- D22a–c defaults, rules

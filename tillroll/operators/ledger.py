@@ -182,7 +182,10 @@ def validate_returns(t, requests: DataFrame) -> DataFrame:
     req = requests.groupBy("request_id", "bill_id", "product_id").agg(
         F.sum("quantity").alias("quantity"), F.min("created_at").alias("created_at"),
         F.min("quantity").alias("_min_q"))
-    sold = t.bill_items.groupBy(F.col("bill_id").alias("_sb"), F.col("product_id").alias("_sp")).agg(
+    # only the lines of bills that a request names are aggregated
+    wanted = requests.select("bill_id").distinct()
+    sold = t.bill_items.join(wanted, "bill_id", "left_semi").groupBy(
+        F.col("bill_id").alias("_sb"), F.col("product_id").alias("_sp")).agg(
         F.sum("quantity").alias("sold_quantity"), F.sum("total_price").alias("sold_total"))
     b = t.bills.select(F.col("id").alias("_bid"), F.col("status").alias("bill_status"))
     j = (req.join(b, req.bill_id == b._bid, "left")
@@ -208,7 +211,8 @@ def validate_returns(t, requests: DataFrame) -> DataFrame:
                .agg(F.min(F.struct("_at", "request_id")).getField("request_id").alias("_winner")))
     per_req = per_req.join(winners, per_req.bill_id == winners._wb, "left").withColumn("reject_reason", F.coalesce(
         "req_reject", F.when(F.col("request_id") != F.col("_winner"), F.lit("bill_already_returned"))))
-    out = lines.join(per_req.select("request_id", "reject_reason"), "request_id")
+    per_req = per_req.select(F.col("request_id").alias("_rid"), F.col("bill_id").alias("_rb"), "reject_reason")
+    out = lines.join(per_req, F.col("request_id").eqNullSafe(F.col("_rid")) & F.col("bill_id").eqNullSafe(F.col("_rb")))
     return out.select("request_id", "bill_id", "product_id", "quantity", "created_at", "reject_reason",
                       F.when(F.col("reject_reason").isNull(), F.col("amount_exact")).alias("amount_exact"))
 
@@ -308,13 +312,13 @@ def confirm_gateway_payments(t, confirmations: DataFrame) -> tuple[DataFrame, Da
     return pays, upd
 
 
-def refund_payments(t, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(refund rows, original payment updates) for (request_id, payment_id, amount, created_at).
+def refund_decisions(t, requests: DataFrame) -> DataFrame:
+    """Every request of (request_id, payment_id, amount, created_at) with its payment and ``reject_reason``.
 
     The original must be ``completed``; a null amount means the full
     amount; a non-positive amount or one above the original is refused
-    (Q17).  The refund row carries −|amount| and the original becomes
-    ``refunded`` even when the refund is partial."""
+    (Q17).  Of several requests that could each be granted for one payment, the
+    first by (created_at, request_id) is; the payment is refunded by then."""
     p = t.payments.select(F.col("id").alias("_pid"), F.col("bill_id"), F.col("amount").alias("paid"),
                           "method", F.col("status").alias("_pstatus"), "gateway_transaction_id")
     j = requests.join(p, requests.payment_id == p._pid, "left")
@@ -323,7 +327,20 @@ def refund_payments(t, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
               .when(F.col("_pstatus") != "completed", "payment_not_refundable")
               .when(amt <= 0, "amount_not_positive")
               .when(amt > F.col("paid"), "amount_exceeds_payment"))
-    j = j.withColumn("reject_reason", reason).withColumn("_amt", amt)
+    j = j.withColumn("_why", reason).withColumn("_amt", amt)
+    first = (j.filter(F.col("_why").isNull()).groupBy(F.col("payment_id").alias("_fp"))
+             .agg(F.min(F.struct("created_at", "request_id"))["request_id"].alias("_first")))
+    j = j.join(first, j.payment_id == first._fp, "left")
+    return j.withColumn("reject_reason", F.coalesce("_why", F.when(
+        F.col("request_id") != F.col("_first"), F.lit("payment_already_refunded")))).drop("_why", "_fp", "_first")
+
+
+def refund_payments(t, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(refund rows, original payment updates) of the granted requests.
+
+    The refund row carries −|amount| and the original becomes ``refunded`` even
+    when the refund is partial."""
+    j = refund_decisions(t, requests)
     ok = j.filter(F.col("reject_reason").isNull())
     rows = ok.select(F.col("request_id").alias("id"), "bill_id", (-F.abs(F.col("_amt"))).cast(MONEY).alias("amount"),
                      "method", F.lit("refunded").alias("status"), "gateway_transaction_id", "created_at")
@@ -380,7 +397,10 @@ def admit_orders(t, orders: DataFrame) -> DataFrame:
 
 def adjust_stock(t, adjustments: DataFrame | None = None) -> DataFrame:
     """Apply stock adjustments per product in (created_at, id) order, refusing
-    any that would take stock below zero; audit rows carry previous/new."""
+    any that would take stock below zero; audit rows carry previous/new.
+
+    An unknown product, a missing adjustment and a missing time are refused
+    with a reason and null quantities."""
     from tillroll.plans.admission import clamped_accept
     a = t.stock_adjustments if adjustments is None else adjustments
     opening = t.products.select("id", F.col("stock_quantity").alias("balance"))
@@ -389,7 +409,8 @@ def adjust_stock(t, adjustments: DataFrame | None = None) -> DataFrame:
                     "adjusted_by", "created_at", "accepted",
                     F.col("balance_before").alias("previous_quantity"),
                     F.col("balance_after").alias("new_quantity"),
-                    F.when(~F.col("accepted"), F.lit("insufficient_stock")).alias("reject_reason"))
+                    F.when(~F.col("accepted"), F.coalesce(F.replace("refused", F.lit("key_not"), F.lit("product_not")),
+                                                          F.lit("insufficient_stock"))).alias("reject_reason"))
 
 
 def redeem_points(t, requests: DataFrame) -> DataFrame:
@@ -407,7 +428,8 @@ def redeem_points(t, requests: DataFrame) -> DataFrame:
                      F.when(F.col("accepted"), redemption_value("points")).alias("discount"),
                      F.when(F.col("accepted"), tier(F.col("balance_after"))).alias("loyalty_tier"),
                      F.col("balance_after").alias("loyalty_points"),
-                     F.when(~F.col("accepted"), F.lit("insufficient_points")).alias("reject_reason"))
+                     F.when(~F.col("accepted"), F.coalesce(F.replace("refused", F.lit("key_not"), F.lit("customer_not")),
+                                                           F.lit("insufficient_points"))).alias("reject_reason"))
     refused = bad.select("request_id", "customer_id", "points", "created_at", F.lit(False).alias("accepted"),
                          F.lit(None).cast("bigint").alias("balance_before"), F.lit(None).cast(MONEY).alias("discount"),
                          F.lit(None).cast("string").alias("loyalty_tier"),

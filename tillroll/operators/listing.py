@@ -375,7 +375,6 @@ def bulk_product_search(t, terms: DataFrame, k: int = 20, term_col: str = "term"
     that prefix, and the containment test removes false candidates.  The
     term table is broadcast only after its size is checked.  Terms are taken
     literally (no wildcards)."""
-    from tillroll.plans.joins import bounded_broadcast
     p = t.products.filter(F.col("is_active")).select("id", "name", "sku", "barcode", "price")
     texts = p.select("id", F.lower("name").alias("_t")).unionByName(p.select("id", F.lower("sku").alias("_t")))
     def substrings(n: int) -> Column:
@@ -388,7 +387,6 @@ def bulk_product_search(t, terms: DataFrame, k: int = 20, term_col: str = "term"
     q = terms.select(F.col(term_col).alias("term")).filter(F.col("term").isNotNull() & (F.length("term") > 0)) \
         .distinct().withColumn("_lt", F.lower("term"))
     q = q.withColumn("gram", F.col("_lt").substr(F.lit(1), F.least(F.length("_lt"), F.lit(3))))
-    q = bounded_broadcast(q)
     cand = grams.join(q, "gram").select("term", "_lt", "id")
     pl = p.select("id", "name", "sku", "barcode", "price", F.lower("name").alias("_ln"), F.lower("sku").alias("_ls"))
     hit = cand.join(pl, "id").filter(F.col("_ln").contains(F.col("_lt")) | F.col("_ls").contains(F.col("_lt")))

@@ -42,27 +42,40 @@ def admit_bills(lines: DataFrame, stock: DataFrame, chunk: Column | None = None,
 
     ``lines``: (bill_id, product_id, quantity, created_at); several lines of a
     product in one bill are summed.  ``stock``: (product_id, stock).  Returns
-    (bill_id, created_at, accepted, reject_reason, rounds)."""
+    (bill_id, created_at, accepted, reject_reason, rounds).
+
+    A bill with an unknown (or null) product, a null or non-positive quantity,
+    or no arrival time is refused before any stock is looked at; lines without
+    a bill id are refused as one row with a null ``bill_id``."""
+    nameless = lines.filter(F.col("bill_id").isNull()).limit(1).select(
+        "bill_id", F.lit(None).cast(lines.schema["created_at"].dataType).alias("created_at"), F.lit(False).alias("accepted"),
+        F.lit("bill_id_missing").alias("reject_reason"))
+    lines = lines.filter(F.col("bill_id").isNotNull())
     chunk = chunk if chunk is not None else F.to_date("arrived")
     ln = lines.groupBy("bill_id", "product_id").agg(
-        F.sum("quantity").alias("qty"), F.min("quantity").alias("_minq"), F.min("created_at").alias("created_at"))
+        F.sum("quantity").alias("qty"), F.min(F.coalesce("quantity", F.lit(0))).alias("_minq"), F.min("created_at").alias("created_at"))
     arrival = ln.groupBy("bill_id").agg(F.min("created_at").alias("arrived"))
     ln = ln.drop("created_at").join(arrival, "bill_id")
     st = stock.select("product_id", F.col("stock").cast("bigint").alias("stock"))
     ln = ln.join(st, "product_id", "left")
     pre = ln.groupBy("bill_id").agg(
-        F.max(F.col("stock").isNull().cast("int")).alias("_unknown"), F.min("_minq").alias("_minq"))
+        F.max(F.col("stock").isNull().cast("int")).alias("_unknown"), F.min("_minq").alias("_minq"),
+        F.max("arrived").alias("arrived"))
     state = pre.select("bill_id", F.when(F.col("_unknown") == 1, "product_not_found")
-                       .when(F.col("_minq") <= 0, "quantity_not_positive").alias("reject_reason"))
+                       .when(F.col("_minq") <= 0, "quantity_not_positive")
+                       .when(F.col("arrived").isNull(), "created_at_missing").alias("reject_reason"))
     state = state.select("bill_id", F.when(F.col("reject_reason").isNull(), "U").otherwise("R").alias("state"),
                          "reject_reason")
     ln = _ckpt(ln.select("bill_id", "product_id", "qty", "arrived", "stock"))
     state = _ckpt(state)
-    rounds = 0
+    rounds, before = 0, None
     while True:
         undecided = state.filter(F.col("state") == "U").count()
         if undecided == 0:
             break
+        if undecided == before:
+            raise RuntimeError(f"a round decided none of {undecided} bills")
+        before = undecided
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"admission did not converge in {max_rounds} rounds")
         rounds += 1
@@ -84,9 +97,9 @@ def admit_bills(lines: DataFrame, stock: DataFrame, chunk: Column | None = None,
             F.when(F.col("_new") == "R", F.lit("insufficient_stock")).otherwise(F.col("reject_reason"))
             .alias("reject_reason"))
         state = _ckpt(state)
-    return state.join(arrival, "bill_id").select(
-        "bill_id", F.col("arrived").alias("created_at"), (F.col("state") == "A").alias("accepted"),
-        "reject_reason", F.lit(rounds).alias("rounds"))
+    out = state.join(arrival, "bill_id").select(
+        "bill_id", F.col("arrived").alias("created_at"), (F.col("state") == "A").alias("accepted"), "reject_reason")
+    return out.unionByName(nameless).withColumn("rounds", F.lit(rounds))
 
 
 def clamped_accept(steps: DataFrame, opening: DataFrame, key: str, order: list[str], delta: str,
@@ -95,15 +108,27 @@ def clamped_accept(steps: DataFrame, opening: DataFrame, key: str, order: list[s
     starts at ``opening`` (id, balance); a step that would take the balance
     below zero is refused and skipped.  Returns ``steps`` plus ``accepted``,
     ``balance_before`` and ``balance_after`` (of accepted steps; the balance the
-    refused step saw), and ``rounds``."""
+    refused step saw), ``refused`` and ``rounds``.
+
+    Steps that cannot be applied are refused first, with a null balance and a
+    reason in ``refused``: ``key_not_found`` (null, or not in ``opening``),
+    ``value_missing``, ``time_missing`` (any null order column)."""
     s = steps.withColumn("_d", F.col(delta).cast("bigint"))
-    s = s.withColumn("_st", F.when(F.col("_d") >= 0, "A").otherwise("U"))
     op = opening.select(F.col("id").alias("_k"), F.col("balance").cast("bigint").alias("_open"))
-    s = s.join(op, s[key] == op._k, "left").drop("_k").withColumn("_open", F.coalesce("_open", F.lit(0)))
+    s = s.join(op, s[key] == op._k, "left")
+    untimed = F.lit(False)
+    for c in order:
+        untimed = untimed | F.col(c).isNull()
+    s = s.withColumn("refused", F.when(F.col("_k").isNull(), "key_not_found").when(F.col("_d").isNull(), "value_missing")
+                     .when(untimed, "time_missing")).drop("_k").withColumn("_open", F.coalesce("_open", F.lit(0)))
+    s = s.withColumn("_st", F.when(F.col("refused").isNotNull(), "R").when(F.col("_d") >= 0, "A").otherwise("U"))
     s = s.withColumn("_ck", chunk)
     s = _ckpt(s)
-    rounds = 0
-    while s.filter(F.col("_st") == "U").count() > 0:
+    rounds, before = 0, None
+    while (undecided := s.filter(F.col("_st") == "U").count()) > 0:
+        if undecided == before:
+            raise RuntimeError(f"a round decided none of {undecided} steps")
+        before = undecided
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"clamped accept did not converge in {max_rounds} rounds")
         rounds += 1
@@ -123,6 +148,6 @@ def clamped_accept(steps: DataFrame, opening: DataFrame, key: str, order: list[s
     s = running_sum(s, key, order, "_a", F.col("_ck"), out="_acc")
     after = F.col("_open") + F.col("_acc")
     return s.select(*steps.columns, (F.col("_st") == "A").alias("accepted"),
-                    (after - F.col("_a")).alias("balance_before"),
+                    F.when(F.col("refused").isNull(), after - F.col("_a")).alias("balance_before"),
                     F.when(F.col("_st") == "A", after).alias("balance_after"),
-                    F.lit(rounds).alias("rounds"))
+                    "refused", F.lit(rounds).alias("rounds"))

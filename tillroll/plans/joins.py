@@ -1,9 +1,5 @@
 """Join shapes used across the operators.
 
-* ``bounded_broadcast`` — broadcast a side only after proving it small: the
-  check counts at most ``max_rows + 1`` rows (a bounded scan) and falls back
-  to the ordinary shuffle join beyond the bound.  Without a hint, Catalyst's
-  own size estimate and AQE's runtime statistics decide.
 * ``lookup_codes`` — an OR over several key columns (``id = x OR sku = x OR
   barcode = x``) re-expressed as an equi-join: unpivot the keys into
   ``(code, key_rank, id)`` rows and join on ``code``, keeping the best rank.
@@ -15,15 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIM_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DIM_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it holds at most ``max_rows`` rows, else ``df``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def and_all(preds: list[Column | None]) -> Column:
     """Fold optional predicates with AND; no predicate means TRUE."""
     out = F.lit(True)

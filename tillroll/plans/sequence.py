@@ -46,19 +46,20 @@ def running_sums(df: DataFrame, key: str, order: list[str], values: list[str], c
                  outs: list[str]) -> DataFrame:
     """Several running totals in one pass: ``outs[i]`` = sum of ``values[i]`` over rows
     of the same ``key`` up to and including this row (one window, one chunk
-    aggregate, one offset join for all of them)."""
+    aggregate, one offset join for all of them).  Rows with a null key or chunk are kept; a
+    null chunk comes first."""
     d = df.withColumn("_chunk", chunk)
     within = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for v, o in zip(values, outs):
         d = d.withColumn(f"_in_{o}", F.sum(v).over(within))
     chunk_tot = d.groupBy(key, "_chunk").agg(*[F.sum(v).alias(f"_tot_{o}") for v, o in zip(values, outs)])
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = chunk_tot.select(key, "_chunk", *[F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_off_{o}")
+    offs = chunk_tot.select(F.col(key).alias("_okey"), F.col("_chunk").alias("_ochunk"), *[F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_off_{o}")
                                              for o in outs])
-    d = d.join(offs, [key, "_chunk"], "inner")
+    d = d.join(offs, F.col(key).eqNullSafe(F.col("_okey")) & F.col("_chunk").eqNullSafe(F.col("_ochunk")), "inner")
     for o in outs:
         d = d.withColumn(o, F.col(f"_off_{o}") + F.col(f"_in_{o}"))
-    return d.drop("_chunk", *[f"_in_{o}" for o in outs], *[f"_off_{o}" for o in outs])
+    return d.drop("_chunk", "_okey", "_ochunk", *[f"_in_{o}" for o in outs], *[f"_off_{o}" for o in outs])
 
 
 def running_sum(df: DataFrame, key: str, order: list[str], value: str, chunk: Column,

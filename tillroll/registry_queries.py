@@ -523,6 +523,17 @@ select distinct r.payment_id as id, 'refunded' as status
 from {_REFREQ} r join payments p on p.id = r.payment_id
 where p.status = 'completed' and coalesce(r.amount, p.amount) > 0 and coalesce(r.amount, p.amount) <= p.amount""")(
     lambda t: D.refund_payments(t, W.refund_requests(t.returns))[1])
+register("d18_refund_decisions", f"""
+with r as (select *, 0 as again from {_REFREQ} x union all
+           select request_id + 1000000000, payment_id, amount, created_at + interval 1 hour, 1 from {_REFREQ} y)
+select r.request_id, r.payment_id,
+  case when p.id is null then 'payment_not_found' when p.status <> 'completed' then 'payment_not_refundable'
+       when coalesce(r.amount, p.amount) <= 0 then 'amount_not_positive'
+       when coalesce(r.amount, p.amount) > p.amount then 'amount_exceeds_payment'
+       when again = 1 then 'payment_already_refunded' end as reject_reason
+from r left join payments p on p.id = r.payment_id""")(
+    lambda t: D.refund_decisions(t, W.asked_twice(W.refund_requests(t.returns))).select(
+        "request_id", "payment_id", "reject_reason"))
 register("d18a_net_collections", """
 select bill_id, method, cast(sum(amount) as decimal(18,2)) as net_collected, count(*) as payment_rows
 from payments where status in ('completed', 'refunded') group by 1, 2""")(lambda t: D.net_collections(t.payments))
@@ -566,13 +577,15 @@ _NEWP = """(select event_id as request_id, concat('New ', cast(event_id as varch
    case when event_id % 2 = 0 then concat('890', lpad(cast(event_id as varchar), 10, '0')) end as barcode,
    cast(floor(value) as decimal(12,2)) as price from events where event_type = 'purchase')"""
 register("d22_unique_on_create", f"""
-select n.request_id, n.name, n.sku, n.barcode, n.price,
-  case when exists (select 1 from products p where p.sku = n.sku) then 'sku_exists'
-       when row_number() over (partition by n.sku order by n.request_id) > 1 then 'sku_repeated_in_batch'
-       when n.barcode is not null and exists (select 1 from products p where p.barcode = n.barcode) then 'barcode_exists'
-       when n.barcode is not null and row_number() over (partition by n.barcode order by n.request_id) > 1
-         then 'barcode_repeated_in_batch' end as conflict
-from {_NEWP} n""")(lambda t: I.unique_on_create(t.products, W.new_products(t.raw("events")), ["sku", "barcode"]))
+with f as (select n.*, sku in (select sku from products) as sku_held,
+             coalesce(barcode in (select barcode from products where barcode is not null), false) as barcode_held
+           from {_NEWP} n),
+winner as (select sku, min(request_id) as won from f where not sku_held and not barcode_held group by sku)
+select f.request_id, f.name, f.sku, f.barcode, f.price,
+  case when sku_held then 'sku_exists' when f.request_id > winner.won then 'sku_repeated_in_batch'
+       when barcode_held then 'barcode_exists' end as conflict
+from f left join winner on winner.sku = f.sku""")(
+    lambda t: I.unique_on_create(t.products, W.new_products(t.raw("events")), ["sku", "barcode"]))
 register("d22b_product_rules", f"""
 select request_id, name, sku, barcode, price,
   case when name is null or trim(name) = '' then 'name_required' when sku is null or trim(sku) = '' then 'sku_required'
@@ -652,8 +665,8 @@ from customers c join (select customer_id, sum(cast(floor(net_amount / 10) as bi
   on x.customer_id = c.id""")(lambda t: SL.loyalty(t.spark, t.sf_dir, t))
 register("s05_order_intake_stream", f"""
 select y.* from ({_TOTALS}) y join bills b on b.id = y.bill_id
-where b.id % 97 <> 0 and b.payment_method in ('cash', 'card', 'upi', 'wallet', 'credit')""")(
-    lambda t: SI.run_intake(t.spark, t))
+where b.payment_method in ('cash', 'card', 'upi', 'wallet', 'credit')""")(
+    lambda t: SI.committed_rows(t.spark, SI.run_intake(t.spark, t), "bills"))
 
 # ------------------------------------------------------------------ D4 (iterative; rows-only check)
 register("d04_admit_orders")(lambda t: D.admit_orders(t, t.bills))
@@ -666,16 +679,16 @@ hits as (select distinct t.term, p.id, p.name, p.sku, p.price from terms t join
 select * from (select term, id, name, sku, price, row_number() over (partition by term order by name, id) as rank
                from hits) y where rank <= 20""")(lambda t: B.bulk_product_search(t, B.name_words(t)))
 
-register("a03_order_request_rejects", """
-select case when b.id % 97 = 0 then null else b.id end as request_id,
-       case when b.id % 97 = 0 then 'malformed_json'
-            when not exists (select 1 from bill_items bi where bi.bill_id = b.id) then 'items_required'
-            when b.payment_method not in ('cash', 'card', 'upi', 'wallet', 'credit') then 'invalid_payment_method'
-       end as reject_reason
-from bills b
-where b.id % 97 = 0 or not exists (select 1 from bill_items bi where bi.bill_id = b.id)
-   or b.payment_method not in ('cash', 'card', 'upi', 'wallet', 'credit')""")(
-    lambda t: SI.parse_and_check(t.spark, t))
+_REFUSED_REQUESTS = """
+with counted as (select bill_id, count(*) as n from bill_items group by bill_id),
+judged as (select b.id, coalesce(c.n, 0) as n, b.payment_method from bills b left join counted c on c.bill_id = b.id)
+select id as request_id, case when n = 0 then 'items_required' else 'invalid_payment_method' end as reject_reason
+from judged where n = 0 or payment_method = 'razorpay'
+union all
+select null, 'malformed_json' from bills where id % 97 = 0"""
+register("a03_order_request_rejects", _REFUSED_REQUESTS)(lambda t: SI.parse_and_check(t.spark, t))
+register("s05_order_intake_rejects", _REFUSED_REQUESTS)(
+    lambda t: SI.committed_rows(t.spark, SI.run_intake(t.spark, t), "rejects"))
 
 # ------------------------------------------------------------------ quirk twins and variants
 register("q06_net_sales", f"""
@@ -707,8 +720,7 @@ select request_id, name, sku, barcode, price, cast(0 as decimal(5,2)) as tax_rat
 register("d25_touch_updated_at", f"""
 select c.id, coalesce(p.email, c.email) as email,
        coalesce(p.email is not null and p.email is distinct from c.email, false) as changed,
-       case when p.email is not null and p.email is distinct from c.email
-            then timestamp '{AS_OF}' end as updated_at
+       case when p.id is not null then timestamp '{AS_OF}' end as updated_at
 from customers c left join (select user_id as id, arg_max(concat('u', cast(event_id as varchar), '@mail.example'),
   event_id) as email from events where event_type = 'signup' group by user_id) p on p.id = c.id""")(
     lambda t: I.apply_patch(t.customers, W.customer_patches(t.raw("events")), "id", ["name", "email"],
@@ -745,11 +757,10 @@ register("d12_adjust_stock", """
 with recursive s as (
   select a.id, a.product_id, a.adjustment, a.type, a.adjusted_by, a.created_at, cast(p.stock_quantity as bigint) as open,
          row_number() over (partition by a.product_id order by a.created_at, a.id) as n
-  from stock_adjustments a left join products p on p.id = a.product_id),
+  from stock_adjustments a join products p on p.id = a.product_id),
 r as (
-  select id, product_id, n, coalesce(open, 0) as before,
-         case when coalesce(open, 0) + adjustment >= 0 then coalesce(open, 0) + adjustment else coalesce(open, 0) end as after,
-         coalesce(open, 0) + adjustment >= 0 as accepted
+  select id, product_id, n, open as before, case when open + adjustment >= 0 then open + adjustment else open end as after,
+         open + adjustment >= 0 as accepted
   from s where n = 1
   union all
   select s.id, s.product_id, s.n, r.after,
@@ -760,7 +771,10 @@ select s.id, s.product_id, s.adjustment, coalesce(s.type, 'manual') as type, s.a
        cast(r.before as bigint) as previous_quantity,
        cast(case when r.accepted then r.after end as bigint) as new_quantity,
        case when not r.accepted then 'insufficient_stock' end as reject_reason
-from s join r on r.id = s.id""")(lambda t: D.adjust_stock(t))
+from s join r on r.id = s.id
+union all
+select id, product_id, adjustment, coalesce(type, 'manual'), adjusted_by, created_at, false, null, null, 'product_not_found'
+from stock_adjustments where product_id not in (select id from products)""")(lambda t: D.adjust_stock(t))
 
 register("d13_redeem_points", f"""
 with recursive req as (
@@ -769,11 +783,10 @@ with recursive req as (
 s as (
   select q.*, cast(c.loyalty_points as bigint) as open,
          row_number() over (partition by q.customer_id order by q.created_at, q.request_id) as n
-  from req q left join customers c on c.id = q.customer_id where q.points > 0),
+  from req q join customers c on c.id = q.customer_id where q.points > 0),
 r as (
-  select request_id, customer_id, n, coalesce(open, 0) as before,
-         case when coalesce(open, 0) - points >= 0 then coalesce(open, 0) - points else coalesce(open, 0) end as after,
-         coalesce(open, 0) - points >= 0 as accepted
+  select request_id, customer_id, n, open as before, case when open >= points then open - points else open end as after,
+         open >= points as accepted
   from s where n = 1
   union all
   select s.request_id, s.customer_id, s.n, r.after,
@@ -788,7 +801,10 @@ from s join r on r.request_id = s.request_id
 union all
 select request_id, customer_id, points, created_at, false, cast(null as bigint), cast(null as decimal(12,2)),
        cast(null as varchar), cast(null as bigint), 'points_not_positive'
-from req where not (points > 0) or points is null""")(
+from req where not (points > 0) or points is null
+union all
+select request_id, customer_id, points, created_at, false, null, null, null, null, 'customer_not_found'
+from req where points > 0 and customer_id not in (select id from customers)""")(
     lambda t: D.redeem_points(t, W.redemption_requests(t.raw("events"))))
 
 _NEWC = """(select event_id as id, concat('Customer#', cast(event_id as varchar)) as name,
@@ -798,13 +814,12 @@ register("d22_unique_customers", f"""
 select n.id, n.name, n.email, n.phone,
   case when exists (select 1 from customers c where c.phone = n.phone) then 'phone_exists'
        when row_number() over (partition by n.phone order by n.id) > 1 then 'phone_repeated_in_batch'
-       when exists (select 1 from customers c where lower(trim(c.email)) = lower(trim(n.email))) then 'email_exists'
-       when row_number() over (partition by lower(trim(n.email)) order by n.id) > 1 then 'email_repeated_in_batch'
+       when exists (select 1 from customers c where c.email = n.email) then 'email_exists'
+       when row_number() over (partition by n.email order by n.id) > 1 then 'email_repeated_in_batch'
   end as conflict
 from {_NEWC} n""")(
     lambda t: I.unique_on_create(t.customers, W.new_customers(t.raw("events")).select("id", "name", "email", "phone"),
-                                 ["phone", "email"], id_col="id",
-                                 normalise={"email": lambda c: F.lower(F.trim(c))}))
+                                 ["phone", "email"], id_col="id"))
 register("d22b_customer_rules", f"""
 select id, name, email, phone,
   case when name is null or trim(name) = '' then 'name_required'

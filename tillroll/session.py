@@ -6,7 +6,7 @@ fills in settings that are still unset, so cluster configuration wins.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,8 +45,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local tests) a private folder
-    under the system temp dir is chosen and registered with the context.
+    A cluster must name it.  Only on a local master, where driver and executors
+    are one process, a private temporary folder stands in; it goes when the session ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +54,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tillroll-ckpt-")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"file://{configured}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -99,6 +99,13 @@ def refund_requests(returns: DataFrame) -> DataFrame:
         F.col("bill_id").alias("request_id"), F.col("bill_id").alias("payment_id"), "amount", "created_at")
 
 
+def asked_twice(requests: DataFrame) -> DataFrame:
+    """Every refund request, and the same again an hour later under another id."""
+    again = requests.withColumns({"request_id": F.col("request_id") + 1_000_000_000,
+                                  "created_at": F.timestamp_add("HOUR", F.lit(1), F.col("created_at"))})
+    return requests.unionByName(again)
+
+
 def customer_patches(events: DataFrame) -> DataFrame:
     """Signup events change a customer's e-mail (customer = user id), in event order."""
     e = events.filter(F.col("event_type") == "signup")

@@ -1,11 +1,11 @@
 """S5 + A3: order intake — JSON order requests to priced, committed bills.
 
 Requests arrive as JSON lines; each micro-batch (``foreachBatch``) parses them
-(PERMISSIVE, malformed bodies kept in ``_corrupt_record`` and rejected),
+(text lines through ``from_json``, PERMISSIVE; malformed bodies are rejected),
 applies the order rules (D22c), refuses orders naming an unknown product,
 prices the lines (D1), totals the bills (D2) and commits bills, lines and
-rejects as one snapshot per batch id (A5).  Duplicated request ids are
-dropped within the watermark.  Replaying a batch id rewrites that batch's
+rejects as one snapshot per batch id (A5).  A duplicated request id is taken
+once, in any batch.  Replaying a batch id rewrites that batch's
 snapshot, so the sink is idempotent.
 """
 
@@ -21,11 +21,11 @@ from tillroll.streaming.sinks import commit_snapshot, scratch
 ORDER_SCHEMA = ("request_id bigint, customerId bigint, paymentMethod string, discountAmount decimal(12,2), "
                 "items array<struct<productId:bigint,quantity:int,discount:decimal(12,2)>>, "
                 "created_at timestamp_ntz, _corrupt_record string")
-MALFORMED_EVERY = 97   # every 97th derived request is cut short to exercise the reject path
-
-
 def order_requests_json(t, keep_id: bool = False) -> DataFrame:
-    """A request per bill, as JSON text: header fields plus the bill's lines."""
+    """A request per bill, as JSON text: header fields plus the bill's lines.
+
+    The workload also holds broken bodies, for every bill in whose id 97 goes
+    without a rest one more line that ends after 40 characters."""
     items = t.bill_items.groupBy(F.col("bill_id").alias("_bid")).agg(F.sort_array(F.collect_list(F.struct(
         F.col("product_id").alias("productId"), F.col("quantity").alias("quantity"),
         F.col("discount").alias("discount")))).alias("items"))
@@ -34,15 +34,31 @@ def order_requests_json(t, keep_id: bool = False) -> DataFrame:
     body = F.to_json(F.struct(F.col("id").alias("request_id"), F.col("customer_id").alias("customerId"),
                               F.col("payment_method").alias("paymentMethod"),
                               F.col("discount_amount").alias("discountAmount"), "items", "created_at"))
-    value = F.when(F.col("id") % MALFORMED_EVERY == 0, F.substring(body, 1, 40)).otherwise(body).alias("value")
-    return j.select(value, F.col("id").alias("_id")) if keep_id else j.select(value)
+    out = j.select(body.alias("value"), F.col("id").alias("_id"))
+    broken = F.when(F.col("_id") % 97 == 0, F.array("value", F.substring("value", 1, 40))).otherwise(F.array("value"))
+    out = out.select(F.explode(broken).alias("value"), "_id")
+    return out if keep_id else out.select("value")
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Text lines (``value``) as order columns, PERMISSIVE, with ``_key``: what makes a request one request.
+
+    That is its id, or for a body without one its text's hash."""
+    fields = F.from_json("value", ORDER_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.select("value", fields.alias("_o")).select("value", "_o.*")
+    return rows.withColumn("_key", F.coalesce(F.when(F.col("_corrupt_record").isNull(), F.col("request_id").cast("string")),
+                                              F.sha2(F.coalesce("value", F.lit("")).cast("binary"), 256)))
 
 
 def parse_orders(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A3: (well-formed orders, malformed rejects) from parsed JSON rows."""
-    bad = raw.filter(F.col("_corrupt_record").isNotNull()).select(
-        F.col("request_id"), F.lit("malformed_json").alias("reject_reason"))
-    ok = raw.filter(F.col("_corrupt_record").isNull()).select(
+    """A3: (well-formed orders, rejects of the others) from ``parsed`` lines.
+
+    A body that is no JSON object is ``malformed_json``, one without an id ``request_id_missing``."""
+    broken = F.col("_corrupt_record").isNotNull() | F.coalesce(F.trim("value") == "", F.lit(True))
+    bad = raw.filter(broken | F.col("request_id").isNull()).select(
+        F.lit(None).cast("bigint").alias("request_id"),
+        F.when(broken, "malformed_json").otherwise("request_id_missing").alias("reject_reason"))
+    ok = raw.filter(~broken & F.col("request_id").isNotNull()).select(
         "request_id", F.col("customerId").alias("customer_id"), F.col("paymentMethod").alias("payment_method"),
         F.coalesce("discountAmount", F.lit(0).cast("decimal(12,2)")).alias("discount_amount"), "items", "created_at")
     return ok, bad
@@ -58,31 +74,40 @@ def process_orders(orders: DataFrame, products: DataFrame) -> dict[str, DataFram
         F.col("it.discount").alias("discount"))
     known = products.select(F.col("id").alias("product_id"))
     unknown = lines.join(known, "product_id", "left_anti").select(F.col("bill_id").alias("request_id")).distinct()
-    rejects = rejects.unionByName(unknown.withColumn("reject_reason", F.lit("product_not_found")))
+    bad_quantity = (lines.filter(F.coalesce(F.col("quantity") <= 0, F.lit(True))).select(F.col("bill_id").alias("request_id"))
+                    .distinct().join(unknown, "request_id", "left_anti"))
+    rejects = (rejects.unionByName(unknown.withColumn("reject_reason", F.lit("product_not_found")))
+               .unionByName(bad_quantity.withColumn("reject_reason", F.lit("quantity_not_positive"))))
+    unknown = unknown.unionByName(bad_quantity)
     lines = lines.join(unknown.select(F.col("request_id").alias("bill_id")), "bill_id", "left_anti")
     priced = price_lines(lines, products)
-    headers = ok.select(F.col("request_id").alias("id"), "discount_amount")
+    headers = ok.join(unknown, "request_id", "left_anti").select(F.col("request_id").alias("id"), "discount_amount")
     bills = bill_totals(priced, headers)
     return {"bills": bills, "bill_items": priced, "rejects": rejects}
 
 
-def run_intake(spark: SparkSession, t, requests_dir: str | None = None, max_files: int = 4) -> DataFrame:
-    """Run the intake stream over JSON request files until drained; return the
-    committed bills of all batches."""
-    root = scratch(spark, "s05-intake")
+def _request_files(spark: SparkSession, t, path: str) -> str:
+    """The derived requests as text files, one per shuffle partition."""
+    order_requests_json(t).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.text(path)
+    return path
+
+
+def run_intake(spark: SparkSession, t, requests_dir: str | None = None, max_files: int = 4, root: str | None = None) -> str:
+    """Run the intake stream over JSON request files until drained; returns the root of its commits.
+
+    A request id (or, without one, a body) counts once, however the files fall
+    into micro-batches: the stream's own state holds every key seen, without a time limit, so no
+    request is late.  A run with the ``root`` of an earlier one goes on where that stopped."""
+    if root is None:
+        root = scratch(spark, "s05-intake")
     if requests_dir is None:
-        requests_dir = f"{root}/requests"
-        order_requests_json(t).repartition(8).write.mode("overwrite").text(requests_dir)
-    raw = (spark.readStream.schema(ORDER_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", max_files)
-           .json(requests_dir))
-    raw = raw.withColumn("_et", F.coalesce(F.col("created_at"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-                         .cast("timestamp")).withWatermark("_et", "1 day")
+        requests_dir = _request_files(spark, t, f"{root}/requests")
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(requests_dir)
     products = t.products
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # several tables are written from one micro-batch: read and parse it once
-        batch = batch.dropDuplicates(["request_id", "_corrupt_record"]).persist()
+        batch = batch.persist()
         try:
             orders, bad = parse_orders(batch)
             out = process_orders(orders, products)
@@ -91,22 +116,23 @@ def run_intake(spark: SparkSession, t, requests_dir: str | None = None, max_file
         finally:
             batch.unpersist()
 
-    q = (raw.dropDuplicatesWithinWatermark(["request_id", "_corrupt_record"]).writeStream.foreachBatch(handle)
+    q = (parsed(lines).dropDuplicates(["_key"]).writeStream.foreachBatch(handle)
          .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
+    return root
+
+
+def committed_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A committed table over all batches of a run."""
     committed = spark.read.parquet(f"{root}/commits").select("batch_id")
-    bills = spark.read.parquet(f"{root}/snapshots/bills")
-    return bills.join(committed, "batch_id", "left_semi").drop("batch_id")
+    return spark.read.parquet(f"{root}/snapshots/{table}").join(committed, "batch_id", "left_semi").drop("batch_id")
 
 
 def parse_and_check(spark: SparkSession, t) -> DataFrame:
-    """A3 + D22c in batch: the derived JSON requests read back PERMISSIVE, with
+    """A3 + D22c in batch: the derived JSON requests read back, with
     every refused request and its reason (malformed, no items, bad method,
     unknown product)."""
-    root = scratch(spark, "a03-requests")
-    order_requests_json(t).repartition(8).write.mode("overwrite").text(root)
-    raw = (spark.read.schema(ORDER_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(root))
+    raw = parsed(spark.read.text(_request_files(spark, t, scratch(spark, "a03-requests")))).dropDuplicates(["_key"])
     orders, bad = parse_orders(raw)
     return process_orders(orders, t.products)["rejects"].unionByName(bad)
 
@@ -209,7 +235,7 @@ def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame,
     return out, start_seq + n_accepted
 
 
-def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_files: int = 4) -> str:
+def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_files: int = 4, root: str | None = None) -> str:
     """S5 full path: the intake stream where every micro-batch continues from the
     previous committed snapshot (stock, loyalty, bill sequence) and commits its
     own.  Request ids already billed or refused by an earlier committed batch
@@ -217,12 +243,11 @@ def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_fi
     snapshots and rewrites the same output.  Returns the snapshot root."""
     from tillroll.streaming.sinks import commit_meta, last_committed, read_snapshot
 
-    root = scratch(spark, "s05-checkout")
+    if root is None:
+        root = scratch(spark, "s05-checkout")
     if requests_dir is None:
         requests_dir = write_requests_in_time_order(t, f"{root}/requests")
-    raw = (spark.readStream.schema(ORDER_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", max_files)
-           .json(requests_dir))
+    raw = parsed(spark.readStream.option("maxFilesPerTrigger", max_files).text(requests_dir))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         prev = last_committed(spark, root, before=batch_id)
@@ -232,7 +257,7 @@ def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_fi
             products = read_snapshot(spark, root, "products", prev)
             customers = read_snapshot(spark, root, "customers", prev)
             seq = commit_meta(spark, root, prev)["next_seq"]
-        batch = batch.dropDuplicates(["request_id", "_corrupt_record"]).persist()
+        batch = batch.dropDuplicates(["_key"]).persist()
         orders, bad = parse_orders(batch)
         if prev is not None:
             # a request id already billed or refused by an earlier batch is a duplicate
@@ -257,6 +282,4 @@ def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_fi
 
 def checkout_bills(spark: SparkSession, t) -> DataFrame:
     """The bills committed by a full checkout run over the derived requests."""
-    root = run_checkout(spark, t)
-    committed = spark.read.parquet(f"{root}/commits").select("batch_id")
-    return spark.read.parquet(f"{root}/snapshots/bills").join(committed, "batch_id", "left_semi").drop("batch_id")
+    return committed_rows(spark, run_checkout(spark, t), "bills")

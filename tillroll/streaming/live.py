@@ -91,11 +91,9 @@ def stock_balance(spark: SparkSession, sf_dir: str, t) -> DataFrame:
     p = t.products.select(F.col("id").alias("_pid"), "stock_quantity", "minimum_stock")
 
     def alerts(batch: DataFrame, batch_id: int) -> None:
-        try:
-            prev = (spark.read.parquet(f"{out}/data").filter(F.col("batch_id") < batch_id)
-                    .groupBy("product_id").agg(F.max_by("delta", "batch_id").alias("_prev")))
-        except Exception:  # noqa: BLE001  (first batch: nothing before it)
-            prev = spark.createDataFrame([], "product_id bigint, _prev bigint")
+        # this batch's own rows are already written, so the folder is there
+        prev = (spark.read.parquet(f"{out}/data").filter(F.col("batch_id") < batch_id)
+                .groupBy("product_id").agg(F.max_by("delta", "batch_id").alias("_prev")))
         j = batch.join(prev, "product_id", "left").join(p, F.col("product_id") == p._pid, "inner")
         before = F.col("stock_quantity") + F.coalesce("_prev", F.lit(0))
         after = F.col("stock_quantity") + F.col("delta")

@@ -29,6 +29,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tillroll/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there.  Any other trouble with the file system is raised, never taken for "empty"."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def run_update_stream(stream: DataFrame, keys: list[str], out: str, trigger_once: bool = True,
                       on_batch=None) -> DataFrame:
     """Run ``stream`` (an aggregate) in update mode until the input is drained;
@@ -46,10 +52,9 @@ def run_update_stream(stream: DataFrame, keys: list[str], out: str, trigger_once
     spark = stream.sparkSession
     cols = list(stream.columns)
     schema = T.StructType(list(stream.schema.fields) + [T.StructField("batch_id", T.LongType())])
-    try:
-        res = spark.read.schema(schema).parquet(f"{out}/data")
-    except Exception:  # noqa: BLE001  (no batch had rows)
+    if not exists(spark, f"{out}/data"):  # no batch had rows
         return spark.createDataFrame([], stream.schema)
+    res = spark.read.schema(schema).parquet(f"{out}/data")
     return first_per_key(res, keys, ["batch_id"], latest=True).select(*cols)
 
 
@@ -65,10 +70,9 @@ def commit_snapshot(frames: dict[str, DataFrame], root: str, batch_id: int, meta
 
 def last_committed(spark: SparkSession, root: str, before: int | None = None) -> int | None:
     """The newest batch id with a commit marker (below ``before`` when given)."""
-    try:
-        c = spark.read.parquet(f"{root}/commits")
-    except Exception:  # noqa: BLE001  (nothing committed yet)
+    if not exists(spark, f"{root}/commits"):  # nothing committed yet
         return None
+    c = spark.read.parquet(f"{root}/commits")
     if before is not None:
         c = c.filter(F.col("batch_id") < before)
     r = c.agg(F.max("batch_id").alias("b")).first()
