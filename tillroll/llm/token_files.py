@@ -16,7 +16,7 @@ uint32 offset from the minimum.  The width covers the ``PERCENTILE`` of the
 block's offsets.
 
 Defined cases: null text is empty (the end id alone); equal ``doc_id``s are
-ordered by text and all written; null ids come first; other columns are not
+ordered by their texts' xxhash64 and all written; null ids come first; other columns are not
 read; an empty table writes no files.
 """
 
@@ -124,9 +124,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS
             yield out()
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # The text's hash stands in for it: what the driver samples to find the ranges holds no texts.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-               .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text"))
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text")))
+               .repartitionByRange(parts, *order).sortWithinPartitions(*order, "text"))
     return stored(ordered.mapInArrow(run, FILES), "token-files")
 
 
