@@ -12,7 +12,7 @@ from tests.conftest import SF_SMALL
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ODD = ["", " ", "\n\n a", "a\tb", "a \u00a0 b", "x  y   z ", "it's I'LL don't", "<|endoftext|> a", "é\u0301 e\u0301 \u0301", "\x1c a",
-       "12,345.67 ...!!", "日本語 テスト", "Σ ΣΑΣ σας", "a\r\nb", "\u200b a", "word," * 30, "naïve ﬁ ½", "3.5, x., a.. b,. é, (z), 1,000.", " ", " a", "\na", " \na b", "a\nb c", "\n", "a ", "a\n", "  a", "\n\na", "it's, I'll.", "\ufeffx", " lead", "trail "]
+       "12,345.67 ...!!", "日本語 テスト", "Σ ΣΑΣ σας", "a\r\nb", "\u200b a", "word," * 30, "naïve ﬁ ½", "3.5, x., a.. b,. é, (z), 1,000.", " ", " a", "\na", " \na b", "a\nb c", "\n", "a ", "a\n", "  a", "\n\na", "it's, I'll.", "\ufeffx", " lead", "trail ", "a*** b!? c:\nd...  e) f'. g.'s h_ i-j- k\n\n.", "x\x01. y.", "end.", "= \u0338 a=\u0338 a= b"]
 
 
 @functools.cache
@@ -27,8 +27,10 @@ def ids_of(name, text):
 @pytest.mark.parametrize("name", FILES)
 def test_chunked_encoding_is_the_library_s(small, name):
     enc = Encoder(queries._tokenizer(name))
-    for text in [*ODD, *[t for (t,) in small("documents", "text")]]:
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == whole(name).encode(text, add_special_tokens=False).ids, text[:80]
+    texts = [*ODD, *[t for (t,) in small("documents", "text")]]
+    for text, ids in [*zip(texts, enc.encode(texts)), *[(t, enc.encode([t])[0]) for t in ODD]]:
+        assert np.frombuffer(ids, "<u4").tolist() == whole(name).encode(text, add_special_tokens=False).ids, text[:80]
+    assert enc.encode([]) == []
 
 
 def test_blocks_round_trip():

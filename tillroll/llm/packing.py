@@ -156,8 +156,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> Da
         encode, uid = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
         for cols, texts in chunks(batches):
             rows: tuple[list, ...] = tuple([] for _ in range(6))
-            for doc_id, text in zip(cols["doc_id"], texts):
-                ids = encode(text) + end
+            for doc_id, ids in zip(cols["doc_id"], encode(texts)):
+                ids += end
                 for at in range(0, len(ids), 4 * size):
                     part = ids[at:at + 4 * size]
                     row = doc_id, at // (4 * size), at // 4, len(part) // 4, zlib.crc32(part), uid

@@ -50,7 +50,7 @@ def pack_block(ids: np.ndarray) -> tuple[bytes, int]:
     out = np.flatnonzero(off >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
     packed = off.copy()
     packed[out] = 0
-    bits = ((packed[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    bits = np.unpackbits(packed.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
     body = _BLOCK_HEAD.pack(low, width, len(ids), len(out)) + np.packbits(bits.ravel(), bitorder="little").tobytes()
     patches = np.empty(len(out), _EXCEPTION)
     patches["place"], patches["value"] = out, off[out]
@@ -61,8 +61,9 @@ def unpack_block(data: bytes, start: int, exceptions: int) -> np.ndarray:
     low, width, n, n_out = _BLOCK_HEAD.unpack_from(data, start)
     at = start + _BLOCK_HEAD.size
     packed = np.frombuffer(data, np.uint8, (n * width + 7) // 8, at)
-    bits = np.unpackbits(packed, count=n * width, bitorder="little").reshape(n, width).astype(np.uint32)
-    off = (bits << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(packed, count=n * width, bitorder="little").reshape(n, width)
+    off = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
     patches = np.frombuffer(data, _EXCEPTION, n_out, exceptions)
     off[patches["place"]] = patches["value"]
     return off + np.uint32(low)
@@ -114,8 +115,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS
                 ["part", "file", "before", "n_ids", "n_docs", "content"])
 
         for cols, texts in chunks(batches):
-            for doc_id, text in zip(cols["doc_id"], texts):
-                held.append((doc_id, encode(text) + end))
+            for doc_id, ids in zip(cols["doc_id"], encode(texts)):
+                held.append((doc_id, ids + end))
                 size += len(held[-1][1]) // 4
                 if size >= file_ids:
                     yield out()

@@ -1,11 +1,13 @@
 """Token ids of whole texts by the tokenizers library, with the ids of repeated chunks kept.
 
 Both vocabularies end a pre-token wherever a non-blank character is followed by
-a space or line break, and wherever an ASCII letter or digit is followed by a full stop or
-comma, so the chunks between such places can be encoded one by one and their
-ids put together.  A worker process keeps the ids of chunks it has seen (two
-generations of at most ``KEEP``).  Texts holding any other white space, or a
-string that the tokenizer treats as one special token, are encoded whole.
+a space or line break, and wherever an ASCII letter or digit is followed by ASCII
+punctuation; such punctuation up to the next blank is one pre-token, unless it holds an
+apostrophe.  So the chunks between such places can be encoded one by one and their
+ids put together.  Texts are encoded many at a time, each distinct chunk among
+them once.  A worker process keeps the ids of chunks it has seen (two
+generations of at most ``KEEP``).  Texts holding any other white space, the
+mark ``GLUED``, or a string that the tokenizer treats as one special token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,23 +19,26 @@ from functools import cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 KEEP = 500_000
 _LONG = 64  # a chunk of more characters is not kept
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_STOPPED = re.compile(r"(.*[A-Za-z0-9])([.,])", re.DOTALL)
+_TAIL = re.compile(r"(?<=[A-Za-z0-9])[!-&(-/:-@\[-`{-~]+(?=[ \n]|\Z)")
+GLUED = "\x01"  # begins the key of punctuation that stands at the end of a word
 # White space besides space and line break, as Python or Unicode see it, and characters that may count as such.
 _OTHER_BLANK = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"] + ["\u180e", "\u200b", "\u2060", "\ufeff"]
 
 
 class Encoder:
-    """A chunk's key is the chunk itself, without its space where one space and then a non-blank begin it."""
+    """A chunk's key is the chunk itself, without its space where one space and then a non-blank begin it, or with GLUED."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = [*_OTHER_BLANK, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
-        self.stops = {c: self._ids([c])[0] for c in ".,"}
+        self.whole = [GLUED, *_OTHER_BLANK, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -42,46 +47,58 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, keys: set[str]) -> None:
-        """Ids of the keys into ``seen``; a full stop or comma after a letter or digit is put on afterwards."""
-        stopped = {k: m.groups() for k in keys if k[-1] in ".," and (m := _STOPPED.fullmatch(k))}
-        seen, older = self.seen, self.older
-        new = []
-        for k in {stopped[k][0] if k in stopped else k for k in keys}:
-            if k not in seen:
-                if k in older:
-                    seen[k] = older[k]
-                else:
-                    new.append(k)
-        seen.update(zip(new, self._ids([k if k[0] in " \n" else " " + k for k in new])))
-        for k, (body, stop) in stopped.items():
-            seen[k] = seen[body] + self.stops[stop]
+        """Ids of the keys into ``seen``."""
+        old = keys & self.older.keys()
+        self.seen.update((k, self.older[k]) for k in old)
+        new = list(keys - old)
+        self.seen.update(zip(new, self._ids([k[1:] if k[0] == GLUED else k if k[0] in " \n" else " " + k for k in new])))
 
-    def encode(self, text: str) -> bytes:
-        """All ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(s in text for s in self.whole):
-            return self._ids([text])[0]
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n":
-            first, *rest = _CHUNK.findall(text)
-            keys = [c[1:] if len(c) > 1 and c[0] == " " and c[1] not in " \n" else c for c in rest]
-        else:  # the same, where every blank stands alone
-            first, *keys = text.replace("\n", " \n").split(" ")
-        if text[0] in " \n":
-            first, keys = "", ([first, *keys] if first != "" else keys)
-            if text[0] == " " and keys[0][0] == " " and keys[0].strip(" \n") and keys[0][1] not in " \n":
-                keys[0] = keys[0][1:]
-        ids = list(map(self.seen.get, keys))
-        if None in ids:
-            missing = {k for k, i in zip(keys, ids) if i is None}
+    def _spaced(self, text: str) -> list[str]:
+        """The first chunk (empty if the text begins with a blank) and the keys of the others, for any run of blanks."""
+        first, *rest = _CHUNK.findall(text)
+        keys = [c[1:] if len(c) > 1 and c[0] == " " and c[1] not in " \n" else c for c in rest]
+        if first[0] not in " \n":
+            return [first, *keys]
+        return ["", first[1:] if len(first) > 1 and first[0] == " " and first[1] not in " \n" else first, *keys]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(texts)
+        whole, spaced, single = [], [], []  # single: every blank stands alone, inside the text
+        for i, t in enumerate(texts):
+            if any(s in t for s in self.whole):
+                whole.append(i)
+            elif t:
+                odd = "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n"
+                (spaced if odd else single).append(i)
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = ids
+        if not single and not spaced:
+            return out
+        tail = " " + GLUED + r"\g<0>"
+        split = pc.split_pattern(pa.array([_TAIL.sub(tail, texts[i]).replace("\n", " \n") for i in single], pa.string()), " ")
+        rest = [self._spaced(_TAIL.sub(tail, texts[i])) for i in spaced]
+        firsts = self._ids(pc.list_element(split, 0).to_pylist() + [r[0] for r in rest])
+        # A first chunk's place in the list of all chunks holds a key like any other, and gets its own ids below.
+        flat = pa.concat_arrays([split.flatten(), pa.array([k or "." for r in rest for k in r], pa.string())]).dictionary_encode()
+        counts = np.concatenate([pc.list_value_length(split).to_numpy(), [len(r) for r in rest]]).astype(np.int64)
+        start = np.cumsum(counts) - counts
+        codes = flat.indices.to_numpy().astype(np.int64)
+        keys = flat.dictionary.to_pylist()
+        codes[start] = len(keys) + np.arange(len(counts))
+        if missing := set(keys).difference(self.seen):
             self._add(missing)
-            ids = list(map(self.seen.__getitem__, keys))
-            for k in missing:
-                if len(k) > _LONG:
-                    self.seen.pop(k, None)
-            if len(self.seen) > KEEP:
-                self.older, self.seen = self.seen, {}
-        return b"".join([*self._ids([first] if first else []), *ids])
+        found = pa.array([*map(self.seen.__getitem__, keys), *firsts], pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8)
+        ids = memoryview(found.buffers()[2] or b"")
+        for i, x, y in zip([*single, *spaced], ends[start].tolist(), ends[start + counts].tolist()):
+            out[i] = bytes(ids[x:y])
+        for k in missing:
+            if len(k) > _LONG:
+                self.seen.pop(k, None)
+        if len(self.seen) > KEEP:
+            self.older, self.seen = self.seen, {}
+        return out
 
 
 @cache
