@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import chunks, stored
-from tillroll.llm.tokens import encoder
+from tillroll.llm.tokens import CHARS, encoder
 
 SIZE, GROUP_PIECES, FAN_IN = 4096, 8192, 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
@@ -154,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, uid = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
-        for cols, texts in chunks(batches):
+        for cols, texts in chunks(batches, chars=CHARS):
             rows: tuple[list, ...] = tuple([] for _ in range(6))
             for doc_id, ids in zip(cols["doc_id"], encode(texts)):
                 ids += end

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import chunks, stored
-from tillroll.llm.tokens import encoder
+from tillroll.llm.tokens import CHARS, encoder
 
 BLOCK, PERCENTILE, FILE_IDS = 1024, 90, 1 << 18
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIII"), struct.Struct("<IBHH")
@@ -114,7 +114,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS
                 pa.array([size], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([write_file(held)], pa.binary())],
                 ["part", "file", "before", "n_ids", "n_docs", "content"])
 
-        for cols, texts in chunks(batches):
+        for cols, texts in chunks(batches, chars=CHARS):
             for doc_id, ids in zip(cols["doc_id"], encode(texts)):
                 held.append((doc_id, ids + end))
                 size += len(held[-1][1]) // 4
