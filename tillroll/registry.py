@@ -1,7 +1,7 @@
 """Registered queries: name -> (Spark builder over a Retail catalog, DuckDB oracle SQL).
 
-The Spark side calls the library; the oracle side is the source application's
-SQL written against the model CTEs of ``tillroll.oracle``, with explicit
+The Spark side calls the library; the oracle side states the operator
+in SQL (reports: sets aggregated before any join) against the model CTEs of ``tillroll.oracle``, with explicit
 casts so both engines return the same types (sums decimal(18,2), counts
 bigint, means double).  Names carry the SURVEY §2 id.
 """

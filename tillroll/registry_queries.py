@@ -56,9 +56,10 @@ register("c08_daily_payment_mix", f"select payment_method, count(*) as count, {S
     lambda t: C.daily_payment_mix(t, DAY))
 
 register("c09_daily_top_products", f"""
-select p.id, p.name, cast(sum(bi.quantity) as bigint) as total_sold, {S('bi.total_price')} as revenue
-from bill_items bi join products p on bi.product_id = p.id join bills b on bi.bill_id = b.id
-where {_b(DAY_PRED)} group by p.id, p.name order by revenue desc, p.id limit 10""")(
+with chosen as (select product_id as id, sum(quantity) as units, sum(total_price) as taken from bill_items
+  where bill_id in (select id from bills where {DAY_PRED}) group by product_id)
+select id, name, cast(units as bigint) as total_sold, cast(taken as decimal(18,2)) as revenue
+from chosen join products using (id) order by revenue desc, id limit 10""")(
     lambda t: C.daily_top_products(t, DAY))
 
 _WK = f"created_at >= timestamp '{WEEK_START} 00:00:00' and created_at < timestamp '{WEEK_START} 00:00:00' " \
@@ -82,13 +83,12 @@ select cast(date_trunc('week', created_at) as date) as week_start, count(*) as t
     lambda t: C.monthly_by_week(t, YEAR, MONTH))
 
 register("c14_monthly_by_department", f"""
-select d.name as department, count(b.id) as transactions, {S0('bi.total_price')} as revenue
-from departments d
-left join products p on p.department_id = d.id
-left join bill_items bi on bi.product_id = p.id
-left join bills b on bi.bill_id = b.id and extract(year from b.created_at) = {YEAR}
-     and extract(month from b.created_at) = {MONTH} and b.status = 'completed'
-group by d.id, d.name order by revenue desc""")(lambda t: C.monthly_by_department(t, YEAR, MONTH))
+with marks as (select product_id, total_price as taken, 0 as hit from bill_items
+  union all select product_id, 0, 1 from bill_items where bill_id in (select id from bills where {MONTH_PRED})),
+placed as (select department_id as id, sum(taken) as taken, sum(hit) as hits
+  from (select product_id as id, sum(taken) as taken, sum(hit) as hit from marks group by 1) join products using (id) group by 1)
+select name as department, cast(coalesce(hits, 0) as bigint) as transactions, cast(coalesce(taken, 0) as decimal(18,2)) as revenue
+from departments left join placed using (id) order by revenue desc""")(lambda t: C.monthly_by_department(t, YEAR, MONTH))
 
 register("c14_monthly_by_department_fixed", f"""
 select d.name as department, cast(coalesce(x.n, 0) as bigint) as transactions,
@@ -100,14 +100,12 @@ from departments d left join (
 order by revenue desc""")(lambda t: C.monthly_by_department_fixed(t, YEAR, MONTH))
 
 _C15 = f"""
-select d.id, d.name as department, count(distinct b.id) as total_bills, {Q0('bi.quantity')} as items_sold,
-       {S0('bi.total_price')} as revenue, {S0('bi.tax_amount')} as tax_collected
-from departments d
-left join products p on p.department_id = d.id
-left join bill_items bi on bi.product_id = p.id
-left join bills b on bi.bill_id = b.id
-where {_b(RANGE_PRED)}
-group by d.id, d.name order by revenue desc"""
+with per_bill as (select department_id as id, bill_id, sum(quantity) as units, sum(total_price) as taken, sum(tax_amount) as tax
+  from (select product_id as id, bill_id, quantity, total_price, tax_amount from bill_items
+        where bill_id in (select id from bills where {RANGE_PRED})) join products using (id) group by 1, 2),
+figures as (select id, count(*) as total_bills, cast(sum(units) as bigint) as items_sold,
+  cast(sum(taken) as decimal(18,2)) as revenue, cast(sum(tax) as decimal(18,2)) as tax_collected from per_bill group by id)
+select id, name as department, total_bills, items_sold, revenue, tax_collected from figures join departments using (id)"""
 register("c15_department_report", _C15)(lambda t: C.department_report(t, START, END))
 
 register("c15_department_report_fixed", f"""
@@ -122,14 +120,11 @@ from departments d left join (
 order by revenue desc""")(lambda t: C.department_report_fixed(t, START, END))
 
 register("c16_product_report", f"""
-select p.id, p.name, p.sku, p.category, {Q0('bi.quantity')} as total_sold, {S0('bi.total_price')} as revenue,
-       {S0('bi.tax_amount')} as tax_collected, p.stock_quantity as current_stock
-from products p
-left join bill_items bi on bi.product_id = p.id
-left join bills b on bi.bill_id = b.id and {_b(RANGE_PRED)}
-where p.is_active = true
-group by p.id, p.name, p.sku, p.category, p.stock_quantity
-order by revenue desc, p.id limit 20""")(lambda t: C.product_report(t, START, END))
+with moved as (select product_id as id, sum(quantity) as units, sum(total_price) as taken, sum(tax_amount) as tax
+  from bill_items group by product_id)
+select id, name, sku, category, cast(coalesce(units, 0) as bigint) as total_sold, cast(coalesce(taken, 0) as decimal(18,2)) as revenue,
+       cast(coalesce(tax, 0) as decimal(18,2)) as tax_collected, stock_quantity as current_stock
+from products left join moved using (id) where is_active order by revenue desc, id limit 20""")(lambda t: C.product_report(t, START, END))
 
 register("c16_product_report_fixed", f"""
 select p.id, p.name, p.sku, p.category, cast(coalesce(x.q, 0) as bigint) as total_sold,
@@ -143,35 +138,34 @@ where p.is_active = true
 order by revenue desc, p.id limit 20""")(lambda t: C.product_report_fixed(t, START, END))
 
 register("c17_cashier_report", f"""
-select u.id, u.name as cashier, count(b.id) as total_bills, {S0('b.net_amount')} as total_revenue,
-       {A0('b.net_amount')} as avg_bill_value, {S0('b.discount_amount')} as total_discounts
-from users u left join bills b on b.cashier_id = u.id and {_b(RANGE_PRED)}
-where u.role = 'cashier' and u.is_active = true
-group by u.id, u.name order by total_revenue desc""")(lambda t: C.cashier_report(t, START, END))
+with took as (select cashier_id as id, count(*) as bills, sum(net_amount) as net, sum(discount_amount) as off
+  from bills where {RANGE_PRED} group by cashier_id)
+select id, name as cashier, coalesce(bills, 0) as total_bills, cast(coalesce(net, 0) as decimal(18,2)) as total_revenue,
+       coalesce(cast(net as double) / bills, 0.0) as avg_bill_value, cast(coalesce(off, 0) as decimal(18,2)) as total_discounts
+from users left join took using (id) where role = 'cashier' and is_active""")(lambda t: C.cashier_report(t, START, END))
 
 register("c18_tax_summary", f"""
 select count(*) as total_bills, {S0('net_amount')} as total_revenue, {S0('tax_amount')} as total_tax_collected
 from bills where {RANGE_PRED}""")(lambda t: C.tax_summary(t, START, END))
 
 register("c19_tax_by_rate", f"""
-select bi.tax_rate, {S0('bi.total_price - bi.tax_amount')} as taxable_amount, {S0('bi.tax_amount')} as tax_amount,
-       count(distinct b.id) as bills_count
-from bill_items bi join bills b on bi.bill_id = b.id where {_b(RANGE_PRED)}
-group by bi.tax_rate order by bi.tax_rate""")(lambda t: C.tax_by_rate(t, START, END))
+with per_bill as (select tax_rate, bill_id, sum(total_price) as taken, sum(tax_amount) as tax from bill_items
+  where bill_id in (select id from bills where {RANGE_PRED}) group by 1, 2)
+select tax_rate, cast(sum(taken) - sum(tax) as decimal(18,2)) as taxable_amount, cast(sum(tax) as decimal(18,2)) as tax_amount,
+       count(*) as bills_count
+from per_bill group by tax_rate""")(lambda t: C.tax_by_rate(t, START, END))
 
 register("c20_top_products", f"""
-select p.id, p.name, p.sku, p.category, cast(sum(bi.quantity) as bigint) as total_sold,
-       {S('bi.total_price')} as revenue
-from bill_items bi join products p on bi.product_id = p.id join bills b on bi.bill_id = b.id
-where {_b(RANGE_PRED)} group by p.id, p.name, p.sku, p.category
-order by total_sold desc, p.id limit 10""")(lambda t: C.top_products(t, START, END))
+with chosen as (select product_id as id, sum(quantity) as units, sum(total_price) as taken from bill_items
+  where bill_id in (select id from bills where {RANGE_PRED}) group by product_id)
+select id, name, sku, category, cast(units as bigint) as total_sold, cast(taken as decimal(18,2)) as revenue
+from chosen join products using (id) order by total_sold desc, id limit 10""")(lambda t: C.top_products(t, START, END))
 
 register("c21_top_customers", f"""
-select c.id, c.name, c.email, c.phone, c.loyalty_tier, count(b.id) as total_bills,
-       {S('b.net_amount')} as total_spent
-from customers c join bills b on b.customer_id = c.id
-where {_b(RANGE_PRED)} group by c.id, c.name, c.email, c.phone, c.loyalty_tier
-order by total_spent desc, c.id limit 10""")(lambda t: C.top_customers(t, START, END))
+with spent as (select customer_id as id, count(*) as total_bills, cast(sum(net_amount) as decimal(18,2)) as total_spent
+  from bills where {RANGE_PRED} group by customer_id)
+select id, name, email, phone, loyalty_tier, total_bills, total_spent
+from customers join spent using (id) order by total_spent desc, id limit 10""")(lambda t: C.top_customers(t, START, END))
 
 # ------------------------------------------------------------------ B: listings
 from tillroll.operators import listing as B  # noqa: E402
@@ -264,21 +258,21 @@ register("b09_departments_list", """
 select d.id, d.name, d.description, d.manager_id, u.name as manager_name, d.is_active, d.created_at
 from departments d left join users u on d.manager_id = u.id where d.is_active = true order by d.name""")(
     B.departments_list)
-register("b10_department_stats", """
-select d.id, d.name, d.description, d.manager_id, u.name as manager_name, d.is_active,
-       count(distinct p.id) as product_count,
-       cast(coalesce(sum(p.stock_quantity * p.price), 0) as decimal(18,2)) as inventory_value
-from departments d left join users u on d.manager_id = u.id
-left join products p on p.department_id = d.id and p.is_active = true
-where d.is_active = true group by d.id, d.name, d.description, d.manager_id, u.name, d.is_active
-order by d.name""")(B.department_stats)
-register("b11_department_detail", """
-select d.id, d.name, d.description, d.manager_id, u.name as manager_name, d.is_active,
-       count(distinct p.id) as product_count, count(distinct emp.id) as employee_count
-from departments d left join users u on d.manager_id = u.id
-left join products p on p.department_id = d.id and p.is_active = true
-left join users emp on emp.department_id = d.id and emp.is_active = true
-group by d.id, d.name, d.description, d.manager_id, u.name, d.is_active""")(B.department_detail)
+register("b10_department_stats", f"""
+with stock as (select department_id as id, count(*) as kinds, sum(stock_quantity * price) as worth from products
+  where is_active group by department_id),
+heads as (select id as manager_id, name as manager_name from users)
+select id, name, description, manager_id, manager_name, is_active, coalesce(kinds, 0) as product_count,
+       cast(coalesce(worth, 0) as decimal(18,2)) as inventory_value
+from departments left join heads using (manager_id) left join stock using (id) where is_active""")(B.department_stats)
+register("b11_department_detail", f"""
+with counted as (select id, sum(product) as products, sum(employee) as employees from (
+    select department_id as id, 1 as product, 0 as employee from products where is_active
+    union all select department_id, 0, 1 from users where is_active) group by id),
+heads as (select id as manager_id, name as manager_name from users)
+select id, name, description, manager_id, manager_name, is_active, cast(coalesce(products, 0) as bigint) as product_count,
+       cast(coalesce(employees, 0) as bigint) as employee_count
+from departments left join heads using (manager_id) left join counted using (id)""")(B.department_detail)
 
 register("b12_bill_documents", """
 select b.id, b.bill_number, c.name as customer_name, u.name as cashier_name, b.net_amount, b.status,
@@ -726,17 +720,14 @@ from customers c left join (select user_id as id, arg_max(concat('u', cast(event
     lambda t: I.apply_patch(t.customers, W.customer_patches(t.raw("events")), "id", ["name", "email"],
                             touch=F.lit(AS_OF).cast("timestamp_ntz"))[0].select("id", "email", "changed", "updated_at"))
 
-register("c15_department_report_one", _C15.replace("where ", "where p.department_id = 3 and ", 1))(
+register("c15_department_report_one", _C15 + " where id = 3")(
     lambda t: C.department_report(t, START, END, department_id=3))
 register("c16_product_report_one", f"""
-select p.id, p.name, p.sku, p.category, {Q0('bi.quantity')} as total_sold, {S0('bi.total_price')} as revenue,
-       {S0('bi.tax_amount')} as tax_collected, p.stock_quantity as current_stock
-from products p
-left join bill_items bi on bi.product_id = p.id
-left join bills b on bi.bill_id = b.id and {_b(RANGE_PRED)}
-where p.is_active = true and p.department_id = 3
-group by p.id, p.name, p.sku, p.category, p.stock_quantity
-order by revenue desc, p.id limit 20""")(lambda t: C.product_report(t, START, END, department_id=3))
+with moved as (select product_id as id, sum(quantity) as units, sum(total_price) as taken, sum(tax_amount) as tax
+  from bill_items group by product_id)
+select id, name, sku, category, cast(coalesce(units, 0) as bigint) as total_sold, cast(coalesce(taken, 0) as decimal(18,2)) as revenue,
+       cast(coalesce(tax, 0) as decimal(18,2)) as tax_collected, stock_quantity as current_stock
+from products left join moved using (id) where is_active and department_id = 3 order by revenue desc, id limit 20""")(lambda t: C.product_report(t, START, END, department_id=3))
 
 _WKNOW = "created_at >= timestamp '2001-07-16 00:00:00' and created_at < timestamp '2001-07-23 00:00:00' " \
          "and status = 'completed'"
