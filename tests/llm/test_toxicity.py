@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from tillroll.llm import queries, toxicity
-from tests.conftest import SF_MID
+from tests.conftest import SF_MID, SF_SMALL
 
 
 def brute_segments(scores):
@@ -29,6 +29,21 @@ def test_segments_against_definition():
         assert np.allclose([s for *_, s in got], [s for *_, s in brute_segments(scores)])
 
 
+def test_least_evidence():
+    """The bar counts only words that can reach it."""
+    assert toxicity._least_evidence([], 0.1) == np.inf and toxicity._least_evidence([(1, 1000)], 0.1) == np.inf
+    assert np.isclose(toxicity._least_evidence([(1, 1000), (4, 50), (2, 90)], 0.1), np.log(50))
+    assert np.isclose(toxicity._least_evidence([(1, 10**6), (9, 1), (5, 20)], 0.1), np.log(21))
+
+
+def test_small_tables_still_teach(spark):
+    """Eleven toxic labels are enough to find toxic documents and leave all clean ones."""
+    import duckdb
+    labels = dict(duckdb.connect().execute(f"SELECT doc_id, toxic FROM '{SF_SMALL}/labels.parquet'").fetchall())
+    hit = {r["doc_id"] for r in queries.op6_toxicity(spark, SF_SMALL).collect() if r["predicted"]}
+    assert sum(labels.get(i) == 1 for i in hit) >= 5 and not any(labels.get(i) == 0 for i in hit)
+
+
 def test_held_out_accuracy(spark):
     import duckdb
     labels = dict(duckdb.connect().execute(f"SELECT doc_id, toxic FROM '{SF_MID}/labels.parquet'").fetchall())
@@ -58,3 +73,5 @@ def test_cases(spark, docs_of):
     assert out["_passages"][0]["start"] == 0 and out["_passages"][0]["end"] == len("vile vile creature")
     assert toxicity.keep_clean(df, labels.limit(0)).count() == len(rows)
     assert toxicity.keep_clean(df.limit(0), labels).count() == 0
+    one_word = toxicity.fit(docs_of([(0, "a"), (1, "a")]), labels.where("doc_id in (0, 1)"))  # a vocabulary of one word tells nothing
+    assert not one_word.scores

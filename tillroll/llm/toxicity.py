@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 Learning.  The numbers of training documents of either label that hold a word give its log-odds with an
-informative Dirichlet prior (``PRIOR`` times the word's count in both); the ``LEXICON`` words with the largest z-scores, of at least
-``MIN_Z`` and with log-odds of at least ``MIN_SCORE``, score their log-odds, every other word scores ``DRIFT``.
+informative Dirichlet prior (``PRIOR`` times the word's count in both).  Telling words, whose toxic share no more than
+``CHANCE`` words would reach by chance (Tarone's correction of the Chernoff bound) and with log-odds of at least
+``MIN_SCORE``, score their log-odds (the ``LEXICON`` strongest of them), every other word scores ``DRIFT``.
 
 Scoring.  One linear scan per text finds all maximal-scoring segments (Ruzzo and
 Tompa).  Segment scores follow an extreme-value law on clean text: lambda
@@ -39,7 +40,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from tillroll.llm.common import _WORD, fresh, stored, words
 
-LEXICON, MIN_Z, MIN_SCORE, DRIFT, PRIOR, FIT_ROWS = 50_000, 3.0, 2.0, -0.3, 0.02, 200_000
+LEXICON, CHANCE, MIN_SCORE, DRIFT, PRIOR, FIT_ROWS = 50_000, 1.0, 2.0, -0.3, 0.02, 200_000
 _FLUSH = 200_000
 
 
@@ -133,6 +134,22 @@ def _counts(docs: DataFrame, sent) -> DataFrame:
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
+def _least_evidence(found: list[tuple[int, int]], share: float, chance: float = CHANCE) -> float:
+    """Evidence from which at most ``chance`` words pass by chance; ``found`` are (documents n, words in n documents).
+
+    A word in n documents has evidence of at most n ln(1 / share).  Words that
+    cannot reach the bar are no trials (Tarone), so the bar is the lowest ln(trials / chance)
+    that all counted trials can reach; infinite if none can.
+    """
+    trials, bar = 0, math.inf
+    for n, m in sorted(found, reverse=True):
+        trials += m
+        if -n * math.log(share) < math.log(trials / chance):
+            break
+        bar = math.log(trials / chance)
+    return bar
+
+
 def _lambda(freq: np.ndarray, score: np.ndarray) -> float:
     """The positive root of sum freq exp(lambda score) = 1 (freq and scores of lexicon words; the rest drifts)."""
     rest = max(1 - freq.sum(), 1e-12)
@@ -176,9 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column | None = None, f
     prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic"))
     yt, yc = F.col("toxic") + prior, F.col("clean") + prior
     delta = F.log(yt / (n_t + mass - yt)) - F.log(yc / (n_c + mass - yc))
-    lexicon = (counts.where(F.col("toxic") > 0).select("word", delta.alias("s"), (yc / (n_c + mass)).alias("p"),
-                                                       (delta / F.sqrt(1 / yt + 1 / yc)).alias("z"))
-               .where((F.col("z") >= MIN_Z) & (F.col("s") >= MIN_SCORE)).orderBy(F.col("z").desc(), "word").limit(LEXICON).collect())
+    # Evidence that a word is telling: the Chernoff bound -ln P(at least so many of its documents are toxic by chance).
+    share = max(share, n_t / max(n_c + n_t, 1))
+    n, rate = F.col("clean") + F.col("toxic"), F.col("toxic") / (F.col("clean") + F.col("toxic"))
+    evidence = F.col("toxic") * F.log(rate / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    sizes = counts.groupBy(n.alias("n")).count().collect()  # at most one row per number of training documents
+    lexicon = (counts.where(rate > share).select("word", delta.alias("s"), (yc / (n_c + mass)).alias("p"), evidence.alias("e"))
+               .where((F.col("e") >= _least_evidence([(r[0], r[1]) for r in sizes], share)) & (F.col("s") >= MIN_SCORE))
+               .orderBy(F.col("e").desc(), "word").limit(LEXICON).collect())
     model = Model({r["word"]: r["s"] for r in lexicon})
     if lexicon:
         model.lam = _lambda(np.array([r["p"] for r in lexicon]), np.array([r["s"] for r in lexicon]))
