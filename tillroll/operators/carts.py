@@ -39,3 +39,11 @@ def fold_carts(events: DataFrame, products: DataFrame) -> DataFrame:
 def last_login(logins: DataFrame, user_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
     """The latest login per user, ready to patch ``users.last_login``."""
     return logins.groupBy(F.col(user_col).alias("id")).agg(F.max(ts_col).alias("last_login"))
+
+
+def record_logins(users: DataFrame, logins: DataFrame, user_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
+    """``users`` with ``last_login`` moved forward to each user's latest login; others keep theirs (null if none)."""
+    last = last_login(logins, user_col, ts_col).select(F.col("id").alias("_uid"), F.col("last_login").alias("_at"))
+    old = F.col("last_login") if "last_login" in users.columns else F.lit(None)
+    j = users.join(last, users["id"] == last["_uid"], "left")
+    return j.withColumn("last_login", F.greatest(old.cast("timestamp_ntz"), F.col("_at").cast("timestamp_ntz"))).drop("_uid", "_at")

@@ -241,22 +241,21 @@ FOREIGN_KEYS = [
 def check_foreign_keys(t) -> DataFrame:
     """Per reference, the number of child rows whose non-null key has no parent.
 
-    Child keys are first reduced to distinct (reference, key, rows) with a
-    map-side-combinable count, so a hot key (e.g. one product on a third of
-    all lines) costs one row; then one anti-join per *parent* table checks
-    all references to it at once."""
+    Each child table is read once: its keys become (reference, parent, key)
+    rows, reduced with a map-side-combinable count, so a hot key (e.g. one product on a third of
+    all lines) costs one row; then one anti-join on (parent, key) checks all references."""
     spark = t.spark
-    parts = []
-    parents = sorted({p for _, _, p in FOREIGN_KEYS})
-    for parent in parents:
-        refs = [(i, c, col) for i, (c, col, p) in enumerate(FOREIGN_KEYS) if p == parent]
-        keys = reduce(DataFrame.unionByName, [
-            t.table(child).filter(F.col(col).isNotNull())
-            .groupBy(F.col(col).cast("bigint").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_ref", F.lit(i)) for i, child, col in refs])
-        ids = t.table(parent).select(F.col("id").cast("bigint").alias("_k"))
-        parts.append(keys.join(ids, "_k", "left_anti").groupBy("_ref").agg(F.sum("_n").alias("_orphans")))
-    orphans = reduce(DataFrame.unionByName, parts)
+    refs_of: dict[str, list[tuple[int, str, str]]] = {}
+    for i, (child, col, parent) in enumerate(FOREIGN_KEYS):
+        refs_of.setdefault(child, []).append((i, col, parent))
+    keys = reduce(DataFrame.unionByName, [
+        t.table(child).select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("_ref"), F.lit(parent).alias("_parent"), F.col(col).cast("bigint").alias("_k"))
+            for i, col, parent in refs])).alias("_r")).select("_r.*").filter(F.col("_k").isNotNull())
+        .groupBy("_ref", "_parent", "_k").agg(F.count(F.lit(1)).alias("_n")) for child, refs in refs_of.items()])
+    ids = reduce(DataFrame.unionByName, [t.table(p).select(F.lit(p).alias("_parent"), F.col("id").cast("bigint").alias("_k"))
+                                         for p in sorted({p for _, _, p in FOREIGN_KEYS})])
+    orphans = keys.join(ids, ["_parent", "_k"], "left_anti").groupBy("_ref").agg(F.sum("_n").alias("_orphans"))
     # The reference list itself (metadata), so references without orphans report 0.
     refs = spark.createDataFrame([(i, c, col, p) for i, (c, col, p) in enumerate(FOREIGN_KEYS)],
                                  "_ref int, table_name string, column_name string, parent_table string")

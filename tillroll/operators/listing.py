@@ -47,9 +47,10 @@ def attach(rows: DataFrame, key: str, dim: DataFrame, dim_key: str, cols: dict[s
     # but a shuffle would hash them all into the null key's one partition.
     # Joining on (key, salt) — salt 0 for keyed rows, a hash bucket 1..N for
     # null-keyed ones, 0 on the dimension side — spreads them out in the
-    # same single pass (a struct key, so the salt is not folded away).
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(NULL_SPREAD))
-                  + 1).otherwise(F.lit(0).cast("bigint"))
+    # same single pass (a struct key, so the salt is not folded away).  The bucket
+    # is that of the row's own key, its first other column, so no further column is read.
+    own = next((c for c in rows.columns if c != key), key)
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(F.col(own)), F.lit(NULL_SPREAD)) + 1).otherwise(F.lit(0).cast("bigint"))
     r = rows.withColumn("_jk", F.struct(F.col(key).alias("k"), salt.alias("s")))
     dj = d.withColumn("_jk", F.struct(F.col("_dk").alias("k"), F.lit(0).cast("bigint").alias("s"))).drop("_dk")
     return r.join(dj, "_jk", "left").drop("_jk")
@@ -99,6 +100,11 @@ def bills_list(t, start=None, end=None, status=None, customer_id=None, role=None
     return pg.select(*BILL_LIST_COLS), tot
 
 
+def bills_total(t, start=None, end=None, status=None, customer_id=None, role=None, user_id=None) -> DataFrame:
+    """The total of ``bills_list`` alone; no page is built."""
+    return bills_filter(t, start, end, status, customer_id, role, user_id).agg(F.count(F.lit(1)).alias("total"))
+
+
 def with_presentation(df: DataFrame) -> DataFrame:
     """``Walk-in`` for bills without a customer, success/warning badge by status."""
     return df.withColumn("customer_label", customer_label("customer_name")) \
@@ -132,6 +138,11 @@ def products_list(t, department_id=None, category=None, in_stock: bool = False,
     return pg.select(*PRODUCT_LIST_COLS), tot
 
 
+def products_total(t, department_id=None, category=None, in_stock: bool = False, search=None) -> DataFrame:
+    """The total of ``products_list`` alone; no page is built."""
+    return products_filter(t, department_id, category, in_stock, search).agg(F.count(F.lit(1)).alias("total"))
+
+
 def product_search(t, q: str, k: int = 20) -> DataFrame:
     """ILIKE on name or sku, exact barcode; active; first 20 by name."""
     pattern = f"%{q}%"
@@ -290,13 +301,17 @@ def document_summary(docs: DataFrame) -> DataFrame:
                    zero).alias("items_total"))
 
 
+def document_lines(docs: DataFrame) -> DataFrame:
+    """The nested lines of the documents, flat, with their place in the array (from 1)."""
+    return docs.select("id", F.posexplode("items").alias("line_no", "x")).select(
+        "id", (F.col("line_no") + 1).alias("line_no"), "x.*")
+
+
 # ------------------------------------------------------------- B13–B16 lookups
 def resolve_products(t, scans: DataFrame, code_col: str = "code") -> DataFrame:
     """A scanned code may be a product id, barcode or sku (inactive included)."""
-    r = lookup_codes(scans, code_col, t.products, "id", ["id", "barcode", "sku"])
-    r = attach(r, "matched_id", t.products, "id", {"name": "name", "price": "price", "stock_quantity": "stock_quantity",
-                                                    "department_id": "department_id",
-                                                    "supplier_id": "supplier_id"}, rows_bounded=False)
+    r = lookup_codes(scans, code_col, t.products, "id", ["id", "barcode", "sku"],
+                     {c: c for c in ("name", "price", "stock_quantity", "department_id", "supplier_id")})
     r = attach(r, "department_id", t.departments, "id", {"name": "department_name"}, rows_bounded=False)
     r = attach(r, "supplier_id", t.suppliers, "id", {"name": "supplier_name"}, rows_bounded=False)
     return r.withColumnRenamed("matched_id", "product_id")
@@ -309,9 +324,8 @@ def completed_bill_counts(t) -> DataFrame:
 
 def resolve_customers(t, keys: DataFrame, code_col: str = "code") -> DataFrame:
     """A key may be a customer id, phone or email; plus completed-bill count."""
-    r = lookup_codes(keys, code_col, t.customers, "id", ["id", "phone", "email"])
-    r = attach(r, "matched_id", t.customers, "id", {"name": "name", "loyalty_points": "loyalty_points",
-                                                     "loyalty_tier": "loyalty_tier"}, rows_bounded=False)
+    r = lookup_codes(keys, code_col, t.customers, "id", ["id", "phone", "email"],
+                     {c: c for c in ("name", "loyalty_points", "loyalty_tier")})
     cnt = completed_bill_counts(t)
     r = r.join(cnt, r.matched_id == cnt._cid, "left").drop("_cid")
     return r.withColumn("total_bills", F.when(F.col("matched_id").isNotNull(),
@@ -327,23 +341,15 @@ def resolve_payments(t, keys: DataFrame, code_col: str = "code") -> DataFrame:
     pay = t.payments
     b = t.bills.select(F.col("id").alias("_bid"), "bill_number", F.col("net_amount").alias("bill_amount"))
     pb = pay.join(b, pay.bill_id == b._bid, "inner").drop("_bid")
-    idx = pb.select(F.col("id").cast("string").alias("code"), F.lit(0).alias("rank"), "created_at", "id") \
-        .unionByName(pb.filter(F.col("gateway_transaction_id").isNotNull())
-                     .select(F.col("gateway_transaction_id").alias("code"), F.lit(1).alias("rank"), "created_at", "id"))
-    best = idx.groupBy("code").agg(F.min(F.struct("rank", "created_at", "id")).alias("_b")) \
-        .select(F.col("code").alias("_code"), F.col("_b.id").alias("payment_id"))
-    r = keys.join(best, keys[code_col] == best._code, "left").drop("_code")
-    return attach(r, "payment_id", pb, "id", {"bill_id": "bill_id", "bill_number": "bill_number",
-                                              "amount": "amount", "method": "method", "status": "status",
-                                              "bill_amount": "bill_amount"}, rows_bounded=False)
+    r = lookup_codes(keys, code_col, pb, "id", ["id", "gateway_transaction_id"],
+                     {c: c for c in ("bill_id", "bill_number", "amount", "method", "status", "bill_amount")}, ["created_at"])
+    return r.withColumnRenamed("matched_id", "payment_id")
 
 
 def resolve_bills(t, keys: DataFrame, code_col: str = "code") -> DataFrame:
     """A key may be a bill id or a bill number."""
-    r = lookup_codes(keys, code_col, t.bills, "id", ["id", "bill_number"])
-    r = attach(r, "matched_id", t.bills, "id", {"bill_number": "bill_number", "net_amount": "net_amount",
-                                                 "status": "status", "customer_id": "customer_id"},
-               rows_bounded=False)
+    r = lookup_codes(keys, code_col, t.bills, "id", ["id", "bill_number"],
+                     {c: c for c in ("bill_number", "net_amount", "status", "customer_id")})
     r = attach(r, "customer_id", t.customers, "id", {"name": "customer_name"}, rows_bounded=False)
     return r.withColumnRenamed("matched_id", "bill_id")
 
@@ -367,36 +373,61 @@ def recent_bills(t, k: int = 10) -> DataFrame:
 def bulk_product_search(t, terms: DataFrame, k: int = 20, term_col: str = "term") -> DataFrame:
     """``product_search`` for a whole table of search terms, first ``k`` per term.
 
-    Exact, without a nested-loop join: a product matches a term when the
-    lower-cased term occurs in its lower-cased name or sku (or equals its
-    barcode).  A term of length L >= 3 then contains its first 3 characters,
-    shorter terms are their own prefix, so products are indexed by all their
-    substrings of length 1, 2 and 3, candidates come from an equi-join on
-    that prefix, and the containment test removes false candidates.  The
-    term table is broadcast only after its size is checked.  Terms are taken
-    literally (no wildcards)."""
+    Exact, without a nested-loop join.  A term is an ILIKE pattern as in B3 (``%``, ``_``, backslash escapes).
+    Its literal pieces must occur in the lower-cased name or sku, so one of their substrings of three characters
+    (of two or one where no piece is longer) is an equi-join key to the products that hold it, and ILIKE removes false
+    candidates.  The key is the term's rarest substring: a prefix that all skus share never selects all products.
+    Terms of wildcards alone only ask for a length; they are answered from the first ``k`` products of every length.
+    Null and empty terms have no rows."""
     p = t.products.filter(F.col("is_active")).select("id", "name", "sku", "barcode", "price")
-    texts = p.select("id", F.lower("name").alias("_t")).unionByName(p.select("id", F.lower("sku").alias("_t")))
-    def substrings(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1))),
-                           lambda i: F.col("_t").substr(i, F.lit(n)))
-
-    grams = texts.select("id", F.explode(F.array_distinct(F.flatten(F.array(
-        *[substrings(n) for n in (1, 2, 3)])))).alias("gram"))
-    grams = grams.filter(F.length("gram") >= 1).distinct()
-    q = terms.select(F.col(term_col).alias("term")).filter(F.col("term").isNotNull() & (F.length("term") > 0)) \
-        .distinct().withColumn("_lt", F.lower("term"))
-    q = q.withColumn("gram", F.col("_lt").substr(F.lit(1), F.least(F.length("_lt"), F.lit(3))))
-    cand = grams.join(q, "gram").select("term", "_lt", "id")
-    pl = p.select("id", "name", "sku", "barcode", "price", F.lower("name").alias("_ln"), F.lower("sku").alias("_ls"))
-    hit = cand.join(pl, "id").filter(F.col("_ln").contains(F.col("_lt")) | F.col("_ls").contains(F.col("_lt")))
+    q = terms.select(F.col(term_col).alias("term")).filter(F.length("term") > 0).distinct()
+    # a backslash before an ordinary character means that character
+    q = q.withColumn("_p", F.concat(F.lit("%"), F.regexp_replace("term", r"(\\[\\%_])|\\(.)", "$1$2"), F.lit("%")))
+    runs = F.regexp_extract_all(F.lower("_p"), F.lit(r"((?:\\[\\%_]|[^%_\\])+)"), F.lit(1))
+    q = q.withColumn("_pieces", F.transform(runs, lambda x: F.regexp_replace(x, r"\\(.)", "$1")))
+    longest = F.least(F.array_max(F.transform("_pieces", F.length)), F.lit(3))
+
+    def substrings(text: Column, n: Column) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: text.substr(i, n))) \
+            .otherwise(F.array().cast("array<string>"))
+
+    grams = (p.select("id", F.explode(F.array("name", "sku")).alias("_t"))
+             .select("id", F.explode(F.flatten(F.array(*[substrings(F.lower("_t"), F.lit(n)) for n in (1, 2, 3)]))).alias("gram"))
+             .distinct())
+    per_term = (q.filter(F.size("_pieces") > 0).withColumn("_n", longest)
+                .select("term", "_p", F.explode(F.array_distinct(F.flatten(F.transform(
+                    "_pieces", lambda x: substrings(x, F.col("_n")))))).alias("gram")))
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_held"))
+    rarest = (per_term.join(held, "gram", "left").groupBy("term", "_p")
+              .agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("n"), "gram")).alias("_r"))
+              .select("term", "_p", F.col("_r.gram").alias("gram")))
+    hit = (grams.join(rarest, "gram").select("term", "_p", "id").join(p, "id")
+           .filter(F.expr("name ilike _p or sku ilike _p")))
     by_code = p.join(q.select("term"), p.barcode == F.col("term"))
-    found = hit.select("term", "id", "name", "sku", "price").unionByName(
-        by_code.select("term", "id", "name", "sku", "price")).distinct()
-    return top_k_per_group(found, "term", [F.col("name").asc_nulls_last()], k)
+    # wildcards alone: every text of at least as many characters as the term has underscores
+    wild = q.filter(F.size("_pieces") == 0)
+    cols = ["term", "id", "name", "sku", "price"]
+    found = hit.select(*cols).unionByName(by_code.select(*cols))
+    length = F.greatest(F.coalesce(F.length("name"), F.lit(-1)), F.coalesce(F.length("sku"), F.lit(-1)))
+    order = [F.col("name").asc_nulls_last()]
+    first = top_k_per_group(p.select("id", "name", "sku", "price", length.alias("_l")), "_l", order, k).drop("rank")
+    at_least = first.filter("_l >= 0").select("id", "name", "sku", "price", F.explode(F.sequence(F.lit(0), F.col("_l"))).alias("_m"))
+    asked = wild.select("term", F.length(F.regexp_replace("_p", "%", "")).alias("_m"))
+    best = top_k_per_group(at_least, "_m", order, k).drop("rank")
+    found = found.unionByName(asked.join(best, "_m").select(*cols)).distinct()
+    return top_k_per_group(found, "term", order, k)
 
 
 def name_words(t) -> DataFrame:
     """Search terms typed at the till, derived from the catalogue: every word of every product name."""
     return t.products.select(F.explode(F.split(F.lower(F.regexp_replace("name", "[0-9]+", "")), " ")).alias("term")) \
         .filter(F.length("term") > 0).distinct()
+
+
+def typed_terms(t) -> DataFrame:
+    """Search terms of every kind: all words, all skus, and words and skus with wildcards in them."""
+    w, s = name_words(t), t.products.select(F.lower("sku").alias("term"))
+    one = s.select(F.concat(F.lit("_"), F.substring("term", 2, 3), F.lit("%"), F.expr("right(term, 2)")).alias("term"))
+    two = w.select(F.concat(F.expr("left(term, 2)"), F.lit("%"), F.expr("right(term, 1)")).alias("term"))
+    alone = w.select(F.regexp_replace("term", ".", "_").alias("term"))
+    return w.unionByName(s).unionByName(one).unionByName(two).unionByName(alone).distinct()

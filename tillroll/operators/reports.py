@@ -344,8 +344,47 @@ def top_customers(t, start, end, k: int = 10) -> DataFrame:
     return top_k(j, [F.col("total_spent").desc_nulls_last()], k)
 
 
+def bundle(t, name: str, as_of, **params) -> dict[str, DataFrame]:
+    """All frames of a named report, with the source's default periods taken from ``as_of``.
+
+    Without parameters: the day, ISO week or month of ``as_of``; the 30 days before it for
+    the period reports; its own date for the cashiers.  An unknown name gives the dashboard.
+    The frames are built independently, so a caller runs only those it reads."""
+    day = R.to_date(as_of)
+    month_args = {"year": params.get("year") or day.year, "month": params.get("month") or day.month}
+    date = params.get("date") or day
+    week = {"week_start": params.get("week_start"), "as_of": as_of}
+    default = R.between_dates(day, day) if name == "cashier" else R.last_30_days(as_of)
+    span = {"start": params.get("start") or default.start, "end": params.get("end") or default.end}
+    dep = {"department_id": params["department_id"]} if params.get("department_id") is not None else {}
+    k = {"k": params["k"]} if params.get("k") is not None else {}
+    if name == "daily":
+        return {"summary": daily_summary(t, date), "hourly": daily_hourly(t, date),
+                "payments": daily_payment_mix(t, date), "top_products": daily_top_products(t, date)}
+    if name == "weekly":
+        return {"by_day": weekly_by_day(t, **week), "totals": weekly_totals(t, **week)}
+    if name == "monthly":
+        return {"summary": monthly_summary(t, **month_args), "by_week": monthly_by_week(t, **month_args),
+                "by_department": monthly_by_department(t, **month_args)}
+    if name == "department":
+        return {"departments": department_report(t, **span, **dep)}
+    if name == "product":
+        return {"products": product_report(t, **span, **dep, **k)}
+    if name == "cashier":
+        return {"cashiers": cashier_report(t, **span)}
+    if name == "tax":
+        return {"summary": tax_summary(t, **span), "by_rate": tax_by_rate(t, **span)}
+    if name == "top-products":
+        return {"products": top_products(t, **span, **k)}
+    if name == "top-customers":
+        return {"customers": top_customers(t, **span, **k)}
+    from tillroll.operators.listing import recent_bills
+    return {"today": dashboard_today(t, as_of), "week": dashboard_week(t, as_of), "month": dashboard_month(t, as_of),
+            "low_stock": low_stock_count(t), "recent_bills": recent_bills(t)}
+
+
 def report(t, name: str, **params) -> DataFrame:
-    """Named dispatch; an unknown name falls back to the dashboard (as the source does)."""
+    """The first figures of a named report (``bundle`` gives all); an unknown name falls back to the dashboard."""
     fn = {
         "dashboard": dashboard, "daily": daily_summary, "weekly": weekly_by_day, "monthly": monthly_summary,
         "department": department_report, "product": product_report, "cashier": cashier_report,

@@ -20,29 +20,38 @@ def and_all(preds: list[Column | None]) -> Column:
     return out
 
 
-def unpivot_codes(df: DataFrame, id_col: str, code_cols: list[str]) -> DataFrame:
-    """(code, rank, id) for every non-null code column, rank = position in ``code_cols``."""
+def unpivot_codes(df: DataFrame, id_col: str, code_cols: list[str], keep: list[str]) -> DataFrame:
+    """(code, rank, _id, _keep) for every non-null code column, rank = position in ``code_cols``."""
     pairs = [F.struct(F.col(c).cast("string").alias("code"), F.lit(i).alias("rank"))
              for i, c in enumerate(code_cols)]
-    return (df.select(F.col(id_col).alias("_id"), F.explode(F.array(*pairs)).alias("_k"))
-            .select(F.col("_k.code").alias("code"), F.col("_k.rank").alias("rank"), "_id")
+    kept = F.struct(*[F.col(c) for c in dict.fromkeys(keep)]) if keep else F.lit(None)
+    return (df.select(F.col(id_col).alias("_id"), kept.alias("_keep"), F.explode(F.array(*pairs)).alias("_k"))
+            .select(F.col("_k.code").alias("code"), F.col("_k.rank").alias("rank"), "_id", "_keep")
             .filter(F.col("code").isNotNull()))
 
 
 def lookup_codes(requests: DataFrame, code_col: str, target: DataFrame, id_col: str,
-                 code_cols: list[str]) -> DataFrame:
+                 code_cols: list[str], payload: dict[str, str] | None = None,
+                 ties: list[str] | None = None) -> DataFrame:
     """Resolve each request's code against any of ``code_cols`` of ``target``.
 
     Returns the request columns plus ``matched_id`` (null when nothing
-    matches).  When a code matches several rows (different key columns or
+    matches) and the matched row's ``payload`` (target column -> output name).
+    When a code matches several rows (different key columns or
     duplicate alternate keys) the earliest key column wins, then the
-    smallest id — deterministic, never a fan-out.
+    smallest ``ties`` and id — deterministic, never a fan-out.  The payload
+    travels in the unpivoted row, so the target is scanned once and not
+    joined a second time.
     """
-    idx = unpivot_codes(target, id_col, code_cols)
+    payload = payload or {}
+    idx = unpivot_codes(target, id_col, code_cols, [*(ties or []), *payload])
+    lead = [*[F.col(f"_keep.{c}").alias(f"_tie{i}") for i, c in enumerate(ties or [])], F.col("_id")]
     best = (idx.groupBy("code")
-            .agg(F.min(F.struct("rank", "_id")).alias("_best"))
-            .select("code", F.col("_best._id").alias("matched_id")))
-    return requests.join(best, requests[code_col] == best.code, "left").drop(best.code)
+            .agg(F.min(F.struct("rank", *lead, F.struct(*[F.col(f"_keep.{c}").alias(a) for c, a in payload.items()]).alias("_out")
+                                if payload else F.lit(0).alias("_out"))).alias("_best"))
+            .select(F.col("code").alias("_code"), F.col("_best._id").alias("matched_id"),
+                    *[F.col(f"_best._out.{a}").alias(a) for a in payload.values()]))
+    return requests.join(best, requests[code_col] == best["_code"], "left").drop("_code")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], latest: bool = False) -> DataFrame:

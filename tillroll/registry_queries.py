@@ -181,7 +181,7 @@ _B1_WHERE = f"b.created_at >= timestamp '{START} 00:00:00' and b.created_at <= t
 register("b01_bills_list", _BILL_LIST.format(where=_B1_WHERE, limit=20, offset=20))(
     lambda t: B.bills_list(t, start=START, end=END, status="completed", page_no=2)[0])
 register("b19_bills_list_total", f"select count(*) as total from bills b where {_B1_WHERE}")(
-    lambda t: B.bills_list(t, start=START, end=END, status="completed", page_no=2)[1])
+    lambda t: B.bills_total(t, start=START, end=END, status="completed"))
 register("b20_bills_list_cashier", _BILL_LIST.format(where="b.cashier_id = 3", limit=20, offset=0))(
     lambda t: B.bills_list(t, role="cashier", user_id=3)[0])
 register("b01_bills_list_customer", _BILL_LIST.format(where="b.customer_id = 1", limit=20, offset=0))(
@@ -197,7 +197,7 @@ _B2_WHERE = "p.is_active = true and p.stock_quantity > 0 and (p.name ilike '%gea
 register("b02_products_list", _PRODUCT_LIST.format(where=_B2_WHERE, limit=20, offset=20))(
     lambda t: B.products_list(t, in_stock=True, search="gear", page_no=2)[0])
 register("b19_products_list_total", f"select count(*) as total from products p where {_B2_WHERE}")(
-    lambda t: B.products_list(t, in_stock=True, search="gear", page_no=2)[1])
+    lambda t: B.products_total(t, in_stock=True, search="gear"))
 register("b02_products_list_department", _PRODUCT_LIST.format(
     where="p.is_active = true and p.department_id = 3 and p.category = 'tool'", limit=20, offset=0))(
     lambda t: B.products_list(t, department_id=3, category="tool")[0])
@@ -282,6 +282,13 @@ from bills b left join customers c on b.customer_id = c.id left join users u on
 left join (select bi.* from bill_items bi join products p on bi.product_id = p.id) x on x.bill_id = b.id
 group by b.id, b.bill_number, c.name, u.name, b.net_amount, b.status""")(
     lambda t: B.document_summary(B.bill_documents(t)))
+register("b12_bill_document_lines", """
+select bi.bill_id as id, cast(row_number() over (partition by bi.bill_id order by bi.product_id, p.name, p.sku, p.barcode,
+         bi.quantity, bi.unit_price, bi.discount, bi.tax_rate, bi.tax_amount, bi.total_price) as int) as line_no,
+       bi.product_id, p.name as product_name, p.sku, p.barcode, bi.quantity, bi.unit_price, bi.discount, bi.tax_rate,
+       bi.tax_amount, bi.total_price
+from bill_items bi join products p on bi.product_id = p.id where bi.bill_id in (select id from bills)""")(
+    lambda t: B.document_lines(B.bill_documents(t)))
 
 _SCANS = """(select event_id as scan_id, case event_type
    when 'view' then concat('890', lpad(cast(event_id as varchar), 10, '0'))
@@ -629,6 +636,9 @@ from lines l join products p on p.id = l.product_id group by l.cart_id""")(
 register("d27_last_login", """
 select user_id as id, max(ts) as last_login from events group by user_id""")(
     lambda t: K.last_login(t.raw("events")))
+register("d27_users_last_login", """
+select u.id, u.email, cast((select max(e.ts) from events e where e.user_id = u.id) as timestamp) as last_login from users u""")(
+    lambda t: K.record_logins(t.users, t.raw("events")).select("id", "email", "last_login"))
 
 # ------------------------------------------------------------------ S: streaming twins
 from tillroll.streaming import intake as SI  # noqa: E402
@@ -673,6 +683,18 @@ hits as (select distinct t.term, p.id, p.name, p.sku, p.price from terms t join
 select * from (select term, id, name, sku, price, row_number() over (partition by term order by name, id) as rank
                from hits) y where rank <= 20""")(lambda t: B.bulk_product_search(t, B.name_words(t)))
 
+register("b03b_typed_terms", """
+with words as (select distinct w from (select unnest(string_split(lower(regexp_replace(name, '[0-9]+', '', 'g')), ' ')) as w
+               from products) x where length(w) > 0),
+skus as (select lower(sku) as s from products),
+terms as (select w as term from words union select s from skus
+          union select '_' || substr(s, 2, 3) || '%' || right(s, 2) from skus
+          union select left(w, 2) || '%' || right(w, 1) from words union select repeat('_', length(w)) from words),
+hits as (select t.term, p.id, p.name, p.sku, p.price from terms t join products p on p.is_active
+         and (p.name ilike '%' || t.term || '%' or p.sku ilike '%' || t.term || '%' or p.barcode = t.term))
+select * from (select term, id, name, sku, price, row_number() over (partition by term order by name, id) as rank
+               from hits) y where rank <= 20""")(lambda t: B.bulk_product_search(t, B.typed_terms(t)))
+
 _REFUSED_REQUESTS = """
 with counted as (select bill_id, count(*) as n from bill_items group by bill_id),
 judged as (select b.id, coalesce(c.n, 0) as n, b.payment_method from bills b left join counted c on c.bill_id = b.id)
