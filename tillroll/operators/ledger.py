@@ -121,6 +121,14 @@ def stale_tiers(customers: DataFrame) -> DataFrame:
         "id", "loyalty_points", "loyalty_tier", tier("loyalty_points").alias("expected_tier"))
 
 
+def void_decisions(t, requests: DataFrame) -> DataFrame:
+    """Each requested ``bill_id`` once, with its ``reject_reason`` (null: voided)."""
+    b = t.bills.select(F.col("id").alias("_bid"), F.col("status").alias("_bstatus"))
+    asked = requests.select("bill_id").distinct()
+    return asked.join(b, asked.bill_id == b._bid, "left").select("bill_id", F.when(
+        F.col("_bid").isNull(), "bill_not_found").when(F.col("_bstatus") == "voided", "bill_already_voided").alias("reject_reason"))
+
+
 def void_bills(t, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Void the requested bills (``bill_id``); already voided ones are skipped.
 
@@ -260,6 +268,17 @@ def redemption_value(points) -> F.Column:
 
 
 # ------------------------------------------------------------- D14–D18a payments
+def payment_decisions(t, requests: DataFrame, fixed: bool = False) -> DataFrame:
+    """Every request with its ``reject_reason`` (null: recorded)."""
+    b = t.bills.select(F.col("id").alias("_bid"), F.col("status").alias("_bstatus"))
+    j = requests.join(b, requests.bill_id == b._bid, "left")
+    reason = (F.when(~F.col("method").isin(*RECORD_METHODS) | F.col("method").isNull(), "invalid_method")
+              .when(F.col("_bid").isNull(), "bill_not_found"))
+    if fixed:
+        reason = reason.when(~F.col("_bstatus").isin("pending", "completed"), "bill_not_payable")
+    return j.withColumn("reject_reason", reason).drop("_bid", "_bstatus")
+
+
 def record_payments(t, requests: DataFrame, fixed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(payment rows, bill updates) for requests (request_id, bill_id, amount, method, created_at).
 
@@ -267,14 +286,7 @@ def record_payments(t, requests: DataFrame, fixed: bool = False) -> tuple[DataFr
     exists; the amount is not checked against the bill.  Any bill becomes
     completed with that method (Q18; ``fixed`` accepts pending/completed
     bills only).  Several requests for one bill: the latest sets the bill."""
-    b = t.bills.select(F.col("id").alias("_bid"), F.col("status").alias("_bstatus"))
-    j = requests.join(b, requests.bill_id == b._bid, "left")
-    reason = (F.when(~F.col("method").isin(*RECORD_METHODS) | F.col("method").isNull(), "invalid_method")
-              .when(F.col("_bid").isNull(), "bill_not_found"))
-    if fixed:
-        reason = reason.when(~F.col("_bstatus").isin("pending", "completed"), "bill_not_payable")
-    j = j.withColumn("reject_reason", reason)
-    ok = j.filter(F.col("reject_reason").isNull())
+    ok = payment_decisions(t, requests, fixed).filter(F.col("reject_reason").isNull())
     pays = ok.select(F.col("request_id").alias("id"), "bill_id", F.col("amount").cast(MONEY).alias("amount"),
                      "method", F.lit("completed").alias("status"), "created_at")
     upd = (first_per_key(ok.select("bill_id", "created_at", "request_id", "method"), ["bill_id"],
@@ -298,6 +310,12 @@ def match_payments(t, requests: DataFrame) -> DataFrame:
                     reason.alias("reject_reason"))
 
 
+def gateway_rejects(t, confirmations: DataFrame) -> DataFrame:
+    """The confirmations that name no bill, with ``reject_reason``."""
+    b = t.bills.select(F.col("id").alias("_bid"))
+    return confirmations.join(b, confirmations.bill_id == b._bid, "left_anti").withColumn("reject_reason", F.lit("bill_not_found"))
+
+
 def confirm_gateway_payments(t, confirmations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(payment rows, bill updates) for gateway confirmations (bill_id, gateway_transaction_id, created_at).
 
@@ -376,12 +394,27 @@ def stock_ledger(t, opening: DataFrame | None = None) -> DataFrame:
 
 
 def ledger_gaps(ledger: DataFrame) -> DataFrame:
-    """D12a check: where a row's previous quantity differs from the prior row's new
-    quantity, stock moved without an audit row (sales, voids, returns)."""
-    w = Window.partitionBy("product_id").orderBy("created_at", "id")
-    return ledger.withColumn("_prior", F.lag("new_quantity").over(w)).filter(
-        F.col("_prior").isNotNull() & (F.col("_prior") != F.col("previous_quantity"))).select(
-        "id", "product_id", "created_at", (F.col("previous_quantity") - F.col("_prior")).alias("unaudited_movement"))
+    """D12a check of stored balances, one row per faulty audit row.
+
+    ``sum_error`` = new − (previous + adjustment), which the row itself must satisfy.
+    ``unaudited_movement`` = previous − the prior row's new quantity: stock moved without an
+    audit row (sales, voids, returns).  The prior row is found within the product's
+    day, and for a day's first row among the last rows of the product's earlier days, so a
+    busy product's history is not sorted in one task."""
+    day = F.to_date("created_at")
+    x = ledger.withColumn("_day", day)
+    w = Window.partitionBy("product_id", "_day").orderBy("created_at", "id")
+    days = x.groupBy("product_id", "_day").agg(F.max_by("new_quantity", F.struct("created_at", "id")).alias("_last"))
+    earlier = days.select("product_id", "_day", F.lag("_last").over(
+        Window.partitionBy("product_id").orderBy("_day")).alias("_before"))
+    same = F.col("x.product_id").eqNullSafe(F.col("d.product_id")) & F.col("x._day").eqNullSafe(F.col("d._day"))
+    j = x.withColumn("_in_day", F.lag("new_quantity").over(w)).withColumn("_n", F.row_number().over(w)).alias("x") \
+        .join(earlier.alias("d"), same, "left")
+    prior = F.when(F.col("_n") > 1, F.col("_in_day")).otherwise(F.col("_before"))
+    return j.select("id", F.col("x.product_id").alias("product_id"), "created_at",
+                    (F.col("new_quantity") - F.col("previous_quantity") - F.col("adjustment")).cast("bigint").alias("sum_error"),
+                    F.coalesce(F.col("previous_quantity") - prior, F.lit(0)).cast("bigint").alias("unaudited_movement")
+                    ).filter("sum_error is null or sum_error <> 0 or unaudited_movement <> 0")
 
 
 # ------------------------------------------------------------- D4, D12, D13 ordered accepts

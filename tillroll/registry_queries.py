@@ -420,6 +420,12 @@ _HIT = "(select * from bills where status in ('refunded', 'voided') and status <
 register("d08_void_bills", f"""
 select id, status as previous_status, 'voided' as status from {_HIT} h""")(
     lambda t: D.void_bills(t, W.void_requests(t.bills))[0])
+register("d08_void_decisions", """
+with asked as (select id as bill_id from bills where status in ('refunded', 'voided')
+               union select -id from bills where status in ('refunded', 'voided') and id % 10 = 0)
+select bill_id, case when bill_id < 0 then 'bill_not_found'
+                     when bill_id in (select id from bills where status = 'voided') then 'bill_already_voided' end as reject_reason
+from asked""")(lambda t: D.void_decisions(t, W.with_unknown_bills(W.void_requests(t.bills))))
 register("d08_void_stock", f"""
 select p.id, p.stock_quantity as previous_stock, cast(r.restored as bigint) as restored,
        cast(p.stock_quantity + r.restored as int) as stock_quantity
@@ -481,6 +487,19 @@ select a.id, a.product_id, a.created_at, a.adjustment, a.type,
             rows between unbounded preceding and current row) as bigint) as new_quantity
 from stock_adjustments a join products p on p.id = a.product_id""")(lambda t: D.stock_ledger(t))
 
+register("d12a_ledger_check", """
+with kept as (select a.id, a.product_id, a.created_at, a.adjustment, p.stock_quantity
+                + sum(a.adjustment) over (partition by a.product_id order by a.created_at, a.id) as bal
+              from stock_adjustments a join products p on p.id = a.product_id),
+stored as (select id, product_id, created_at, adjustment,
+             bal - adjustment + (case when id % 31 = 0 then 1 else 0 end) + (case when id % 37 = 0 then 2 else 0 end) as prev,
+             bal + (case when id % 37 = 0 then 2 else 0 end) as new from kept),
+seen as (select *, lag(new) over (partition by product_id order by created_at, id) as prior from stored)
+select id, product_id, created_at, cast(new - prev - adjustment as bigint) as sum_error,
+       cast(coalesce(prev - prior, 0) as bigint) as unaudited_movement
+from seen where new - prev - adjustment <> 0 or coalesce(prev - prior, 0) <> 0""")(
+    lambda t: D.ledger_gaps(W.stored_ledger(D.stock_ledger(t))))
+
 _PAYREQ = """(select id as request_id, id as bill_id, net_amount as amount, payment_method as method,
    created_at + interval '1' hour as created_at, status from bills where status in ('pending', 'voided'))"""
 register("d14_record_payments", f"""
@@ -491,6 +510,13 @@ register("d14_record_payments_fixed", f"""
 select request_id as id, bill_id, cast(amount as decimal(12,2)) as amount, method, 'completed' as status, created_at
 from {_PAYREQ} r where method in ('cash', 'card', 'upi', 'wallet') and status in ('pending', 'completed')""")(
     lambda t: D.record_payments(t, W.payment_requests(t.bills), fixed=True)[0])
+register("d14_payment_decisions", f"""
+with asked as (select request_id, bill_id, method, status from {_PAYREQ} r
+               union all select -request_id, -bill_id, method, null from {_PAYREQ} r where bill_id % 10 = 0)
+select request_id, bill_id, case when method not in ('cash', 'card', 'upi', 'wallet') then 'invalid_method'
+       when bill_id < 0 then 'bill_not_found' when status = 'voided' then 'bill_not_payable' end as reject_reason
+from asked""")(lambda t: D.payment_decisions(t, W.with_unknown_bills(W.payment_requests(t.bills)), fixed=True).select(
+    "request_id", "bill_id", "reject_reason"))
 register("d14_bill_updates", f"""
 select bill_id as id, 'completed' as status, method as payment_method
 from {_PAYREQ} r where method in ('cash', 'card', 'upi', 'wallet')""")(
@@ -511,6 +537,12 @@ select id as bill_id, net_amount as amount, 'razorpay' as method, 'completed' as
 from bills where status = 'pending' and payment_method = 'razorpay'""")(
     lambda t: D.confirm_gateway_payments(t, W.gateway_confirmations(t.bills))[0])
 
+register("d17_gateway_rejects", """
+select -id as bill_id, concat('pay_', cast(id as varchar)) as gateway_transaction_id, 'bill_not_found' as reject_reason
+from bills where status = 'pending' and payment_method = 'razorpay' and id % 3 = 0""")(
+    lambda t: D.gateway_rejects(t, W.with_unknown_bills(W.gateway_confirmations(t.bills), 3)).select(
+        "bill_id", "gateway_transaction_id", "reject_reason"))
+
 _REFREQ = """(select bill_id as request_id, bill_id as payment_id, cast(sum(return_amount) as decimal(12,2)) as amount,
    min(created_at) as created_at from returns group by bill_id)"""
 register("d18_refund_payments", f"""
@@ -653,8 +685,10 @@ select date_trunc('day', created_at) as day_start, payment_method, count(*) as c
        cast(sum(net_amount) as decimal(18,2)) as amount from bills where status = 'completed' group by 1, 2""")(
     lambda t: SL.payment_mix(t.spark, t.sf_dir))
 register("s03_stock_balance_stream", """
-with d as (select bi.product_id, -bi.quantity as delta from bill_items bi join bills b on b.id = bi.bill_id
-           where b.status = 'completed'
+with d as (select bi.product_id, -bi.quantity as delta from bill_items bi where bi.bill_id in (select id from bills)
+           union all select bi.product_id, bi.quantity from bill_items bi join bills b on b.id = bi.bill_id
+             where b.status = 'voided'
+           union all select product_id, quantity from returns
            union all select product_id, adjustment from stock_adjustments),
 agg as (select product_id, sum(delta) as delta from d group by 1)
 select agg.product_id, cast(agg.delta as bigint) as delta, cast(p.stock_quantity + agg.delta as bigint) as balance,

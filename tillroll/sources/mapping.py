@@ -157,8 +157,13 @@ def payments(b: DataFrame) -> DataFrame:
     return paid.unionByName(refunds)
 
 
+def returned_items(items: DataFrame) -> DataFrame:
+    """The lines that come back when their bill is partially returned."""
+    return items.filter(F.col("product_id") % 2 == 0)
+
+
 def returns(b: DataFrame, items: DataFrame) -> DataFrame:
-    per_product = (items.filter(F.col("product_id") % 2 == 0)
+    per_product = (returned_items(items)
                    .groupBy("bill_id", "product_id")
                    .agg(F.sum("quantity").cast("int").alias("quantity"),
                         _dec(F.sum("total_price"), 12, 2).alias("return_amount")))

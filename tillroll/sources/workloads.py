@@ -59,6 +59,22 @@ def void_requests(bills: DataFrame) -> DataFrame:
     return bills.filter(F.col("status").isin("refunded", "voided")).select(F.col("id").alias("bill_id"))
 
 
+def with_unknown_bills(requests: DataFrame, every: int = 10) -> DataFrame:
+    """The requests, and a tenth of them again for bills that do not exist (negative ids)."""
+    again = requests.filter(F.col("bill_id") % every == 0).withColumn("bill_id", -F.col("bill_id"))
+    if "request_id" in requests.columns:
+        again = again.withColumn("request_id", -F.col("request_id"))
+    return requests.unionByName(again)
+
+
+def stored_ledger(ledger: DataFrame) -> DataFrame:
+    """A stock ledger as stored rows, some with faults: every 31st row starts one unit too
+    high, every 37th row has both balances two units too high."""
+    one, two = F.when(F.col("id") % 31 == 0, 1).otherwise(0), F.when(F.col("id") % 37 == 0, 2).otherwise(0)
+    return ledger.withColumn("previous_quantity", F.col("previous_quantity") + one + two) \
+                 .withColumn("new_quantity", F.col("new_quantity") + two)
+
+
 def return_requests(lineitem: DataFrame) -> DataFrame:
     """Return requests: each line flagged 'R' asks to return half its units (rounded up);
     the seventh line of an order asks for one more unit than was sold."""

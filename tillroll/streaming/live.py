@@ -64,20 +64,26 @@ def payment_mix_stream(bills: DataFrame, watermark: str = "1 hour") -> DataFrame
              "amount")
 
 
-def stock_delta_stream(spark: SparkSession, sf_dir: str, completed_bills: DataFrame) -> DataFrame:
-    """S3 input: −quantity per line of a completed bill (stream–static join on the
-    bill key) and ± each stock adjustment, as one stream of (product_id, delta)."""
+def stock_delta_stream(spark: SparkSession, sf_dir: str, bills: DataFrame) -> DataFrame:
+    """S3 input: one stream of (product_id, delta).
+
+    Every bill's lines leave the stock when it is written.  A void brings all its lines back (D8), a
+    partial return those that were returned (D11); adjustments count as they are.  The bill's
+    state comes from a stream–static join on the bill key."""
     lines = M.bill_items(raw_stream(spark, sf_dir, "lineitem"))
-    ids = completed_bills.select(F.col("id").alias("_bid"))
-    sales = lines.join(ids, lines.bill_id == ids._bid, "inner").select(
-        "product_id", (-F.col("quantity")).cast("bigint").alias("delta"))
+    state = bills.select(F.col("id").alias("_bid"), "status")
+    sold = lines.join(state, lines.bill_id == state._bid, "inner")
+    q = F.col("quantity").cast("bigint")
+    sales = sold.select("product_id", (-q).alias("delta"))
+    voids = sold.filter(F.col("status") == "voided").select("product_id", q.alias("delta"))
+    returns = M.returned_items(sold.filter(F.col("status") == "partially_returned")).select("product_id", q.alias("delta"))
     adj = M.stock_adjustments(raw_stream(spark, sf_dir, "events")).select(
         "product_id", F.col("adjustment").cast("bigint").alias("delta"))
-    return sales.unionByName(adj)
+    return sales.unionByName(voids).unionByName(returns).unionByName(adj)
 
 
 def stock_balance(spark: SparkSession, sf_dir: str, t) -> DataFrame:
-    """S3: running stock per product from sales and adjustments.
+    """S3: running stock per product from sales, voids, returns and adjustments.
 
     Each micro-batch compares the new balances of the products it changed
     with their balances after the previous batches (the last snapshot) and
@@ -85,7 +91,7 @@ def stock_balance(spark: SparkSession, sf_dir: str, t) -> DataFrame:
     ``<= minimum_stock``; alerts land in ``<out>/alerts/batch_id=<n>`` so a
     replayed batch rewrites its own alerts.  Returns the final balances with
     ``low_stock_alert`` = an alert was raised in some batch."""
-    deltas = stock_delta_stream(spark, sf_dir, t.bills.filter(F.col("status") == "completed"))
+    deltas = stock_delta_stream(spark, sf_dir, t.bills)
     agg = deltas.groupBy("product_id").agg(F.sum("delta").alias("delta"))
     out = scratch(spark, "s03-stock")
     p = t.products.select(F.col("id").alias("_pid"), "stock_quantity", "minimum_stock")
