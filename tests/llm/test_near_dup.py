@@ -67,6 +67,27 @@ def test_large_groups_and_chains(spark, docs_of):
     assert sum(r["n_links"] for r in got if 100 <= r["doc_id"] < 400) < 300 * 40  # far from all pairs
 
 
+def test_members_of_a_bucket_meet_without_a_hub(spark, docs_of):
+    """Pairs just above the threshold among documents of one template, each below it to all others."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    rows = []
+    for i in range(300):
+        ws = list(base)
+        for at in rng.choice(80, 6, replace=False):
+            ws[at * 5] = f"n{rng.integers(0, 10 ** 9)}"
+        rows.append((i, " ".join(ws)))
+        if i % 3 == 0:
+            twin = list(ws)
+            for at in rng.choice(80, 8, replace=False):
+                twin[at * 5] = f"n{rng.integers(0, 10 ** 9)}"
+            rows.append((1000 + i, " ".join(twin)))
+    want, _ = brute(rows)
+    for more in ({}, {"block_rows": 40, "block_shingles": 30_000}):
+        got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs_of(rows), **more).collect()}
+        assert got == want
+
+
 def test_cases(spark, docs_of):
     rows = [(1, "one two"), (2, "One  TWO!"), (3, "one two three"), (4, None), (5, ""), (6, "..."), (None, "one two"), (None, "alone here"),
             (7, "a b c d e f"), (7, "a b c d e f"), (7, "other text of the same id"), (8, "x " * 30000)]

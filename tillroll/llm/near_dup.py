@@ -12,9 +12,10 @@
    linked across tasks, so a prefix shared by very many rows needs no task of its own.
 3. Proposed links are verified exactly on the shingle sets.  Hub links come
    first; the links of longer prefixes and of neighbours are verified where
-   they join classes still apart.  Links grow with the rows, never with the square
-   of a group.
-4. A document's class is its connected component over verified links.
+   they join classes still apart.
+4. Where a shortest prefix of three rows or more still holds several classes,
+   every pair of its members in different classes is compared, in salted blocks.
+5. A document's class is its connected component over verified links.
 
 Results per row: class_id (smallest ``doc_id`` of the component) and n_links
 (verified links of its representative to other texts; members of a large group
@@ -42,6 +43,7 @@ from xxhash import xxh128_digest
 from tillroll.llm.common import chunks, hash_words, shingle_set, stored, words
 
 WORDS, THRESHOLD, RECALL, TREES, LABEL = 5, 0.8, 0.999, 20, 8
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_000_000
 
 
 def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, label: int = LABEL) -> int:
@@ -84,12 +86,17 @@ def signatures(docs: DataFrame, n: int, trees: int, label: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary, sig binary")
 
 
+def _paths(reps: DataFrame, trees: int, label: int, depth: int) -> DataFrame:
+    """path (tree and the first ``depth`` min-hashes of its label), rep."""
+    return reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(
+        F.col("sig"), t * (2 * label) + 1, F.lit(2 * depth)))).alias("tree", "label")).select(
+        F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")), "label").alias("path"), "rep")
+
+
 def _proposals(reps: DataFrame, trees: int, label: int, least: int) -> DataFrame:
     """a > b, hub: proposed links of the sorted tries; hub marks those of the shortest prefix."""
     width = 2 * label
-    rows = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(
-        F.col("sig"), t * width + 1, F.lit(width)))).alias("tree", "label")).select(
-        F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")), "label").alias("path"), "rep")
+    rows = _paths(reps, trees, label, label)
     spark = reps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tries = rows.repartitionByRange(parts, "path", "rep").sortWithinPartitions("path", "rep")
@@ -149,6 +156,56 @@ def _verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             .select("a", "b").distinct())
 
 
+def _blocks(members: DataFrame, shingles: DataFrame, rows: int, most: int) -> DataFrame:
+    """Members (group, rep, ...) with their sets, dealt so that every two of a group meet under one (group, i, j).
+
+    A group is cut into blocks of about ``rows`` members and ``most`` shingles; ``own`` is the member's block, i <= j.
+    """
+    sized = members.join(shingles.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("n").alias("n")), "rep")
+    cuts = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / most)).cast("int").alias("k"))
+    dealt = sized.join(cuts, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        *members.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return pairs.join(shingles.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+
+
+def _meetings(block: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of block i, the rows of block j whose sets reach the threshold with it; of rows sorted by (own, rep)."""
+    share = round(threshold * 1000)
+    sets = pa.concat_arrays(block.column("shingles").chunks)
+    sizes = np.diff(sets.offsets.to_numpy())
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    values, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    own = block.column("own").to_numpy()
+    left, right = int((own == own[0]).sum()), int(np.searchsorted(own, own[-1]))
+    if block.column("i")[0] != block.column("j")[0] and own[0] == own[-1]:
+        return  # one of the two blocks is empty
+    theirs, starts, mark = codes[at[right]:], at[right:-1] - at[right], np.zeros(len(values), np.int32)
+    for x in range(left):
+        mine = codes[at[x]:at[x + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[theirs], starts, dtype=np.int64)
+        mark[mine] = 0
+        yield x, right + np.flatnonzero(both * (1000 + share) >= share * (sizes[x] + sizes[right:]))
+
+
+def _across(members: DataFrame, shingles: DataFrame, threshold: float, rows: int, most: int) -> DataFrame:
+    """a > b: verified links between the classes (comp) that meet in a group, one at least for each two classes linked there."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("own", "ascending"), ("rep", "ascending")])
+        ids, comps = block.column("rep").to_numpy(), block.column("comp").to_numpy()
+        seen: dict[tuple[int, int], tuple[int, int]] = {}
+        for x, near in _meetings(block, threshold) if len(np.unique(comps)) > 1 else ():
+            near = near[comps[near] != comps[x]]
+            for y in near[np.unique(comps[near], return_index=True)[1]]:
+                seen.setdefault((min(comps[x], comps[y]), max(comps[x], comps[y])), (max(ids[x], ids[y]), min(ids[x], ids[y])))
+        found = np.array(list(seen.values()), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    return _blocks(members, shingles, rows, most).groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (smallest id of its connected component) for the ends of ``edges`` (a, b; a stored table).
 
@@ -170,23 +227,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES,
-            label: int = LABEL) -> DataFrame:
+            label: int = LABEL, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, class_id, n_links per row of ``docs``."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(own, n, trees, label), "signatures")
     every = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = every.where(F.col("sig").isNotNull() & F.col("rep").isNotNull())
-    proposed = stored(_proposals(reps.select("rep", "sig"), trees, label, depth(threshold, recall, trees, label)), "links")
+    least = depth(threshold, recall, trees, label)
+    proposed = stored(_proposals(reps.select("rep", "sig"), trees, label, least), "links")
     ends = proposed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, texts in chunks(batches):
             found = [shingle_set(hash_words(words(t)), n).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                                             ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols["doc_id"], pa.int64()), pa.array(found, pa.list_(pa.int64())),
+                                              pa.array(map(len, found), pa.int64())], ["doc_id", "shingles", "n"])
 
     # The ids grow with the documents, so both sides are dealt by id at every size.
-    shingles = stored(own.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>"), "shingles")
+    shingles = stored(own.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>, n long").where("n > 0"), "shingles")
     links = stored(_verified(proposed.where("hub"), shingles, threshold), "verified")
     found = components(links)
     far = (proposed.where("not hub")
@@ -196,6 +254,15 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recal
     more = stored(_verified(far, shingles, threshold), "verified")
     links = stored(links.unionByName(more), "verified")
     found = components(links)
+    # Two members alone have met through the hub; among three and more, those of different classes may not have.
+    held = _paths(reps.join(ends.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), trees, label, least).distinct().join(
+        found.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("path").alias("group"), "rep", F.coalesce("comp", "rep").alias("comp"))
+    mixed = held.groupBy("group").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
+        "rows > 2 and low < high").select("group")
+    apart = stored(held.join(mixed, "group"), "apart")
+    more = stored(_across(apart, shingles, threshold, block_rows, block_shingles), "verified")
+    links = stored(links.unionByName(more), "verified")
+    found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = (every.select("key", "rep", F.col("sig").isNull().alias("blank")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
              .join(degree.withColumnRenamed("id", "rep"), "rep", "left")
