@@ -67,6 +67,22 @@ def test_large_groups_and_chains(spark, docs_of):
     assert sum(r["n_links"] for r in got if 100 <= r["doc_id"] < 400) < 300 * 40  # far from all pairs
 
 
+def test_links_are_those_of_all_pairs(spark, docs_of):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(0, " ".join(base)), (500, " ".join(base).upper())]
+    for i in range(1, 150):
+        ws = list(base)
+        for at in rng.integers(0, len(ws), int(rng.integers(1, 6))):
+            ws[at] = f"n{rng.integers(0, 10 ** 9)}"
+        rows.append((i, " ".join(ws)))
+    _, pairs = brute([r for r in rows if r[0] != 500])
+    want = Counter(x for p in pairs for x in p)
+    for more in ({}, {"block_rows": 20}, {"block_shingles": 9000}):
+        got = {r["doc_id"]: r["n_links"] for r in near_dup.classes(docs_of(rows), **more).collect()}
+        assert got.pop(500) == got[0] and got == {i: want[i] for i in range(150)}
+
+
 def test_members_of_a_bucket_meet_without_a_hub(spark, docs_of):
     """Pairs just above the threshold among documents of one template, each below it to all others."""
     rng = np.random.default_rng(11)

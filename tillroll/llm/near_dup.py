@@ -16,10 +16,11 @@
 4. Where a shortest prefix of three rows or more still holds several classes,
    every pair of its members in different classes is compared, in salted blocks.
 5. A document's class is its connected component over verified links.
+6. In each component every two representatives are compared, in salted blocks
+   that add up each one's links and store no pairs.
 
 Results per row: class_id (smallest ``doc_id`` of the component) and n_links
-(verified links of its representative to other texts; members of a large group
-are linked through others rather than to each).
+(the other representatives that reach the threshold with its own).
 
 Defined cases: texts without words match nothing, not even each other; 1 to
 ``words`` - 1 words are one shingle; each row is a document, rows with one
@@ -206,6 +207,28 @@ def _across(members: DataFrame, shingles: DataFrame, threshold: float, rows: int
     return _blocks(members, shingles, rows, most).groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _degrees(members: DataFrame, shingles: DataFrame, threshold: float, rows: int, most: int) -> DataFrame:
+    """rep, n_links: in how many other members of its group it has a partner that reaches the threshold."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("own", "ascending"), ("rep", "ascending")])
+        ids, inside = block.column("rep").to_numpy(), block.column("i")[0] == block.column("j")[0]
+        count: dict[int, int] = {}
+        one, theirs = None, set()  # rows of one id are one node, so its partners are counted once
+        for x, near in _meetings(block, threshold):
+            if ids[x] != one:
+                one, theirs = ids[x], set()
+            new = set(ids[near].tolist()) - theirs - {int(one)}
+            theirs |= new
+            for y in [] if inside else new:
+                count[y] = count.get(y, 0) + 1
+            count[int(one)] = count.get(int(one), 0) + len(new)
+        return pa.table({"rep": pa.array(count.keys(), pa.int64()), "n_links": pa.array(count.values(), pa.int64())})
+
+    met = _blocks(members, shingles, rows, most).groupBy("group", "i", "j").applyInArrow(run, "rep long, n_links long")
+    return met.groupBy(F.col("rep").alias("id")).agg(F.sum("n_links").alias("n_links"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (smallest id of its connected component) for the ends of ``edges`` (a, b; a stored table).
 
@@ -263,7 +286,7 @@ def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recal
     more = stored(_across(apart, shingles, threshold, block_rows, block_shingles), "verified")
     links = stored(links.unionByName(more), "verified")
     found = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    degree = _degrees(found.select(F.col("comp").alias("group"), F.col("id").alias("rep")), shingles, threshold, block_rows, block_shingles)
     known = (every.select("key", "rep", F.col("sig").isNull().alias("blank")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
              .join(degree.withColumnRenamed("id", "rep"), "rep", "left")
              .select("key", "blank", F.coalesce("comp", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
