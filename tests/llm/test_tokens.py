@@ -1,5 +1,6 @@
 import functools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +101,15 @@ def test_packing_levels_and_cases(spark, docs_of):
     assert packing.pack_documents(docs_of([]), queries._tokenizer(FILES[1])).count() == 0
 
 
+def test_pieces_that_share_no_sequence_stay_in_small_groups(spark):
+    lengths = [40] * 400 + [10] * 30
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in enumerate(lengths)], packing.PIECES)
+    got = packing.place(pieces, 64, group_pieces=20).collect()
+    assert len(got) == len(lengths) and len({r["sequence_id"] for r in got}) == 400 == packing.least_bins(lengths, 64)
+    groups = Counter(r["sequence_id"] >> 24 for r in got)
+    assert max(groups.values()) < 60
+
+
 def test_search_beats_best_fit_where_exchange_helps():
     rng = np.random.default_rng(5)
     won = 0

@@ -6,9 +6,10 @@ own.  The others are dealt to groups of about ``group_pieces``; a group is
 packed best-fit decreasing, then improved by a local search over its underfull
 sequences: a document moves to another sequence, or is exchanged one-for-one or
 two-for-one, whenever the sum of squared fills grows, so that light sequences
-drain until they are empty.  What stays underfull after that is dealt to fewer groups and
-packed again, level by level, down to one group; each level keeps the
-full sequences and passes on only the rest, a few sequences per group.
+drain until they are empty.  What stays underfull after that is dealt anew to as many groups
+of about ``group_pieces`` as it fills and packed again, level by level, until one group holds it, its
+sequences are as few as the lower bound of all its pieces, or a level makes neither the
+pieces left nor the sequences above that bound fewer by an eighth.
 
 Defined cases: a null or empty text is its end id alone; each row is a document
 (repeated rows are packed again, with their own places); a null ``doc_id`` is
@@ -42,15 +43,19 @@ def least_bins(lengths: list[int], size: int) -> int:
 
     at least as long as the room they leave must go elsewhere, for every threshold a up to half the size.
     """
-    x = np.sort(np.asarray(lengths, np.int64))
+    return least_bins_of(*np.unique(np.asarray(lengths, np.int64), return_counts=True), size)
+
+
+def least_bins_of(x: np.ndarray, counts: np.ndarray, size: int) -> int:
+    """``least_bins`` of ``counts`` pieces of each of the ascending lengths ``x``."""
     if not len(x):
         return 0
-    total = np.concatenate([[0], np.cumsum(x)])
+    total, many = np.concatenate([[0], np.cumsum(x * counts)]), np.concatenate([[0], np.cumsum(counts)])
     half = np.searchsorted(x, size // 2, "right")
     a = np.unique(np.concatenate([[0], x[:half]]))
     lo, hi = np.searchsorted(x, a, "left"), np.maximum(np.searchsorted(x, size - a, "right"), half)
-    large = len(x) - half
-    room = (hi - half) * size - (total[hi] - total[half])
+    large = many[-1] - many[half]
+    room = (many[hi] - many[half]) * size - (total[hi] - total[half])
     return int((large + np.maximum(0, -(-(total[half] - total[lo] - room) // size))).max())
 
 
@@ -171,8 +176,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def _pack_groups(items: DataFrame, size: int, last: bool, level: int) -> DataFrame:
-    """Pack each group; ``done`` marks sequences that are full, or all of them on the last level."""
+def _pack_groups(items: DataFrame, size: int, level: int) -> DataFrame:
+    """Pack each group; ``done`` marks sequences that are full."""
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("uid", ignore_index=True)
@@ -183,7 +188,7 @@ def _pack_groups(items: DataFrame, size: int, last: bool, level: int) -> DataFra
             for i in members:
                 seq[i], offset[i] = n, at
                 at += lengths[i]
-            done[members] = last or at == size
+            done[members] = at == size
         return pd.DataFrame({"uid": df["uid"], "length": df["length"], "done": done, "offset": offset,
                              "sequence_id": (np.int64(level) << 56) + (np.int64(key[0]) << 24) + seq, "group": key[0]})
 
@@ -194,17 +199,25 @@ def _pack_groups(items: DataFrame, size: int, last: bool, level: int) -> DataFra
 def place(pieces: DataFrame, size: int = SIZE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``pieces`` (a stored table) with sequence_id and offset."""
     short = pieces.where(F.col("length") < size).select("uid", "length")
-    groups = max(math.ceil(short.count() / group_pieces), 1)
-    items = short.withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    level, placed = 1, None
+    left, above, level, placed = short.count(), math.inf, 1, None
+    items = short
     while True:
-        out = stored(_pack_groups(items, size, groups == 1, level), "packed")
-        done = out.where("done").select("uid", "sequence_id", "offset")
+        groups = max(math.ceil(left / group_pieces), 1)
+        dealt = items.withColumn("group", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
+        out = stored(_pack_groups(dealt, size, level), "packed")
+        rest = out.where("not done")
+        # At most one row for each length below the size comes to the driver.
+        kinds = rest.groupBy("length").agg(F.count("*").alias("n"), F.count(F.when(F.col("offset") == 0, 1)).alias("firsts")).orderBy("length").collect()
+        lengths, counts, firsts = (np.array([r[k] for r in kinds], np.int64) for k in range(3))
+        before, left = (left, above), int(counts.sum())
+        above = int(firsts.sum()) - least_bins_of(lengths, counts, size)
+        stuck = left > before[0] * (1 - 1 / FAN_IN) and above > before[1] * (1 - 1 / FAN_IN)
+        last = groups == 1 or not above or stuck
+        done = (out if last else out.where("done")).select("uid", "sequence_id", "offset")
         placed = done if placed is None else placed.unionByName(done)
-        if groups == 1:
+        if last:
             break
-        groups, level = math.ceil(groups / FAN_IN), level + 1
-        items = out.where("not done").select("uid", "length", F.pmod("group", F.lit(groups)).alias("group"))
+        items, level = rest.select("uid", "length"), level + 1
     full = pieces.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
     rest = pieces.where(F.col("length") < size).join(placed, "uid")
     return full.unionByName(rest).drop("uid")
