@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import chat, line_dedup, near_dup, packing, pii, tiling, token_files, topk, toxicity, url_vocab
+from tillroll.llm import (
+    chat, line_dedup, near_dup, packing, pii, suffix_dedup, tiling, token_files, topk, toxicity, url_vocab)
 from tillroll.llm.common import table
 
 
@@ -70,9 +71,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 50-byte strings share with a smaller document."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_formatting, op2_jaccard_join, op3_decontamination, op4_pii, op5_url_filter,
-                                    op6_toxicity, op7_token_files, op8_line_dedup, op9_packing, op10_topk)}
+                                    op6_toxicity, op7_token_files, op8_line_dedup, op9_packing, op10_topk,
+                                    op11_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
