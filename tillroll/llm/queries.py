@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import (
-    chat, line_dedup, near_dup, packing, pii, suffix_dedup, tiling, token_files, topk, toxicity, url_vocab)
+    chat, divergence, hard_negatives, line_dedup, near_dup, packing, pii, suffix_dedup, tiling, token_files, topk, toxicity, url_vocab)
 from tillroll.llm.common import table
 
 
@@ -76,11 +76,23 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh vector has a wrong label."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.usable(table(spark, sf_dir, "embeddings"), label=wrong), F.col("vec_id") % 100 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every source of a language differs from the others, and by which terms from the language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_formatting, op2_jaccard_join, op3_decontamination, op4_pii, op5_url_filter,
                                     op6_toxicity, op7_token_files, op8_line_dedup, op9_packing, op10_topk,
-                                    op11_suffix_dedup)}
+                                    op11_suffix_dedup, op12_hard_negatives, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_vocab.oracle_sql(), "op8_line_dedup": line_dedup.oracle_sql(), "op10_topk": topk.oracle_sql()}
+    return {"op5_url_filter": url_vocab.oracle_sql(), "op8_line_dedup": line_dedup.oracle_sql(), "op10_topk": topk.oracle_sql(),
+            "op12_hard_negatives": hard_negatives.oracle_sql(), "op13_source_divergence": divergence.oracle_sql()}
