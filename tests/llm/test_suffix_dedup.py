@@ -84,7 +84,7 @@ def test_suffix_array_and_prefixes(text, depth):
     text += b"\xff"  # the end mark of a compact text
     t = np.frombuffer(text, np.uint8)
     sa, starts = sd.suffix_array(t, depth)
-    reach = 8
+    reach = 5
     while reach < depth:
         reach *= 2
     want = sorted(range(len(t)), key=lambda i: (text[i:i + reach], i))
@@ -98,15 +98,16 @@ def test_suffix_array_and_prefixes(text, depth):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 9)), max_size=20, unique_by=lambda x: x[0]), min_size=1, max_size=7))
-def test_merge_marks_larger_documents(runs):
+@given(st.lists(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 9)), max_size=20), min_size=1, max_size=7))
+def test_merge_keeps_the_range_of_documents(runs):
     arrays = [(np.array([k for k, _ in r], np.uint64), np.array([d for _, d in r], np.int64)) for r in runs]
-    marks = sd.merge_runs(arrays)
-    least = {}
+    least, most = {}, {}
     for r in runs:
         for k, d in r:
-            least[k] = min(d, least.get(k, d))
-    assert [m.tolist() for m in marks] == [[least[k] < d for k, d in r] for r in runs]
+            least[k], most[k] = min(d, least.get(k, d)), max(d, most.get(k, d))
+    keys, low, high = sd.merge_runs(arrays)
+    assert keys.tolist() == sorted(least)
+    assert low.tolist() == [least[k] for k in sorted(least)] and high.tolist() == [most[k] for k in sorted(most)]
 
 
 def test_hashes_follow_the_bytes():

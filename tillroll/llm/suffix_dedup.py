@@ -1,27 +1,28 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a document with a smaller ``doc_id``.
 
-Documents are cut into shards of about ``shard_bytes`` bytes, stored once.  Four
-steps over the shards, two of them meetings by hash:
-
-1. Fingerprints.  A window of ``length`` bytes has a minimizer, the least hash among
-   its ``GRAM``-byte strings; equal windows have equal minimizers.  Each shard sends its sorted
-   distinct minimizers (32 bits of each) to their hash groups and gets one bit back for each: found in another shard.
-2. Suffix arrays.  Only windows whose minimizer stands in a second document can
-   repeat.  Their text, in one compact buffer, gets a suffix array by
-   Larsson-Sadakane refinement (ranks of h bytes refine the still unsorted groups to 2h bytes, from 8
-   bytes to at least ``length``) and Kasai's common prefixes, many chains in lockstep.  Neighbours with a
-   common prefix of ``length`` bytes are one class; windows outside the class's smallest
-   document go.
-3. Merging.  Each class sends a 64-bit key and its smallest ``doc_id`` to its hash group
-   (a second, independent hash).  Sorted runs of the shards are merged pairwise by
-   binary search; a class gets one bit back: a smaller document in another shard has it.
-4. Spans.  Shards put both results together.  The union of the removed windows
-   is the removed text.
-
-Only keys travel between shards, about four bytes for every fourteen of text in step
-1 and eight for every different candidate window in step 3; text travels compressed, to meet its shard's bits.  A string
-in a third of all documents costs one key a shard.  Two different windows are taken
-for equal only if 64 bits and the group agree by chance.
+Documents are cut into shards of about ``shard_bytes`` bytes, stored once.  Then, with two
+meetings by hash:
+
+1. Regions.  A window of ``length`` bytes has a minimizer, the least hash among its
+   ``GRAM``-byte strings; neighbouring windows with one minimizer are a region, about thirteen windows.  Equal windows
+   have equal minimizers, so they lie in regions of one hash group.  Each region sends 32 bits of its minimizer, a
+   64-bit hash of its text and its document, and gets two bits back: a smaller
+   document has the same region, so all its windows go; or else, another document has its minimizer, so its windows may repeat elsewhere.
+2. Suffix arrays.  The text of the latter regions, each different one at most once in
+   the corpus (but for repeats within a document), gets per shard a suffix array by Larsson-Sadakane refinement (ranks of h bytes
+   refine the still unsorted groups to 2h bytes) and Kasai's common prefixes, many chains in
+   lockstep.  Neighbours with a common prefix of ``length`` bytes are one class; windows outside the
+   class's smallest document go.
+3. Merging.  The windows left send a 64-bit key and their ``doc_id`` to their hash group (by a second, independent
+   hash).  Sorted runs of the shards are merged pairwise by binary search; a window gets a bit
+   back: a smaller document of another shard has it.
+4. Spans.  Shards put the results together.  The union of the removed windows is
+   the removed text.
+
+Only hashes travel between shards: about one byte for each of text in step 1, and eight for each
+window of step 3; text travels compressed, to meet its shard's bits.  A string in a third of all
+documents is one window a shard in step 3, at most.  Two different texts are taken for equal only if 64 bits and
+their group agree by chance.
 
 Defined cases: a null text is empty; texts shorter than ``length`` bytes stay whole;
 documents with the same ``doc_id`` (repeated rows, too) remove nothing from each other, and each
@@ -45,12 +46,11 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import mix, stored
 
-LENGTH, GRAM, SHARD_BYTES, GROUP_BYTES = 50, 24, 2 << 20, 32 << 20
+LENGTH, GRAM, SHARD_BYTES, GROUP_BYTES = 50, 24, 1_900_000, 16 << 20
 _END = 0xFF  # no UTF-8 text holds this byte
 _CHAIN, _STEP = 64, 1 << 16
 SHARDS = "shard long, n_bytes long, uids array<long>, doc_ids array<long>, starts array<long>, sizes array<long>, pieces array<int>, content binary"
-BITS = "shard long, part int, content binary"
-KEYS = "kind string, shard long, part int, content binary, docs binary"
+KEYS = "shard long, part int, content binary, more binary, n long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 PARTS = "uid long, start long, content binary, " + RESULT
 
@@ -98,43 +98,52 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
 
 # ------------------------------------------------------------------ suffix arrays
 
+def _order(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``key`` (whole numbers up to ``most``) in ascending order, and the sorted key.
+
+    Key and place in one 64-bit number are sorted several times faster than places by their key.
+    """
+    bits = max(len(key) - 1, 1).bit_length()
+    if most.bit_length() + bits <= 64:
+        both = np.sort((key.astype(np.uint64) << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+        return (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+    order = np.argsort(key, kind="stable")
+    return order, key[order]
+
+
 def suffix_array(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``t`` in the order of their first ``depth`` bytes at least, and where each group of equal ones begins.
 
     The end sorts before every byte; equal ones stand in the order of their places.  ``t`` must end with ``_END``.
     """
     n = len(t)
-    first = np.zeros(n + 8, np.uint64)
-    first[:n] = t
-    for size in (1, 2, 4):
-        first = (first[:-size] << np.uint64(8 * size)) | first[size:]
-    first = first[:n]
-    sa = np.argsort(first)
-    own = first[sa]
+    h = 5  # five bytes and the place of three bytes' worth fit one number
+    first = np.zeros(n, np.uint64)
+    padded = np.concatenate([t, np.zeros(h, np.uint8)])
+    for i in range(h):
+        first = (first << np.uint64(8)) | padded[i:i + n]
+    sa, own = _order(first, (1 << 8 * h) - 1)
     starts = np.concatenate([[True], own[1:] != own[:-1]]) if n else np.empty(0, bool)
     # A group's rank is the place of its first suffix, counted from 1; 0 stands for the end of the text.
     rank = np.zeros(n + 1, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(starts, np.arange(1, n + 1), 0))
-    h = 8
+    unsorted = lambda: np.flatnonzero(~(starts & np.concatenate([starts[1:], [True]])))
     while h < depth and n:
         # Larsson-Sadakane: only groups of more than one suffix are refined, by the ranks of the suffixes h further on.
-        alone = starts & np.concatenate([starts[1:], [True]])
-        at = np.flatnonzero(~alone)
+        at = unsorted()
         if not len(at):
             break
         sub = sa[at]
-        key = rank[sub] * (n + 1) + rank[np.minimum(sub + h, n)]
-        order = np.argsort(key)
-        sub, key = sub[order], key[order]
+        order, key = _order(rank[sub] * (n + 1) + rank[np.minimum(sub + h, n)], n * (n + 2))
+        sub = sub[order]
         sa[at] = sub
         new = np.concatenate([[True], key[1:] != key[:-1]])
         starts[at] = new
         rank[sub] = np.maximum.accumulate(np.where(new, at + 1, 0))
         h *= 2
-    at = np.flatnonzero(~(starts & np.concatenate([starts[1:], [True]]))) if n else []
-    if len(at):
+    if n and len(at := unsorted()):
         sub = sa[at]
-        sa[at] = sub[np.argsort(rank[sub] * (n + 1) + sub)]
+        sa[at] = sub[_order(rank[sub] * (n + 1) + sub, n * (n + 2))[0]]
     return sa, starts
 
 
@@ -170,29 +179,28 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int
     return by_place[sa]
 
 
-def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """Per run of (keys, smallest documents) a mark for every key that another run has with a smaller document.
+def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of all runs of (keys, documents), ascending, with each key's smallest and largest document.
 
-    Sorted runs are merged two by two, the keys of one searched for in the other; a merged run keeps each
-    key's smallest document.
+    Sorted runs are merged two by two: the keys of the shorter one are searched for in the longer.
     """
     level = []
     for keys, docs in runs:
         order = np.argsort(keys)
-        level.append((keys[order], docs[order]))
+        keys, docs = keys[order], docs[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        level.append((keys[new], np.minimum.reduceat(docs, new), np.maximum.reduceat(docs, new)) if len(keys) else (keys, docs, docs))
     while len(level) > 1:
         merged = []
-        for (a, da), (b, db) in zip(level[::2], level[1::2]):
-            if len(a) < len(b):
-                a, da, b, db = b, db, a, da
+        for one, two in zip(level[::2], level[1::2]):
+            (a, low, high), (b, low_b, high_b) = (one, two) if len(one[0]) >= len(two[0]) else (two, one)
             at = np.searchsorted(a, b)
-            hit = np.zeros(len(b), bool) if not len(a) else a[np.minimum(at, len(a) - 1)] == b
-            da = da.copy()
-            da[at[hit]] = np.minimum(da[at[hit]], db[hit])
-            merged.append((np.insert(a, at[~hit], b[~hit]), np.insert(da, at[~hit], db[~hit])))
+            hit = a[np.minimum(at, len(a) - 1)] == b if len(a) else np.zeros(len(b), bool)
+            low[at[hit]] = np.minimum(low[at[hit]], low_b[hit])
+            high[at[hit]] = np.maximum(high[at[hit]], high_b[hit])
+            merged.append(tuple(np.insert(x, at[~hit], y[~hit]) for x, y in ((a, b), (low, low_b), (high, high_b))))
         level = merged + ([level[-1]] if len(level) % 2 else [])
-    keys, docs = level[0]
-    return [docs[np.searchsorted(keys, k)] < d if len(k) else np.empty(0, bool) for k, d in runs]
+    return level[0]
 
 
 # ------------------------------------------------------------------ one shard
@@ -203,126 +211,127 @@ class Shard:
     def __init__(self, row: dict, length: int):
         self.row, self.length = row, length
         sizes = np.array(row["sizes"], np.int64)
-        raw = np.frombuffer(pa.decompress(row["content"], int(sizes.sum()), codec="zstd"), np.uint8) if sizes.sum() else np.empty(0, np.uint8)
-        self.text = raw
+        self.text = np.frombuffer(_unzip(row["content"], int(sizes.sum())), np.uint8)
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
-        self.known = np.array([i is not None for i in row["doc_ids"]], bool)
         self.docs = np.array([i or 0 for i in row["doc_ids"]], np.int64)
-        n = max(len(raw) - length + 1, 0)
-        edge = np.zeros(n + 1, np.int32)  # windows start where they end inside their document
-        usable = (sizes >= length) & self.known
-        np.add.at(edge, self.begins[usable], 1)
-        np.add.at(edge, self.ends[usable] - length + 1, -1)
-        self.starts = np.cumsum(edge[:n]) > 0
-        self.gram = min(GRAM, length)
-
-    def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of neighbouring windows of one document with one minimizer: minimizer, first window, end."""
-        least = _least(gram_hashes(self.text, self.gram, 0), self.length - self.gram + 1)
-        cut = np.empty(len(least), bool)
-        if len(cut):
+        self.n = max(len(self.text) - length + 1, 0)
+        # Windows start where they end inside their document.
+        usable = (sizes >= length) & np.array([i is not None for i in row["doc_ids"]], bool)
+        self.starts = _filled(self.begins[usable], self.ends[usable] - length + 1, self.n)
+
+    def doc_of(self, places: np.ndarray) -> np.ndarray:
+        """The document at each place."""
+        return self.docs[np.searchsorted(self.ends, places, "right")]
+
+    def regions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Minimizer, first window and end of each run of neighbouring windows of one document with one minimizer.
+
+        A run of more windows than a minimizer can serve (a periodic text) is cut.
+        """
+        gram = min(GRAM, self.length)
+        least = _least(gram_hashes(self.text, gram, 0), self.length - gram + 1)
+        cut = np.empty(self.n, bool)
+        if self.n:
             cut[0], cut[1:] = True, (least[1:] != least[:-1]) | (self.starts[1:] != self.starts[:-1])
-        cut[self.begins[self.begins < len(cut)]] = True
-        first = np.flatnonzero(cut)
-        end = np.append(first[1:], len(cut))
+        cut[self.begins[self.begins < self.n]] = True
+        first, most = np.flatnonzero(cut), self.length - gram + 1
+        end = np.append(first[1:], self.n)
         own = self.starts[first]
-        return mix(least[first][own]), first[own], end[own]  # a minimum is a small number: mixed again, it is spread
+        first, end = first[own], end[own]
+        pieces = -(-(end - first) // most)
+        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, end = np.repeat(first, pieces) + step * most, np.repeat(end, pieces)
+        end = np.minimum(end, first + most)
+        return mix(least[first]), first, end  # a minimum is a small number: mixed again, it is spread
+
+    def stretches(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text under the windows of a mask, an end mark after each stretch; the windows' places there, and here."""
+        n, places = self.length, np.flatnonzero(windows)
+        if not len(places):
+            return np.empty(0, np.uint8), places, places
+        new = np.flatnonzero(np.diff(places) >= n) + 1  # else two windows touch, be it in two documents: then
+        fresh = np.concatenate([[0], np.union1d(new, np.searchsorted(places, self.begins[(self.begins > places[0]) & (self.begins <= places[-1])]))])
+        begin = places[fresh]
+        end = np.append(places[fresh[1:] - 1], places[-1]) + n
+        sizes = end - begin + 1
+        at = np.cumsum(sizes) - sizes  # stretch's begin in the new text
+        shift = np.repeat(begin - at, sizes)
+        source = np.arange(sizes.sum()) + shift
+        marks = at + sizes - 1
+        source[marks] = 0
+        text = self.text[source]
+        text[marks] = _END
+        return text, places - np.repeat(begin - at, np.diff(np.append(fresh, len(places)))), places
+
+
+def _filled(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Mask of ``n`` places, true in all [begin, end); the begins differ, and so do the ends."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[begins] += 1
+    edge[ends] -= 1
+    return np.cumsum(edge[:n], dtype=np.int8).astype(bool)
+
+
+def _zip(data: np.ndarray) -> bytes:
+    return pa.compress(data.tobytes(), "zstd", asbytes=True)
+
+
+def _unzip(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, codec="zstd", asbytes=True) if size else b""
 
-    def doc_of(self, places: np.ndarray) -> np.ndarray:
-        """Number of the document (piece) at each place."""
-        return np.searchsorted(self.ends, places, "right")
 
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    """``n`` bits, packed and compressed."""
+    return np.unpackbits(np.frombuffer(_unzip(data, -(-n // 8)), np.uint8), count=n).astype(bool)
 
-def _split(h: np.ndarray, parts: int) -> np.ndarray:
+
+def _group(h: np.ndarray, parts: int) -> np.ndarray:
     """Hash group of each hash, by its upper half."""
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _fingerprints(shard: Shard) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Distinct minimizers ascending, whether each stands in two documents here, and the runs with their minimizer's number."""
-    least, first, end = shard.minimizers()
-    values, number = np.unique(least, return_inverse=True)
-    docs = shard.docs[shard.doc_of(first)]
-    low = np.full(len(values), np.iinfo(np.int64).max)
-    high = np.full(len(values), np.iinfo(np.int64).min)
-    np.minimum.at(low, number, docs)
-    np.maximum.at(high, number, docs)
-    return values, low < high, (number, first, end)
-
-
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    """``n`` bits, packed and compressed."""
-    return np.unpackbits(np.frombuffer(pa.decompress(data, -(-n // 8), codec="zstd"), np.uint8), count=n).astype(bool) if n else np.empty(0, bool)
+def _by_group(groups: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, places of its members in ascending order) of the groups that have members."""
+    order, _ = _order(groups, parts)
+    cuts = np.searchsorted(groups[order], np.arange(parts + 1))
+    return ((p, order[cuts[p]:cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1])
 
 
-def _bits(rows: list[dict], groups: np.ndarray) -> np.ndarray:
-    """Bits of the hash groups put back to the order of the keys."""
+def _flags(rows: list[dict], groups: np.ndarray, name: str) -> np.ndarray:
+    """Bits that came back from the hash groups, in the order of the members that were sent."""
     out = np.zeros(len(groups), bool)
-    for r in rows:
-        own = np.flatnonzero(groups == r["part"])
-        out[own] = np.unpackbits(np.frombuffer(r["content"], np.uint8), count=len(own)).astype(bool)
+    for (p, own), r in zip(_by_group(groups, max(int(groups.max(initial=0)) + 1, 1)), sorted(rows, key=lambda r: r["part"]), strict=True):
+        if r["part"] != p:
+            raise ValueError("the bits of a hash group are missing")
+        out[own] = _unpack(r[name], len(own))
     return out
 
 
-def _candidates(shard: Shard, shared: list[dict], parts: int) -> np.ndarray:
-    """Mask of the windows whose minimizer stands in another document."""
-    values, here, (number, first, end) = _fingerprints(shard)
-    wanted = (here | _bits(shared, _split(values, parts)))[number]
-    edge = np.zeros(len(shard.starts) + 1, np.int32)
-    np.add.at(edge, first[wanted], 1)
-    np.add.at(edge, end[wanted], -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _compact(shard: Shard, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The candidates' text without the rest, the windows' places in it, and in the shard."""
-    n, size = shard.length, len(shard.text)
-    places = np.flatnonzero(candidates)
-    edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, places, 1)
-    np.add.at(edge, places + n, -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    # Neighbouring windows of two documents overlap nowhere, but their texts touch: an end mark stands before each stretch.
-    begin = covered & np.concatenate([[True], ~covered[:-1]]) if size else covered
-    begin[shard.begins[(shard.begins < size)]] |= covered[shard.begins[shard.begins < size]]
-    new = np.cumsum(covered) + np.cumsum(begin) - 1  # place in the compact text
-    out = np.full(int(covered.sum() + begin.sum()) + 1, _END, np.uint8)
-    out[new[covered]] = shard.text[covered]
-    return out, new[places], places
-
-
-def _window_keys(text: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each window and its second hash."""
-    if not len(at):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return gram_hashes(text, n, 1)[at], gram_hashes(text, n, 2)[at]
-
-
-def _classes(shard: Shard, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per class of equal windows, by first place: key, second hash, smallest document; the windows that go here, all candidates."""
-    text, at, places = _compact(shard, candidates)
-    n = shard.length
-    sa, starts = suffix_array(text, n)
-    same = common_prefixes(text, sa, starts, n) >= n
-    number = np.cumsum(~same) - 1  # suffixes with a common prefix of n bytes stand together
-    by_text = np.zeros(len(text), np.int64)
-    by_text[sa] = number
-    _, first, cls = np.unique(by_text[at], return_index=True, return_inverse=True)
-    docs = shard.docs[shard.doc_of(places)]
-    low = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(low, cls, docs)
-    keys, second = _window_keys(text, at, n)
-    order = np.argsort(first)  # classes by their first place, as step 4 finds them again
-    first = first[order]
-    return keys[first], second[first], low[order], docs > low[cls], places
+def _classes(shard: Shard, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the mask that stand in a smaller document of this shard as well; all windows' places."""
+    text, at, places = shard.stretches(windows)
+    sa, starts = suffix_array(text, shard.length)
+    new = common_prefixes(text, sa, starts, shard.length) < shard.length
+    here = np.full(len(text), -1, np.int64)
+    here[at] = np.arange(len(at))
+    own = here[sa]  # suffixes with a common prefix of a window stand together, all of them windows
+    number, own = np.cumsum(new)[own >= 0], own[own >= 0]
+    docs = shard.doc_of(places)[own]
+    gone = np.zeros(len(places), bool)
+    if len(own):
+        first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        gone[own] = docs > np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(own))))
+    return gone, places
 
 
-# ------------------------------------------------------------------ steps
+def _hashes_at(shard: Shard, windows: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the windows of a mask, by each seed."""
+    text, at, _ = shard.stretches(windows)
+    return [gram_hashes(text, shard.length, seed)[at] if len(at) else np.empty(0, np.uint64) for seed in seeds]
 
-def _rows(table: pa.Table) -> list[dict]:
-    return table.to_pylist()
 
+# ------------------------------------------------------------------ steps
 
 def _batch(rows: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()], list(kinds))
@@ -332,8 +341,7 @@ _LONGS = pa.list_(pa.int64())
 _KINDS = {
     "shards": {"shard": pa.int64(), "n_bytes": pa.int64(), "uids": _LONGS, "doc_ids": _LONGS, "starts": _LONGS, "sizes": _LONGS,
                "pieces": pa.list_(pa.int32()), "content": pa.binary()},
-    "bits": {"shard": pa.int64(), "part": pa.int32(), "content": pa.binary()},
-    "keys": {"kind": pa.string(), "shard": pa.int64(), "part": pa.int32(), "content": pa.binary(), "docs": pa.binary()},
+    "keys": {"shard": pa.int64(), "part": pa.int32(), "content": pa.binary(), "more": pa.binary(), "n": pa.int64()},
     "result": {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": _LONGS},
 }
 _KINDS["parts"] = {"uid": pa.int64(), "start": pa.int64(), "content": pa.binary()} | _KINDS["result"]
@@ -374,71 +382,81 @@ def shards(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES
     return stored(own.mapInArrow(run, SHARDS), "suffix-shards")
 
 
-def _send_fingerprints(table: DataFrame, length: int, parts: int) -> DataFrame:
+def _send_regions(table: DataFrame, length: int, parts: int) -> DataFrame:
+    """Per shard and hash group: 32 bits of the regions' minimizers, then the hashes of their texts; their documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                values, _, _ = _fingerprints(Shard(row, length))
-                groups = _split(values, parts)
-                cuts = np.searchsorted(groups, np.arange(parts + 1))  # the groups follow the values' order
-                low = values.astype(np.uint32)
-                if rows := [{"shard": row["shard"], "part": p, "content": low[cuts[p]:cuts[p + 1]].tobytes()}
-                            for p in range(parts) if cuts[p] < cuts[p + 1]]:
-                    yield _batch(rows, _KINDS["bits"])
-
-    return table.mapInArrow(run, BITS)
-
-
-def _find_shared(sent: DataFrame) -> DataFrame:
-    """A bit per fingerprint: another shard has it."""
+                shard = Shard(batch.slice(i, 1).to_pylist()[0], length)
+                least, first, end = shard.regions()
+                docs = shard.doc_of(first)
+                if not len(first):
+                    continue
+                # A region is shorter than two windows: its first, its last and its size tell its text.
+                h = gram_hashes(shard.text, length, 1)
+                whole = mix(h[first] + mix(h[end - 1] + (end - first).astype(np.uint64)))
+                yield _batch([{"shard": shard.row["shard"], "part": p, "n": len(own), "more": _zip(docs[own]),
+                               "content": least[own].astype(np.uint32).tobytes() + whole[own].tobytes()}
+                              for p, own in _by_group(_group(least, parts), parts)], _KINDS["keys"])
+
+    return table.mapInArrow(run, KEYS)
+
+
+def _judge_regions(sent: DataFrame) -> DataFrame:
+    """Two bits per region: ``content``, a smaller document has it; ``more``, another document has its minimizer."""
     def run(table: pa.Table) -> pa.Table:
-        rows = _rows(table)
-        runs = [np.frombuffer(r["content"], np.uint32) for r in rows]
-        values, counts = np.unique(np.concatenate([np.unique(r) for r in runs]), return_counts=True)
-        several = counts > 1
-        return pa.Table.from_batches([_batch([
-            {"shard": r["shard"], "part": r["part"], "content": np.packbits(several[np.searchsorted(values, k)]).tobytes()}
-            for r, k in zip(rows, runs)], _KINDS["bits"])])
+        rows = table.to_pylist()
+        docs = [np.frombuffer(_unzip(r["more"], 8 * r["n"]), np.int64) for r in rows]
+        least = [np.frombuffer(r["content"], np.uint32, r["n"]) for r in rows]
+        whole = [np.frombuffer(r["content"], np.uint64, r["n"], 4 * r["n"]) for r in rows]
+        keys, low, high = merge_runs(list(zip(least, docs)))
+        shared = low < high
+        texts, first, _ = merge_runs(list(zip(whole, docs)))
+        out = [{"shard": r["shard"], "part": r["part"], "n": r["n"],
+                "content": _zip(np.packbits(first[np.searchsorted(texts, w)] < d)), "more": _zip(np.packbits(shared[np.searchsorted(keys, k)]))}
+               for r, k, w, d in zip(rows, least, whole, docs)]
+        return pa.Table.from_batches([_batch(out, _KINDS["keys"])])
 
-    return sent.groupBy("part").applyInArrow(run, BITS)
+    return sent.groupBy("part").applyInArrow(run, KEYS)
 
 
-def _send_classes(table: DataFrame, shared: DataFrame, length: int, parts: int) -> DataFrame:
-    """Per shard: the candidate windows and those that go here (kind ``own``), and its classes (kind ``key``)."""
+def _send_windows(table: DataFrame, judged: DataFrame, length: int, parts: int) -> DataFrame:
+    """Per shard the windows that go and those that still may (a negative ``part``), and the latter's keys and documents."""
     def run(own: pa.Table, bits: pa.Table) -> pa.Table:
-        out = []
-        for row in _rows(own):
-            shard = Shard(row, length)
-            candidates = _candidates(shard, _rows(bits), parts)
-            keys, second, low, gone, _ = _classes(shard, candidates)
-            groups = _split(second, parts)
-            order = np.argsort(groups, kind="stable")
-            cuts = np.searchsorted(groups[order], np.arange(parts + 1))
-            for p in range(parts):
-                if len(mine := order[cuts[p]:cuts[p + 1]]):
-                    out.append({"kind": "key", "shard": row["shard"], "part": p, "content": keys[mine].tobytes(),
-                                "docs": pa.compress(low[mine].tobytes(), "zstd", asbytes=True)})
-            out.append({"kind": "own", "shard": row["shard"], "content": pa.compress(np.packbits(candidates).tobytes(), "zstd", asbytes=True),
-                        "docs": pa.compress(np.packbits(gone).tobytes(), "zstd", asbytes=True)})
+        row, = own.to_pylist()
+        shard, given, out = Shard(row, length), bits.to_pylist(), []
+        least, first, end = shard.regions()
+        groups = _group(least, parts)
+        known = _flags(given, groups, "content")
+        asked = _flags(given, groups, "more") & ~known
+        gone = _filled(first[known], end[known], shard.n)
+        left = _filled(first[asked], end[asked], shard.n)
+        here, places = _classes(shard, left)
+        gone[places[here]], left[places[here]] = True, False
+        keys, second = _hashes_at(shard, left, (1, 2))
+        docs = shard.doc_of(np.flatnonzero(left))
+        out = [{"shard": row["shard"], "part": p, "n": len(mine), "content": keys[mine].tobytes(), "more": _zip(docs[mine])}
+               for p, mine in _by_group(_group(second, parts), parts)]
+        out.append({"shard": row["shard"], "part": -1 - row["shard"] % parts, "n": 0,
+                    "content": _zip(np.packbits(gone)), "more": _zip(np.packbits(left))})
         return pa.Table.from_batches([_batch(out, _KINDS["keys"])])
 
-    return table.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(run, KEYS)
+    return table.groupBy("shard").cogroup(judged.groupBy("shard")).applyInArrow(run, KEYS)
 
 
-def _merge_classes(sent: DataFrame) -> DataFrame:
-    """A bit per class: a smaller document of another shard has its string."""
-    def run(table: pa.Table) -> pa.Table:
-        rows = _rows(table)
-        runs = []
-        for r in rows:
-            keys = np.frombuffer(r["content"], np.uint64)
-            runs.append((keys, np.frombuffer(pa.decompress(r["docs"], 8 * len(keys), codec="zstd"), np.int64)))
-        marks = merge_runs(runs)
-        return pa.Table.from_batches([_batch([{"shard": r["shard"], "part": r["part"], "content": np.packbits(m).tobytes()}
-                                              for r, m in zip(rows, marks)], _KINDS["bits"])])
+def _merge_windows(sent: DataFrame) -> DataFrame:
+    """A bit per window: a smaller document has it.  What shards send to themselves passes through."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return table
+        rows = table.to_pylist()
+        runs = [(np.frombuffer(r["content"], np.uint64), np.frombuffer(_unzip(r["more"], 8 * r["n"]), np.int64)) for r in rows]
+        keys, low, _ = merge_runs(runs)
+        return pa.Table.from_batches([_batch(
+            [{"shard": r["shard"], "part": r["part"], "n": r["n"], "content": _zip(np.packbits(low[np.searchsorted(keys, k)] < d))}
+             for r, (k, d) in zip(rows, runs)], _KINDS["keys"])])
 
-    return sent.groupBy("part").applyInArrow(run, BITS)
+    return sent.groupBy("part").applyInArrow(run, KEYS)
 
 
 def _spans(starts: np.ndarray, n: int) -> np.ndarray:
@@ -474,29 +492,22 @@ def _result(doc_id: int | None, text: bytes, spans: list[int]) -> dict:
 
 
 def _own_spans(table: DataFrame, found: DataFrame, length: int, parts: int) -> DataFrame:
-    """Per document piece its removed spans, with the text."""
+    """The results of whole documents; of documents in pieces, each piece's text and removed spans."""
     def run(own: pa.Table, bits: pa.Table) -> pa.Table:
-        out, given = [], _rows(bits)
-        for row in _rows(own):
-            shard = Shard(row, length)
-            local = next(r for r in given if r["kind"] == "own")
-            text, at, places = _compact(shard, _unpack(local["content"], len(shard.starts)))
-            gone = _unpack(local["docs"], len(places))
-            keys, second = _window_keys(text, at, length)
-            both = np.empty(len(keys), [("a", "<u8"), ("b", "<u8")])
-            both["a"], both["b"] = second, keys
-            _, first, cls = np.unique(both, return_index=True, return_inverse=True)
-            order = np.argsort(first)
-            marks = np.empty(len(first), bool)
-            marks[order] = _bits([r for r in given if r["kind"] == "bit"], _split(second[first[order]], parts))
-            removed = places[gone | marks[cls]]
-            cuts = np.searchsorted(removed, np.append(shard.begins, len(shard.text)))
-            raw = shard.text.tobytes()
-            for k, (uid, doc_id) in enumerate(zip(row["uids"], row["doc_ids"])):
-                b = int(shard.begins[k])
-                text, spans = raw[b:int(shard.ends[k])], _spans(removed[cuts[k]:cuts[k + 1]] - b, length).tolist()
-                done = _result(doc_id, text, spans) if row["pieces"][k] == 1 else {"doc_id": doc_id, "spans": spans, "content": text}
-                out.append(done | {"uid": uid, "start": row["starts"][k]})
+        row, = own.to_pylist()
+        shard, given, out = Shard(row, length), bits.to_pylist(), []
+        local, = (r for r in given if r["part"] < 0)
+        gone, left = _unpack(local["content"], shard.n), _unpack(local["more"], shard.n)
+        second, = _hashes_at(shard, left, (2,))
+        gone[np.flatnonzero(left)] = _flags([r for r in given if r["part"] >= 0], _group(second, parts), "content")
+        removed = np.flatnonzero(gone)
+        cuts = np.searchsorted(removed, np.append(shard.begins, len(shard.text)))
+        raw = shard.text.tobytes()
+        for k, (uid, doc_id) in enumerate(zip(row["uids"], row["doc_ids"])):
+            b = int(shard.begins[k])
+            text, spans = raw[b:int(shard.ends[k])], _spans(removed[cuts[k]:cuts[k + 1]] - b, length).tolist()
+            done = _result(doc_id, text, spans) if row["pieces"][k] == 1 else {"doc_id": doc_id, "spans": spans, "content": text}
+            out.append(done | {"uid": uid, "start": row["starts"][k]})
         return pa.Table.from_batches([_batch(out, _KINDS["parts"])])
 
     return table.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, PARTS)
@@ -504,7 +515,7 @@ def _own_spans(table: DataFrame, found: DataFrame, length: int, parts: int) -> D
 
 def _put_together(parts: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(_rows(table), key=lambda r: r["start"])
+        rows = sorted(table.to_pylist(), key=lambda r: r["start"])
         text, spans = b"", []
         for r in rows:
             text = text[:r["start"]] + r["content"]  # pieces overlap by the length of a window less one
@@ -521,11 +532,9 @@ def removed(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTE
     cut = shards(docs, length, shard_bytes)
     n, size = cut.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     parts = max(math.ceil(size / GROUP_BYTES), min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
-    shared = stored(_find_shared(_send_fingerprints(cut, length, parts)), "suffix-shared")
-    sent = stored(_send_classes(cut, shared, length, parts), "suffix-classes")
-    found = _merge_classes(sent.where("kind = 'key'").drop("kind")).select(F.lit("bit").alias("kind"), "shard", "part", "content", F.lit(None).cast("binary").alias("docs"))
-    back = sent.where("kind = 'own'").unionByName(found)
-    return _put_together(stored(_own_spans(cut, back, length, parts), "suffix-spans"))
+    judged = stored(_judge_regions(_send_regions(cut, length, parts)), "suffix-regions")
+    found = stored(_merge_windows(_send_windows(cut, judged, length, parts)), "suffix-windows")
+    return _put_together(stored(_own_spans(cut, found, length, parts), "suffix-spans"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
