@@ -14,6 +14,7 @@ from xxhash import xxh64_intdigest
 from tillroll.session import checkpoint_dir
 
 _WORD = re.compile(r"\w+")
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,13 +26,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back.
 
     Cuts the lineage with files that every executor can see; the files go when
-    the session's JVM ends.
+    the session's JVM ends.  Shuffle files of the write are of no use after it and go at once.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    df.write.parquet(path)
+    kept = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if kept is None else spark.conf.set(_CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ Documents are cut into shards of about ``shard_bytes`` bytes, stored once.  Then
 meetings by hash:
 
 1. Regions.  A window of ``length`` bytes has a minimizer, the least hash among its
-   ``GRAM``-byte strings; neighbouring windows with one minimizer are a region, about thirteen windows.  Equal windows
+   ``GRAM``-byte strings; neighbouring windows with one minimizer are a region, about eleven windows.  Equal windows
    have equal minimizers, so they lie in regions of one hash group.  Each region sends 32 bits of its minimizer, a
    64-bit hash of its text and its document, and gets two bits back: a smaller
    document has the same region, so all its windows go; or else, another document has its minimizer, so its windows may repeat elsewhere.
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import mix, stored
 
-LENGTH, GRAM, SHARD_BYTES, GROUP_BYTES = 50, 24, 1_900_000, 16 << 20
+LENGTH, GRAM, SHARD_BYTES, GROUP_BYTES = 50, 28, 1_900_000, 16 << 20
 _END = 0xFF  # no UTF-8 text holds this byte
 _CHAIN, _STEP = 64, 1 << 16
 SHARDS = "shard long, n_bytes long, uids array<long>, doc_ids array<long>, starts array<long>, sizes array<long>, pieces array<int>, content binary"
