@@ -25,7 +25,7 @@ def test_clamped_accept(spark):
                                   "id long, product_id long, adjustment int, created_at timestamp_ntz")
     opening = spark.createDataFrame([(1, 4)], "id long, balance int")
     got = {r["id"]: (r["accepted"], r["balance_after"], r["refused"]) for r in clamped_accept(
-        steps, opening, "product_id", ["created_at", "id"], "adjustment", F.to_date("created_at"), 9).collect()}
+        steps, opening, "product_id", ["created_at", "id"], "adjustment").collect()}
     assert got == {1: (True, 1, None), 2: (False, None, "value_missing"), 3: (False, None, "key_not_found"), 4: (False, None, "key_not_found"),
                    5: (False, None, "time_missing"), 6: (False, None, None), 7: (True, 2, None)}
 

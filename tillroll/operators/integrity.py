@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.plans.joins import first_per_key
+from tillroll.plans.sequence import global_row_number
 from tillroll.session import checkpoint_dir
 from tillroll.sources.schema import (ADJUSTMENT_TYPES, BILL_METHODS, BILL_STATUSES, ORDER_METHODS,
                                      PAYMENT_STATUSES, ROLES, TIERS)
@@ -89,7 +90,7 @@ def unique_on_create(target: DataFrame, batch: DataFrame, keys: list[str], id_co
                      normalise: dict[str, Column] | None = None) -> DataFrame:
     """Per batch row, the first unique key that conflicts, or null when the row is accepted.
 
-    Rows are taken in ``id_col`` order, as inserts one after another: a row
+    Rows are taken in ``id_col`` order (rows of one id by their content's hash, equal rows in any), as inserts one after another: a row
     conflicts with the table or with an earlier row that was accepted; a refused row
     blocks nobody.  Rounds decide a row once no earlier undecided row holds
     one of its keys; each decides at least the first.  Null alternate keys never
@@ -100,7 +101,9 @@ def unique_on_create(target: DataFrame, batch: DataFrame, keys: list[str], id_co
     def k(c: str) -> Column:
         return norm[c](F.col(c)) if c in norm else F.col(c)
 
-    state = batch.select("*", *[k(c).alias(f"_k_{c}") for c in keys])
+    # An id may come twice: the row's place, not its id, says who was first.
+    placed = global_row_number(batch.withColumn("_row", F.xxhash64(*batch.columns)), [id_col, "_row"], "_pos")
+    state = placed.select(*batch.columns, "_pos", *[k(c).alias(f"_k_{c}") for c in keys])
     for c in keys:
         held = target.select(k(c).alias("_v")).filter(F.col("_v").isNotNull()).distinct().withColumn(f"_in_{c}", F.lit(True))
         state = state.join(held, state[f"_k_{c}"] == held._v, "left").drop("_v")
@@ -113,23 +116,23 @@ def unique_on_create(target: DataFrame, batch: DataFrame, keys: list[str], id_co
         if open_rows == before:
             raise RuntimeError(f"a round decided none of {open_rows} rows")
         before = open_rows
-        state = _with_first(state, keys, id_col)
-        late = reduce(lambda x, y: x | y, [F.coalesce(F.col(id_col) > F.col(f"_won_{c}"), F.lit(False)) for c in keys])
-        lead = reduce(lambda x, y: x & y, [F.coalesce(F.col(id_col) == F.col(f"_lead_{c}"), F.lit(True)) for c in keys])
+        state = _with_first(state, keys)
+        late = reduce(lambda x, y: x | y, [F.coalesce(F.col("_pos") > F.col(f"_won_{c}"), F.lit(False)) for c in keys])
+        lead = reduce(lambda x, y: x & y, [F.coalesce(F.col("_pos") == F.col(f"_lead_{c}"), F.lit(True)) for c in keys])
         state = state.withColumn("_st", F.when((F.col("_st") == "U") & late, "R").when((F.col("_st") == "U") & lead, "A")
                                  .otherwise(F.col("_st")))
         state = state.drop(*[f"_{x}_{c}" for c in keys for x in ("won", "lead")]).checkpoint(eager=True)
-    state = _with_first(state, keys, id_col)
+    state = _with_first(state, keys)
     reasons = [r for c in keys for r in (F.when(F.col(f"_in_{c}"), F.lit(f"{c}_exists")),
-                                         F.when(F.col(id_col) > F.col(f"_won_{c}"), F.lit(f"{c}_repeated_in_batch")))]
+                                         F.when(F.col("_pos") > F.col(f"_won_{c}"), F.lit(f"{c}_repeated_in_batch")))]
     return state.select(*batch.columns, F.when(F.col("_st") == "R", F.coalesce(*reasons)).alias("conflict"))
 
 
-def _with_first(state: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+def _with_first(state: DataFrame, keys: list[str]) -> DataFrame:
     """Per key, the first accepted row (``_won_``) and the first row not refused (``_lead_``) that hold the same value."""
     for c in keys:
         first = state.filter(F.col(f"_k_{c}").isNotNull() & (F.col("_st") != "R")).groupBy(F.col(f"_k_{c}").alias("_fk")).agg(
-            F.min(F.when(F.col("_st") == "A", F.col(id_col))).alias(f"_won_{c}"), F.min(id_col).alias(f"_lead_{c}"))
+            F.min(F.when(F.col("_st") == "A", F.col("_pos"))).alias(f"_won_{c}"), F.min("_pos").alias(f"_lead_{c}"))
         state = state.join(first, state[f"_k_{c}"] == first._fk, "left").drop("_fk")
     return state
 

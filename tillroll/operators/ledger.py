@@ -182,14 +182,14 @@ def validate_returns(t, requests: DataFrame) -> DataFrame:
 
     ``requests``: (request_id, bill_id, product_id, quantity, created_at).  Lines of one
     request for the same product are summed (Q12); a request is refused as a
-    whole when its bill is not ``completed``, a product is not on the bill, a
+    whole when a line has no quantity, its bill is not ``completed``, a product is not on the bill, a
     quantity is not positive or exceeds what was sold.  When a bill gets
     several requests, the first by (created_at, request_id) wins (Q20).
     Money: Σ total_price/quantity × returned, tax-inclusive, one final round.
     """
     req = requests.groupBy("request_id", "bill_id", "product_id").agg(
         F.sum("quantity").alias("quantity"), F.min("created_at").alias("created_at"),
-        F.min("quantity").alias("_min_q"))
+        F.min("quantity").alias("_min_q"), F.bool_or(F.col("quantity").isNull()).alias("_no_q"))
     # only the lines of bills that a request names are aggregated
     wanted = requests.select("bill_id").distinct()
     sold = t.bill_items.join(wanted, "bill_id", "left_semi").groupBy(
@@ -198,7 +198,7 @@ def validate_returns(t, requests: DataFrame) -> DataFrame:
     b = t.bills.select(F.col("id").alias("_bid"), F.col("status").alias("bill_status"))
     j = (req.join(b, req.bill_id == b._bid, "left")
          .join(sold, (req.bill_id == sold._sb) & (req.product_id == sold._sp), "left"))
-    reason = (F.when(F.col("_bid").isNull(), "bill_not_found")
+    reason = (F.when(F.col("_no_q"), "quantity_missing").when(F.col("_bid").isNull(), "bill_not_found")
               .when(F.col("bill_status") != "completed", "bill_not_returnable")
               .when(F.col("sold_quantity").isNull(), "product_not_on_bill")
               .when(F.col("_min_q") <= 0, "quantity_not_positive")
@@ -272,7 +272,8 @@ def payment_decisions(t, requests: DataFrame, fixed: bool = False) -> DataFrame:
     """Every request with its ``reject_reason`` (null: recorded)."""
     b = t.bills.select(F.col("id").alias("_bid"), F.col("status").alias("_bstatus"))
     j = requests.join(b, requests.bill_id == b._bid, "left")
-    reason = (F.when(~F.col("method").isin(*RECORD_METHODS) | F.col("method").isNull(), "invalid_method")
+    reason = (F.when(F.col("amount").isNull(), "amount_missing")
+              .when(~F.col("method").isin(*RECORD_METHODS) | F.col("method").isNull(), "invalid_method")
               .when(F.col("_bid").isNull(), "bill_not_found"))
     if fixed:
         reason = reason.when(~F.col("_bstatus").isin("pending", "completed"), "bill_not_payable")
@@ -282,7 +283,7 @@ def payment_decisions(t, requests: DataFrame, fixed: bool = False) -> DataFrame:
 def record_payments(t, requests: DataFrame, fixed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(payment rows, bill updates) for requests (request_id, bill_id, amount, method, created_at).
 
-    Accepted when the method is one of cash/card/upi/wallet and the bill
+    Accepted when there is an amount, the method is one of cash/card/upi/wallet and the bill
     exists; the amount is not checked against the bill.  Any bill becomes
     completed with that method (Q18; ``fixed`` accepts pending/completed
     bills only).  Several requests for one bill: the latest sets the bill."""
@@ -298,11 +299,12 @@ def record_payments(t, requests: DataFrame, fixed: bool = False) -> tuple[DataFr
 
 def match_payments(t, requests: DataFrame) -> DataFrame:
     """D15 + D16: a payment verification matches a *pending* bill when
-    |amount − net| <= 0.01; the amount in minor units is round(amount*100)."""
+    |amount − net| <= 0.01; the amount in minor units is round(amount*100).  A
+    verification without an amount is refused."""
     b = t.bills.select(F.col("id").alias("_bid"), "status", "net_amount")
     j = requests.join(b, requests.bill_id == b._bid, "left")
     diff = F.abs(F.col("amount").cast("decimal(14,2)") - F.col("net_amount"))
-    reason = (F.when(F.col("_bid").isNull(), "bill_not_found")
+    reason = (F.when(F.col("amount").isNull(), "amount_missing").when(F.col("_bid").isNull(), "bill_not_found")
               .when(F.col("status") != "pending", "bill_not_pending")
               .when(diff > F.lit("0.01").cast("decimal(3,2)"), "amount_mismatch"))
     return j.select("request_id", "bill_id", F.col("amount").cast(MONEY).alias("amount"), "net_amount",
@@ -311,18 +313,20 @@ def match_payments(t, requests: DataFrame) -> DataFrame:
 
 
 def gateway_rejects(t, confirmations: DataFrame) -> DataFrame:
-    """The confirmations that name no bill, with ``reject_reason``."""
+    """The confirmations without a gateway id, or that name no bill, with ``reject_reason``."""
     b = t.bills.select(F.col("id").alias("_bid"))
-    return confirmations.join(b, confirmations.bill_id == b._bid, "left_anti").withColumn("reject_reason", F.lit("bill_not_found"))
+    j = confirmations.join(b, confirmations.bill_id == b._bid, "left")
+    reason = F.when(F.col("gateway_transaction_id").isNull(), "gateway_id_missing").when(F.col("_bid").isNull(), "bill_not_found")
+    return j.drop("_bid").withColumn("reject_reason", reason).filter("reject_reason is not null")
 
 
 def confirm_gateway_payments(t, confirmations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(payment rows, bill updates) for gateway confirmations (bill_id, gateway_transaction_id, created_at).
 
     The payment copies the bill's own net amount, method razorpay, status
-    completed; unknown bills produce nothing (INSERT … SELECT)."""
+    completed; unknown bills and confirmations without a gateway id produce nothing (INSERT … SELECT)."""
     b = t.bills.select(F.col("id").alias("_bid"), "net_amount", "cashier_id")
-    j = confirmations.join(b, confirmations.bill_id == b._bid, "inner")
+    j = confirmations.filter("gateway_transaction_id is not null").join(b, confirmations.bill_id == b._bid, "inner")
     pays = j.select("bill_id", F.col("net_amount").alias("amount"), F.lit("razorpay").alias("method"),
                     F.lit("completed").alias("status"), "gateway_transaction_id", "created_at")
     upd = j.select(F.col("bill_id").alias("id"), F.lit("completed").alias("status"),
@@ -437,7 +441,7 @@ def adjust_stock(t, adjustments: DataFrame | None = None) -> DataFrame:
     from tillroll.plans.admission import clamped_accept
     a = t.stock_adjustments if adjustments is None else adjustments
     opening = t.products.select("id", F.col("stock_quantity").alias("balance"))
-    r = clamped_accept(a, opening, "product_id", ["created_at", "id"], "adjustment", F.to_date("created_at"))
+    r = clamped_accept(a, opening, "product_id", ["created_at", "id"], "adjustment")
     return r.select("id", "product_id", "adjustment", F.coalesce("type", F.lit("manual")).alias("type"),
                     "adjusted_by", "created_at", "accepted",
                     F.col("balance_before").alias("previous_quantity"),
@@ -455,8 +459,7 @@ def redeem_points(t, requests: DataFrame) -> DataFrame:
     ok = r.filter(F.col("_delta").isNotNull())
     bad = r.filter(F.col("_delta").isNull())
     opening = t.customers.select("id", F.col("loyalty_points").alias("balance"))
-    dec = clamped_accept(ok, opening, "customer_id", ["created_at", "request_id"], "_delta",
-                         F.to_date("created_at"))
+    dec = clamped_accept(ok, opening, "customer_id", ["created_at", "request_id"], "_delta")
     out = dec.select("request_id", "customer_id", "points", "created_at", "accepted", "balance_before",
                      F.when(F.col("accepted"), redemption_value("points")).alias("discount"),
                      F.when(F.col("accepted"), tier(F.col("balance_after"))).alias("loyalty_tier"),

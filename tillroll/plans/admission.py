@@ -1,42 +1,122 @@
-"""Ordered accept/reject decisions as an exact, set-based fixpoint.
+"""Ordered accept/reject decisions, exact and in few rounds.
 
 The source takes requests one at a time: a bill is refused when any of its
 products is short, and a refused bill frees that stock for later bills; a
 stock adjustment or a points redemption is refused when it would take the
 balance below zero.  A running sum is not enough, because each decision
-depends on which earlier requests were accepted.  Both problems are solved
-here by rounds of bounds, each round a few shuffles:
-
-* every request is undecided, accepted or rejected;
-* from the undecided and accepted requests before it (per key, in arrival
-  order) each undecided request gets a lower and an upper bound of what it
-  will find;
-* it is accepted when even the worst case passes and rejected when even the
-  best case fails.
-
-The earliest undecided request of every key has equal bounds, so each round
-decides at least one request and the loop ends.  Running sums are split by a
-chunk column (default: the day) so a hot product or customer is spread over
-many tasks, and the state is checkpointed to the shared checkpoint folder
-after every round so lineage stays short and a lost executor recomputes from
-the last round, not from the start.
+depends on which earlier requests were accepted.
+
+Bills (D4) are decided in rounds of two passes:
+
+* Bounds.  From the undecided and accepted bills before it (per product, in
+  arrival order) each undecided bill gets a lower and an upper bound of what it will
+  find; it is accepted when even the worst case passes and refused when even the best case fails.
+* Folds.  The bills still open depend on each other only through products they
+  share.  Connected components of those products (``plans.components``)
+  split them into independent groups; each group's bills are decided in arrival order by
+  one loop in one task, at most ``fold_lines`` lines of a group in a round.
+
+So a component of any chain length is decided in one round if it has at most ``fold_lines`` lines; a
+larger one takes a round per ``fold_lines`` lines that the bounds do not decide.
+That rest is inherent: whether a bill passes can depend on every earlier bill.
+
+Steps on one balance (D12, D13) take a fixed number of jobs.  The steps are numbered once in
+key and time order and cut into chunks of ``chunk_rows``.  A chunk in which a key's history goes on is
+summed up by a breakpoint table: the balance after the chunk as a function
+of the balance before it.  Tables of a key are applied in turn, which gives every chunk
+its true entry balance, and all chunks are replayed at once.
+
+Running sums are split into chunks of the arrival order, so a product in a third of
+all lines, or a micro-batch of a single day, is spread over many tasks.  State is
+checkpointed to the shared checkpoint folder, so a lost executor recomputes from the last pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.plans.sequence import running_sum, running_sums
+from tillroll.plans.components import components
+from tillroll.plans.sequence import global_row_number, running_sums
 from tillroll.session import checkpoint_dir
 
+FOLD_LINES, CHUNK_ROWS = 200_000, 50_000
+
 
 def _ckpt(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def admit_bills(lines: DataFrame, stock: DataFrame, chunk: Column | None = None,
+# ------------------------------------------------------------------ D4
+
+def _bounds(lines: DataFrame, state: DataFrame, chunk_rows: int) -> DataFrame:
+    """(bill_id, verdict) of the undecided bills that their bounds decide."""
+    live = _open_lines(lines, state, chunk_rows, ["qty", "_acc_qty"], ["upper", "_acc_run"])
+    live = live.withColumn("lower", F.col("_acc_run") + F.col("qty"))
+    verdict = live.groupBy("bill_id").agg(
+        F.max((F.col("upper") > F.col("stock")).cast("int")).alias("_may_fail"),
+        F.max((F.col("lower") > F.col("stock")).cast("int")).alias("_fails"))
+    return verdict.select("bill_id", F.when(F.col("_fails") == 1, "R").when(F.col("_may_fail") == 0, "A").alias("verdict")
+                          ).filter("verdict is not null")
+
+
+def _open_lines(lines: DataFrame, state: DataFrame, chunk_rows: int, values: list[str], outs: list[str]) -> DataFrame:
+    """Lines of undecided bills with running sums over the accepted and undecided lines of their product."""
+    live = lines.join(state.filter(F.col("state") != "R").select("bill_id", "state"), "bill_id")
+    # Only products that still carry undecided demand can change a decision.
+    open_products = live.filter(F.col("state") == "U").select("product_id").distinct()
+    live = live.join(open_products, "product_id", "left_semi")
+    live = live.withColumn("_acc_qty", F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)))
+    live = running_sums(live, "product_id", ["seq"], values, F.floor(F.col("seq") / F.lit(chunk_rows)), outs)
+    return live.filter(F.col("state") == "U")
+
+
+def _fold(table: pa.Table) -> pa.Table:
+    """Decide one group's bills one after another: a line's room is what accepted earlier bills leave of its product."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("seq", "bill_id", "product_id", "qty", "room"))))
+    used: dict[int, int] = {}
+    bills, verdicts, at = [], [], 0
+    while at < len(rows):
+        end = at
+        while end < len(rows) and rows[end][0] == rows[at][0]:
+            end += 1
+        bill = rows[at:end]
+        ok = all(used.get(p, 0) + qty <= room for _, _, p, qty, room in bill)
+        if ok:
+            for _, _, p, qty, _ in bill:
+                used[p] = used.get(p, 0) + qty
+        bills.append(bill[0][1])
+        verdicts.append("A" if ok else "R")
+        at = end
+    return pa.table({"bill_id": pa.array(bills, pa.int64()), "verdict": pa.array(verdicts, pa.string())})
+
+
+def _fold_groups(lines: DataFrame, state: DataFrame, chunk_rows: int, fold_lines: int) -> DataFrame:
+    """(bill_id, verdict) of the first ``fold_lines`` undecided lines of every independent group."""
+    live = _ckpt(_open_lines(lines, state, chunk_rows, ["_acc_qty"], ["_acc_run"]).select(
+        "bill_id", "seq", "product_id", "qty", (F.col("stock") - F.col("_acc_run")).alias("room")))
+    if live.count() <= fold_lines:  # one task holds them all: no groups are needed
+        grouped = live.withColumn("component", F.lit(0).cast("long"))
+        first = grouped
+    else:
+        hub = live.groupBy("bill_id").agg(F.min("product_id").alias("hub"))
+        of = components(live.join(hub, "bill_id"), "hub", "product_id").withColumnRenamed("node", "_node")
+        grouped = live.join(of, live.product_id == of._node).drop("_node")
+        place = running_sums(grouped.withColumn("_one", F.lit(1)), "component", ["seq", "product_id"], ["_one"],
+                             F.floor(F.col("seq") / F.lit(chunk_rows)), ["_place"])
+        # Whole bills only: those whose last line is still within the bound (or the group's first bill).
+        whole = place.groupBy("bill_id").agg(F.max("_place").alias("_end"), F.min("_place").alias("_begin")).filter(
+            (F.col("_end") <= fold_lines) | (F.col("_begin") == 1)).select("bill_id")
+        first = grouped.join(whole, "bill_id", "left_semi")
+    return first.groupBy("component").applyInArrow(_fold, "bill_id long, verdict string")
+
+
+def admit_bills(lines: DataFrame, stock: DataFrame, fold_lines: int = FOLD_LINES, chunk_rows: int = CHUNK_ROWS,
                 max_rounds: int | None = None) -> DataFrame:
     """All-or-nothing admission of bills against product stock, in arrival order.
 
@@ -51,64 +131,145 @@ def admit_bills(lines: DataFrame, stock: DataFrame, chunk: Column | None = None,
         "bill_id", F.lit(None).cast(lines.schema["created_at"].dataType).alias("created_at"), F.lit(False).alias("accepted"),
         F.lit("bill_id_missing").alias("reject_reason"))
     lines = lines.filter(F.col("bill_id").isNotNull())
-    chunk = chunk if chunk is not None else F.to_date("arrived")
     ln = lines.groupBy("bill_id", "product_id").agg(
         F.sum("quantity").alias("qty"), F.min(F.coalesce("quantity", F.lit(0))).alias("_minq"), F.min("created_at").alias("created_at"))
-    arrival = ln.groupBy("bill_id").agg(F.min("created_at").alias("arrived"))
-    ln = ln.drop("created_at").join(arrival, "bill_id")
     st = stock.select("product_id", F.col("stock").cast("bigint").alias("stock"))
-    ln = ln.join(st, "product_id", "left")
-    pre = ln.groupBy("bill_id").agg(
+    ln = _ckpt(ln.join(st, "product_id", "left"))
+    bills = ln.groupBy("bill_id").agg(
         F.max(F.col("stock").isNull().cast("int")).alias("_unknown"), F.min("_minq").alias("_minq"),
-        F.max("arrived").alias("arrived"))
-    state = pre.select("bill_id", F.when(F.col("_unknown") == 1, "product_not_found")
-                       .when(F.col("_minq") <= 0, "quantity_not_positive")
-                       .when(F.col("arrived").isNull(), "created_at_missing").alias("reject_reason"))
-    state = state.select("bill_id", F.when(F.col("reject_reason").isNull(), "U").otherwise("R").alias("state"),
-                         "reject_reason")
-    ln = _ckpt(ln.select("bill_id", "product_id", "qty", "arrived", "stock"))
-    state = _ckpt(state)
-    rounds, before = 0, None
-    while True:
-        undecided = state.filter(F.col("state") == "U").count()
-        if undecided == 0:
-            break
-        if undecided == before:
-            raise RuntimeError(f"a round decided none of {undecided} bills")
-        before = undecided
+        F.min("created_at").alias("arrived"))
+    reason = (F.when(F.col("_unknown") == 1, "product_not_found").when(F.col("_minq") <= 0, "quantity_not_positive")
+              .when(F.col("arrived").isNull(), "created_at_missing"))
+    # One place in the arrival order for every bill: the order, and the chunks, of all running sums.
+    state = _ckpt(global_row_number(bills.select("bill_id", "arrived", reason.alias("reject_reason")), ["arrived", "bill_id"], "seq")
+                  .withColumn("state", F.when(F.col("reject_reason").isNull(), "U").otherwise("R")))
+    open_bills = state.filter("state = 'U'").select("bill_id", "seq")
+    ln = _ckpt(ln.join(open_bills, "bill_id").select("bill_id", "seq", "product_id", F.col("qty").cast("bigint").alias("qty"), "stock"))
+    rounds = 0
+    undecided = open_bills.count()
+    while undecided:
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"admission did not converge in {max_rounds} rounds")
         rounds += 1
-        live = ln.join(state.filter(F.col("state") != "R").select("bill_id", "state"), "bill_id")
-        # Only products that still carry undecided demand can change a decision.
-        open_products = live.filter(F.col("state") == "U").select("product_id").distinct()
-        live = live.join(open_products, "product_id", "left_semi")
-        live = live.withColumn("_acc_qty", F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)))
-        order = ["arrived", "bill_id"]
-        live = running_sums(live, "product_id", order, ["qty", "_acc_qty"], chunk, ["upper", "_acc_run"])
-        live = live.filter(F.col("state") == "U").withColumn("lower", F.col("_acc_run") + F.col("qty"))
-        verdict = live.groupBy("bill_id").agg(
-            F.max((F.col("upper") > F.col("stock")).cast("int")).alias("_may_fail"),
-            F.max((F.col("lower") > F.col("stock")).cast("int")).alias("_fails"))
-        verdict = verdict.select("bill_id", F.when(F.col("_fails") == 1, "R")
-                                 .when(F.col("_may_fail") == 0, "A").otherwise("U").alias("_new"))
-        state = state.join(verdict, "bill_id", "left").select(
-            "bill_id", F.coalesce("_new", "state").alias("state"),
-            F.when(F.col("_new") == "R", F.lit("insufficient_stock")).otherwise(F.col("reject_reason"))
-            .alias("reject_reason"))
-        state = _ckpt(state)
-    out = state.join(arrival, "bill_id").select(
-        "bill_id", F.col("arrived").alias("created_at"), (F.col("state") == "A").alias("accepted"), "reject_reason")
+        before = undecided
+        for decide in (_bounds(ln, state, chunk_rows), None):
+            verdict = decide if decide is not None else _fold_groups(ln, state, chunk_rows, fold_lines)
+            new = F.coalesce("verdict", "state")
+            state = _ckpt(state.join(verdict, "bill_id", "left").select(
+                "bill_id", "arrived", "seq", new.alias("state"),
+                F.when(F.col("verdict") == "R", F.lit("insufficient_stock")).otherwise(F.col("reject_reason")).alias("reject_reason")))
+            undecided = state.filter(F.col("state") == "U").count()
+            if not undecided:
+                break
+        if undecided == before:
+            raise RuntimeError(f"a round decided none of {undecided} bills")
+    out = state.select("bill_id", F.col("arrived").alias("created_at"), (F.col("state") == "A").alias("accepted"), "reject_reason")
     return out.unionByName(nameless).withColumn("rounds", F.lit(rounds))
 
 
+# ------------------------------------------------------------------ D12, D13
+
+_LEAST = -(1 << 62)  # below every balance
+
+
+def replay(balance: int, deltas: list[int]) -> tuple[list[bool], list[int], int]:
+    """Apply steps in turn, skipping those that would go below zero: accepted, balance found, balance left."""
+    accepted, found = [], []
+    for d in deltas:
+        found.append(balance)
+        ok = balance + d >= 0 or d >= 0
+        accepted.append(ok)
+        if ok:
+            balance += d
+    return accepted, found, balance
+
+
+def breakpoints(deltas: list[int]) -> tuple[list[int], list[int]]:
+    """The balance left as a function of the balance found: from ``starts[i]`` on, it is the balance found + ``shifts[i]``.
+
+    A step that is skipped below some balance splits the piece whose values reach across it; neighbours with equal shifts are one
+    piece.
+    """
+    starts, shifts = [_LEAST], [0]
+    for d in deltas:
+        if d >= 0:
+            shifts = [s + d for s in shifts]
+            continue
+        new_starts: list[int] = []
+        new_shifts: list[int] = []
+
+        def add(start: int, shift: int) -> None:
+            if not new_shifts or new_shifts[-1] != shift:
+                new_starts.append(start)
+                new_shifts.append(shift)
+
+        for i, (start, shift) in enumerate(zip(starts, shifts)):
+            least = -d - shift  # the step is taken from this balance on
+            end = starts[i + 1] if i + 1 < len(starts) else None
+            if start < least:
+                add(start, shift)
+            if end is None or least < end:
+                add(max(start, least), shift + d)
+        starts, shifts = new_starts, new_shifts
+    return starts, shifts
+
+
+_TABLE = "_key string, _chunk long, first_balance long, starts array<long>, shifts array<long>"
+
+
+def _tables(t: pa.Table) -> pa.Table:
+    """One row per key of a chunk: its balance left if the chunk holds the key's first step, else its breakpoint table."""
+    rows = sorted(zip(*(t.column(c).to_pylist() for c in ("_seq", "_key", "_d", "_first", "_open"))))
+    per: dict[str, list] = {}
+    for _, key, d, first, balance in rows:
+        per.setdefault(key, [first, balance, []])[2].append(d)
+    chunk = t.column("_chunk")[0].as_py()
+    out = [(k, chunk, replay(b, ds)[2], None, None) if first else (k, chunk, None, *breakpoints(ds)) for k, (first, b, ds) in per.items()]
+    longs = pa.list_(pa.int64())
+    kinds = (pa.string(), pa.int64(), pa.int64(), longs, longs)
+    names = ("_key", "_chunk", "first_balance", "starts", "shifts")
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], list(names))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Apply a key's tables in chunk order; rows come sorted by key and chunk."""
+    key, balance = None, 0
+    for b in batches:
+        out: list[tuple] = []
+        for k, chunk, first, starts, shifts in zip(*(b.column(c).to_pylist() for c in ("_key", "_chunk", "first_balance", "starts", "shifts"))):
+            if k != key:
+                key, balance = k, first
+                continue  # a key's first chunk begins with its opening balance
+            out.append((k, chunk, balance))
+            balance += shifts[bisect_right(starts, balance) - 1]
+        cols = list(zip(*out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
+                                         ["_key", "_chunk", "_entry"])
+
+
+def _replay_chunk(t: pa.Table) -> pa.Table:
+    rows = sorted(zip(*(t.column(c).to_pylist() for c in ("_key", "_seq", "_d", "_start"))))
+    out: list[tuple] = []
+    at = 0
+    while at < len(rows):
+        end = at
+        while end < len(rows) and rows[end][0] == rows[at][0]:
+            end += 1
+        ok, found, _ = replay(rows[at][3], [r[2] for r in rows[at:end]])
+        out += zip([r[1] for r in rows[at:end]], ok, found)
+        at = end
+    cols = list(zip(*out))
+    return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64())],
+                                ["_rseq", "accepted", "balance_before"])
+
+
 def clamped_accept(steps: DataFrame, opening: DataFrame, key: str, order: list[str], delta: str,
-                   chunk: Column, max_rounds: int | None = None) -> DataFrame:
+                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per ``key``, apply ``delta`` steps in ``order`` to a balance that
     starts at ``opening`` (id, balance); a step that would take the balance
     below zero is refused and skipped.  Returns ``steps`` plus ``accepted``,
     ``balance_before`` and ``balance_after`` (of accepted steps; the balance the
-    refused step saw), ``refused`` and ``rounds``.
+    refused step saw) and ``refused``.
 
     Steps that cannot be applied are refused first, with a null balance and a
     reason in ``refused``: ``key_not_found`` (null, or not in ``opening``),
@@ -120,34 +281,24 @@ def clamped_accept(steps: DataFrame, opening: DataFrame, key: str, order: list[s
     for c in order:
         untimed = untimed | F.col(c).isNull()
     s = s.withColumn("refused", F.when(F.col("_k").isNull(), "key_not_found").when(F.col("_d").isNull(), "value_missing")
-                     .when(untimed, "time_missing")).drop("_k").withColumn("_open", F.coalesce("_open", F.lit(0)))
-    s = s.withColumn("_st", F.when(F.col("refused").isNotNull(), "R").when(F.col("_d") >= 0, "A").otherwise("U"))
-    s = s.withColumn("_ck", chunk)
-    s = _ckpt(s)
-    rounds, before = 0, None
-    while (undecided := s.filter(F.col("_st") == "U").count()) > 0:
-        if undecided == before:
-            raise RuntimeError(f"a round decided none of {undecided} steps")
-        before = undecided
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"clamped accept did not converge in {max_rounds} rounds")
-        rounds += 1
-        live = s.filter(F.col("_st") != "R")
-        live = live.withColumn("_a", F.when(F.col("_st") == "A", F.col("_d")).otherwise(F.lit(0)))
-        live = live.withColumn("_u", F.when(F.col("_st") == "U", F.col("_d")).otherwise(F.lit(0)))
-        live = running_sums(live, key, order, ["_a", "_u"], F.col("_ck"), ["_acc", "_und"])
-        # For an undecided step: accepted-before = _acc (own is not accepted),
-        # undecided-before = _und - own delta (all negative).
-        hi = F.col("_open") + F.col("_acc")
-        lo = hi + F.col("_und") - F.col("_d")
-        new = (F.when(F.col("_st") != "U", F.col("_st"))
-               .when(lo + F.col("_d") >= 0, "A").when(hi + F.col("_d") < 0, "R").otherwise("U"))
-        decided = live.select(*[c for c in s.columns if c != "_st"], new.alias("_st"))
-        s = _ckpt(decided.unionByName(s.filter(F.col("_st") == "R")))
-    s = s.withColumn("_a", F.when(F.col("_st") == "A", F.col("_d")).otherwise(F.lit(0)))
-    s = running_sum(s, key, order, "_a", F.col("_ck"), out="_acc")
-    after = F.col("_open") + F.col("_acc")
-    return s.select(*steps.columns, (F.col("_st") == "A").alias("accepted"),
-                    F.when(F.col("refused").isNull(), after - F.col("_a")).alias("balance_before"),
-                    F.when(F.col("_st") == "A", after).alias("balance_after"),
-                    "refused", F.lit(rounds).alias("rounds"))
+                     .when(untimed, "time_missing")).drop("_k")
+    s = s.withColumn("_key", F.col(key).cast("string"))
+    out = lambda d, ok, before: d.select(
+        *steps.columns, ok.alias("accepted"), before.alias("balance_before"),
+        F.when(ok, before + F.col("_d")).alias("balance_after"), "refused")
+    bad = out(s.filter("refused is not null"), F.lit(False), F.lit(None).cast("bigint"))
+    # Numbered once by key and time; a chunk is so many neighbours, be they of one key or of many.
+    good = s.filter("refused is null").withColumn("_open", F.coalesce("_open", F.lit(0)))
+    num = global_row_number(good, ["_key", *order], "_seq").withColumn("_chunk", F.floor(F.col("_seq") / F.lit(chunk_rows)))
+    num = _ckpt(num)
+    ends = num.groupBy("_key").agg(F.min("_chunk").alias("_c0"), F.max("_chunk").alias("_c1"))
+    num = num.join(ends, "_key").withColumn("_first", F.col("_chunk") == F.col("_c0"))
+    tables = num.filter("_c1 > _c0").select("_key", "_chunk", "_seq", "_d", "_first", "_open").groupBy("_chunk").applyInArrow(_tables, _TABLE)
+    entries = tables.repartition("_key").sortWithinPartitions("_key", "_chunk").mapInArrow(_entries, "_key string, _chunk long, _entry long")
+    entries = entries.select(F.col("_key").alias("_ek"), F.col("_chunk").alias("_ec"), "_entry")
+    start = num.join(entries, (num._key == entries._ek) & (num._chunk == entries._ec), "left").withColumn(
+        "_start", F.coalesce("_entry", "_open"))
+    done = start.select("_key", "_chunk", "_seq", "_d", "_start").groupBy("_chunk").applyInArrow(
+        _replay_chunk, "_rseq long, accepted boolean, balance_before long")
+    good = num.join(done, num._seq == done._rseq)
+    return out(good, F.col("accepted"), F.col("balance_before")).unionByName(bad)

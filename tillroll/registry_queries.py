@@ -439,15 +439,19 @@ from customers c join (select customer_id, sum(cast(floor(net_amount / 10) as bi
   from {_HIT} h where customer_id is not null group by 1) per on per.customer_id = c.id""")(
     lambda t: D.void_bills(t, W.void_requests(t.bills))[2])
 
-_VALID = """
+_RETURN_QUANTITY = "case when l_linenumber = 7 then cast(l_quantity as int) + 1 else cast(ceil(l_quantity / 2) as int) end"
+
+
+def _valid(quantity: str = _RETURN_QUANTITY) -> str:
+    return f"""
 with req0 as (select l_orderkey as request_id, l_orderkey as bill_id, l_partkey as product_id,
-   case when l_linenumber = 7 then cast(l_quantity as int) + 1 else cast(ceil(l_quantity / 2) as int) end as quantity,
+   {quantity} as quantity,
    l_shipdate as created_at from lineitem where l_returnflag = 'R'),
 req as (select request_id, bill_id, product_id, sum(quantity) as quantity, min(created_at) as created_at,
-   min(quantity) as min_q from req0 group by 1, 2, 3),
+   min(quantity) as min_q, bool_or(quantity is null) as no_q from req0 group by 1, 2, 3),
 sold as (select bill_id, product_id, sum(quantity) as sq, sum(total_price) as st from bill_items group by 1, 2),
 lines as (select r.request_id, r.bill_id, r.product_id, cast(r.quantity as int) as quantity, r.created_at,
-   case when b.id is null then 'bill_not_found' when b.status <> 'completed' then 'bill_not_returnable'
+   case when r.no_q then 'quantity_missing' when b.id is null then 'bill_not_found' when b.status <> 'completed' then 'bill_not_returnable'
         when s.sq is null then 'product_not_on_bill' when r.min_q <= 0 then 'quantity_not_positive'
         when r.quantity > s.sq then 'quantity_exceeds_sold' end as line_reject,
    cast(cast((cast(s.st * 100 as bigint) * r.quantity * 20000 + s.sq) // (2 * s.sq) as decimal(24,0))
@@ -461,11 +465,28 @@ validated as (select l.request_id, l.bill_id, l.product_id, l.quantity, l.create
    from lines l join ranked k on k.request_id = l.request_id)"""
 
 
+_VALID = _valid()
+
+
 def _validated(t):
     return D.validate_returns(t, W.return_requests(t.raw("lineitem")))
 
 
 register("d09_validate_returns", _VALID + "\nselect * from validated")(_validated)
+# Every fifth request lacks quantities, amounts or gateway ids.
+_GAPS = f"case when l_orderkey % 5 <> 0 then {_RETURN_QUANTITY} end"
+
+
+def _validated_gaps(t):
+    return D.validate_returns(t, W.with_gaps(W.return_requests(t.raw("lineitem")), "quantity"))
+
+
+register("d09_incomplete_returns", _valid(_GAPS) + "\nselect * from validated")(_validated_gaps)
+register("d11_incomplete_returns_stock", _valid(_GAPS) + """
+select p.id, p.stock_quantity as previous_stock, cast(r.restored as bigint) as restored,
+       cast(p.stock_quantity + r.restored as int) as stock_quantity
+from products p join (select product_id, sum(quantity) as restored from validated where reject_reason is null
+  group by 1) r on r.product_id = p.id""")(lambda t: D.apply_returns(t, _validated_gaps(t))[1])
 register("d10_return_amounts", _VALID + """
 select request_id, bill_id, cast(round(sum(amount_exact), 2) as decimal(18,2)) as return_amount,
        cast(sum(quantity) as bigint) as items_returned, min(created_at) as created_at
@@ -517,6 +538,11 @@ select request_id, bill_id, case when method not in ('cash', 'card', 'upi', 'wal
        when bill_id < 0 then 'bill_not_found' when status = 'voided' then 'bill_not_payable' end as reject_reason
 from asked""")(lambda t: D.payment_decisions(t, W.with_unknown_bills(W.payment_requests(t.bills)), fixed=True).select(
     "request_id", "bill_id", "reject_reason"))
+register("d14_incomplete_payments", f"""
+select request_id, bill_id, case when bill_id % 5 = 0 then 'amount_missing'
+       when method not in ('cash', 'card', 'upi', 'wallet') then 'invalid_method' end as reject_reason
+from {_PAYREQ} r""")(lambda t: D.payment_decisions(t, W.with_gaps(W.payment_requests(t.bills), "amount")).select(
+    "request_id", "bill_id", "reject_reason"))
 register("d14_bill_updates", f"""
 select bill_id as id, 'completed' as status, method as payment_method
 from {_PAYREQ} r where method in ('cash', 'card', 'upi', 'wallet')""")(
@@ -531,6 +557,15 @@ from (select id as request_id, id as bill_id,
       from bills) r left join bills b on b.id = r.bill_id""")(
     lambda t: D.match_payments(t, W.payment_verifications(t.bills)))
 
+register("d15_incomplete_verifications", """
+select r.request_id, r.bill_id, r.amount, b.net_amount, cast(round(r.amount * 100) as bigint) as amount_minor,
+       case when r.amount is null then 'amount_missing' when b.status <> 'pending' then 'bill_not_pending'
+            when abs(r.amount - b.net_amount) > 0.01 then 'amount_mismatch' end as reject_reason
+from (select id as request_id, id as bill_id, case when id % 5 <> 0 then
+      cast(net_amount + cast(id % 3 as decimal(3,0)) * cast(0.01 as decimal(3,2)) as decimal(12,2)) end as amount
+      from bills) r left join bills b on b.id = r.bill_id""")(
+    lambda t: D.match_payments(t, W.with_gaps(W.payment_verifications(t.bills), "amount")))
+
 register("d17_confirm_gateway_payments", """
 select id as bill_id, net_amount as amount, 'razorpay' as method, 'completed' as status,
        concat('pay_', cast(id as varchar)) as gateway_transaction_id, created_at + interval '1' hour as created_at
@@ -543,6 +578,20 @@ from bills where status = 'pending' and payment_method = 'razorpay' and id % 3 =
     lambda t: D.gateway_rejects(t, W.with_unknown_bills(W.gateway_confirmations(t.bills), 3)).select(
         "bill_id", "gateway_transaction_id", "reject_reason"))
 
+_GATEWAY = """(select id, net_amount, created_at + interval '1' hour as created_at,
+  case when id % 5 <> 0 then concat('pay_', cast(id as varchar)) end as gateway_transaction_id
+  from bills where status = 'pending' and payment_method = 'razorpay')"""
+register("d17_incomplete_confirmations", f"""
+select id as bill_id, net_amount as amount, 'razorpay' as method, 'completed' as status, gateway_transaction_id, created_at
+from {_GATEWAY} g where gateway_transaction_id is not null""")(
+    lambda t: D.confirm_gateway_payments(t, W.with_gaps(W.gateway_confirmations(t.bills), "gateway_transaction_id"))[0])
+register("d17_incomplete_rejects", f"""
+select id as bill_id, 'gateway_id_missing' as reject_reason from {_GATEWAY} g where gateway_transaction_id is null
+union all
+select -id, case when gateway_transaction_id is null then 'gateway_id_missing' else 'bill_not_found' end from {_GATEWAY} g where id % 3 = 0""")(
+    lambda t: D.gateway_rejects(t, W.with_gaps(W.with_unknown_bills(W.gateway_confirmations(t.bills), 3),
+                                               "gateway_transaction_id")).select("bill_id", "reject_reason"))
+
 _REFREQ = """(select bill_id as request_id, bill_id as payment_id, cast(sum(return_amount) as decimal(12,2)) as amount,
    min(created_at) as created_at from returns group by bill_id)"""
 register("d18_refund_payments", f"""

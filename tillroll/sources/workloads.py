@@ -67,6 +67,11 @@ def with_unknown_bills(requests: DataFrame, every: int = 10) -> DataFrame:
     return requests.unionByName(again)
 
 
+def with_gaps(requests: DataFrame, column: str, key: str = "bill_id", every: int = 5) -> DataFrame:
+    """The requests, those with a key divisible by ``every`` without a value in ``column``."""
+    return requests.withColumn(column, F.when(F.col(key) % every != 0, F.col(column)))
+
+
 def stored_ledger(ledger: DataFrame) -> DataFrame:
     """A stock ledger as stored rows, some with faults: every 31st row starts one unit too
     high, every 37th row has both balances two units too high."""
