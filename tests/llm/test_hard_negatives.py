@@ -54,7 +54,7 @@ def test_any_cells(spark, tile, anchors):
 
 
 def test_large_components(spark):
-    rows = [(0, [3e7, 1.0], 1), (1, [3e7, 2.0], 1), (2, [1.5e7, 7.0], 2), (3, [1.5e7, 8.0], 2), (4, [-1e7, 0.0], 2)]
+    rows = [(0, [3e6, 1.0], 1), (1, [3e6, 2.0], 1), (2, [1.5e6, 7.0], 2), (3, [1.5e6, 8.0], 2), (4, [-1e6, 0.0], 2)]
     assert mined(spark.createDataFrame([(*r, 1, "s") for r in rows], SCHEMA), 4) == brute(rows, 4) != []
 
 

@@ -54,30 +54,39 @@ def test_whole_table(spark, small):
         assert r["spans"].startswith(joined) and r["spans"].count(":") == 2 * (len(base) + r["n_term"])
 
 
-def brute_terms(rows, window, min_docs, disclosure):
-    total, ents, terms, both = len(rows), Counter(), Counter(), Counter()
-    near = [pii.contexts(t or "", brute_base(t or ""), window) for _, t in rows]
-    for (_, t), c in zip(rows, near):
-        ents.update(list(c))
-        terms.update(set(words(t)))
-        both.update((e, w) for e, ws in c.items() for w in ws)
+def brute_terms(rows, min_docs, disclosure):
+    """Disclosing places per row, counted over whole texts without the operator's helpers."""
+    total, ents, terms, both, held = len(rows), Counter(), Counter(), Counter(), []
+    for _, t in rows:
+        t = t or ""
+        base = brute_base(t)
+        taken = {i for _, a, b in base for i in range(a, b)}
+        found = [(m[0].lower(), *m.span()) for m in re.finditer(r"\w+", t) if not taken.intersection(range(*m.span()))] if base else []
+        names = {pii.entity_of(k, t[a:b]) for k, a, b in base}
+        held.append((names, found))
+        ents.update(names)
+        terms.update({m.lower() for m in re.findall(r"\w+", t)})
+        both.update({(e, w) for e in names for w, _, _ in found})
     telling = {(e, w) for (e, w), n in both.items() if n >= min_docs and total > ents[e]
                and math.log(n * total / (ents[e] * terms[w])) >= disclosure * math.log(total / ents[e]) - 1e-12}
-    return [sorted({p for e, ws in c.items() for w, ps in ws.items() if (e, w) in telling for p in ps}) for c in near]
+    return [sorted({(a, b) for w, a, b in found if any((e, w) in telling for e in names)}) for names, found in held]
 
 
 def test_disclosing_terms_and_sanitising(spark, docs_of):
     rows = [(i, f"Ask Zanthor 77 or the boss at zan@x.org about the tea {i}") for i in range(4)]
     rows += [(10 + i, f"the boss likes tea at work or home and talks about number {i}") for i in range(40)]
+    far = "the boss " * 200
+    rows += [(70, f"zan@x.org {far} Zanthor"), (71, f"Zanthor {far} zan@x.org {far} Zanthor")]
     rows += [(60, None), (61, ""), (None, "Zanthor zan@x.org"), (0, rows[0][1]), (62, "Zanthor far away"), (63, "call +1 (555) 123-4567 " * 2000)]
     df = docs_of(rows, True)
     found = pii.find(df)
     got = sorted(((r["doc_id"], [(p["start"], p["end"]) for p in r["terms"]]) for r in found.collect()), key=str)
-    assert got == sorted(((i, x) for (i, _), x in zip(rows, brute_terms(rows, 8, 2, 0.9))), key=str)
+    assert got == sorted(((i, x) for (i, _), x in zip(rows, brute_terms(rows, 2, 0.9))), key=str)
     clean = pii.sanitise(df)
     assert clean.columns == df.columns and clean.count() == len(rows)
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts[1].startswith("[NAME] [NAME] [NUMBER] or the boss at [EMAIL]") and texts[None] == "[NAME] [EMAIL]"
+    assert texts[70] == f"[EMAIL] {far} [NAME]" and texts[71] == f"[NAME] {far} [EMAIL] {far} [NAME]"
     assert texts[60] is None and texts[62] == "Zanthor far away" and texts[10] == rows[4][1]
     assert "555" not in texts[63]
     assert pii.report(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0

@@ -116,7 +116,7 @@ def _cell(anchors: pa.Table, rows: pa.Table, k: int, negatives: tuple[int, int]
     groups = _by_length(rows) if len(rows) and len(anchors) else {}
     labels = np.asarray(rows.column("label")) if groups else np.empty(0, np.int64)
     ids = rows.column("vec_id").to_numpy() if groups else np.empty(0, np.int64)
-    asked = anchors.to_pylist() if groups else []
+    asked = anchors.rename_columns([c.removeprefix("asked_") for c in anchors.column_names]).to_pylist() if groups else []
     for n, own in groups.items():
         vectors = _matrix(rows, own, n)
         lists: dict = {}
@@ -179,10 +179,10 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negativ
              .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
 
     def cells(anchors: DataFrame, k: int, limits: tuple[int, int] | None) -> DataFrame:
-        # Another seed than the shards': an anchor's group says nothing about its shard.
-        sent = (anchors.withColumn("group", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(groups)).cast("int"))
-                .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-        return sent.groupBy("shard", "group").cogroup(dealt.groupBy("shard", "group")).applyInArrow(
+        # New names, as both sides stem from the same rows; another seed than the shards', as an anchor's group says nothing about its shard.
+        sent = (anchors.select(*[F.col(c).alias(f"asked_{c}") for c in anchors.columns]).withColumn("group", F.pmod(F.xxhash64(F.lit(1), "asked_vec_id"), F.lit(groups)).cast("int"))
+                .withColumn("asked_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumnRenamed("group", "asked_group"))
+        return sent.groupBy("asked_shard", "asked_group").cogroup(dealt.groupBy("shard", "group")).applyInArrow(
             lambda key, a, c: _cell(a, c, k, limits, key[0].as_py()), _FOUND)
 
     best = _merged(cells(asked, positives, None), ["anchor_id"], positives, shards)

@@ -1,18 +1,18 @@
 """PII by information-theoretic sanitisation.
 
 Protected entities are the values found by four base patterns (e-mail, IP
-address, card and phone number).  Corpus co-occurrence tells how strongly a term near
-an entity reveals it: over documents, PMI(entity, term) against the entity's
-own information content IC(entity) = log(N / n).  A term that stands within ``WINDOW``
-words of the entity in at least ``MIN_DOCS`` documents, with PMI / IC of
-at least ``DISCLOSURE``, discloses the entity, and its occurrences in those windows
+address, card and phone number).  Corpus co-occurrence tells how strongly a term
+reveals an entity: over documents, PMI(entity, term) against the entity's
+own information content IC(entity) = log(N / n).  A term that stands in at least ``MIN_DOCS`` documents
+that hold the entity, anywhere in their texts, with PMI / IC of
+at least ``DISCLOSURE``, discloses the entity, and all its occurrences in every document that holds the entity
 become spans of kind ``term``.  ``sanitise`` replaces base spans by their kind,
 generalises terms that are numbers or names to ``[NUMBER]`` and ``[NAME]`` and
-removes the others.
+removes the others.  Documents without an entity stay as they are.
 
 All counts are aggregates over whole texts of all documents; a document counts
-an entity, a term and a pair once.  Pair rows carry their places, so spans need no second
-look at the texts, and texts are never shuffled.
+an entity, a term and a pair once.  Documents that hold an entity keep the places of
+their terms, so spans need no second look at the texts, and texts are never shuffled.
 
 Defined cases: null text is empty; base spans of a kind do not overlap, failing
 matches are dropped without a retry; each row is a document, and rows with
@@ -36,7 +36,7 @@ from xxhash import xxh64_intdigest
 from tillroll.llm.common import _WORD, chunks, fresh, stored, words
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, MIN_DOCS, DISCLOSURE = 8, 2, 0.9
+MIN_DOCS, DISCLOSURE = 2, 0.9
 _FLUSH = 200_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -98,39 +98,31 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> dict[str, dict[str, set[tuple[int, int]]]]:
-    """entity -> term -> places of the term within ``window`` words of the entity and outside all base spans."""
-    out: dict[str, dict[str, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], dict[str, list[tuple[int, int]]]]:
+    """The entities of a text, each once, and term -> places of the words outside all base spans; none without an entity."""
+    places: dict[str, list[tuple[int, int]]] = defaultdict(list)
     if not spans:
-        return out
+        return [], places
     taken = sorted((a, b) for _, a, b in spans)
     starts = [a for a, _ in taken]
     reach = []
     for _, b in taken:  # the furthest end so far, as spans of two kinds may overlap
         reach.append(max(b, reach[-1] if reach else 0))
-    places = []
     for m in _WORD.finditer(text):
         a, b = m.span()
         i = bisect_left(starts, b) - 1
         if i < 0 or reach[i] <= a:
-            places.append((a, b))
-    begins = [a for a, _ in places]
-    for kind, a, b in spans:
-        terms = out[entity_of(kind, text[a:b])]
-        i, j = bisect_left(begins, a), bisect_left(begins, b)
-        for x, y in places[max(i - window, 0):i] + places[j:j + window]:
-            terms[text[x:y].lower()].add((x, y))
-    return out
-
-
-def _find(docs: DataFrame, window: int) -> DataFrame:
-    """Rows of two kinds, stored: per document its spans and contexts; per task, in how many documents a term stands."""
+            places[m[0].lower()].append((a, b))
+    return list(dict.fromkeys(entity_of(kind, text[a:b]) for kind, a, b in spans)), places
+
+
+def _find(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds, stored: per document its spans, entities and terms; per task, in how many documents a term stands."""
     place = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     term = pa.struct([("term", pa.string()), ("places", pa.list_(place))])
-    entity = pa.struct([("entity", pa.string()), ("terms", pa.list_(term))])
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    kinds = {"doc_id": pa.int64(), "t": pa.int64(), "spans": pa.list_(span), "entities": pa.list_(entity),
-             "term": pa.string(), "n": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "t": pa.int64(), "spans": pa.list_(span), "entities": pa.list_(pa.string()),
+             "terms": pa.list_(term), "term": pa.string(), "n": pa.int64()}
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()], list(kinds))
@@ -141,12 +133,11 @@ def _find(docs: DataFrame, window: int) -> DataFrame:
             rows = []
             for doc_id, text in zip(cols["doc_id"], texts):
                 spans = base_spans(text)
-                near = contexts(text, spans, window)
+                entities, terms = contexts(text, spans)
                 rows.append({"doc_id": doc_id, "t": _text_hash(text),
                              "spans": [{"kind": k, "start": a, "end": b} for k, a, b in spans],
-                             "entities": [{"entity": e, "terms": [
-                                 {"term": w, "places": [{"start": a, "end": b} for a, b in sorted(p)]} for w, p in ts.items()]}
-                                 for e, ts in near.items()]})
+                             "entities": entities,
+                             "terms": [{"term": w, "places": [{"start": a, "end": b} for a, b in p]} for w, p in terms.items()]})
                 for w in set(words(text)):
                     counts[w] += 1
             yield batch(rows)
@@ -156,8 +147,8 @@ def _find(docs: DataFrame, window: int) -> DataFrame:
         if counts:
             yield batch([{"term": w, "n": n} for w, n in counts.items()])
 
-    schema = ("doc_id long, t long, spans array<struct<kind: string, start: long, end: long>>, entities array<struct<entity: "
-              "string, terms: array<struct<term: string, places: array<struct<start: long, end: long>>>>>>, term string, n long")
+    schema = ("doc_id long, t long, spans array<struct<kind: string, start: long, end: long>>, entities array<string>, terms "
+              "array<struct<term: string, places: array<struct<start: long, end: long>>>>, term string, n long")
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "pii")
 
 
@@ -169,7 +160,7 @@ def _text_hash(text: str) -> int:
 def _disclosing(pairs: DataFrame, found: DataFrame, min_docs: int, disclosure: float) -> DataFrame:
     """entity, term of the terms that reveal an entity."""
     total = found.where("term is null").count()
-    n_entity = found.where("term is null").select(F.explode("entities.entity").alias("entity")).groupBy("entity").agg(
+    n_entity = found.where("term is null").select(F.explode("entities").alias("entity")).groupBy("entity").agg(
         F.count("*").alias("n_e")).where(F.col("n_e") >= min_docs)
     n_term = found.where("term is not null").groupBy("term").agg(F.sum("n").alias("n_t"))
     n_both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_b")).where(F.col("n_b") >= min_docs)
@@ -179,11 +170,11 @@ def _disclosing(pairs: DataFrame, found: DataFrame, min_docs: int, disclosure: f
             .where((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term"))
 
 
-def find(docs: DataFrame, window: int = WINDOW, min_docs: int = MIN_DOCS, disclosure: float = DISCLOSURE) -> DataFrame:
+def find(docs: DataFrame, min_docs: int = MIN_DOCS, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, t (hash of the text), spans (base), terms (places of disclosing terms) per row of ``docs``."""
-    found = _find(docs, window)
-    pairs = (found.where("term is null and size(entities) > 0").select("doc_id", "t", F.explode("entities").alias("e"))
-             .select("doc_id", "t", "e.entity", F.explode("e.terms").alias("x"))
+    found = _find(docs)
+    pairs = (found.where("term is null and size(entities) > 0").select("doc_id", "t", F.explode("entities").alias("entity"), "terms")
+             .select("doc_id", "t", "entity", F.explode("terms").alias("x"))
              .select("doc_id", "t", "entity", "x.term", "x.places"))
     telling = _disclosing(pairs, found, min_docs, disclosure)
     terms = (pairs.join(telling, ["entity", "term"]).select("doc_id", "t", F.explode("places").alias("place"))
@@ -221,7 +212,7 @@ def replaced(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[int
     return "".join([*parts, text[last:]])
 
 
-def sanitise(docs: DataFrame, window: int = WINDOW, min_docs: int = MIN_DOCS, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, min_docs: int = MIN_DOCS, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with sanitised ``text`` (null stays null); rows meet their span lists by id and text hash."""
     def text_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +232,7 @@ def sanitise(docs: DataFrame, window: int = WINDOW, min_docs: int = MIN_DOCS, di
 
     names, hashed = docs.columns, fresh(docs, "_t")
     at = names.index("text")
-    out = find(docs, window, min_docs, disclosure).where("size(spans) + size(terms) > 0").dropDuplicates(["doc_id", "t"])
+    out = find(docs, min_docs, disclosure).where("size(spans) + size(terms) > 0").dropDuplicates(["doc_id", "t"])
     keyed = docs.mapInArrow(text_hash, StructType([*docs.schema, StructField(hashed, LongType())])).select(F.struct("*").alias("row"))
     joined = keyed.join(out, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("row").getField(hashed) == F.col("t")), "left")
     lists = [F.col(c).alias(fresh(docs, f"_{c}")) for c in ("spans", "terms")]
