@@ -5,8 +5,8 @@ the smoothed frequencies of its terms.
 
 1. Blocks.  A task reads its documents once and counts, in memory, occurrences per (lang, source, term)
    and documents per (lang, term).  When ``block_terms`` entries are held, the block is
-   spilled as a run: one row per (lang, term) in ascending order with its postings.
-2. Merging.  Runs are cut into hash shards of terms; a shard's runs, each sorted, are heap-merged
+   spilled as a run: per language and hash shard its terms in ascending order with their postings, packed and compressed.
+2. Merging.  The runs of a language's shard are heap-merged by term
    into frequencies.  At most ``fan_in`` runs are merged at a time; more take further passes.
    Terms below ``min_docs`` documents fall away in the last.
 3. Corrections.  Over all V kept terms, the value of a pair of sources is what it would be if neither held any
@@ -14,8 +14,8 @@ the smoothed frequencies of its terms.
    plus a correction for each term that both hold.  These come from one pass over the postings, summed up per pair in each task
    before they are shuffled, so neither zeros nor pairs of postings are ever rows.
 
-A run holds one row for a term however often it occurs, so the most frequent word
-costs a row per run and is pre-aggregated before its shuffle.  All arithmetic is in integers: frequencies are parts of 10^9, divided as
+A run holds a term once however often it occurs, so the most frequent word
+is pre-aggregated before its shuffle; shards follow the size of the texts. All arithmetic is in integers: frequencies are parts of 10^9, divided as
 decimals of 38 digits.
 
 Defined cases: null text, lang or source count as ''; each row is a document (a repeated row counts
@@ -28,9 +28,11 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,9 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import stored
 
 MIN_DOCS, TOP_TERMS, UNIT = 10, 10, 1_000_000_000
-BLOCK_TERMS, FAN_IN, SHARD_ROWS, BUFFER, SLICE = 300_000, 4096, 200_000, 1 << 20, 1 << 20
-RUNS = "run long, lang string, term string, n_docs long, sources array<string>, counts array<long>"
+BLOCK_TERMS, FAN_IN, SHARD_BYTES, BUFFER, SLICE = 800_000, 4096, 16 << 20, 1 << 20, 1 << 20
+RUNS = "run long, lang string, shard int, n_terms long, n_postings long, n_bytes long, sources array<string>, terms binary, numbers binary"
+POSTINGS = "lang string, term string, source string, n long, own long, first boolean"
 _PAIRS = "lang string, a string, b string, fix long"
 #: Separators become blanks, A-Z become a-z; bytes from 0x80 on belong to characters beyond ASCII, all of them letters here.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -59,63 +62,97 @@ def slices(text: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
         at = end + 1
 
 
+class Run(NamedTuple):
+    """Terms ascending; documents and postings per term; of each posting the source's number and its count."""
+
+    terms: list[bytes]
+    docs: np.ndarray
+    sizes: np.ndarray
+    sources: list[str]
+    source: np.ndarray
+    counts: np.ndarray
+
+    def packed(self) -> dict:
+        terms = b"\n".join(self.terms)  # a term holds no line break
+        numbers = np.concatenate([self.docs, self.sizes, self.source, self.counts]).astype(np.int64)
+        return {"n_terms": len(self.terms), "n_postings": len(self.counts), "n_bytes": len(terms), "sources": self.sources,
+                "terms": pa.compress(terms, "zstd", asbytes=True), "numbers": pa.compress(numbers.tobytes(), "zstd", asbytes=True)}
+
+    @staticmethod
+    def unpacked(row: dict) -> Run:
+        n, m = row["n_terms"], row["n_postings"]
+        terms = pa.decompress(row["terms"], row["n_bytes"], codec="zstd", asbytes=True).split(b"\n")
+        x = np.frombuffer(pa.decompress(row["numbers"], 8 * (2 * n + 2 * m), codec="zstd", asbytes=True), np.int64)
+        return Run(terms, x[:n], x[n:2 * n], row["sources"], x[2 * n:2 * n + m], x[2 * n + m:])
+
+    def picked(self, at: np.ndarray) -> Run:
+        """The terms at the ascending places ``at``."""
+        ends = np.cumsum(self.sizes)
+        sizes = self.sizes[at]
+        posting = np.repeat(ends[at] - sizes - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return Run([self.terms[i] for i in at.tolist()], self.docs[at], sizes, self.sources, self.source[posting], self.counts[posting])
+
+
 class Block:
     """Postings in memory: occurrences per (lang, source) and term, documents per lang and term."""
 
     def __init__(self) -> None:
-        self.counts: dict[tuple[str, str], Counter] = {}
+        self.counts: dict[str, dict[str, Counter]] = {}
         self.docs: dict[str, Counter] = {}
         self.held = 0
 
-    def _add(self, table: dict, key: object, terms: list[bytes] | set[bytes]) -> None:
-        counter = table.setdefault(key, Counter())
+    def _add(self, counter: Counter, terms: list[bytes] | set[bytes]) -> None:
         before = len(counter)
         counter.update(terms)
         self.held += len(counter) - before
 
     def add_terms(self, lang: str, source: str, terms: list[bytes]) -> None:
-        self._add(self.counts, (lang, source), terms)
+        self._add(self.counts.setdefault(lang, {}).setdefault(source, Counter()), terms)
 
     def add_document(self, lang: str, terms: set[bytes]) -> None:
-        self._add(self.docs, lang, terms)
-
-    def run(self) -> Iterator[tuple[str, bytes, int, list[str], list[int]]]:
-        """(lang, term, documents, sources, counts) by lang and term."""
-        for lang in sorted({*self.docs, *(lang for lang, _ in self.counts)}, key=str.encode):
-            own = [(s, c) for (g, s), c in sorted(self.counts.items()) if g == lang]
-            docs = self.docs.get(lang, Counter())
-            for term in sorted(set(docs).union(*(c for _, c in own))):
-                held = [(s, c[term]) for s, c in own if term in c]
-                yield lang, term, docs[term], [s for s, _ in held], [n for _, n in held]
+        self._add(self.docs.setdefault(lang, Counter()), terms)
 
+    def runs(self) -> Iterator[tuple[str, Run]]:
+        """One term-sorted run per language with terms."""
+        for lang in {**self.docs, **self.counts}:
+            docs, by_source = self.docs.get(lang, Counter()), self.counts.get(lang, {})
+            # A document cut by a spill counts its terms in one block and itself in the next.
+            terms = sorted(set(docs).union(*by_source.values()))
+            if not terms:
+                continue
+            place = {t: i for i, t in enumerate(terms)}
+            sources = sorted(by_source)
+            at = [np.fromiter(map(place.__getitem__, by_source[s]), np.int64, len(by_source[s])) for s in sources]
+            term = np.concatenate([*at, np.empty(0, np.int64)])
+            source = np.repeat(np.arange(len(sources)), [len(a) for a in at])
+            counts = np.concatenate([*(np.fromiter(by_source[s].values(), np.int64, len(by_source[s])) for s in sources), np.empty(0, np.int64)])
+            order = np.argsort(term, kind="stable")
+            yield lang, Run(terms, np.fromiter((docs[t] for t in terms), np.int64, len(terms)),
+                            np.bincount(term, minlength=len(terms)), sources, source[order], counts[order])
 
-_RUN_KINDS = {"run": pa.int64(), "lang": pa.string(), "term": pa.binary(), "n_docs": pa.int64(),
-              "sources": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
 
+_RUN_KINDS = {"run": pa.int64(), "lang": pa.string(), "shard": pa.int32(), "n_terms": pa.int64(), "n_postings": pa.int64(),
+              "n_bytes": pa.int64(), "sources": pa.list_(pa.string()), "terms": pa.binary(), "numbers": pa.binary()}
 
-def _run_batches(rows: Iterator[tuple], run: int, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    def batch(held: list[tuple]) -> pa.RecordBatch:
-        cols = [[run] * len(held), *map(list, zip(*held))]
-        arrays = [pa.array(c, k) for c, k in zip(cols, _RUN_KINDS.values())]
-        arrays[2] = arrays[2].cast(pa.string())
-        return pa.RecordBatch.from_arrays(arrays, list(_RUN_KINDS))
 
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield batch(held)
-            held = []
-    if held:
-        yield batch(held)
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in _RUN_KINDS.items()], list(_RUN_KINDS))
 
 
 def _as_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
 
-def build_runs(docs: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """Term-sorted runs of all blocks (``RUNS``)."""
+def build_runs(docs: DataFrame, shards: int, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """Term-sorted runs of all blocks, cut into hash shards (``RUNS``)."""
+    def spill(block: Block, run: int) -> Iterator[pa.RecordBatch]:
+        for lang, own in block.runs():
+            shard = np.fromiter(map(zlib.crc32, own.terms), np.int64, len(own.terms)) % shards
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            yield _batch([{"run": run, "lang": lang, "shard": k} | own.picked(order[cuts[k]:cuts[k + 1]]).packed()
+                          for k in range(shards) if cuts[k] < cuts[k + 1]])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n_runs, block = TaskContext.get().partitionId(), 0, Block()
         for batch in batches:
@@ -126,62 +163,75 @@ def build_runs(docs: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
                     block.add_terms(lang, source, terms)
                     distinct.update(terms)
                     if block.held >= block_terms:
-                        yield from _run_batches(block.run(), (part << 32) + n_runs)
+                        yield from spill(block, (part << 32) + n_runs)
                         n_runs, block = n_runs + 1, Block()
                 block.add_document(lang, distinct)
-        yield from _run_batches(block.run(), (part << 32) + n_runs)
+        yield from spill(block, (part << 32) + n_runs)
 
     own = docs.select(_as_empty("lang"), _as_empty("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return own.mapInArrow(read, RUNS)
 
 
-def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple[str, bytes, int, list[str], list[int]]]:
-    """Heap merge of sorted runs, the postings of one (lang, term) added up."""
-    for (lang, term), rows in groupby(heapq.merge(*runs, key=lambda r: r[:2]), key=lambda r: r[:2]):
-        n_docs, counts = 0, {}
-        for _, _, n, sources, own in rows:
-            n_docs += n
-            for s, c in zip(sources, own):
-                counts[s] = counts.get(s, 0) + c
-        held = sorted(counts.items())
-        yield lang, term, n_docs, [s for s, _ in held], [c for _, c in held]
-
-
-def _row_stream(table: pa.Table, first: int, end: int, size: int = 256) -> Iterator[tuple]:
-    """A run's rows, a few at a time made Python values; lang and term in the order of their bytes."""
-    for at in range(first, end, size):
-        piece = table.slice(at, min(size, end - at))
-        cols = [piece.column(c).to_pylist() for c in ("n_docs", "sources", "counts")]
-        langs = [s.encode() for s in piece.column("lang").to_pylist()]
-        yield from zip(langs, piece.column("term").cast(pa.binary()).to_pylist(), *cols)
-
-
-def merge_runs(runs: DataFrame, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """lang, term, n_docs, sources, counts of the terms in at least ``min_docs`` documents of their language."""
-    def pass_over(table: DataFrame, rows: int, groups: int, least: int) -> DataFrame:
-        shards = max(math.ceil(rows / shard_rows / groups), 1)
-
-        def run(key: tuple, t: pa.Table) -> pa.Table:
-            # One sort by run number puts the runs one after another; within a run the terms come in order.
-            t = t.sort_by([("run", "ascending"), ("lang", "ascending"), ("term", "ascending")])
-            ids = t.column("run").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
-            streams = [_row_stream(t, int(a), int(b)) for a, b in zip(cuts, cuts[1:])]
-            kept = ((lang.decode(), term, n, s, c) for lang, term, n, s, c in merge(streams) if n >= least)
-            batches = list(_run_batches(kept, key[1].as_py()))
-            return pa.Table.from_batches(batches, None if batches else pa.schema({**_RUN_KINDS, "term": pa.string()}))
-
-        dealt = table.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards))).withColumn(
-            "group", F.pmod(F.xxhash64("run"), F.lit(groups)))
-        return stored(dealt.groupBy("shard", "group").applyInArrow(run, RUNS), "merged-runs")
-
+def merge(runs: list[Run], least: int = 0) -> Run:
+    """One run of many: a heap merge of their terms, the documents and postings of a term added up.
+
+    Terms in fewer than ``least`` documents are left out."""
+    terms: list[bytes] = []
+    number: list[list[int]] = [[] for _ in runs]
+    last = None
+    for term, i in heapq.merge(*(zip(r.terms, repeat(i)) for i, r in enumerate(runs))):
+        if term != last:
+            terms.append(term)
+            last = term
+        number[i].append(len(terms) - 1)
+    at = [np.array(n, np.int64) for n in number]
+    docs = np.zeros(len(terms), np.int64)
+    for n, r in zip(at, runs):
+        docs[n] += r.docs  # a run holds a term once
+    sources = sorted({s for r in runs for s in r.sources})
+    place = {s: i for i, s in enumerate(sources)}
+    code = [np.array([place[s] for s in r.sources], np.int64)[r.source] if r.sources else r.source for r in runs]
+    key = np.concatenate([np.repeat(n, r.sizes) * max(len(sources), 1) + c for n, r, c in zip(at, runs, code)])
+    counts = np.concatenate([r.counts for r in runs])
+    kept = docs >= least
+    own = kept[key // max(len(sources), 1)]
+    key, counts = key[own], counts[own]
+    order = np.argsort(key, kind="stable")
+    key, counts = key[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    counts = np.add.reduceat(counts, first) if len(first) else counts
+    term, source = key[first] // max(len(sources), 1), key[first] % max(len(sources), 1)
+    return Run([t for t, k in zip(terms, kept.tolist()) if k], docs[kept], np.bincount(term, minlength=len(terms))[kept], sources, source, counts)
+
+
+def _posting_table(lang: str, run: Run) -> pa.Table:
+    """Rows of ``POSTINGS``: ``own`` is the term's count in its language, ``first`` marks one row of each term."""
+    term = np.repeat(np.arange(len(run.terms)), run.sizes)
+    total = np.zeros(len(run.terms), np.int64)
+    np.add.at(total, term, run.counts)
+    return pa.table({
+        "lang": pa.array([lang] * len(term), pa.string()),
+        "term": pa.array(run.terms, pa.binary()).cast(pa.string()).take(pa.array(term)),
+        "source": pa.array(run.sources, pa.string()).take(pa.array(run.source)), "n": pa.array(run.counts, pa.int64()),
+        "own": pa.array(total[term], pa.int64()), "first": pa.array(np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else [], pa.bool_())})
+
+
+def merge_runs(runs: DataFrame, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN) -> DataFrame:
+    """The postings (``POSTINGS``) of the terms in at least ``min_docs`` documents of their language."""
     table = stored(runs, "runs")
     while True:
-        rows, n_runs = table.agg(F.count("*"), F.count_distinct("run")).first()
-        groups = max(math.ceil(n_runs / fan_in), 1)
-        table = pass_over(table, rows, groups, min_docs if groups == 1 else 0)
-        if groups == 1:
-            return table.drop("run")
+        groups = math.ceil((table.agg(F.count_distinct("run")).first()[0] or 1) / fan_in)
+        if groups <= 1:
+            return stored(table.groupBy("lang", "shard").applyInArrow(
+                lambda key, t: _posting_table(key[0].as_py(), merge([Run.unpacked(r) for r in t.to_pylist()], min_docs)), POSTINGS), "postings")
+
+        def some(key: tuple, t: pa.Table) -> pa.Table:
+            lang, shard, group = (k.as_py() for k in key)
+            return pa.Table.from_batches([_batch([{"run": group, "lang": lang, "shard": shard} | merge(
+                [Run.unpacked(r) for r in t.to_pylist()]).packed()])])
+
+        dealt = table.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups)))
+        table = stored(dealt.groupBy("lang", "shard", "group").applyInArrow(some, RUNS), "runs")
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
@@ -225,19 +275,19 @@ def pair_fixes(postings: DataFrame, buffer: int = BUFFER) -> DataFrame:
                 [pa.array([x[0] for x in left], pa.string()), pa.array([x[1] for x in left], pa.string()),
                  pa.array([x[1] for x in right], pa.string()), pa.array(out, pa.int64())], ["lang", "a", "b", "fix"])
 
-        def terms() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            rows = ((*r,) for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lang", "term", "source", "p", "zero"))))
-            for (lang, _), group in groupby(rows, key=lambda r: r[:2]):
-                held = sorted((names.setdefault((lang, s), len(names)), p, z) for _, _, s, p, z in group)
-                yield tuple(np.array(c, np.int64) for c in zip(*held))
-
-        for code, p, zero in terms():
-            for i in range(len(code) - 1):  # one source against all after it
-                own, rest = p[i], p[i + 1:]
-                fix = (_gaps(own, rest) - _gaps(own, zero[i + 1:]) - _gaps(zero[i], rest) + _gaps(zero[i], zero[i + 1:]))
-                codes.append((code[i] << 32) | code[i + 1:])
-                fixes.append(fix)
-                size += len(fix)
+        for term, code, p, zero in _whole_terms(batches, names):
+            order = np.lexsort((code, term))
+            term, code, p, zero = term[order], code[order], p[order], zero[order]
+            step = 1
+            while step < len(term):  # each posting with the one ``step`` places on, where that is of its term
+                at = np.flatnonzero(term[step:] == term[:-step])
+                if not len(at):
+                    break
+                a, b, a0, b0 = p[at], p[at + step], zero[at], zero[at + step]
+                codes.append((code[at] << 32) | code[at + step])
+                fixes.append(_gaps(a, b) - _gaps(a, b0) - _gaps(a0, b) + _gaps(a0, b0))
+                size += len(at)
+                step += 1
                 if size >= buffer:
                     pairs, out = summed()
                     if len(pairs) > buffer // 2:  # many different pairs: written, not kept
@@ -251,22 +301,41 @@ def pair_fixes(postings: DataFrame, buffer: int = BUFFER) -> DataFrame:
     return postings.select("lang", "term", "source", "p", "zero").mapInArrow(run, _PAIRS)
 
 
+def _whole_terms(batches: Iterator[pa.RecordBatch], names: dict[tuple[str, str], int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Term number, source number, p and zero of the postings, batch by batch; a batch's last term waits for the next one."""
+    held = [np.empty(0, np.int64) for _ in range(4)]
+    last, number = None, 0
+    for b in batches:
+        term, code = [], []
+        for lang, t, source in zip(*(b.column(c).to_pylist() for c in ("lang", "term", "source"))):
+            if (lang, t) != last:
+                last, number = (lang, t), number + 1
+            term.append(number)
+            code.append(names.setdefault((lang, source), len(names)))
+        new = [np.array(term, np.int64), np.array(code, np.int64), *(np.asarray(b.column(c), np.int64) for c in ("p", "zero"))]
+        held = [np.concatenate(x) for x in zip(held, new)]
+        cut = int(np.searchsorted(held[0], number))
+        yield tuple(x[:cut] for x in held)
+        held = [x[cut:] for x in held]
+    yield tuple(held)
+
+
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, block_terms: int = BLOCK_TERMS,
-          fan_in: int = FAN_IN, shard_rows: int = SHARD_ROWS) -> DataFrame:
+          fan_in: int = FAN_IN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
-    kept = merge_runs(build_runs(docs, block_terms), min_docs, fan_in, shard_rows)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    postings = merge_runs(build_runs(docs, max(math.ceil(size / shard_bytes), 1), block_terms), min_docs, fan_in)
     groups = docs.select(_as_empty("lang"), _as_empty("source")).distinct()
-    postings = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).select(
-        "lang", "term", F.col("x.sources").alias("source"), F.col("x.counts").alias("n"))
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"))
-    totals = stored(groups.join(postings.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
-                    .join(sizes, "lang", "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"),
-                                                        F.coalesce("kept", F.lit(0)).alias("kept")), "source-totals")
-    zero = F.when(F.col("kept") > 0, _share(F.lit(0), F.col("total"), F.col("kept")))
-    known = totals.withColumn("zero", zero)
+    own = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("first").alias("firsts"))
+    langs = own.groupBy("lang").agg(F.sum("firsts").alias("kept"), F.sum("total").alias("all"))
+    zero = F.lit(0).cast("long")
+    totals = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left").select(
+        "lang", "source", F.coalesce("total", zero).alias("total"), F.coalesce("kept", zero).alias("kept"), F.coalesce("all", zero).alias("all"))
+    known = stored(totals.withColumn("zero", F.when(F.col("kept") > 0, _share(zero, F.col("total"), F.col("kept")))), "source-totals")
     # Postings with their shares: read by the histograms, the corrections and the ranks of terms.
-    shares = stored(postings.join(known, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept"))), "shares")
-    return _pairs(known, shares).unionByName(_terms(totals, shares, kept, top_terms))
+    shares = stored(postings.join(known, ["lang", "source"]).select(
+        "lang", "term", "source", "own", "kept", "all", "zero", _share(F.col("n"), F.col("total"), F.col("kept")).alias("p")), "shares")
+    return _pairs(known, shares).unionByName(_terms(shares, top_terms))
 
 
 def _pairs(known: DataFrame, shares: DataFrame) -> DataFrame:
@@ -290,11 +359,9 @@ def _pairs(known: DataFrame, shares: DataFrame) -> DataFrame:
     return both.select("lang", "s.source", F.lit("pair").alias("part"), "s.item", "value").withColumn("rank", rank)
 
 
-def _terms(totals: DataFrame, shares: DataFrame, kept: DataFrame, top: int) -> DataFrame:
+def _terms(shares: DataFrame, top: int) -> DataFrame:
     """Per source the terms that it uses most above its language."""
-    langs = totals.groupBy("lang").agg(F.sum("total").alias("all"))
-    wide = kept.select("lang", "term", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("own")).join(langs, "lang")
-    over = shares.join(wide, ["lang", "term"]).withColumn("q", _share(F.col("own"), F.col("all"), F.col("kept"))).where("p > q")
+    over = shares.withColumn("q", _share(F.col("own"), F.col("all"), F.col("kept"))).where("p > q")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
     return over.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value")).withColumn(
         "rank", rank).where(F.col("rank") <= top)

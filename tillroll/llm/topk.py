@@ -94,7 +94,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, tile_rows: int = T
     c_groups = max(math.ceil(n / tile_rows), min(parts, math.ceil(n / LEAST_ROWS)), 1)
     q_groups = max(math.ceil(n_q / query_rows), 1)
     turn = F.monotonically_increasing_id()
-    left = (asked.withColumn("q_cell", F.pmod(turn, F.lit(q_groups)).cast("int"))
+    left = (asked.withColumn("q_cell", F.pmod(F.xxhash64("query_id"), F.lit(q_groups)).cast("int"))  # the same in a recomputed task
             .withColumn("c_cell", F.explode(F.sequence(F.lit(0), F.lit(c_groups - 1)))))
     right = (good.withColumn("cg", F.pmod(turn + F.spark_partition_id(), F.lit(c_groups)).cast("int"))
              .withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1)))))
