@@ -317,7 +317,7 @@ def gateway_rejects(t, confirmations: DataFrame) -> DataFrame:
     b = t.bills.select(F.col("id").alias("_bid"))
     j = confirmations.join(b, confirmations.bill_id == b._bid, "left")
     reason = F.when(F.col("gateway_transaction_id").isNull(), "gateway_id_missing").when(F.col("_bid").isNull(), "bill_not_found")
-    return j.drop("_bid").withColumn("reject_reason", reason).filter("reject_reason is not null")
+    return j.withColumn("reject_reason", reason).drop("_bid").filter("reject_reason is not null")
 
 
 def confirm_gateway_payments(t, confirmations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -397,30 +397,66 @@ def stock_ledger(t, opening: DataFrame | None = None) -> DataFrame:
                     (F.col("_open") + F.col("_run")).cast("bigint").alias("new_quantity"))
 
 
+def _with_prior(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """``out`` = ``value`` of the product's row before, in (created_at, id) order; null for its first.
+
+    The row before is found within the product's day, and for a day's first row among the last
+    rows of the product's earlier days, so a busy product's history is not sorted in one task."""
+    x = rows.withColumn("_day", F.to_date("created_at"))
+    w = Window.partitionBy("product_id", "_day").orderBy("created_at", "id")
+    days = x.groupBy("product_id", "_day").agg(F.max_by(value, F.struct("created_at", "id")).alias("_last"))
+    earlier = days.select(F.col("product_id").alias("_dp"), F.col("_day").alias("_dd"), F.lag("_last").over(
+        Window.partitionBy("product_id").orderBy("_day")).alias("_before"))
+    j = x.withColumn("_in_day", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w))
+    j = j.join(earlier, F.col("product_id").eqNullSafe(F.col("_dp")) & F.col("_day").eqNullSafe(F.col("_dd")), "left")
+    prior = F.when(F.col("_n") > 1, F.col("_in_day")).otherwise(F.col("_before"))
+    return j.select(*rows.columns, prior.alias(out))
+
+
 def ledger_gaps(ledger: DataFrame) -> DataFrame:
     """D12a check of stored balances, one row per faulty audit row.
 
     ``sum_error`` = new − (previous + adjustment), which the row itself must satisfy.
     ``unaudited_movement`` = previous − the prior row's new quantity: stock moved without an
-    audit row (sales, voids, returns).  The prior row is found within the product's
-    day, and for a day's first row among the last rows of the product's earlier days, so a
-    busy product's history is not sorted in one task."""
-    day = F.to_date("created_at")
-    x = ledger.withColumn("_day", day)
-    w = Window.partitionBy("product_id", "_day").orderBy("created_at", "id")
-    days = x.groupBy("product_id", "_day").agg(F.max_by("new_quantity", F.struct("created_at", "id")).alias("_last"))
-    earlier = days.select("product_id", "_day", F.lag("_last").over(
-        Window.partitionBy("product_id").orderBy("_day")).alias("_before"))
-    same = F.col("x.product_id").eqNullSafe(F.col("d.product_id")) & F.col("x._day").eqNullSafe(F.col("d._day"))
-    j = x.withColumn("_in_day", F.lag("new_quantity").over(w)).withColumn("_n", F.row_number().over(w)).alias("x") \
-        .join(earlier.alias("d"), same, "left")
-    prior = F.when(F.col("_n") > 1, F.col("_in_day")).otherwise(F.col("_before"))
-    return j.select("id", F.col("x.product_id").alias("product_id"), "created_at",
+    audit row (sales, voids, returns)."""
+    j = _with_prior(ledger, "new_quantity", "_prior")
+    return j.select("id", "product_id", "created_at",
                     (F.col("new_quantity") - F.col("previous_quantity") - F.col("adjustment")).cast("bigint").alias("sum_error"),
-                    F.coalesce(F.col("previous_quantity") - prior, F.lit(0)).cast("bigint").alias("unaudited_movement")
+                    F.coalesce(F.col("previous_quantity") - F.col("_prior"), F.lit(0)).cast("bigint").alias("unaudited_movement")
                     ).filter("sum_error is null or sum_error <> 0 or unaudited_movement <> 0")
 
 
+def stock_movements(t) -> DataFrame:
+    """(product_id, created_at, moved): what moves stock without an audit row.  Sales take, returns give back.
+
+    A void puts back what its bill took; the model stores no time of it, so a voided bill moves nothing."""
+    b = t.bills.filter(F.col("status") != "voided").select(F.col("id").alias("_bid"), "created_at")
+    sold = t.bill_items.join(b, F.col("bill_id") == F.col("_bid")).groupBy("product_id", "created_at").agg((-F.sum("quantity")).alias("moved"))
+    back = t.returns.select("product_id", "created_at", F.col("quantity").alias("moved"))
+    return sold.unionByName(back)
+
+
+def explained_gaps(ledger: DataFrame, movements: DataFrame) -> DataFrame:
+    """Every audit row whose previous quantity is not the row before's new quantity, with what explains it.
+
+    ``explained`` = the movements of the product after the row before, up to and with this row's time;
+    ``unexplained`` is the rest of the gap.  Both timelines are merged into one running sum per product, split by day
+    (``plans.sequence``); an audit row's share is the difference of two sums."""
+    audit = ledger.select("id", "product_id", "created_at", F.lit(0).cast("bigint").alias("_moved"),
+                          F.struct("previous_quantity", "new_quantity").alias("_q"))
+    moves = movements.select(F.lit(None).cast(ledger.schema["id"].dataType).alias("id"), "product_id", "created_at",
+                             F.col("moved").cast("bigint").alias("_moved"), F.lit(None).cast(audit.schema["_q"].dataType).alias("_q"))
+    # At one time, movements (no id) come before audit rows.
+    both = running_sum(audit.unionByName(moves), "product_id", ["created_at", "id"], "_moved", F.to_date("created_at"), out="_sum")
+    rows = both.filter("id is not null").select("id", "product_id", "created_at", F.col("_q.previous_quantity").alias("previous_quantity"),
+                                                F.struct(F.col("_q.new_quantity").alias("new"), F.col("_sum").alias("sum")).alias("_state"))
+    j = _with_prior(rows, "_state", "_prior").filter("_prior is not null")
+    gap = F.col("previous_quantity") - F.col("_prior.new")
+    explained = F.col("_state.sum") - F.col("_prior.sum")
+    return j.select("id", "product_id", "created_at", gap.cast("bigint").alias("gap"), explained.cast("bigint").alias("explained"),
+                    (gap - explained).cast("bigint").alias("unexplained")).filter("gap <> 0 or unexplained <> 0")
+
+
 # ------------------------------------------------------------- D4, D12, D13 ordered accepts
 def admit_orders(t, orders: DataFrame) -> DataFrame:
     """Admit ``orders`` (bill ids with created_at) against current stock in arrival

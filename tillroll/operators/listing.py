@@ -21,7 +21,7 @@ from tillroll.functions.loyalty import points_to_next_tier
 from tillroll.functions.money import total
 from tillroll.functions.present import customer_label, status_badge
 from tillroll.plans.joins import and_all, lookup_codes
-from tillroll.plans.paging import page, paginate, top_k, top_k_per_group
+from tillroll.plans.paging import after, page, paginate, top_k, top_k_per_group
 from tillroll.session import checkpoint_dir
 from tillroll.sources.schema import TOTAL
 
@@ -90,10 +90,13 @@ def bills_filter(t, start=None, end=None, status=None, customer_id=None, role=No
 
 
 def bills_list(t, start=None, end=None, status=None, customer_id=None, role=None, user_id=None,
-               page_no: int = 1, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """B1 + B19: a page of bills, newest first, with customer and cashier names; and the total."""
+               page_no: int = 1, limit: int = 20, cursor: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """B1 + B19: a page of bills, newest first, with customer and cashier names; and the total.
+
+    ``cursor`` (``paging.cursor_of`` the page before) gives the page after it; pages are then counted from there."""
     b = bills_filter(t, start, end, status, customer_id, role, user_id)
-    pg, tot = paginate(b, [F.col("created_at").desc_nulls_last()], page_no, limit, key="id")
+    pg, tot = paginate(b, [F.col("created_at").desc_nulls_last()], page_no, limit, key="id",
+                       page_df=after(b, "created_at", cursor, descending=True))
     pg = page_once(pg)
     pg = attach(pg, "customer_id", t.customers, "id", {"name": "customer_name"})
     pg = attach(pg, "cashier_id", t.users, "id", {"name": "cashier_name"})
@@ -128,10 +131,10 @@ def products_filter(t, department_id=None, category=None, in_stock: bool = False
 
 
 def products_list(t, department_id=None, category=None, in_stock: bool = False, search=None,
-                  page_no: int = 1, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """B2 + B19: active products by name with department and supplier names."""
+                  page_no: int = 1, limit: int = 20, cursor: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """B2 + B19: active products by name with department and supplier names; ``cursor`` as in ``bills_list``."""
     p = products_filter(t, department_id, category, in_stock, search)
-    pg, tot = paginate(p, [F.col("name").asc_nulls_last()], page_no, limit)
+    pg, tot = paginate(p, [F.col("name").asc_nulls_last()], page_no, limit, page_df=after(p, "name", cursor))
     pg = page_once(pg)
     pg = attach(pg, "department_id", t.departments, "id", {"name": "department_name"})
     pg = attach(pg, "supplier_id", t.suppliers, "id", {"name": "supplier_name"})
@@ -169,14 +172,15 @@ def low_stock(t) -> DataFrame:
 CUSTOMER_LIST_COLS = ["id", "name", "email", "phone", "loyalty_points", "loyalty_tier", "total_purchases"]
 
 
-def customers_list(t, search=None, tier=None, page_no: int = 1, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """B5 + B19: active customers by name; ILIKE on name, email or phone."""
+def customers_list(t, search=None, tier=None, page_no: int = 1, limit: int = 20,
+                   cursor: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """B5 + B19: active customers by name; ILIKE on name, email or phone; ``cursor`` as in ``bills_list``."""
     c = t.customers.filter(and_all([
         F.col("is_active"),
         _ilike_any(f"%{search}%", ["name", "email", "phone"]) if search else None,
         (F.col("loyalty_tier") == tier) if tier else None,
     ])).select(*CUSTOMER_LIST_COLS)
-    return paginate(c, [F.col("name").asc_nulls_last()], page_no, limit)
+    return paginate(c, [F.col("name").asc_nulls_last()], page_no, limit, page_df=after(c, "name", cursor))
 
 
 HISTORY_COLS = ["id", "bill_number", "total_amount", "discount_amount", "tax_amount", "net_amount",
@@ -213,14 +217,15 @@ def customer_loyalty(t) -> DataFrame:
 
 # --------------------------------------------------------------- B8 payments
 def payments_list(t, start=None, end=None, method=None, status=None, page_no: int = 1,
-                  limit: int = 20) -> DataFrame:
-    """Payments newest first with the bill number; no total."""
+                  limit: int = 20, cursor: dict | None = None) -> DataFrame:
+    """Payments newest first with the bill number; no total; ``cursor`` as in ``bills_list``."""
     p = t.payments.filter(and_all([
         (F.col("created_at") >= R.ts_lit(R.midnight(start))) if start else None,
         (F.col("created_at") <= R.ts_lit(R.midnight(end))) if end else None,
         (F.col("method") == method) if method else None,
         (F.col("status") == status) if status else None,
     ]))
+    p = after(p, "created_at", cursor, descending=True)
     pg = page_once(page(p, [F.col("created_at").desc_nulls_last()], page_no, limit))
     pg = attach(pg, "bill_id", t.bills, "id", {"bill_number": "bill_number"})
     return pg.select("id", "bill_id", "bill_number", "amount", "method", "status", "gateway_transaction_id",

@@ -175,22 +175,19 @@ def monthly_by_week(t, year: int, month: int) -> DataFrame:
             .orderBy("week_start"))
 
 
-def _items_flagged(t, bills: DataFrame) -> DataFrame:
-    """Every bill line with ``_hit`` = its bill is among ``bills``."""
-    ids = bills.select(F.col("id").alias("_bid"))
-    items = t.bill_items
-    return items.join(ids, items.bill_id == ids._bid, "left").withColumn("_hit", F.col("_bid").isNotNull())
-
-
 def monthly_by_department(t, year: int, month: int) -> DataFrame:
     """C14 (quirk Q1): departments ⟕ products ⟕ lines ⟕ bills(month, completed in ON).
 
     The bill condition only decides which lines count in ``transactions``
     (lines, not bills); ``revenue`` sums all lines of all time and statuses.
     """
-    flagged = _items_flagged(t, R.bills_in(t, R.month(year, month)))
-    per_product = flagged.groupBy("product_id").agg(
-        F.count(F.when(F.col("_hit"), 1)).alias("n"), F.sum("total_price").alias("rev"))
+    # All lines are summed without a join; only the month's lines meet its bills.
+    ids = R.bills_in(t, R.month(year, month)).select(F.col("id").alias("_bid"))
+    items = t.bill_items
+    ever = items.groupBy("product_id").agg(F.sum("total_price").alias("rev"), F.lit(0).cast("bigint").alias("n"))
+    hits = items.join(ids, items.bill_id == ids._bid, "left_semi").groupBy("product_id").agg(
+        F.lit(0).cast(ever.schema["rev"].dataType).alias("rev"), _count().alias("n"))
+    per_product = ever.unionByName(hits)
     p = t.products.select("id", "department_id")
     per_dept = (per_product.join(p, per_product.product_id == p.id, "inner")
                 .groupBy("department_id").agg(F.sum("n").alias("n"), F.sum("rev").alias("rev")))
@@ -202,29 +199,29 @@ def monthly_by_department(t, year: int, month: int) -> DataFrame:
             .orderBy(F.col("revenue").desc(), "department"))
 
 
-def _dept_lines(t, bills: DataFrame, department_id=None) -> DataFrame:
-    """Lines of ``bills`` with their product's department, pre-aggregated per (bill, product)."""
+def _dept_figures(t, bills: DataFrame, department_id=None) -> DataFrame:
+    """Per department: distinct bills, units, revenue and tax over the lines of ``bills``.
+
+    Lines meet the bills and the product's department first.  Distinct bills are counted
+    exactly by bitmaps: per department and block of 32,768 bill ids one bitmap, made in every task and
+    summed up after the shuffle, so no line is shuffled by (bill, product) or (department, bill)."""
     ids = bills.select(F.col("id").alias("_bid"))
-    items = t.bill_items
-    per_bp = (items.join(ids, items.bill_id == ids._bid, "inner")
-              .groupBy("bill_id", "product_id")
-              .agg(F.sum("quantity").alias("q"), F.sum("total_price").alias("rev"),
-                   F.sum("tax_amount").alias("tax")))
-    p = t.products.select("id", "department_id")
+    items = t.bill_items.select("bill_id", "product_id", "quantity", "total_price", "tax_amount")
+    p = t.products.select(F.col("id").alias("_pid"), "department_id")
     if department_id is not None:
         p = p.filter(F.col("department_id") == department_id)
-    return per_bp.join(p, per_bp.product_id == p.id, "inner")
-
-
-def _dept_figures(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("department_id").agg(
-        F.count_distinct("bill_id").alias("total_bills"), F.sum("q").cast("bigint").alias("items_sold"),
+    lines = items.join(ids, items.bill_id == ids._bid, "left_semi").join(p, items.product_id == p._pid, "inner")
+    blocks = lines.groupBy("department_id", F.bitmap_bucket_number("bill_id").alias("_block")).agg(
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("bill_id"))).alias("_bills"),
+        F.sum("quantity").alias("q"), F.sum("total_price").alias("rev"), F.sum("tax_amount").alias("tax"))
+    return blocks.groupBy("department_id").agg(
+        F.sum("_bills").alias("total_bills"), F.sum("q").cast("bigint").alias("items_sold"),
         F.sum("rev").cast(TOTAL).alias("revenue"), F.sum("tax").cast(TOTAL).alias("tax_collected"))
 
 
 def monthly_by_department_fixed(t, year: int, month: int) -> DataFrame:
     """C14 intent: per department, distinct completed bills and revenue of that month."""
-    figs = _dept_figures(_dept_lines(t, R.bills_in(t, R.month(year, month))))
+    figs = _dept_figures(t, R.bills_in(t, R.month(year, month)))
     d = t.departments.select("id", "name")
     return (d.join(figs, d.id == figs.department_id, "left")
             .select(F.col("name").alias("department"),
@@ -237,7 +234,7 @@ def monthly_by_department_fixed(t, year: int, month: int) -> DataFrame:
 def department_report(t, start, end, department_id=None) -> DataFrame:
     """C15 (quirk Q2): WHERE on bills after the left joins makes it an inner join —
     departments without sales in the range are absent."""
-    figs = _dept_figures(_dept_lines(t, R.bills_in(t, R.between_dates(start, end)), department_id))
+    figs = _dept_figures(t, R.bills_in(t, R.between_dates(start, end)), department_id)
     d = t.departments.select("id", F.col("name").alias("department"))
     return (d.join(figs, d.id == figs.department_id, "inner")
             .select("id", "department", "total_bills", "items_sold", "revenue", "tax_collected")
@@ -246,7 +243,7 @@ def department_report(t, start, end, department_id=None) -> DataFrame:
 
 def department_report_fixed(t, start, end, department_id=None) -> DataFrame:
     """C15 intent: every department (of the filter), zero rows kept."""
-    figs = _dept_figures(_dept_lines(t, R.bills_in(t, R.between_dates(start, end)), department_id))
+    figs = _dept_figures(t, R.bills_in(t, R.between_dates(start, end)), department_id)
     d = t.departments.select("id", F.col("name").alias("department"))
     if department_id is not None:
         d = d.filter(F.col("id") == department_id)
@@ -318,10 +315,13 @@ def tax_by_rate(t, start, end) -> DataFrame:
     """Per line tax rate — taxable base, tax and distinct bills."""
     ids = R.bills_in(t, R.between_dates(start, end)).select(F.col("id").alias("_bid"))
     items = t.bill_items
-    return (items.join(ids, items.bill_id == ids._bid, "inner")
-            .groupBy("tax_rate")
-            .agg(total0(F.col("total_price") - F.col("tax_amount")).alias("taxable_amount"),
-                 total0("tax_amount").alias("tax_amount"), F.count_distinct("bill_id").alias("bills_count"))
+    # distinct bills by bitmaps, as in the department report
+    blocks = (items.join(ids, items.bill_id == ids._bid, "left_semi")
+              .groupBy("tax_rate", F.bitmap_bucket_number("bill_id").alias("_block"))
+              .agg(F.sum(F.col("total_price") - F.col("tax_amount")).alias("base"), F.sum("tax_amount").alias("tax"),
+                   F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("bill_id"))).alias("_bills")))
+    return (blocks.groupBy("tax_rate")
+            .agg(total0("base").alias("taxable_amount"), total0("tax").alias("tax_amount"), F.sum("_bills").alias("bills_count"))
             .orderBy(F.col("tax_rate").asc_nulls_last()))
 
 

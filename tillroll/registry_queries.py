@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators import apply
 from tillroll.operators import reports as C
 from tillroll.registry import (A0, AS_OF, DAY, DAY_PRED, END, FIG, MONTH, MONTH_PRED, Q0, RANGE_PRED, S, S0,
                                START, WEEK_START, YEAR, _b, register)
@@ -169,6 +170,7 @@ from customers join spent using (id) order by total_spent desc, id limit 10""")(
 
 # ------------------------------------------------------------------ B: listings
 from tillroll.operators import listing as B  # noqa: E402
+from tillroll.plans.paging import cursor_of  # noqa: E402
 from tillroll.sources import workloads as W  # noqa: E402
 
 _BILL_LIST = """
@@ -180,6 +182,16 @@ _B1_WHERE = f"b.created_at >= timestamp '{START} 00:00:00' and b.created_at <= t
             "and b.status = 'completed'"
 register("b01_bills_list", _BILL_LIST.format(where=_B1_WHERE, limit=20, offset=20))(
     lambda t: B.bills_list(t, start=START, end=END, status="completed", page_no=2)[0])
+def _next_page(pages, column, descending, n):
+    """The n-th page, reached by the cursor of each page before it."""
+    rows = pages(None)
+    for _ in range(n - 1):
+        rows = pages(cursor_of(rows, column, descending))
+    return rows
+
+
+register("b01_bills_list_cursor", _BILL_LIST.format(where=_B1_WHERE, limit=20, offset=40))(lambda t: _next_page(
+    lambda c: B.bills_list(t, start=START, end=END, status="completed", cursor=c)[0], "created_at", True, 3))
 register("b19_bills_list_total", f"select count(*) as total from bills b where {_B1_WHERE}")(
     lambda t: B.bills_total(t, start=START, end=END, status="completed"))
 register("b20_bills_list_cashier", _BILL_LIST.format(where="b.cashier_id = 3", limit=20, offset=0))(
@@ -196,6 +208,8 @@ _B2_WHERE = "p.is_active = true and p.stock_quantity > 0 and (p.name ilike '%gea
             "or p.barcode ilike '%gear%')"
 register("b02_products_list", _PRODUCT_LIST.format(where=_B2_WHERE, limit=20, offset=20))(
     lambda t: B.products_list(t, in_stock=True, search="gear", page_no=2)[0])
+register("b02_products_list_cursor", _PRODUCT_LIST.format(where="p.is_active = true", limit=20, offset=40))(
+    lambda t: _next_page(lambda c: B.products_list(t, cursor=c)[0], "name", False, 3))
 register("b19_products_list_total", f"select count(*) as total from products p where {_B2_WHERE}")(
     lambda t: B.products_total(t, in_stock=True, search="gear"))
 register("b02_products_list_department", _PRODUCT_LIST.format(
@@ -500,6 +514,38 @@ register("a04_return_items", _VALID + """
 select request_id as id, bill_id, product_id, quantity from validated where reject_reason is null""")(
     lambda t: D.return_items(D.apply_returns(t, _validated(t))[0]))
 
+def _stored_products(t, root=None):
+    """Products of a store after three batches of sales, each written back to the files that hold its products."""
+    from tillroll.streaming.sinks import scratch
+    from tillroll.streaming.store import Store
+    store = Store(t.spark, scratch(t.spark, "a05-sales"))
+    apply.create(store, t, ["products", "customers"])
+    for k in range(3):
+        bills = t.bills.filter((F.col("id") % 3 == k) & (F.col("status") == "completed"))
+        apply.sales(store, t.bill_items.join(bills.select(F.col("id").alias("bill_id")), "bill_id", "left_semi"), bills, batch=k)
+    return store
+
+
+register("a05_stock_after_sales", """
+select p.id, cast(p.stock_quantity - coalesce(s.sold, 0) as int) as stock_quantity
+from products p left join (select i.product_id, sum(i.quantity) as sold from bill_items i join bills b on b.id = i.bill_id
+  where b.status = 'completed' group by 1) s on s.product_id = p.id""")(
+    lambda t: _stored_products(t).read("products").select("id", "stock_quantity"))
+
+
+def _applied_voids(t):
+    from tillroll.streaming.sinks import scratch
+    from tillroll.streaming.store import Store
+    store = Store(t.spark, scratch(t.spark, "d08-voids"))
+    apply.create(store, t, ["products", "customers", "bills", "bill_items", "returns"])
+    apply.voids(store, W.void_requests(t.bills), batch=0)
+    return store
+
+
+register("d08_applied_bills", f"""
+select id, case when id in (select id from {_HIT} h) then 'voided' else status end as status from bills""")(
+    lambda t: _applied_voids(t).read("bills").select("id", "status"))
+
 register("d12a_stock_ledger", """
 select a.id, a.product_id, a.created_at, a.adjustment, a.type,
        cast(p.stock_quantity + coalesce(sum(a.adjustment) over (partition by a.product_id order by a.created_at, a.id
@@ -521,6 +567,26 @@ select id, product_id, created_at, cast(new - prev - adjustment as bigint) as su
 from seen where new - prev - adjustment <> 0 or coalesce(prev - prior, 0) <> 0""")(
     lambda t: D.ledger_gaps(W.stored_ledger(D.stock_ledger(t))))
 
+register("d12a_explained_gaps", """
+with moves as (select i.product_id, b.created_at, -cast(sum(i.quantity) as bigint) as moved
+               from bill_items i join bills b on b.id = i.bill_id where b.status <> 'voided' group by 1, 2
+               union all select product_id, created_at, quantity from returns),
+kept as (select a.id, a.product_id, a.created_at, a.adjustment, p.stock_quantity
+                + sum(a.adjustment) over (partition by a.product_id order by a.created_at, a.id) as bal
+         from stock_adjustments a join products p on p.id = a.product_id),
+line as (select id, product_id, created_at, adjustment, bal, 0 as moved, 1 as kind from kept
+         union all select null, product_id, created_at, null, null, moved, 0 from moves),
+summed as (select *, sum(moved) over (partition by product_id order by created_at, kind, id) as total from line),
+stored as (select id, product_id, created_at, total, bal - adjustment + total + (case when id % 31 = 0 then 1 else 0 end)
+             + (case when id % 37 = 0 then 2 else 0 end) as prev, bal + total + (case when id % 37 = 0 then 2 else 0 end) as new
+           from summed where kind = 1),
+seen as (select *, lag(new) over w as prior, lag(total) over w as before from stored
+         window w as (partition by product_id order by created_at, id))
+select id, product_id, created_at, cast(prev - prior as bigint) as gap, cast(total - before as bigint) as explained,
+       cast(prev - prior - (total - before) as bigint) as unexplained
+from seen where prior is not null and (prev <> prior or prev - prior <> total - before)""")(
+    lambda t: D.explained_gaps(W.audited_ledger(D.stock_ledger(t), D.stock_movements(t)), D.stock_movements(t)))
+
 _PAYREQ = """(select id as request_id, id as bill_id, net_amount as amount, payment_method as method,
    created_at + interval '1' hour as created_at, status from bills where status in ('pending', 'voided'))"""
 register("d14_record_payments", f"""
@@ -724,6 +790,8 @@ select u.id, u.email, cast((select max(e.ts) from events e where e.user_id = u.i
 # ------------------------------------------------------------------ S: streaming twins
 from tillroll.streaming import intake as SI  # noqa: E402
 from tillroll.streaming import live as SL  # noqa: E402
+from tillroll.streaming import stock as SK  # noqa: E402
+from tillroll.streaming import windows as SV  # noqa: E402
 
 register("s01_hourly_revenue_stream", """
 select date_trunc('hour', created_at) as hour_start, count(*) as transactions,
@@ -733,6 +801,22 @@ register("s02_payment_mix_stream", """
 select date_trunc('day', created_at) as day_start, payment_method, count(*) as count,
        cast(sum(net_amount) as decimal(18,2)) as amount from bills where status = 'completed' group by 1, 2""")(
     lambda t: SL.payment_mix(t.spark, t.sf_dir))
+def _kept_windows(t, figure):
+    """``figure`` over the bills as several micro-batches of files that each hold all times."""
+    from tillroll.streaming.sinks import scratch
+    root = scratch(t.spark, "s01-windows")
+    return figure(SL.shuffled_bills_stream(t, f"{root}/bills"), root)
+
+
+register("s01_hourly_revenue_late_rows", """
+select date_trunc('hour', created_at) as hour_start, count(*) as transactions,
+       cast(sum(net_amount) as decimal(18,2)) as revenue from bills where status = 'completed' group by 1""")(
+    lambda t: _kept_windows(t, SV.hourly_revenue))
+register("s02_payment_mix_late_rows", """
+select date_trunc('day', created_at) as day_start, payment_method, count(*) as count,
+       cast(sum(net_amount) as decimal(18,2)) as amount from bills where status = 'completed' group by 1, 2""")(
+    lambda t: _kept_windows(t, SV.payment_mix))
+
 register("s03_stock_balance_stream", """
 with d as (select bi.product_id, -bi.quantity as delta from bill_items bi where bi.bill_id in (select id from bills)
            union all select bi.product_id, bi.quantity from bill_items bi join bills b on b.id = bi.bill_id
@@ -743,6 +827,23 @@ agg as (select product_id, sum(delta) as delta from d group by 1)
 select agg.product_id, cast(agg.delta as bigint) as delta, cast(p.stock_quantity + agg.delta as bigint) as balance,
        (p.stock_quantity > p.minimum_stock and p.stock_quantity + agg.delta <= p.minimum_stock) as low_stock_alert
 from agg join products p on p.id = agg.product_id""")(lambda t: SL.stock_balance(t.spark, t.sf_dir, t))
+def _stock_alerts(t):
+    from tillroll.streaming.sinks import scratch
+    root = scratch(t.spark, "s03-alerts")
+    events = SK.event_files(SK.stock_events(t), f"{root}/events", 4)
+    return SK.finish(SK.monitor(events, t.products, root)).read("alerts")
+
+
+register("s03_low_stock_alerts", """
+with b as (select id, created_at from bills where status <> 'voided'),
+e as (select i.product_id, b.created_at, 0 as kind, i.bill_id as ref, -sum(i.quantity) as delta from bill_items i join b on b.id = i.bill_id group by all
+      union all select product_id, created_at, 1, bill_id, sum(quantity) from returns group by all
+      union all select product_id, created_at, 2, id, adjustment from stock_adjustments),
+r as (select e.*, p.minimum_stock, p.stock_quantity + sum(delta) over (partition by e.product_id order by e.created_at, kind, ref
+        rows unbounded preceding) as now from e join products p on p.id = e.product_id)
+select product_id, created_at, kind, ref, cast(now as bigint) as balance from r where now - delta > minimum_stock and now <= minimum_stock""")(
+    _stock_alerts)
+
 register("s04_loyalty_stream", f"""
 select c.id, cast(x.pts as bigint) as points_added, cast(c.loyalty_points + x.pts as int) as loyalty_points,
        cast(c.total_purchases + x.spent as decimal(14,2)) as total_purchases,
@@ -752,7 +853,7 @@ from customers c join (select customer_id, sum(cast(floor(net_amount / 10) as bi
   on x.customer_id = c.id""")(lambda t: SL.loyalty(t.spark, t.sf_dir, t))
 register("s05_order_intake_stream", f"""
 select y.* from ({_TOTALS}) y join bills b on b.id = y.bill_id
-where b.payment_method in ('cash', 'card', 'upi', 'wallet', 'credit')""")(
+where b.payment_method in ('cash', 'card', 'upi', 'wallet', 'credit') and y.net_amount >= 0 and y.total_amount >= 0""")(
     lambda t: SI.committed_rows(t.spark, SI.run_intake(t.spark, t), "bills"))
 
 # ------------------------------------------------------------------ D4 (iterative; rows-only check)
@@ -778,12 +879,16 @@ hits as (select t.term, p.id, p.name, p.sku, p.price from terms t join products
 select * from (select term, id, name, sku, price, row_number() over (partition by term order by name, id) as rank
                from hits) y where rank <= 20""")(lambda t: B.bulk_product_search(t, B.typed_terms(t)))
 
-_REFUSED_REQUESTS = """
+# The model's CHECKs forbid negative totals: the intake refuses such orders, as the checkout does.
+_REFUSED_REQUESTS = f"""
 with counted as (select bill_id, count(*) as n from bill_items group by bill_id),
 judged as (select b.id, coalesce(c.n, 0) as n, b.payment_method from bills b left join counted c on c.bill_id = b.id)
 select id as request_id, case when n = 0 then 'items_required' else 'invalid_payment_method' end as reject_reason
 from judged where n = 0 or payment_method = 'razorpay'
 union all
+select y.bill_id, 'negative_total' from ({_TOTALS}) y join bills b on b.id = y.bill_id
+where b.payment_method <> 'razorpay' and (y.net_amount < 0 or y.total_amount < 0)
+union all
 select null, 'malformed_json' from bills where id % 97 = 0"""
 register("a03_order_request_rejects", _REFUSED_REQUESTS)(lambda t: SI.parse_and_check(t.spark, t))
 register("s05_order_intake_rejects", _REFUSED_REQUESTS)(
@@ -921,3 +1026,82 @@ select id, name, email, phone,
   case when name is null or trim(name) = '' then 'name_required'
        when phone is null or trim(phone) = '' then 'phone_required' end as reject_reason from {_NEWC} n""")(
     lambda t: I.customer_rules(W.new_customers(t.raw("events")).select("id", "name", "email", "phone")))
+
+
+# ------------------------------------------------------------------ rules, uniqueness and patches of the other tables
+_NEWD = """(select -id - 1 as request_id, name from departments union all
+   select event_id, case when event_id % 11 = 0 then ' ' else concat('Department ', cast(event_id % 50 as varchar)) end
+   from events where event_type = 'signup')"""
+_NEWU = """(select event_id as request_id, case when event_id % 13 <> 0 then concat('User ', cast(event_id as varchar)) end as name,
+   case when event_id % 17 <> 0 then case when event_id % 2 = 1
+     then upper(concat('user', cast(event_id % 300 as varchar), '@store.example'))
+     else concat('user', cast(event_id % 300 as varchar), '@store.example') end end as email,
+   case event_id % 4 when 0 then 'cashier' when 1 then 'manager' when 2 then 'boss' end as role
+   from events where event_type = 'error')"""
+
+
+def _new_departments(t):
+    return W.new_departments(t.departments, t.raw("events"))
+
+
+register("d22_unique_departments", f"""
+select n.request_id, n.name, case when n.name in (select name from departments) then 'name_exists'
+       when row_number() over (partition by n.name order by n.request_id) > 1 then 'name_repeated_in_batch' end as conflict
+from {_NEWD} n""")(lambda t: I.unique_on_create(t.departments, _new_departments(t), ["name"]))
+register("d22b_department_rules", f"""
+select request_id, name, case when name is null or trim(name) = '' then 'name_required' end as reject_reason
+from {_NEWD} n""")(lambda t: I.department_rules(_new_departments(t)))
+register("d22_unique_users", f"""
+select n.request_id, n.name, n.email, n.role, case when n.email is null then null
+       when lower(n.email) in (select lower(email) from users) then 'email_exists'
+       when row_number() over (partition by lower(n.email) order by n.request_id) > 1 then 'email_repeated_in_batch' end as conflict
+from {_NEWU} n""")(lambda t: I.unique_on_create(t.users, W.new_users(t.raw("events")), ["email"], normalise={"email": F.lower}))
+register("d22b_user_rules", f"""
+select request_id, name, email, role, case when name is null or trim(name) = '' then 'name_required'
+       when email is null or trim(email) = '' then 'email_required'
+       when role is null or role not in ('admin', 'manager', 'cashier') then 'invalid_role' end as reject_reason
+from {_NEWU} n""")(lambda t: I.user_rules(W.new_users(t.raw("events"))))
+register("d22a_customer_defaults", f"""
+select id, name, 0 as loyalty_points, 'bronze' as loyalty_tier, cast(0 as decimal(14,2)) as total_purchases, true as is_active
+from {_NEWC} n""")(lambda t: I.with_defaults(W.new_customers(t.raw("events")).select("id", "name"), I.CUSTOMER_DEFAULTS,
+                                             {"loyalty_points": "int", "total_purchases": "decimal(14,2)"}))
+register("d19_patch_departments", """
+select d.id, coalesce(p.description, d.description) as description,
+       coalesce(p.description is not null and p.description is distinct from d.description, false) as changed
+from departments d left join (select event_id % 30 as id,
+    arg_max(concat('About ', cast(event_id as varchar)), event_id) filter (where event_id % 3 <> 0) as description
+  from events where event_type = 'signup' group by 1) p on p.id = d.id""")(
+    lambda t: I.apply_patch(t.departments, W.department_patches(t.raw("events")), "id", ["description"])[0].select(
+        "id", "description", "changed"))
+register("d19_patch_departments_unknown", """
+select distinct event_id % 30 as id from events where event_type = 'signup' and event_id % 30 not in (select id from departments)""")(
+    lambda t: I.apply_patch(t.departments, W.department_patches(t.raw("events")), "id", ["description"])[1].select("id"))
+register("d19_patch_products", """
+select p.id, coalesce(x.price, p.price) as price, coalesce(x.minimum_stock, p.minimum_stock) as minimum_stock,
+       coalesce(x.price <> p.price, false) or coalesce(x.minimum_stock <> p.minimum_stock, false) as changed
+from products p left join (select event_id % 500 as id,
+    arg_max(cast(floor(value) as decimal(12,2)), event_id) filter (where event_id % 2 = 0) as price,
+    arg_max(cast(event_id % 40 as int), event_id) filter (where event_id % 3 = 0) as minimum_stock
+  from events where event_type = 'view' group by 1) x on x.id = p.id""")(
+    lambda t: I.apply_patch(t.products, W.product_patches(t.raw("events")), "id", ["price", "minimum_stock"])[0].select(
+        "id", "price", "minimum_stock", "changed"))
+register("d19_patch_users", """
+select u.id, coalesce(x.role, u.role) as role, coalesce(x.role <> u.role, false) as changed
+from users u left join (select event_id % 100 as id,
+    arg_max(case event_id % 5 when 0 then 'manager' else 'admin' end, event_id) filter (where event_id % 5 <= 1) as role
+  from events where event_type = 'click' group by 1) x on x.id = u.id""")(
+    lambda t: I.apply_patch(t.users, W.user_patches(t.raw("events")), "id", ["role"])[0].select("id", "role", "changed"))
+
+
+# ------------------------------------------------------------------ checks on inputs that hold faults
+register("b02_products_list_one_department", _PRODUCT_LIST.format(
+    where="p.is_active = true and p.department_id = 3", limit=20, offset=0))(lambda t: B.products_list(t, department_id=3)[0])
+register("d07_stale_tiers_found", f"""
+with c as (select id, loyalty_tier, case when id % 3 = 0 then loyalty_points + 1500 else loyalty_points end as loyalty_points from customers)
+select id, loyalty_points, loyalty_tier, {_TIER.format(p='loyalty_points')} as expected_tier from c
+where loyalty_tier <> {_TIER.format(p='loyalty_points')}""")(lambda t: D.stale_tiers(W.points_without_tiers(t.customers)))
+register("d23a_check_unique_found", """
+with c as (select email, phone from customers union all select lower(email), phone from customers where id % 40 = 0)
+select 'customers' as table_name, 'email' as column_name, email as value, count(*) as rows from c where email is not null group by 3 having count(*) > 1
+union all select 'customers', 'phone', phone, count(*) from c where phone is not null group by 3 having count(*) > 1""")(
+    lambda t: I.check_unique(t.with_tables(customers=W.with_copies(t.customers)), "customers"))

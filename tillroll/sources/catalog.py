@@ -40,6 +40,7 @@ class Retail:
         self._loader = loader            # name -> DataFrame
         self._raw_orders = raw_orders    # () -> raw orders DataFrame, test tables only
         self._cache: dict[str, DataFrame] = {}
+        self._monthly_bills = None       # () -> bills with their month, bucketed tables only
 
     # -- construction -----------------------------------------------------
     @classmethod
@@ -77,6 +78,16 @@ class Retail:
             return spark.read.schema(S.SCHEMAS[name]).parquet(f"{model_dir.rstrip('/')}/{name}")
         return cls(spark, load)
 
+    @classmethod
+    def from_tables(cls, spark: SparkSession, database: str) -> "Retail":
+        """The bucketed tables that ``save_tables`` wrote into ``database``."""
+        def load(name: str) -> DataFrame:
+            return spark.table(f"{database}.{name}").select(*S.SCHEMAS[name].names)
+
+        out = cls(spark, load)
+        out._monthly_bills = lambda: spark.table(f"{database}.bills")
+        return out
+
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> "Retail":
         def load(name: str) -> DataFrame:
@@ -135,6 +146,13 @@ class Retail:
             if end is not None:
                 o = o.filter(F.col("o_orderdate") <= _lit_ts(end))
             b = M.bills(o)
+        elif self._monthly_bills is not None:
+            b = self._monthly_bills()  # months outside the window are not listed
+            if start is not None:
+                b = b.filter(F.col("month") >= _ts(start).strftime("%Y-%m"))
+            if end is not None:
+                b = b.filter(F.col("month") <= _ts(end).strftime("%Y-%m"))
+            b = b.select(*S.SCHEMAS["bills"].names)
         else:
             b = self.bills
         if start is not None:
@@ -145,3 +163,28 @@ class Retail:
         if status is not None:
             b = b.filter(F.col("status") == status)
         return b
+
+
+#: What the large tables are bucketed and sorted by: a bill's rows of all of them share a bucket number.
+BUCKET_KEYS = {"bills": "id", "bill_items": "bill_id", "payments": "bill_id", "returns": "bill_id"}
+
+
+def save_tables(t: Retail, database: str, buckets: int, location: str | None = None) -> None:
+    """Write the model as tables of ``database`` (created if absent: at ``location``, else in the warehouse).
+
+    Bills, their lines, payments and returns are bucketed by bill id into the same number of buckets, so joins
+    and aggregates by bill need no shuffle of lines; bills are partitioned by month as well, so a
+    report lists only its months.  Size ``buckets`` for about 128-256 MB of lines each.  One file per bucket (and month): rows
+    meet their bucket in one shuffle before the write."""
+    spark = t.spark
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{location}'" if location else ""))
+    for name in S.SCHEMAS:
+        df, key = t.table(name), BUCKET_KEYS.get(name)
+        if key is None:
+            df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+            continue
+        df = df.repartition(buckets, key)
+        writer = df.write
+        if name == "bills":
+            writer = df.withColumn("month", F.date_format("created_at", "yyyy-MM")).write.partitionBy("month")
+        writer.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(f"{database}.{name}")

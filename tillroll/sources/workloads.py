@@ -80,6 +80,18 @@ def stored_ledger(ledger: DataFrame) -> DataFrame:
                  .withColumn("new_quantity", F.col("new_quantity") + two)
 
 
+def audited_ledger(ledger: DataFrame, movements: DataFrame) -> DataFrame:
+    """A ledger whose balances also hold the sales and returns up to each row, and the faults of ``stored_ledger``."""
+    from tillroll.plans.sequence import running_sum
+    moves = movements.select(F.lit(None).cast("bigint").alias("id"), "product_id", "created_at", F.col("moved").cast("bigint").alias("_moved"))
+    both = running_sum(ledger.select(F.col("id").cast("bigint").alias("id"), "product_id", "created_at", F.lit(0).cast("bigint").alias("_moved")).unionByName(moves),
+                       "product_id", ["created_at", "id"], "_moved", F.to_date("created_at"), out="_sum").filter("id is not null")
+    rows = ledger.join(both.select(F.col("id").alias("_sid"), "_sum"), F.col("id") == F.col("_sid")).drop("_sid")
+    moved = rows.withColumn("previous_quantity", F.col("previous_quantity") + F.col("_sum")).withColumn(
+        "new_quantity", F.col("new_quantity") + F.col("_sum")).drop("_sum")
+    return stored_ledger(moved)
+
+
 def return_requests(lineitem: DataFrame) -> DataFrame:
     """Return requests: each line flagged 'R' asks to return half its units (rounded up);
     the seventh line of an order asks for one more unit than was sold."""
@@ -161,6 +173,57 @@ def new_customers(events: DataFrame) -> DataFrame:
                     F.lit(0).cast("decimal(14,2)").alias("total_purchases"), F.lit(True).alias("is_active"))
 
 
+def points_without_tiers(customers: DataFrame) -> DataFrame:
+    """Customers of whom every third got 1,500 points by a bulk load that left the tiers alone."""
+    return customers.withColumn("loyalty_points", F.when(F.col("id") % 3 == 0, F.col("loyalty_points") + 1500).otherwise(F.col("loyalty_points")))
+
+
+def with_copies(customers: DataFrame, every: int = 40) -> DataFrame:
+    """Customers, and every fortieth again under another id, with its phone and its e-mail in lower case."""
+    again = customers.filter(F.col("id") % every == 0).withColumns({"id": -F.col("id") - 1, "email": F.lower("email")})
+    return customers.unionByName(again)
+
+
+def new_departments(departments: DataFrame, events: DataFrame) -> DataFrame:
+    """Every department proposed again, and a department per signup event: fifty names, some blank."""
+    k = F.col("event_id")
+    name = F.when(k % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Department "), (k % 50).cast("string")))
+    return departments.select((-F.col("id") - 1).cast("bigint").alias("request_id"), "name").unionByName(
+        events.filter(F.col("event_type") == "signup").select(k.cast("bigint").alias("request_id"), name.alias("name")))
+
+
+def new_users(events: DataFrame) -> DataFrame:
+    """Error events propose a user: three hundred e-mails in changing case (many held), a valid, unknown or no role."""
+    k = F.col("event_id")
+    email = F.concat(F.lit("user"), (k % 300).cast("string"), F.lit("@store.example"))
+    role = F.when(k % 4 == 0, "cashier").when(k % 4 == 1, "manager").when(k % 4 == 2, "boss")
+    return events.filter(F.col("event_type") == "error").select(
+        k.cast("bigint").alias("request_id"), F.when(k % 13 != 0, F.concat(F.lit("User "), k.cast("string"))).alias("name"),
+        F.when(k % 17 != 0, F.when(k % 2 == 1, F.upper(email)).otherwise(email)).alias("email"), role.alias("role"))
+
+
+def department_patches(events: DataFrame) -> DataFrame:
+    """Signup events describe a department anew (ids up to 29, so some are unknown); every third says nothing."""
+    k = F.col("event_id")
+    return events.filter(F.col("event_type") == "signup").select(
+        (k % 30).alias("id"), F.when(k % 3 != 0, F.concat(F.lit("About "), k.cast("string"))).alias("description"), k.alias("patch_seq"))
+
+
+def product_patches(events: DataFrame) -> DataFrame:
+    """View events set a product's price or its least stock (product = event id modulo 500)."""
+    k = F.col("event_id")
+    return events.filter(F.col("event_type") == "view").select(
+        (k % 500).alias("id"), F.when(k % 2 == 0, F.floor("value").cast("decimal(12,2)")).alias("price"),
+        F.when(k % 3 == 0, (k % 40).cast("int")).alias("minimum_stock"), k.alias("patch_seq"))
+
+
+def user_patches(events: DataFrame) -> DataFrame:
+    """Click events give a user a role."""
+    k = F.col("event_id")
+    return events.filter(F.col("event_type") == "click").select(
+        (k % 100).cast("int").alias("id"), F.when(k % 5 == 0, "manager").when(k % 5 == 1, "admin").alias("role"), k.alias("patch_seq"))
+
+
 def redemption_requests(events: DataFrame) -> DataFrame:
     """Purchase events ask to redeem points: customer = user id, points = 100 × floor(value) (0 is refused)."""
     e = events.filter(F.col("event_type") == "purchase")

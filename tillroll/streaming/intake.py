@@ -4,9 +4,8 @@ Requests arrive as JSON lines; each micro-batch (``foreachBatch``) parses them
 (text lines through ``from_json``, PERMISSIVE; malformed bodies are rejected),
 applies the order rules (D22c), refuses orders naming an unknown product,
 prices the lines (D1), totals the bills (D2) and commits bills, lines and
-rejects as one snapshot per batch id (A5).  A duplicated request id is taken
-once, in any batch.  Replaying a batch id rewrites that batch's
-snapshot, so the sink is idempotent.
+rejects as one version of a store per batch id (A5, ``streaming.store``).  A duplicated request id is taken
+once, in any batch: the stream's state holds every key seen.  A replayed batch id changes nothing.
 """
 
 from __future__ import annotations
@@ -16,11 +15,14 @@ from pyspark.sql import functions as F
 
 from tillroll.operators.integrity import order_rules
 from tillroll.operators.ledger import bill_totals, price_lines
-from tillroll.streaming.sinks import commit_snapshot, scratch
+from tillroll.streaming.sinks import scratch
+from tillroll.streaming.store import Append, Replace, Store, Update
 
 ORDER_SCHEMA = ("request_id bigint, customerId bigint, paymentMethod string, discountAmount decimal(12,2), "
                 "items array<struct<productId:bigint,quantity:int,discount:decimal(12,2)>>, "
                 "created_at timestamp_ntz, _corrupt_record string")
+
+
 def order_requests_json(t, keep_id: bool = False) -> DataFrame:
     """A request per bill, as JSON text: header fields plus the bill's lines.
 
@@ -64,6 +66,12 @@ def parse_orders(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, bad
 
 
+def negative_totals(bills: DataFrame) -> DataFrame:
+    """Rejects of the priced bills whose net or total is below zero (the model forbids them)."""
+    return bills.filter((F.col("net_amount") < 0) | (F.col("total_amount") < 0)).select(
+        F.col("bill_id").alias("request_id"), F.lit("negative_total").alias("reject_reason"))
+
+
 def process_orders(orders: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
     """One batch of parsed orders -> {bills, bill_items, rejects}."""
     checked = order_rules(orders)
@@ -83,7 +91,10 @@ def process_orders(orders: DataFrame, products: DataFrame) -> dict[str, DataFram
     priced = price_lines(lines, products)
     headers = ok.join(unknown, "request_id", "left_anti").select(F.col("request_id").alias("id"), "discount_amount")
     bills = bill_totals(priced, headers)
-    return {"bills": bills, "bill_items": priced, "rejects": rejects}
+    negative = negative_totals(bills)
+    refused = negative.select(F.col("request_id").alias("bill_id"))
+    return {"bills": bills.join(refused, "bill_id", "left_anti"), "bill_items": priced.join(refused, "bill_id", "left_anti"),
+            "rejects": rejects.unionByName(negative)}
 
 
 def _request_files(spark: SparkSession, t, path: str) -> str:
@@ -103,7 +114,7 @@ def run_intake(spark: SparkSession, t, requests_dir: str | None = None, max_file
     if requests_dir is None:
         requests_dir = _request_files(spark, t, f"{root}/requests")
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(requests_dir)
-    products = t.products
+    products, store = t.products, Store(spark, root)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # several tables are written from one micro-batch: read and parse it once
@@ -112,7 +123,7 @@ def run_intake(spark: SparkSession, t, requests_dir: str | None = None, max_file
             orders, bad = parse_orders(batch)
             out = process_orders(orders, products)
             out["rejects"] = out["rejects"].unionByName(bad)
-            commit_snapshot(out, root, batch_id)
+            store.write({n: Append(df) for n, df in out.items()}, batch_id)
         finally:
             batch.unpersist()
 
@@ -124,8 +135,7 @@ def run_intake(spark: SparkSession, t, requests_dir: str | None = None, max_file
 
 def committed_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A committed table over all batches of a run."""
-    committed = spark.read.parquet(f"{root}/commits").select("batch_id")
-    return spark.read.parquet(f"{root}/snapshots/{table}").join(committed, "batch_id", "left_semi").drop("batch_id")
+    return Store(spark, root).read(table)
 
 
 def parse_and_check(spark: SparkSession, t) -> DataFrame:
@@ -137,51 +147,33 @@ def parse_and_check(spark: SparkSession, t) -> DataFrame:
     return process_orders(orders, t.products)["rejects"].unionByName(bad)
 
 
-def write_requests_in_time_order(t, out: str, slices: int = 8) -> str:
-    """Write the derived JSON requests as ``slices`` files, one write per equal
-    time slice in order, so a file stream meets them in arrival order (the
-    file source takes files by modification time) and a run is repeatable."""
-    import time as _time
-
-    b = t.bills.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).first()
-    lo, hi = b["lo"], b["hi"]
-    step = (hi - lo) / slices
-    req = order_requests_json_with_time(t)
-    for i in range(slices):
-        a = lo + step * i
-        part = req.filter(F.col("created_at") >= F.lit(a.isoformat(sep=" ")).cast("timestamp_ntz"))
-        if i < slices - 1:
-            part = part.filter(F.col("created_at") < F.lit((lo + step * (i + 1)).isoformat(sep=" "))
-                               .cast("timestamp_ntz"))
-        part.select("value").coalesce(1).write.mode("append").text(out)
-        _time.sleep(1.05)        # distinct modification times between slices
+def write_requests_in_time_order(t, out: str, files: int | None = None) -> str:
+    """Write the derived JSON requests, cut into ranges of their time (none first), one file per range.
+
+    The file source takes files by modification time; these are set in the order of the ranges, a
+    second apart.  Within a micro-batch admission orders the requests by their own time."""
+    spark = t.spark
+    n = files or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col("created_at").asc_nulls_first(), F.col("value")]
+    order_requests_json_with_time(t).repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.text(out)
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath().getName(), s) for s in fs.listStatus(path) if s.getPath().getName().startswith("part-"))
+    if parts:
+        first = min(s.getModificationTime() for _, s in parts) - 1000 * len(parts)
+        for i, (_, s) in enumerate(parts):
+            fs.setTimes(s.getPath(), first + 1000 * i, -1)
     return out
 
 
 def order_requests_json_with_time(t) -> DataFrame:
-    """``order_requests_json`` plus the bill time, used to slice the files."""
+    """``order_requests_json`` plus the bill time, by which the files are cut."""
     b = t.bills.select(F.col("id").alias("_id"), "created_at")
     j = order_requests_json(t, keep_id=True)
     return j.join(b, j._id == b._id).drop("_id")
 
 
 # ----------------------------------------------------------------- full checkout
-def _replace_stock(products: DataFrame, sold: DataFrame) -> DataFrame:
-    """Products with ``stock_quantity`` from ``apply_sales`` output (same columns as ``products``)."""
-    s = sold.select(F.col("id").alias("_sid"), F.col("stock_quantity").alias("_new"))
-    j = products.join(s, products.id == s._sid, "left")
-    return j.select(*[F.coalesce("_new", "stock_quantity").alias(c) if c == "stock_quantity" else F.col(c)
-                      for c in products.columns])
-
-
-def _replace_loyalty(customers: DataFrame, accrued: DataFrame) -> DataFrame:
-    a = accrued.select(F.col("id").alias("_aid"), F.col("loyalty_points").alias("_p"),
-                       F.col("total_purchases").alias("_t"), F.col("loyalty_tier").alias("_tier"))
-    j = customers.join(a, customers.id == a._aid, "left")
-    repl = {"loyalty_points": "_p", "total_purchases": "_t", "loyalty_tier": "_tier"}
-    return j.select(*[F.coalesce(repl[c], c).alias(c) if c in repl else F.col(c) for c in customers.columns])
-
-
 def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame, start_seq: int
                    ) -> tuple[dict[str, DataFrame], int]:
     """One batch of parsed orders through the whole billing path.
@@ -191,7 +183,8 @@ def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame,
     stock; then bills are admitted against stock in arrival order, all or
     nothing (D4); admitted bills are priced (D1), totalled (D2), numbered
     from the running sequence (D3), and stock (D5) and loyalty (D6/D7) are
-    updated.  Returns the tables to commit and the next sequence number."""
+    updated.  Returns the rows to add (bills, bill_items, rejects), the changed columns of
+    products and customers, and the next sequence number."""
     from tillroll.operators.ledger import accrue_loyalty, apply_sales, bill_numbers
     from tillroll.plans.admission import admit_bills
 
@@ -208,8 +201,7 @@ def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame,
         F.col("it.discount").alias("discount"))
     priced = price_lines(lines.drop("created_at"), products)
     totals = bill_totals(priced, ok.select(F.col("request_id").alias("id"), "discount_amount"))
-    negative = totals.filter((F.col("net_amount") < 0) | (F.col("total_amount") < 0)).select(
-        F.col("bill_id").alias("request_id"), F.lit("negative_total").alias("reject_reason"))
+    negative = negative_totals(totals)
     cand = lines.join(negative.select(F.col("request_id").alias("bill_id")), "bill_id", "left_anti")
     stock = products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("stock"))
     decided = admit_bills(cand.select("bill_id", "product_id", "quantity", "created_at"), stock)
@@ -228,53 +220,46 @@ def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame,
         F.col("net_amount").cast("decimal(12,2)").alias("net_amount"), "payment_method",
         F.lit("completed").alias("status"), "created_at")
     items = priced.join(admitted, "bill_id", "left_semi")
-    new_products = _replace_stock(products, apply_sales(products, items))
-    new_customers = _replace_loyalty(customers, accrue_loyalty(customers, bills).filter(F.col("changed")))
-    out = {"bills": bills, "bill_items": items, "rejects": rejects, "products": new_products,
-           "customers": new_customers}
+    stock_after = apply_sales(products, items).filter("changed").select("id", "stock_quantity")
+    loyalty = accrue_loyalty(customers, bills).filter("changed").select("id", "loyalty_points", "total_purchases", "loyalty_tier")
+    out = {"bills": bills, "bill_items": items, "rejects": rejects, "products": stock_after, "customers": loyalty}
     return out, start_seq + n_accepted
 
 
 def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_files: int = 4, root: str | None = None) -> str:
     """S5 full path: the intake stream where every micro-batch continues from the
-    previous committed snapshot (stock, loyalty, bill sequence) and commits its
-    own.  Request ids already billed or refused by an earlier committed batch
-    are dropped as duplicates.  A replayed batch reads the same previous
-    snapshots and rewrites the same output.  Returns the snapshot root."""
-    from tillroll.streaming.sinks import commit_meta, last_committed, read_snapshot
+    store's newest version (stock, loyalty, bill sequence) and writes the next one.
 
+    A batch reads the products and customers that its orders name, and only files that hold
+    one whose stock or points change are written anew; bills, lines and rejects are added.  Request ids seen in any earlier batch are
+    dropped by the stream's own state.  A replayed batch changes nothing, and a run with the ``root`` of an earlier
+    one goes on where that stopped.  Returns the store's root."""
     if root is None:
         root = scratch(spark, "s05-checkout")
     if requests_dir is None:
         requests_dir = write_requests_in_time_order(t, f"{root}/requests")
+    store = Store(spark, root)
+    if store.latest() is None:
+        store.write({"products": Replace(t.products, "id"), "customers": Replace(t.customers, "id")}, meta={"next_seq": 1})
     raw = parsed(spark.readStream.option("maxFilesPerTrigger", max_files).text(requests_dir))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        prev = last_committed(spark, root, before=batch_id)
-        if prev is None:
-            products, customers, seq = t.products, t.customers, 1
-        else:
-            products = read_snapshot(spark, root, "products", prev)
-            customers = read_snapshot(spark, root, "customers", prev)
-            seq = commit_meta(spark, root, prev)["next_seq"]
-        batch = batch.dropDuplicates(["_key"]).persist()
-        orders, bad = parse_orders(batch)
-        if prev is not None:
-            # a request id already billed or refused by an earlier batch is a duplicate
-            done = spark.read.parquet(f"{root}/commits").filter(F.col("batch_id") <= prev).select("batch_id")
-            seen = (spark.read.parquet(f"{root}/snapshots/bills").join(done, "batch_id", "left_semi")
-                    .select(F.col("id").alias("request_id"))
-                    .unionByName(spark.read.parquet(f"{root}/snapshots/rejects").join(done, "batch_id", "left_semi")
-                                 .filter(F.col("request_id").isNotNull()).select("request_id")))
-            orders = orders.join(seen, "request_id", "left_anti")
+        now = store.describe()
+        if now["batch"] is not None and now["batch"] >= batch_id:
+            return
+        batch = batch.persist()
         try:
-            out, next_seq = checkout_batch(orders, products, customers, seq)
+            orders, bad = parse_orders(batch)
+            products = store.lookup("products", orders.select(F.explode("items.productId").alias("id")))
+            customers = store.lookup("customers", orders.select(F.col("customer_id").alias("id")))
+            out, next_seq = checkout_batch(orders, products, customers, now["meta"]["next_seq"])
             out["rejects"] = out["rejects"].unionByName(bad)
-            commit_snapshot(out, root, batch_id, meta={"next_seq": next_seq})
+            changes = {n: Append(out[n]) for n in ("bills", "bill_items", "rejects")}
+            store.write(changes | {n: Update(out[n]) for n in ("products", "customers")}, batch_id, {"next_seq": next_seq})
         finally:
             batch.unpersist()
 
-    q = (raw.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_checkpoint")
+    q = (raw.dropDuplicates(["_key"]).writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return root

@@ -6,7 +6,8 @@ the batch model.  Event time is ``created_at`` turned into the instant whose UTC
 wall clock it is (the watermark refuses ``timestamp_ntz``), whatever the
 session zone, and windows are reported back as ``timestamp_ntz`` wall clock.
 Rows later than the watermark are dropped by design; on one drained input
-each aggregate equals its batch twin.
+each aggregate equals its batch twin.  A run with the ``root`` of an earlier one goes on where that stopped.
+``streaming.windows`` keeps S1 and S2 exact with late rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,12 @@ def raw_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | Non
     return r.parquet(sf_dir)
 
 
+def shuffled_bills_stream(t, folder: str, files: int = 8, max_files: int = 2) -> DataFrame:
+    """The bills written to ``folder`` as files that each hold all times, read as a stream of several micro-batches."""
+    t.bills.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(files))).repartition(files, "_part").drop("_part").write.parquet(folder)
+    return t.spark.readStream.schema(t.bills.schema).option("maxFilesPerTrigger", max_files).parquet(folder)
+
+
 def bills_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.bills(raw_stream(spark, sf_dir, "orders"))
 
@@ -82,7 +89,7 @@ def stock_delta_stream(spark: SparkSession, sf_dir: str, bills: DataFrame) -> Da
     return sales.unionByName(voids).unionByName(returns).unionByName(adj)
 
 
-def stock_balance(spark: SparkSession, sf_dir: str, t) -> DataFrame:
+def stock_balance(spark: SparkSession, sf_dir: str, t, root: str | None = None) -> DataFrame:
     """S3: running stock per product from sales, voids, returns and adjustments.
 
     Each micro-batch compares the new balances of the products it changed
@@ -93,7 +100,7 @@ def stock_balance(spark: SparkSession, sf_dir: str, t) -> DataFrame:
     ``low_stock_alert`` = an alert was raised in some batch."""
     deltas = stock_delta_stream(spark, sf_dir, t.bills)
     agg = deltas.groupBy("product_id").agg(F.sum("delta").alias("delta"))
-    out = scratch(spark, "s03-stock")
+    out = root or scratch(spark, "s03-stock")
     p = t.products.select(F.col("id").alias("_pid"), "stock_quantity", "minimum_stock")
 
     def alerts(batch: DataFrame, batch_id: int) -> None:
@@ -123,10 +130,11 @@ def loyalty_stream(bills: DataFrame) -> DataFrame:
         F.sum("net_amount").alias("spent"))
 
 
-def loyalty(spark: SparkSession, sf_dir: str, t) -> DataFrame:
+def loyalty(spark: SparkSession, sf_dir: str, t, root: str | None = None) -> DataFrame:
     """customers' points, lifetime spend and tier as bills stream in."""
     from tillroll.functions.loyalty import tier
-    cur = run_update_stream(loyalty_stream(bills_stream(spark, sf_dir)), ["customer_id"], scratch(spark, "s04-loyalty"))
+    cur = run_update_stream(loyalty_stream(bills_stream(spark, sf_dir)), ["customer_id"],
+                            root or scratch(spark, "s04-loyalty"))
     c = t.customers
     j = c.join(cur, c.id == cur.customer_id, "inner")
     pts = (F.col("loyalty_points") + F.col("points_added")).cast("int")
@@ -135,11 +143,11 @@ def loyalty(spark: SparkSession, sf_dir: str, t) -> DataFrame:
                     tier(pts).alias("loyalty_tier"))
 
 
-def hourly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly_revenue(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
     s = hourly_revenue_stream(bills_stream(spark, sf_dir))
-    return run_update_stream(s, ["hour_start"], scratch(spark, "s01-hourly"))
+    return run_update_stream(s, ["hour_start"], root or scratch(spark, "s01-hourly"))
 
 
-def payment_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def payment_mix(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
     s = payment_mix_stream(bills_stream(spark, sf_dir))
-    return run_update_stream(s, ["day_start", "payment_method"], scratch(spark, "s02-mix"))
+    return run_update_stream(s, ["day_start", "payment_method"], root or scratch(spark, "s02-mix"))
