@@ -48,8 +48,13 @@ def voids(store: Store, requests: DataFrame, batch: int | None = None) -> int:
 def returns(store: Store, requests: DataFrame, batch: int | None = None) -> int:
     """Accepted returns recorded, stock put back, bills partially returned."""
     t = catalog(store)
-    rows, stock, bills = ledger.apply_returns(t, ledger.validate_returns(t, requests))
-    return store.write({"returns": Append(rows), "products": Update(stock.select("id", "stock_quantity")), "bills": Update(bills)}, batch)
+    checked = ledger.validate_returns(t, requests)
+    _, stock, bills = ledger.apply_returns(t, checked)
+    # the model's rows: one per returned product
+    lines = checked.filter("reject_reason is null").select(
+        F.col("request_id").alias("id"), "bill_id", "product_id", "quantity", F.round("amount_exact", 2).alias("return_amount"), "created_at")
+    return store.write({"returns": Append(_as_model(lines, "returns")), "products": Update(stock.select("id", "stock_quantity")),
+                        "bills": Update(bills)}, batch)
 
 
 def payments(store: Store, requests: DataFrame, batch: int | None = None) -> int:

@@ -190,7 +190,10 @@ class Store:
         bound = lambda f: f(F.col(key)).cast("long") if whole else F.lit(None).cast("long")
         found = self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(
             F.count("*").alias("rows"), bound(F.min).alias("low"), bound(F.max).alias("high"))
-        return sorted((r.asDict() for r in found.collect()), key=lambda f: f["path"])
+        files = sorted((r.asDict() for r in found.collect()), key=lambda f: f["path"])
+        if not files:  # no rows: the empty file that Spark writes then is named by no version
+            self._fs().delete(self._path(folder), True)
+        return files
 
     def _compacted(self, name: str, table: dict) -> list[dict]:
         """Small files put together, so that a table of n rows keeps about n / target_rows large files and ``max_files`` small ones at most."""
