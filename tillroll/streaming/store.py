@@ -132,6 +132,7 @@ class Store:
         return new
 
     def _changed(self, name: str, table: dict | None, change: Replace | Append | Update) -> dict:
+        known = {f["path"] for f in (table or {"files": []})["files"]}
         if isinstance(change, Update):
             if table is None:
                 raise KeyError(f"no table {name!r} to update")
@@ -143,7 +144,11 @@ class Store:
             schema = df.schema.json() if table is None or isinstance(change, Replace) else table["schema"]
             table = {"schema": schema, "key": key, "files": kept + self._files(name, df, key)}
         if len(table["files"]) > self.max_files:
-            table = table | {"files": self._compacted(name, table)}
+            before, table = table["files"], table | {"files": self._compacted(name, table)}
+            kept = {f["path"] for f in table["files"]} | known
+            for f in before:
+                if f["path"] not in kept:  # written and compacted at once: no version ever names it
+                    self._fs().delete(self._path(f["path"]), False)
         return table
 
     def _updated(self, name: str, table: dict, change: Update) -> list[dict]:
