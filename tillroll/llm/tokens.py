@@ -24,12 +24,12 @@ import pyarrow as pa  # noqa: E402
 import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-KEEP = 150_000
+KEEP = 400_000
 _LONG = 64  # a chunk of more characters is not kept
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # Its first class lets the search skip to punctuation; the look-behind then wants a letter or digit before that.
 _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[A-Za-z0-9].)[!-&(-/:-@\[-`{-~]*(?=[ \n]|\Z)")
-CHARS = 3_000_000  # texts of about so many characters are encoded together; more cost memory, fewer time
+CHARS = 5_000_000  # texts of about so many characters are encoded together; more cost memory, fewer time
 GLUED = "\x01"  # begins the key of punctuation that stands at the end of a word
 # White space besides space and line break, as Python or Unicode see it, and characters that may count as such.
 _OTHER_BLANK = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"] + ["\u180e", "\u200b", "\u2060", "\ufeff"]
