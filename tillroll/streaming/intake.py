@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators.integrity import order_rules
 from tillroll.operators.ledger import bill_totals, price_lines
+from tillroll.session import checkpoint_dir
 from tillroll.streaming.sinks import scratch
 from tillroll.streaming.store import Append, Replace, Store, Update
 
@@ -174,6 +175,12 @@ def order_requests_json_with_time(t) -> DataFrame:
 
 
 # ----------------------------------------------------------------- full checkout
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, in the shared checkpoint folder: several tables are made from it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame, start_seq: int
                    ) -> tuple[dict[str, DataFrame], int]:
     """One batch of parsed orders through the whole billing path.
@@ -199,8 +206,8 @@ def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame,
     lines = ok.select(F.col("request_id").alias("bill_id"), "created_at", F.explode("items").alias("it")).select(
         "bill_id", "created_at", F.col("it.productId").alias("product_id"), F.col("it.quantity").alias("quantity"),
         F.col("it.discount").alias("discount"))
-    priced = price_lines(lines.drop("created_at"), products)
-    totals = bill_totals(priced, ok.select(F.col("request_id").alias("id"), "discount_amount"))
+    priced = _cut(price_lines(lines.drop("created_at"), products))
+    totals = _cut(bill_totals(priced, ok.select(F.col("request_id").alias("id"), "discount_amount")))
     negative = negative_totals(totals)
     cand = lines.join(negative.select(F.col("request_id").alias("bill_id")), "bill_id", "left_anti")
     stock = products.select(F.col("id").alias("product_id"), F.col("stock_quantity").alias("stock"))
@@ -212,13 +219,13 @@ def checkout_batch(orders: DataFrame, products: DataFrame, customers: DataFrame,
     acc = admitted.join(head, "bill_id").join(totals, "bill_id")
     numbered = bill_numbers(acc.select(F.col("bill_id").alias("id"), "created_at"), start_seq)
     n_accepted = numbered.count()
-    bills = acc.join(numbered.select(F.col("id").alias("bill_id"), "bill_number"), "bill_id").select(
+    bills = _cut(acc.join(numbered.select(F.col("id").alias("bill_id"), "bill_number"), "bill_id").select(
         F.col("bill_id").alias("id"), "bill_number", "customer_id", F.lit(None).cast("int").alias("cashier_id"),
         F.col("total_amount").cast("decimal(12,2)").alias("total_amount"),
         F.col("discount_amount").cast("decimal(12,2)").alias("discount_amount"),
         F.col("tax_amount").cast("decimal(12,2)").alias("tax_amount"),
         F.col("net_amount").cast("decimal(12,2)").alias("net_amount"), "payment_method",
-        F.lit("completed").alias("status"), "created_at")
+        F.lit("completed").alias("status"), "created_at"))
     items = priced.join(admitted, "bill_id", "left_semi")
     stock_after = apply_sales(products, items).filter("changed").select("id", "stock_quantity")
     loyalty = accrue_loyalty(customers, bills).filter("changed").select("id", "loyalty_points", "total_purchases", "loyalty_tier")
@@ -250,8 +257,8 @@ def run_checkout(spark: SparkSession, t, requests_dir: str | None = None, max_fi
         batch = batch.persist()
         try:
             orders, bad = parse_orders(batch)
-            products = store.lookup("products", orders.select(F.explode("items.productId").alias("id")))
-            customers = store.lookup("customers", orders.select(F.col("customer_id").alias("id")))
+            products = _cut(store.lookup("products", orders.select(F.explode("items.productId").alias("id"))))
+            customers = _cut(store.lookup("customers", orders.select(F.col("customer_id").alias("id"))))
             out, next_seq = checkout_batch(orders, products, customers, now["meta"]["next_seq"])
             out["rejects"] = out["rejects"].unionByName(bad)
             changes = {n: Append(out[n]) for n in ("bills", "bill_items", "rejects")}
