@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tillroll.operators import apply
@@ -101,3 +102,34 @@ def test_applied_operations_match_their_results(spark, tmp_path):
     apply.returns(store, requests, batch=1)
     assert n_new > 0 and store.read("returns").count() == n_before + n_new
     assert {r["id"]: r["stock_quantity"] for r in store.read("products").collect()} == stock
+
+
+def test_a_whole_table_is_worked_out_and_written_once(spark, tmp_path):
+    calls = []
+
+    class Counting(Store):
+        def _files(self, name, *args, **kwargs):
+            calls.append(name)
+            return super()._files(name, *args, **kwargs)
+
+    store, seen = Counting(spark, str(tmp_path)), spark.sparkContext.accumulator(0)
+
+    def count(n):
+        seen.add(1)
+        return n
+
+    rows = [(i, f"x{i}", i) for i in range(600)] + [(None, "none", 1), (7, "again", 2)]
+    df = _rows(spark, rows).withColumn("n", F.udf(count, "int")("n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # more than a table keeps: these many files were compacted at once
+    try:
+        store.write({"a": Replace(df, "id", df.select("id"))})
+        store.write({"a": Update(spark.createDataFrame([(i, -i) for i in range(0, 600, 5)], "id long, n int"))})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert calls == ["a", "a"] and seen.value == len(rows)
+    for version in (0, 1):  # a key's rows are in one file, before and after
+        files = sorted(store.describe(version)["tables"]["a"]["files"], key=lambda f: f["low"])
+        assert 20 < len(files) <= 32 and all(a["high"] < b["low"] for a, b in zip(files, files[1:]))
+    want = [(i, s, -i if i is not None and i % 5 == 0 else n) for i, s, n in rows]
+    assert _content(store.read("a")) == sorted(want, key=str)
