@@ -90,3 +90,14 @@ def test_disclosing_terms_and_sanitising(spark, docs_of):
     assert texts[60] is None and texts[62] == "Zanthor far away" and texts[10] == rows[4][1]
     assert "555" not in texts[63]
     assert pii.report(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0
+
+
+def test_only_pairs_of_shared_entities_are_dealt_out(spark, docs_of):
+    rows = [(i, f"alone{i}@x.org has words of its own {i}") for i in range(30)]
+    rows += [(100, "both@x.org zanthor tea"), (101, "zanthor both@x.org"), (None, None)]
+    found = pii._find(docs_of(rows, True))
+    shared = pii._shared(found, 2)
+    assert [tuple(r) for r in shared.collect()] == [("email:both@x.org", 2)]
+    pairs = pii._pairs(found, shared)
+    assert sorted((r["doc_id"], r["term"]) for r in pairs.collect()) == [(100, "tea"), (100, "zanthor"), (101, "zanthor")]
+    assert [tuple(r) for r in pii._disclosing(pairs, found, shared, 2, 0.9).collect()] == [("email:both@x.org", "zanthor")]

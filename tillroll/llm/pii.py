@@ -13,6 +13,7 @@ removes the others.  Documents without an entity stay as they are.
 All counts are aggregates over whole texts of all documents; a document counts
 an entity, a term and a pair once.  Documents that hold an entity keep the places of
 their terms, so spans need no second look at the texts, and texts are never shuffled.
+Only terms beside an entity that ``MIN_DOCS`` documents share are dealt out and counted with it.
 
 Defined cases: null text is empty; base spans of a kind do not overlap, failing
 matches are dropped without a retry; each row is a document, and rows with
@@ -157,27 +158,39 @@ def _text_hash(text: str) -> int:
     return h - 2 ** 64 if h >= 2 ** 63 else h
 
 
-def _disclosing(pairs: DataFrame, found: DataFrame, min_docs: int, disclosure: float) -> DataFrame:
+def _shared(found: DataFrame, min_docs: int) -> DataFrame:
+    """entity, n_e of the entities that enough documents hold to have disclosing terms; stored, so that its size is known."""
+    entities = found.where("term is null").select(F.explode("entities").alias("entity"))
+    return stored(entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_docs), "pii-entities")
+
+
+def _pairs(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, t, entity, term, places per document, shared entity in it and term; a pair is in no more documents than its entity."""
+    return (found.where("term is null and size(entities) > 0").select("doc_id", "t", F.explode("entities").alias("entity"), "terms")
+            .join(shared, "entity", "left_semi")
+            .select("doc_id", "t", "entity", F.explode("terms").alias("x"))
+            .select("doc_id", "t", "entity", "x.term", "x.places"))
+
+
+def _disclosing(pairs: DataFrame, found: DataFrame, shared: DataFrame, min_docs: int, disclosure: float) -> DataFrame:
     """entity, term of the terms that reveal an entity."""
     total = found.where("term is null").count()
-    n_entity = found.where("term is null").select(F.explode("entities").alias("entity")).groupBy("entity").agg(
-        F.count("*").alias("n_e")).where(F.col("n_e") >= min_docs)
     n_term = found.where("term is not null").groupBy("term").agg(F.sum("n").alias("n_t"))
     n_both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_b")).where(F.col("n_b") >= min_docs)
     pmi = F.log(F.col("n_b") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t").cast("double")))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
-    return (n_both.join(n_entity, "entity").join(n_term, "term")
+    return (n_both.join(shared, "entity").join(n_term, "term")
             .where((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term"))
 
 
 def find(docs: DataFrame, min_docs: int = MIN_DOCS, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, t (hash of the text), spans (base), terms (places of disclosing terms) per row of ``docs``."""
     found = _find(docs)
-    pairs = (found.where("term is null and size(entities) > 0").select("doc_id", "t", F.explode("entities").alias("entity"), "terms")
-             .select("doc_id", "t", "entity", F.explode("terms").alias("x"))
-             .select("doc_id", "t", "entity", "x.term", "x.places"))
-    telling = _disclosing(pairs, found, min_docs, disclosure)
-    terms = (pairs.join(telling, ["entity", "term"]).select("doc_id", "t", F.explode("places").alias("place"))
+    shared = _shared(found, min_docs)
+    pairs = _pairs(found, shared)
+    telling = _disclosing(pairs, found, shared, min_docs, disclosure)
+    # telling grows with the pairs: it is never broadcast
+    terms = (pairs.join(telling.hint("merge"), ["entity", "term"]).select("doc_id", "t", F.explode("places").alias("place"))
              .groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("place")).alias("terms"))
              .withColumnsRenamed({"doc_id": "_id", "t": "_t"}))
     base = found.where("term is null").select("doc_id", "t", "spans")
