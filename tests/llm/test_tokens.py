@@ -34,6 +34,34 @@ def test_chunked_encoding_is_the_library_s(small, name):
     assert enc.encode([]) == []
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_words_of_letters_are_encoded_as_in_whole_texts(name):
+    # \u1c89 and U+16D40 are letters only since Unicode 16, \u0e33 and \u0345 decompose or combine, \ufb01 is a ligature
+    words = ["größe", "ñandú", "ÅÉÎ", "тест", "Σίσυφος", "日本語", "ไทยำ", "한글", "עברית", "\u1c89\u1c8a", "\U00016d40", "x\u0345y", "\ufb01n", "ªº", "ßß",
+             "\u1100\u1161", "Ġa", "Ċb", "a_b", "1a", "aé9"]
+    text = " ".join(words) + "\n" + "\n".join(words) + "\n" + ", ".join(words) + "."
+    enc = Encoder(queries._tokenizer(name))
+    for t in [text, text, *words, *(f"x {w}" for w in words), *(f"x\n{w} y" for w in words)]:
+        assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == whole(name).encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_byte_level_words_need_no_pre_tokenizer_and_long_ones_no_memory(monkeypatch):
+    enc = Encoder(queries._tokenizer(FILES[0]))
+    sent = []
+    monkeypatch.setattr(enc, "_ids", lambda texts, ids=enc._ids: sent.extend(texts) or ids(texts))
+    text = "one " + " ".join("w" + "ä" * k + "x" * n for n in range(40) for k in range(30)) + "\nNext line 12 a-b"
+    ids = np.frombuffer(enc.encode([text])[0], "<u4").tolist()
+    assert ids == whole(FILES[0]).encode(text, add_special_tokens=False).ids
+    assert sorted(sent) == [" 12", " a-b", "one"]
+    assert 0 < max(map(len, enc.seen)) <= 12
+    # what is kept stays bounded, whatever comes
+    enc.keep = 100
+    for n in range(20):
+        words = [f"{chr(97 + n)}{chr(97 + a)}{chr(97 + b)}" for a in range(10) for b in range(10)]
+        enc.encode(["x " + " ".join(words)])
+        assert len(enc.seen) <= 200 and len(enc.older) <= 1200
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(3)
     for ids in ([5], [0, 2 ** 32 - 1], [7] * 256, rng.integers(0, 50_000, 256), np.r_[rng.integers(100, 110, 250), [2 ** 31] * 6]):

@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import chunks, stored
-from tillroll.llm.tokens import CHARS, encoder
+from tillroll.llm.tokens import encoder
 
 BLOCK, PERCENTILE, FILE_IDS = 1024, 90, 1 << 18
+CHARS = 4_000_000  # texts of about so many characters are encoded together
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIII"), struct.Struct("<IBHH")
 _EXCEPTION = np.dtype([("place", "<u2"), ("value", "<u4")])
 FILES = "part int, file int, before long, n_ids long, n_docs long, content binary"
