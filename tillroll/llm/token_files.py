@@ -33,10 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import chunks, stored
-from tillroll.llm.tokens import encoder
+from tillroll.llm.tokens import CHARS, encoder
 
 BLOCK, PERCENTILE, FILE_IDS = 1024, 90, 1 << 18
-CHARS = 4_000_000  # texts of about so many characters are encoded together
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIII"), struct.Struct("<IBHH")
 _EXCEPTION = np.dtype([("place", "<u2"), ("value", "<u4")])
 FILES = "part int, file int, before long, n_ids long, n_docs long, content binary"
@@ -51,7 +50,7 @@ def pack_block(ids: np.ndarray) -> tuple[bytes, int]:
     out = np.flatnonzero(off >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
     packed = off.copy()
     packed[out] = 0
-    bits = np.unpackbits(packed.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    bits = np.unpackbits(packed.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
     body = _BLOCK_HEAD.pack(low, width, len(ids), len(out)) + np.packbits(bits.ravel(), bitorder="little").tobytes()
     patches = np.empty(len(out), _EXCEPTION)
     patches["place"], patches["value"] = out, off[out]
