@@ -14,7 +14,7 @@ meetings by hash:
    lockstep.  Neighbours with a common prefix of ``length`` bytes are one class; windows outside the
    class's smallest document go.
 3. Merging.  The windows left send a 64-bit key and their ``doc_id`` to their hash group (by a second, independent
-   hash).  Sorted runs of the shards are merged pairwise by binary search; a window gets a bit
+   hash).  The shards' runs are sorted and merged, once for the keys and for the place of each; a window gets a bit
    back: a smaller document of another shard has it.
 4. Spans.  Shards put the results together.  The union of the removed windows is
    the removed text.
@@ -179,28 +179,29 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int
     return by_place[sa]
 
 
-def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]], return_inverse: bool = False) -> tuple[np.ndarray, ...]:
     """The distinct keys of all runs of (keys, documents), ascending, with each key's smallest and largest document.
 
-    Sorted runs are merged two by two: the keys of the shorter one are searched for in the longer.
+    Sorted runs are merged by numpy's stable sort, which finds them and merges neighbours, by binary search as far as
+    one lies outside the other.  Keys of 32 bits are sorted together with their places instead, which is faster.
+    With ``return_inverse``, also where each key of the runs, one after the other, stands among the distinct ones.
     """
-    level = []
-    for keys, docs in runs:
-        order = np.argsort(keys)
-        keys, docs = keys[order], docs[order]
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        level.append((keys[new], np.minimum.reduceat(docs, new), np.maximum.reduceat(docs, new)) if len(keys) else (keys, docs, docs))
-    while len(level) > 1:
-        merged = []
-        for one, two in zip(level[::2], level[1::2]):
-            (a, low, high), (b, low_b, high_b) = (one, two) if len(one[0]) >= len(two[0]) else (two, one)
-            at = np.searchsorted(a, b)
-            hit = a[np.minimum(at, len(a) - 1)] == b if len(a) else np.zeros(len(b), bool)
-            low[at[hit]] = np.minimum(low[at[hit]], low_b[hit])
-            high[at[hit]] = np.maximum(high[at[hit]], high_b[hit])
-            merged.append(tuple(np.insert(x, at[~hit], y[~hit]) for x, y in ((a, b), (low, low_b), (high, high_b))))
-        level = merged + ([level[-1]] if len(level) % 2 else [])
-    return level[0]
+    keys, docs = (np.concatenate(x) for x in zip(*runs))
+    if keys.itemsize > 4:
+        ends = np.cumsum([len(k) for k, _ in runs])
+        run = np.concatenate([np.argsort(k) + end - len(k) for (k, _), end in zip(runs, ends)])
+        order = run[np.argsort(keys[run], kind="stable")]
+        keys = keys[order]
+    else:
+        order, keys = _order(keys, np.iinfo(keys.dtype).max)
+    docs = docs[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+    out = keys[first], np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
+    if not return_inverse:
+        return out
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return *out, inverse
 
 
 # ------------------------------------------------------------------ one shard
@@ -409,12 +410,15 @@ def _judge_regions(sent: DataFrame) -> DataFrame:
         docs = [np.frombuffer(_unzip(r["more"], 8 * r["n"]), np.int64) for r in rows]
         least = [np.frombuffer(r["content"], np.uint32, r["n"]) for r in rows]
         whole = [np.frombuffer(r["content"], np.uint64, r["n"], 4 * r["n"]) for r in rows]
-        keys, low, high = merge_runs(list(zip(least, docs)))
-        shared = low < high
-        texts, first, _ = merge_runs(list(zip(whole, docs)))
-        out = [{"shard": r["shard"], "part": r["part"], "n": r["n"],
-                "content": _zip(np.packbits(first[np.searchsorted(texts, w)] < d)), "more": _zip(np.packbits(shared[np.searchsorted(keys, k)]))}
-               for r, k, w, d in zip(rows, least, whole, docs)]
+        _, low, high, own = merge_runs(list(zip(least, docs)), return_inverse=True)
+        shared = (low < high)[own]
+        # Equal texts have equal minimizers, so a text can be another document's only where its minimizer is.
+        asked, known = np.flatnonzero(shared), np.zeros(len(shared), bool)
+        docs, cuts = np.concatenate(docs), np.cumsum([r["n"] for r in rows])[:-1]
+        _, low, _, own = merge_runs([(np.concatenate(whole)[asked], docs[asked])], return_inverse=True)
+        known[asked] = low[own] < docs[asked]
+        out = [{"shard": r["shard"], "part": r["part"], "n": r["n"], "content": _zip(np.packbits(k)), "more": _zip(np.packbits(m))}
+               for r, k, m in zip(rows, np.split(known, cuts), np.split(shared, cuts))]
         return pa.Table.from_batches([_batch(out, _KINDS["keys"])])
 
     return sent.groupBy("part").applyInArrow(run, KEYS)
@@ -451,10 +455,10 @@ def _merge_windows(sent: DataFrame) -> DataFrame:
             return table
         rows = table.to_pylist()
         runs = [(np.frombuffer(r["content"], np.uint64), np.frombuffer(_unzip(r["more"], 8 * r["n"]), np.int64)) for r in rows]
-        keys, low, _ = merge_runs(runs)
+        _, low, _, own = merge_runs(runs, return_inverse=True)
+        known = np.split(low[own] < np.concatenate([d for _, d in runs]), np.cumsum([r["n"] for r in rows])[:-1])
         return pa.Table.from_batches([_batch(
-            [{"shard": r["shard"], "part": r["part"], "n": r["n"], "content": _zip(np.packbits(low[np.searchsorted(keys, k)] < d))}
-             for r, (k, d) in zip(rows, runs)], _KINDS["keys"])])
+            [{"shard": r["shard"], "part": r["part"], "n": r["n"], "content": _zip(np.packbits(k))} for r, k in zip(rows, known)], _KINDS["keys"])])
 
     return sent.groupBy("part").applyInArrow(run, KEYS)
 
