@@ -53,3 +53,23 @@ def test_any_batch_split_and_restart(spark, tmp_path):
 def test_rejects_can_be_counted(spark):
     df = intake.parse_and_check(spark, Retail.from_testdata(spark, SF_SMALL))
     assert df.count() == len(df.collect()) == sum(r["count"] for r in df.groupBy("reject_reason").count().collect())
+
+
+def test_a_micro_batch_is_worked_out_once(spark, tmp_path, monkeypatch):
+    """The passes over a batch read its rows, not the stream's state, with adaptive execution; its files are gone afterwards."""
+    t, seen, parse = _requests(spark, str(tmp_path / "in")), [], intake.parse_orders
+
+    def parsing(raw):
+        both = raw.select("request_id").join(raw.select("request_id", "paymentMethod"), "request_id")
+        seen.append((raw.sparkSession.conf.get("spark.sql.adaptive.enabled"), both._jdf.queryExecution().executedPlan().toString(),
+                     raw.inputFiles()))
+        return parse(raw)
+
+    monkeypatch.setattr(intake, "parse_orders", parsing)
+    for run in (intake.run_intake, intake.run_checkout):
+        seen.clear()
+        run(spark, t, str(tmp_path / "in"), 3)
+        assert len(seen) == 2
+        for adaptive, plan, files in seen:
+            assert adaptive == "true" and "ExistingRDD" not in plan and "AdaptiveSparkPlan" in plan
+            assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
